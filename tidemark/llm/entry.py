@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import license_scan, mixing, quality, sql, token_count, url_filter
+from tidemark.llm import byte_bpe, license_scan, media, mixing, near_dup, quality, sql, token_count, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,7 +11,11 @@ def queries() -> dict:
         "op2_url_lists": url_filter.op2_url_lists,
         "op3_token_count": token_count.op3_token_count,
         "op4_poisson_mix": mixing.op4_poisson_mix,
+        "op5_near_dup": near_dup.op5_near_dup,
         "op6_line_quality": quality.op6_line_quality,
+        "op7_wav_media": media.op7_wav_media,
+        "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
@@ -20,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": sql.op1(),
         "op2_url_lists": sql.op2(),
         "op4_poisson_mix": sql.op4(),
+        "op5_near_dup": sql.op5(),
         "op6_line_quality": sql.op6(),
     }
