@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, license_scan, media, mixing, near_dup, quality, sql, token_count, toxicity, url_filter
+from tidemark.llm import byte_bpe, license_scan, media, mixing, near_dup, pii, quality, sql, token_count, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_near_dup": near_dup.op5_near_dup,
         "op6_line_quality": quality.op6_line_quality,
         "op7_wav_media": media.op7_wav_media,
+        "op8_char_tagger": pii.op8_char_tagger,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_toxicity": toxicity.op10_toxicity,
     }
