@@ -187,20 +187,21 @@ def _decode(bpe: ByteBpe, doc_ids: list, n: list, ids: list) -> dict[str, list]:
     return {"doc_id": doc_ids, "n_tokens": n, "ids": ids, "decoded": [None if x is None else bpe.decode(x) for x in ids]}
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, carry: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids for each row of docs (doc_id, text).
 
     ids holds little-endian unsigned 32-bit integers, so that a long text is one
     binary value. A null text counts as empty and has no ids; a null doc_id
-    stays null; repeated rows repeat; other columns are ignored; no rows, none.
+    stays null; repeated rows repeat; no rows, none. Other columns are ignored,
+    or with carry kept, unless they have one of these names.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_text(docs, _encode, ["doc_id", "text"], ENCODED, make=lambda: load(path))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return map_text(docs, _encode, ["doc_id", "text"], ENCODED, make=lambda: load(path), carry=carry)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with decoded, the bytes of its ids; null ids decode to null, an unknown id is an error."""
-    return map_text(encoded, _decode, ENCODED.names, DECODED, text="ids", make=lambda: load(path))
+    return map_text(encoded, _decode, ENCODED.names, DECODED, text="ids", make=lambda: load(path), carry=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

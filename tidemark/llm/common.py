@@ -65,15 +65,22 @@ def map_text(
     *,
     text: str | None = "text",
     make: Callable[[], object] | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """Apply function to slices of df's rows in Arrow batches.
 
     function gets one Python list per name in columns, and what make() returned
     in its process if make is given; it returns lists by the names of schema.
     The slices are cut by the length of the text column, not by row count alone.
+    carry: all columns of df that schema doesn't name stay beside the new ones;
+    function must then return a value for each row.
     """
     ship(df.sparkSession)
+    kept = [f for f in df.schema if carry and f.name not in schema.names]
+    schema = StructType([*kept, *schema])
     out = to_arrow_schema(schema)
+    made_fields = [out.field(i) for i in range(len(kept), len(out))]
+    first = len(columns)
     where = list(columns).index(text) if text in columns else None
 
     def batches(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +91,11 @@ def map_text(
                 end = n if where is None else _slice_end(block.column(where), begin, n)
                 lists = [block.column(i).slice(begin, end - begin).to_pylist() for i in range(len(columns))]
                 made = function(*tool, *lists)
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
+                beside = [block.column(first + i).slice(begin, end - begin).cast(out.field(i).type) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*beside, *(pa.array(made[f.name], f.type) for f in made_fields)], schema=out)
                 begin = end
 
-    return df.select(*columns).mapInArrow(batches, schema)
+    return df.select(*columns, *(df[f.name].alias(f"_kept{i}") for i, f in enumerate(kept))).mapInArrow(batches, schema)
 
 
 def _slice_end(column: pa.Array, begin: int, n: int) -> int:
@@ -111,3 +119,23 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     left = left.withColumn("_salt", F.pmod(drawn, F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Of the keys with more than HOT_ROWS rows, the HOT_KEYS with most are salted;
+#: any other key has less than one row in HOT_KEYS, or HOT_ROWS at most.
+HOT_KEYS, HOT_ROWS = 1_000, 1_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16, counts: DataFrame | None = None) -> DataFrame:
+    """Equi-join on key of a left side that may be skewed, as salted_join, but salting hot keys only.
+
+    counts has (key, n) for left, and is made from it if not given. The hot
+    keys, HOT_KEYS at most, are broadcast; only their right rows are repeated.
+    """
+    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.col("n").desc(), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
+    drawn = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", drawn).drop("_hot")
+    each = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+    right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

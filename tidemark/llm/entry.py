@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from tidemark.llm import byte_bpe, license_scan, media, mixing, near_dup, pii, quality, sql, token_count, toxicity, url_filter
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_url_lists": url_filter.op2_url_lists,
         "op3_token_count": token_count.op3_token_count,

@@ -551,6 +551,26 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
+_TEXT = StructType([StructField("text", StringType())])
+
+
+def _redact(tagger: Tagger, texts: list) -> dict[str, list]:
+    tags = tag_texts(tagger, [t or "" for t in texts])
+    return {"text": [t if t is None else redact(t, all_spans(t, own)[1]) for t, own in zip(texts, tags, strict=True)]}
+
+
+def redact_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
+    """docs with every span in text replaced by its kind in brackets, and n_chars, if there is one, to match.
+
+    Null texts stay null. Columns and rows stay as they are otherwise.
+    """
+    weights = tagger.p
+    done = map_text(docs, _redact, ["text"], _TEXT, make=lambda: Tagger(weights), carry=True)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
 def op8_char_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_personal_data(docs, train(sample_texts(docs)))

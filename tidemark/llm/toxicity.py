@@ -223,6 +223,15 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of docs whose text the lexicon does not call toxic, with all their columns and no others."""
+    names = {"doc_id": "_doc_id", "held_out": "_held_out", "score": "_score", "n_hits": "_n_hits"}
+    own = StructType([StructField(names[f.name], f.dataType) for f in _SCORED])
+    score = lambda x, i, t: {names[k]: v for k, v in _score(x, i, t).items()}
+    scored = map_text(docs, score, ["doc_id", "text"], own, make=_maker(lexicon), carry=True)
+    return scored.filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
