@@ -8,7 +8,6 @@ in one pass over the rows.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,8 +34,7 @@ def column(node: Node, scope: Scope | None = None, of=F.col) -> Column:
         case Op("neg", (x,)):
             return -sub(x)
         case Op("and" | "or", _):
-            op, parts = node.op, _flat(node)
-            return reduce(Column.__and__ if op == "and" else Column.__or__, [sub(p) for p in parts])
+            return _balanced(Column.__and__ if node.op == "and" else Column.__or__, [sub(p) for p in _flat(node)])
         case Op("in", (x, items)):
             return V.membership(sub(x), list(values_of(items, scope)))
         case Op("/", (a, b)):
@@ -69,6 +67,13 @@ def _flat(node: Op) -> list[Node]:
     return out
 
 
+def _balanced(join, parts: list[Column]) -> Column:
+    """parts joined as a tree of logarithmic depth: deep ones overflow the planner's stack."""
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def holds(node: Node, scope: Scope | None = None) -> Column:
     """Whether the condition is true; unknown counts as not."""
     return F.coalesce(column(node, scope), F.lit(False))

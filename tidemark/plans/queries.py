@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import ENTITIES, FEATURES, WINDOWS
+from tidemark.catalog import ENTITIES, FEATURES, FIELDS, WINDOWS
+from tidemark.operators import audit, calendar, compare, labels, metrics, ruleset, sketches, velocity
 from tidemark.operators import backtest as bt
-from tidemark.operators import calendar, compare, metrics, ruleset, velocity
 from tidemark.operators import model as md
 from tidemark.plans import oracle, samples
 from tidemark.plans.compiling import column as rule_column
 from tidemark.plans.compiling import sql as rule_sql
 from tidemark.plans.language import parse
 from tidemark.sources import payments as pay
+from tidemark.sources import records, synthetic
+from tidemark.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -492,3 +494,164 @@ def _(spark, sf_dir):
     df = payments(spark, sf_dir)
     parted = df.withColumn("purchaser_email_domain", F.concat("purchaser_email_domain", F.lit("/"), (F.col("card1") % 5).cast("string")))
     return compare.order_control(velocity.features(df, ("email",)), velocity.features(parted, ("email",)), _LOCKSTEP)
+
+
+# -- sketches --------------------------------------------------------------------------
+
+
+@query("sketch_counts")
+def _(spark, sf_dir):
+    return sketches.count_min(payments(spark, sf_dir), "card")
+
+
+@query("sketch_distinct_cards")
+def _(spark, sf_dir):
+    return sketches.distinct_by_hour(payments(spark, sf_dir), "device")
+
+
+# -- labels -------------------------------------------------------------------------------
+
+_EVENTS_SQL = f"""
+SELECT 'evt_' || id AS event_id, CASE WHEN id % 7 < 4 THEN 'payment_intent.succeeded' WHEN id % 7 = 6 THEN 'charge.dispute.closed' ELSE 'charge.dispute.created' END AS type,
+ dt + {pay.EPOCH} + (id % 4) * 1000 AS created, CASE WHEN id % 3 = 0 THEN 'txn_' ELSE 'pi_' END || (id % 97) AS payment_id, CASE WHEN id % 7 >= 4 THEN 'dp_' || (id % 97) || '_' || (id % 2) END AS dispute_id,
+ CASE WHEN id % 5 = 0 THEN 'duplicate' ELSE 'fraudulent' END AS reason, CASE WHEN id % 7 = 6 THEN (CASE WHEN id % 2 = 0 THEN 'won' ELSE 'lost' END) ELSE 'needs_response' END AS status, CAST(round(amount * 100) AS BIGINT) AS amount, id AS seq
+FROM {{payments}}"""
+_EV = _EVENTS_SQL.format(payments=f"({_P1})")
+_STATES_SQL = f"""SELECT payment_id, dispute_id, arg_max(reason, k) AS reason, arg_max(status, k) AS status, arg_max(amount, k) AS amount, arg_max(created, k) AS updated, bool_or(type = 'charge.dispute.closed') AS closed
+FROM (SELECT *, created::HUGEINT * 1000000000000 + (CASE WHEN type = 'charge.dispute.closed' THEN 1 ELSE 0 END) * 100000000000 + seq AS k FROM ({_EV}) WHERE type <> 'payment_intent.succeeded') GROUP BY 1, 2"""
+_LABELS_SQL = f"""SELECT payment_id, (CASE WHEN bool_or(reason = 'fraudulent' AND NOT (closed AND status = 'won')) THEN 1 WHEN bool_or(reason = 'fraudulent') THEN 0 ELSE -1 END)::TINYINT AS label FROM ({_STATES_SQL}) GROUP BY 1"""
+
+
+def label_events(spark, sf_dir):
+    """Label events made from the test payments."""
+    return spark.sql(_EVENTS_SQL.format(payments="{p}"), p=payments(spark, sf_dir))
+
+
+@query("dispute_states", _STATES_SQL)
+def _(spark, sf_dir):
+    return labels.dispute_states(label_events(spark, sf_dir))
+
+
+@query("dispute_upsert", _STATES_SQL)
+def _(spark, sf_dir):
+    events = label_events(spark, sf_dir)
+    return labels.upsert(labels.dispute_states(events.filter("seq % 3 = 0")), events.filter("seq % 3 <> 0"))
+
+
+@query("payment_labels", _LABELS_SQL)
+def _(spark, sf_dir):
+    return labels.payment_labels(labels.dispute_states(label_events(spark, sf_dir)))
+
+
+@query("label_counts", f"""WITH s AS ({_STATES_SQL}), l AS ({_LABELS_SQL}), e AS (SELECT payment_id, bool_or(type = 'payment_intent.succeeded') AS ok FROM ({_EV}) GROUP BY 1)
+SELECT (SELECT count(*) FROM e) AS payments, (SELECT count(*) FROM e WHERE ok) AS succeeded, (SELECT count(*) FROM l WHERE label = 1) AS fraud, (SELECT count(*) FROM l WHERE label = 0) AS legit, (SELECT count(*) FROM s) AS disputes, (SELECT count(*) FROM s WHERE closed) AS closed_disputes""")
+def _(spark, sf_dir):
+    return labels.label_counts(label_events(spark, sf_dir))
+
+
+@query("label_overlay", f"WITH p AS ({_P1}), l AS ({_LABELS_SQL}) SELECT id, dt, coalesce(CASE WHEN label <> -1 THEN label END, is_fraud)::TINYINT AS fraud FROM p LEFT JOIN l ON l.payment_id = 'txn_' || p.id")
+def _(spark, sf_dir):
+    table = payments(spark, sf_dir).select("id", "dt", F.col("is_fraud").alias("fraud"))
+    return labels.overlay(table, labels.payment_labels(labels.dispute_states(label_events(spark, sf_dir))))
+
+
+_FIRST_SQL = f"SELECT payment_id, min(created) - {pay.EPOCH} AS arrived_dt FROM ({_EV}) WHERE type = 'charge.dispute.created' AND reason = 'fraudulent' GROUP BY 1"
+
+
+@query("first_disputes", _FIRST_SQL)
+def _(spark, sf_dir):
+    return labels.first_disputes(label_events(spark, sf_dir))
+
+
+@query("labels_by_disputes", f"WITH p AS ({_P1}), f AS ({_FIRST_SQL}) SELECT id, dt, (arrived_dt IS NOT NULL)::TINYINT AS fraud, arrived_dt AS label_time FROM p LEFT JOIN f ON f.payment_id = 'txn_' || p.id")
+def _(spark, sf_dir):
+    table = payments(spark, sf_dir).select("id", "dt", F.col("is_fraud").alias("fraud"), F.lit(None).cast("bigint").alias("label_time"))
+    return labels.label_by_disputes(table, labels.first_disputes(label_events(spark, sf_dir)))
+
+
+# -- records --------------------------------------------------------------------------------
+
+_BODY = """CASE WHEN id % 40 = 1 THEN 'not json' WHEN id % 40 = 2 THEN '{"payment_id": "", "created": 5}'
+ WHEN id % 40 = 3 THEN '{"payment_id": "txn_' || CAST(id AS VARCHAR(20)) || '", "created": ' || CAST(dt + 1512086400 AS VARCHAR(20)) || ', "risk_fields": {"card_1": 7}}'
+ WHEN id % 40 = 4 THEN '{"payment_id": "txn_' || CAST(id AS VARCHAR(20)) || '", "created": ' || CAST(dt + 1512086400 AS VARCHAR(20)) || ', "risk_fields": {"card1": "7"}}'
+ ELSE '{"payment_id": "txn_' || CAST(id AS VARCHAR(20)) || '", "created": ' || CAST(dt + 1512086400 AS VARCHAR(20)) || ', "amount": ' || CAST(id % 1000 AS VARCHAR(20)) || ', "risk_fields": {"card1": ' || CAST(id % 50 AS VARCHAR(20)) || ', "card4": ""}}' END"""
+
+
+@query("decoded_payments", f"""SELECT CASE WHEN id % 40 IN (1, 2, 3, 4) THEN CASE id % 40 WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'payment_id is missing' WHEN 3 THEN 'unknown risk_fields: card_1' ELSE 'risk_fields.card1 is not a number' END END AS error,
+ CASE WHEN id % 40 NOT IN (1, 2, 3, 4) THEN id END AS id, CASE WHEN id % 40 NOT IN (1, 2, 3, 4) THEN dt END AS dt, CASE WHEN id % 40 NOT IN (1, 2, 3, 4) THEN (id % 1000)::DOUBLE / 100.0::DOUBLE END AS amount, CASE WHEN id % 40 NOT IN (1, 2, 3, 4) THEN (id % 50)::DOUBLE END AS card1 FROM ({_P1})""")
+def _(spark, sf_dir):
+    raw = payments(spark, sf_dir).select(F.expr(_BODY.replace("VARCHAR(20)", "STRING")).alias("value"))
+    d = records.decode_payments(raw)
+    ok = F.col("error").isNull()
+    return d.select("error", *[F.when(ok, F.col(c)).alias(c) for c in ("id", "dt", "amount", "card1")])
+
+
+def logged(spark, sf_dir):
+    return records.decisions(decided(spark, sf_dir), version=1, model_sha256="m1")
+
+
+@query("decision_records", f"{_DECIDED} SELECT 'txn_' || id AS payment_id, dt + {pay.EPOCH} AS created, action AS decision, risk_score::BIGINT AS risk_score, len(string_split(shadows, ',')) * (shadows <> '')::INT AS n_shadow FROM d")
+def _(spark, sf_dir):
+    return logged(spark, sf_dir).select("payment_id", "created", "decision", "risk_score", F.size("shadow_matches").cast("bigint").alias("n_shadow"))
+
+
+@query("decision_set", f"SELECT 'txn_' || id AS payment_id, (CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 15 = 0 THEN 1 ELSE 0 END)::BIGINT AS duplicates, (CASE WHEN id % 15 = 0 THEN 1 ELSE 0 END)::BIGINT AS conflicts FROM ({_P1})")
+def _(spark, sf_dir):
+    log = logged(spark, sf_dir).withColumn("place", F.lit(0))
+    number = F.substring("payment_id", 5, 20).cast("bigint")
+    again = log.filter(number % 10 == 0).withColumn("place", F.lit(1)).withColumn("at_ms", F.lit(99).cast("bigint"))
+    other = log.filter(number % 15 == 0).withColumn("place", F.lit(2)).withColumn("decision", F.lit("other"))
+    return records.decision_set(log.unionByName(again).unionByName(other), ["place"]).select("payment_id", "duplicates", "conflicts")
+
+
+@query("audit_report", f"SELECT 1::BIGINT AS ruleset_version, count(*) AS records, count(*) FILTER (id % 25 <> 0) AS verified, count(*) FILTER (id % 25 = 0) AS mismatched, 0::BIGINT AS unscored FROM ({_P1})")
+def _(spark, sf_dir):
+    log = logged(spark, sf_dir)
+    changed = F.substring("payment_id", 5, 20).cast("bigint") % 25 == 0
+    log = log.withColumn("rule_id", F.when(changed, F.lit("r_other")).otherwise(F.col("rule_id")))
+    return audit.audit_report(audit.audit(log, {1: _RULES}, _MODEL, samples.ENCODER, samples.CALIBRATION, "m1"))
+
+
+def _shadow_sql() -> str:
+    rows = [f"SELECT '{r.id}' AS rule_id, count(*)::BIGINT AS evaluated, count(*) FILTER (m_{i}) AS matched, count(*) FILTER (m_{i}) AS predicted, true AS agrees FROM d" for i, r in _RULES.shadows()]
+    return f"{_DECIDED} " + " UNION ALL ".join(rows)
+
+
+@query("shadow_report", _shadow_sql())
+def _(spark, sf_dir):
+    return audit.shadow_report(logged(spark, sf_dir), _RULES, {r.id: [1] for _, r in _RULES.shadows()})
+
+
+@query("log_parity", f"SELECT 'only_left' AS what, 0::BIGINT AS n UNION ALL SELECT 'only_right', count(*) FILTER (id % 9 = 0) FROM ({_P1}) UNION ALL SELECT 'both', count(*) FILTER (id % 9 <> 0) FROM ({_P1}) UNION ALL SELECT 'differs:amount', 0 UNION ALL SELECT 'differs:card_txn_count_1h', 0 UNION ALL SELECT 'differs:device_info', 0")
+def _(spark, sf_dir):
+    table = scored(spark, sf_dir)
+    log = records.table_from_log(logged(spark, sf_dir)).filter("id % 9 <> 0")
+    return compare.parity(log, table, ["amount", "card_txn_count_1h", "device_info"])
+
+
+@query("signatures")
+def _(spark, sf_dir):
+    df = payments(spark, sf_dir).select("id", F.lit(1_700_000_000).alias("now"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("payload"))
+    header = F.when(F.col("id") % 3 == 0, F.lit("t=1700000000,v1=00")).when(F.col("id") % 3 == 1, F.lit("v1=ab")).otherwise(F.lit("t=1,t=2,v1=a"))
+    return records.verify(df.withColumn("header", header), [b"secret"]).select("id", "signature_error")
+
+
+@query("latency_windows", f"SELECT (dt // 86400 * 86400)::BIGINT AS start, count(*) AS n, quantile_cont(amount, 0.5) AS p50, quantile_cont(amount, 0.99) AS p99, quantile_cont(amount, 0.999) AS p999, max(amount) AS worst FROM ({_P1}) GROUP BY 1")
+def _(spark, sf_dir):
+    return compare.latency_windows(payments(spark, sf_dir), "dt", "amount", 86_400)
+
+
+@query("idempotency_conflicts", f"SELECT card1 AS idempotency_key, count(*) AS requests, count(DISTINCT product_code) AS bodies FROM ({_P1}) GROUP BY 1 HAVING count(DISTINCT product_code) > 1")
+def _(spark, sf_dir):
+    df = payments(spark, sf_dir).select(F.col("card1").alias("idempotency_key"), F.col("product_code").alias("body"))
+    return pipeline.key_conflicts(df)
+
+
+@query("catalog", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f.name}', '{f.kind}')" for i, f in enumerate(FIELDS)) + ") t(place, name, kind)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(i, f.name, f.kind) for i, f in enumerate(FIELDS)], "place int, name string, kind string")
+
+
+@query("synthetic_payments")
+def _(spark, sf_dir):
+    return synthetic.generate(spark, rows=20_000)
