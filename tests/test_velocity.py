@@ -92,6 +92,16 @@ def test_exact_and_ring_against_brute_force(spark):
     check(velocity.features(df, buckets=velocity.BUCKETS), brute(rows, velocity.BUCKETS))
 
 
+def test_chunks_of_time_change_nothing(spark):
+    rows = history(240, 21)
+    df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
+    week = max(WINDOWS.values())
+    check(velocity.features(df, chunks=dict.fromkeys(ENTITIES, week)), brute(rows))
+    check(velocity.features(df, buckets=velocity.BUCKETS, chunks=dict.fromkeys(ENTITIES, week)), brute(rows, velocity.BUCKETS))
+    with pytest.raises(ValueError):
+        velocity.features(df, chunks={"card": week - 1})
+
+
 def test_window_edges_ties_and_ttl(spark):
     rows = [payment(5, 100_000), payment(3, 100_000), payment(4, 100_000), payment(6, 103_599), payment(7, 103_600), payment(8, 103_600 + IDLE_TTL - 1), payment(9, 103_600 + 2 * IDLE_TTL - 1)]
     got = {r.id: r for r in velocity.features(frame(spark, rows), ("card",)).collect()}

@@ -10,11 +10,16 @@ frames cost one step per row:
 Distinct cards are counted the same way, by how many cards have entered the
 window and how many have left it. All columns of one entity come from a single
 exchange on its key.
+
+A key with a large share of all rows makes one long task that way. With a chunk
+length, at least that of the longest window, rows are dealt by key and chunk
+of time instead, each chunk with the rows of the one before it; recency,
+which reaches further back, comes from one row per key and chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,24 +63,46 @@ def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns(columns)
 
 
-def _recency(entity: str, by: list[str]) -> dict[str, Column]:
-    over = W.partitionBy(*by).orderBy("dt", "id")
-    gap = F.col("dt") - F.lag("dt").over(over)
-    return {f"_gap_{entity}": F.when(gap < IDLE_TTL, gap)}
-
+def _chunked(df: DataFrame, by: list[str], chunk: int) -> tuple[DataFrame, list[str]]:
+    """df dealt to chunks of time: each row to its own (_own) and, for what comes later, to the next.
 
-def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = tuple(WINDOWS), buckets: dict[str, int] | None = None) -> DataFrame:
+    Adds _before, the key's last time before the chunk, and _start, when the
+    key's history began as of the chunk; no gap of IDLE_TTL fits into a chunk.
+    """
+    if chunk < max(WINDOWS.values()) or chunk >= IDLE_TTL:
+        raise ValueError("a chunk is at least the longest window and shorter than the idle time")
+    df = df.withColumn("_c", F.floor(F.col("dt") / chunk).cast("bigint"))
+    spans = df.filter("_k0 IS NOT NULL").groupBy(*by, "_c").agg(F.min("dt").alias("_low"), F.max("dt").alias("_high"))
+    in_time = W.partitionBy(*by).orderBy("_c")
+    spans = spans.withColumn("_before", F.lag("_high").over(in_time))
+    begins = F.when(F.col("_before").isNull() | (F.col("_low") - F.col("_before") >= IDLE_TTL), F.col("_low"))
+    spans = spans.withColumn("_start", F.max(begins).over(in_time.rowsBetween(W.unboundedPreceding, 0)))
+    places = F.when(F.col("_k0").isNull(), F.array("_c")).otherwise(F.array(F.col("_c"), F.col("_c") + 1))
+    dealt = df.withColumn("_part", F.explode(places)).withColumn("_own", F.col("_part") == F.col("_c")).drop("_c")
+    # keys are compared as they are: a row without one finds no span
+    on = [dealt[c].eqNullSafe(spans[c]) if c == "_ks" else dealt[c] == spans[c] for c in by]
+    joined = dealt.join(spans, [*on, dealt["_part"] == spans["_c"]], "left").select(*[dealt[c] for c in dealt.columns], spans["_before"], spans["_start"])
+    return joined, [*by, "_part"]
+
+
+def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = tuple(WINDOWS), buckets: dict[str, int] | None = None, chunk: int | None = None) -> DataFrame:
     """payments (with _milli) and the entity's exact features; with buckets, those of ring buckets.
 
+    chunk: deal rows by key and so many seconds of time, for keys with a large share of all rows.
+
     A payment without key has none of them. A key not seen within IDLE_TTL has
     counts and sums of zero and no mean, ratio or recency.
     """
     df, by = keyed(payments, entity)
+    if chunk:
+        df, by = _chunked(df, by, chunk + (buckets or {}).get("7d", 0))
     rows = W.partitionBy(*by).orderBy("dt", "id")
     before = rows.rowsBetween(W.unboundedPreceding, -1)
     zero = lambda x: F.coalesce(x, F.lit(0))
-    df = _add(df, {"_n": zero(F.count("*").over(before)), "_s": zero(F.sum("_milli").over(before))} | _recency(entity, by))
-    began = F.max(F.when(F.col(f"_gap_{entity}").isNull(), F.col("dt"))).over(rows.rowsBetween(W.unboundedPreceding, 0))
+    last = F.lag("dt").over(rows)
+    gap = F.col("dt") - (F.coalesce(last, F.col("_before")) if chunk else last)
+    df = _add(df, {"_n": zero(F.count("*").over(before)), "_s": zero(F.sum("_milli").over(before)), "_gap": F.when(gap < IDLE_TTL, gap)})
+    began = F.col("_start") if chunk else F.max(F.when(F.col("_gap").isNull(), F.col("dt"))).over(rows.rowsBetween(W.unboundedPreceding, 0))
     df = _add(df, {"_began": began})
     has = F.col("_k0").isNotNull()
     out: dict[str, Column] = {}
@@ -93,14 +120,16 @@ def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = t
         df = df.withColumn(f"{entity}_mean_amount_7d", mean)
         mean = F.col(f"{entity}_mean_amount_7d")
         df = df.withColumn(f"{entity}_amount_ratio_7d", F.when(mean > 0, divide(F.col("amount"), mean)))
-    seen = has & F.col(f"_gap_{entity}").isNotNull()
+    seen = has & F.col("_gap").isNotNull()
     df = _add(df, {
         f"{entity}_seconds_since_first": F.when(seen, (F.col("dt") - F.col("_began")).cast("double")),
-        f"{entity}_seconds_since_last": F.when(seen, F.col(f"_gap_{entity}").cast("double")),
+        f"{entity}_seconds_since_last": F.when(seen, F.col("_gap").cast("double")),
     })
     if entity in SHARED:
         df = _distinct(df, entity, by, None if buckets is None else buckets["24h"])
-    return df.drop(*by, "_n", "_s", "_began", f"_gap_{entity}", *[f"_b_{w}" for w in windows])
+    if chunk:
+        df = df.filter("_own")
+    return df.drop(*by, "_n", "_s", "_began", "_gap", "_own", "_before", "_start", *[f"_b_{w}" for w in windows])
 
 
 def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None) -> DataFrame:
@@ -122,11 +151,14 @@ def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None) ->
     return df.drop("_card", "_enters", "_leaves", "_place")
 
 
-def features(payments: DataFrame, entities: Sequence[str] = ENTITIES, buckets: dict[str, int] | None = None) -> DataFrame:
-    """payments with all velocity features: exact ones, or with buckets those of ring buckets."""
+def features(payments: DataFrame, entities: Sequence[str] = ENTITIES, buckets: dict[str, int] | None = None, chunks: Mapping[str, int] | None = None) -> DataFrame:
+    """payments with all velocity features: exact ones, or with buckets those of ring buckets.
+
+    chunks: chunk lengths in seconds for entities some of whose keys have a large share of all rows.
+    """
     df = payments.withColumn("_milli", milli(F.col("amount")))
     for entity in entities:
-        df = entity_features(df, entity, buckets=buckets)
+        df = entity_features(df, entity, buckets=buckets, chunk=(chunks or {}).get(entity))
     return df.drop("_milli")
 
 

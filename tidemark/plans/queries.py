@@ -112,6 +112,12 @@ def _(spark, sf_dir):
     return velocity.features(payments(spark, sf_dir), buckets=velocity.BUCKETS).select("id", "dt", *FEATURES)
 
 
+@query("velocity_chunked", f"{oracle.velocity(_P1)} SELECT id, dt, {oracle.feature_list()} FROM f")
+def _(spark, sf_dir):
+    week = max(WINDOWS.values())
+    return velocity.features(payments(spark, sf_dir), chunks=dict.fromkeys(ENTITIES, week)).select("id", "dt", *FEATURES)
+
+
 _KEYS_SQL = f"""SELECT id, card1 AS card_key, CASE WHEN card1 IS NOT NULL AND billing_region IS NOT NULL AND d1 IS NOT NULL THEN floor(dt / 86400.0) - d1 END AS uid_begun, device_info AS device_key, purchaser_email_domain AS email_key FROM ({_P1})"""
 
 
