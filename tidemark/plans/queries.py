@@ -495,7 +495,14 @@ def _(spark, sf_dir):
 _LOCKSTEP = [f"email_txn_count_{w}" for w in WINDOWS]
 
 
-@query("partition_control")
+def _control_sql() -> str:
+    parted = f"SELECT * REPLACE (purchaser_email_domain || '/' || CAST(CAST(card1 AS BIGINT) % 5 AS VARCHAR) AS purchaser_email_domain) FROM ({_P1})"
+    pick = lambda source: f"(SELECT id, {', '.join(_LOCKSTEP)} FROM ({oracle.velocity(source, ('email',))} SELECT * FROM f))"
+    differs = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in _LOCKSTEP)
+    return f'SELECT count(*) AS "rows", count(*) FILTER ({differs}) AS wrong_rows FROM {pick(_P1)} a JOIN {pick(parted)} b USING (id)'
+
+
+@query("partition_control", _control_sql())
 def _(spark, sf_dir):
     df = payments(spark, sf_dir)
     parted = df.withColumn("purchaser_email_domain", F.concat("purchaser_email_domain", F.lit("/"), (F.col("card1") % 5).cast("string")))
@@ -635,7 +642,7 @@ def _(spark, sf_dir):
     return compare.parity(log, table, ["amount", "card_txn_count_1h", "device_info"])
 
 
-@query("signatures")
+@query("signatures", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'no_matching_signature' ELSE 'malformed_header' END AS signature_error FROM ({_P1})")
 def _(spark, sf_dir):
     df = payments(spark, sf_dir).select("id", F.lit(1_700_000_000).alias("now"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("payload"))
     header = F.when(F.col("id") % 3 == 0, F.lit("t=1700000000,v1=00")).when(F.col("id") % 3 == 1, F.lit("v1=ab")).otherwise(F.lit("t=1,t=2,v1=a"))
