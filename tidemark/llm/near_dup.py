@@ -1,18 +1,21 @@
 """Near-duplicate documents by HyperMinHash.
 
-Every distinct set of shingles becomes a row of REGISTERS registers: shingles
-are dealt to registers by their hash, and each register keeps its least hash
-in floating-point form, as a leading-zero count and MANTISSA bits. Runs of ROWS
-registers are bands; sets that share a band are candidates, whose similarity
-the registers estimate, corrected for chance collisions, before both full sets
-are compared. Links are closed to components by star contraction.
+Every distinct set of shingles becomes REGISTERS registers: shingles are dealt
+to registers by their hash, and each register keeps its least hash in
+floating-point form, as a leading-zero count and MANTISSA bits. Small sets
+would leave registers empty, so sets are sketched by size: large ones once
+into all registers, smaller ones several times into fewer each; a set near a
+bound is sketched both ways. Runs of ROWS registers are bands; sets that share
+a band are candidates, whose similarity the registers estimate, corrected for
+chance collisions, before both full sets are compared. Links are closed to
+components by star contraction.
 
 Sets that share a band are not paired off. Each is first compared with the
-band's least document; what that leaves in one component needs no more
-comparing. Only bands that still hold several components are gone through in
-blocks, and only pairs across components are compared there, so a group of
-near copies costs a star and none of its pairs, while no link between
-components is lost.
+least of all that it shares bands with, then with the least of each band that
+is still of another component. Only bands that even then hold several
+components are gone through in blocks, and only pairs across components are
+compared there. So a group of near copies costs a star and none of its pairs,
+while no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import map_text, salted_join, scratch_dir, stored, table
+from tidemark.llm.common import hot_join, map_text, scratch_dir, stored, table
 from tidemark.shipping import ship
 
 SHINGLE = 4
@@ -37,6 +40,8 @@ REGISTERS, MANTISSA = 256, 10
 #: Registers in a band: 42 bands of 6 miss a pair at similarity 0.8 with probability 3e-6.
 ROWS = 6
 BANDS = REGISTERS // ROWS
+#: (shingles from which on a set is sketched so, registers of each part).
+STYLES = ((0, 1), (64, 16), (1024, 256))
 #: The estimate may fall short by so many standard deviations before a pair is given up.
 SLACK = 6.0
 #: Sets of a band compared at a time, if it still holds several components.
@@ -70,31 +75,65 @@ def shingles_of(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def registers_of(shingles: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers as 16-bit numbers: 0 if empty, else leading zeros + 1 above the mantissa."""
+def styles_of(n: int) -> list[int]:
+    """The ways (places in STYLES) in which a set of n shingles is sketched.
+
+    Two sets similar enough have sizes within SIMILAR percent, and so a way in common.
+    """
+    return [i for i, (least, _) in enumerate(STYLES) if n * 100 >= least * SIMILAR and (i + 1 == len(STYLES) or n * SIMILAR < STYLES[i + 1][0] * 100)]
+
+
+def registers_of(shingles: np.ndarray, style: int) -> np.ndarray:
+    """HyperMinHash registers as 16-bit numbers: 0 if empty, else leading zeros + 1 above the mantissa.
+
+    The registers are parts of `width` each; every part holds the whole set
+    under a hash of its own, and the top bits of that hash choose the register.
+    """
+    width = STYLES[style][1]
+    parts, bits = REGISTERS // width, width.bit_length() - 1
     low = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    bucket = (shingles >> np.uint64(56)).astype(np.intp)
-    # what is left of the hash is 56 bits, moved up; a set bit below bounds the zeros
-    rest = (shingles << np.uint64(8)) | np.uint64(0x80)
-    np.minimum.at(low, bucket, rest)
     used = np.zeros(REGISTERS, bool)
-    used[bucket] = True
-    # float64 is exact only to 53 bits; the bits that count are the top ones
-    zeros = 63 - np.floor(np.log2((low >> np.uint64(11)).astype(np.float64) + 0.5)).astype(np.int64) - 11
-    zeros = np.clip(zeros, 0, 56)
-    shifted = low << (zeros + 1).astype(np.uint64)
-    mantissa = shifted >> np.uint64(64 - MANTISSA)
-    packed = (((zeros + 1) << MANTISSA).astype(np.uint64) | mantissa).astype(np.uint16)
+    seeds = np.arange(parts, dtype=np.uint64) * _MIX
+    step = max(1, 2_000_000 // parts)
+    for i in range(0, len(shingles), step):
+        hashed = _scramble(shingles[i : i + step][None, :] ^ seeds[:, None])
+        place = np.arange(parts, dtype=np.intp)[:, None] * width
+        if bits:
+            place = place + (hashed >> np.uint64(64 - bits)).astype(np.intp)
+            # the bits that chose the register go; a set bit below bounds the zeros
+            hashed = (hashed << np.uint64(bits)) | np.uint64(1 << (bits - 1))
+            np.minimum.at(low, place.ravel(), hashed.ravel())
+            used[place.ravel()] = True
+        else:
+            np.minimum(low, (hashed | np.uint64(1)).min(axis=1), out=low)
+            used[:] = True
+    # a double is exact to 53 bits, and the bits that count are the top ones
+    zeros = 63 - (np.frexp((low >> np.uint64(11)).astype(np.float64))[1] - 1 + 11)
+    zeros = np.clip(zeros, 0, 53)
+    mantissa = (low << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
+    packed = ((zeros + 1).astype(np.uint64) << np.uint64(MANTISSA)) | mantissa
     return np.where(used, packed, 0).astype(np.uint16)
 
 
-def bands_of(registers: np.ndarray) -> list[int]:
-    """A hash for each band that isn't empty, of its place and registers."""
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The registers of each style, one row each; of styles that don't fit the size they are all empty."""
+    out = np.zeros((len(STYLES), REGISTERS), np.uint16)
+    for style in styles_of(len(shingles)) if len(shingles) else ():
+        out[style] = registers_of(shingles, style)
+    return out
+
+
+def bands_of(sketch: np.ndarray) -> list[int]:
+    """A hash for each band of each style in use, of its registers; its last eight bits are the style and the band's place."""
     out = []
-    for b in range(BANDS):
-        part = registers[b * ROWS : (b + 1) * ROWS]
-        if part.any():
-            out.append(xxhash.xxh3_64_intdigest(bytes([b]) + part.tobytes()) - (1 << 63))
+    for style, registers in enumerate(sketch):
+        if not registers.any():
+            continue
+        rows = registers[: BANDS * ROWS].reshape(BANDS, ROWS)
+        raw, size = rows.tobytes(), rows.itemsize * ROWS
+        for b in np.flatnonzero(rows.any(axis=1)).tolist():
+            h = xxhash.xxh3_64_intdigest(raw[b * size : (b + 1) * size], seed=style * BANDS + b)
+            out.append(((h & ~255) | (style << 6) | b) - (1 << 63))
     return out
 
 
@@ -105,7 +144,7 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """Whether pairs of register rows may be similar enough: estimate plus slack reaches the threshold."""
+    """Whether pairs of register rows of one style may be similar enough: estimate plus slack reaches the threshold."""
     filled = ((a > 0) | (b > 0)).sum(axis=-1)
     same = ((a == b) & (a > 0)).sum(axis=-1)
     estimate = (same - chance(n, m)) / np.maximum(filled, 1)
@@ -115,9 +154,19 @@ def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similar:
     return sizes & (estimate + SLACK * np.sqrt(t * (1 - t) / np.maximum(filled, 1)) >= t)
 
 
+def likely_any(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """likely for pairs of whole sketches (pairs, styles, registers), by any style that both have."""
+    out = np.zeros(len(a), bool)
+    for style in range(len(STYLES)):
+        x, y = a[:, style], b[:, style]
+        both = np.flatnonzero((x > 0).any(axis=1) & (y > 0).any(axis=1))
+        out[both] |= likely(x[both], y[both], n[both], m[both], similar)
+    return out
+
+
 SKETCH = StructType([
     StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("digest", BinaryType()),
-    StructField("registers", BinaryType()), StructField("bands", ArrayType(LongType())),
+    StructField("registers", BinaryType()),
 ])
 SETS = StructType([StructField("doc_id", LongType()), StructField("digest", BinaryType()), StructField("shingles", BinaryType())])
 
@@ -133,15 +182,22 @@ def _sketcher(size: int) -> Callable:
         for text in texts:
             shingles = shingles_of(text, size)
             out["n_shingles"].append(len(shingles))
-            registers = registers_of(shingles) if len(shingles) else None
+            registers = sketch_of(shingles) if len(shingles) else None
             out["digest"].append(_digest(shingles) if len(shingles) else None)
             out["registers"].append(None if registers is None else registers.tobytes())
-            out["bands"].append([] if registers is None else bands_of(registers))
         return out
 
     return sketch
 
 
+BANDED = StructType([StructField("node", LongType()), StructField("band", LongType())])
+
+
+def _banded(nodes: list, registers: list) -> dict[str, list]:
+    bands = [bands_of(np.frombuffer(x, np.uint16).reshape(len(STYLES), -1)) for x in registers]
+    return {"node": [n for n, b in zip(nodes, bands, strict=True) for _ in b], "band": [x for b in bands for x in b]}
+
+
 def _setter(size: int) -> Callable:
     def full(ids: list, texts: list) -> dict[str, list]:
         sets = [shingles_of(t, size) for t in texts]
@@ -153,34 +209,44 @@ def _setter(size: int) -> Callable:
 PAIR = "a bigint, b bigint"
 
 
+def _both_sides(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
+    """pairs with side("a") and side("b"). b is one of many; a may be the least of a large group."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    return hot_join(pairs.join(side("b"), "b"), side("a").join(counts, "a", "left_semi"), "a", by="b", salts=SALTS, counts=counts)
+
+
 def _estimated(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) that their registers don't rule out."""
     narrow = sets.select("node", "n_shingles", "registers")
     side = lambda c: narrow.select(F.col("node").alias(c), F.struct("n_shingles", "registers").alias(f"s{c}"))
-    # b is a document of many; a may be the least of a large group
-    joined = salted_join(pairs.join(side("b"), "b"), side("a").join(pairs.select("a").distinct(), "a", "left_semi"), ["a"], by="b", salts=SALTS)
+    joined = _both_sides(pairs, side)
     flat = joined.select("a", "b", F.col("sa.n_shingles").alias("n"), F.col("sb.n_shingles").alias("m"), F.col("sa.registers").alias("x"), F.col("sb.registers").alias("y"))
 
     def keep(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
             if block.num_rows:
-                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in block.column(i)]) for i in (4, 5))
-                good = likely(x, y, block.column(2).to_numpy(), block.column(3).to_numpy(), similar)
+                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in block.column(i)]).reshape(block.num_rows, len(STYLES), -1) for i in (4, 5))
+                good = likely_any(x, y, block.column(2).to_numpy(), block.column(3).to_numpy(), similar)
                 yield block.select(["a", "b"]).filter(pa.array(good))
 
     return flat.mapInArrow(keep, PAIR)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the sets are made again from the texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = sets.select("node", "digest").join(ends, "node", "left_semi")
+def _full_sets(nodes: DataFrame, docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of these nodes, made again from their texts."""
+    wanted = sets.select("node", "digest").join(nodes.distinct(), "node", "left_semi")
     texts = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     made = map_text(texts, _setter(size), ["doc_id", "text"], SETS)
     # an id may stand for several texts; the node's is the one with its digest
-    full = made.join(wanted.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "shingles")
+    full = made.join(wanted.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    return full.select(F.col("doc_id").alias("node"), "shingles")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, similar: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, sets, size)
     side = lambda c: full.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
-    joined = salted_join(pairs.join(side("b"), "b"), side("a").join(pairs.select("a").distinct(), "a", "left_semi"), ["a"], by="b", salts=SALTS)
+    joined = _both_sides(pairs, side)
 
     def keep(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
@@ -191,7 +257,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, sim
                 good.append(100 * both >= similar * (len(x) + len(y) - both))
             yield block.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(keep, PAIR)
+    return joined.select("a", "b", "sa", "sb").mapInArrow(keep, PAIR).distinct()
 
 
 def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
@@ -203,15 +269,17 @@ def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
     """
     step, before = 0, None
     edges = stored(links.distinct(), folder, f"{name}0")
+    if edges.isEmpty():
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = salted_join(both.filter("b > a"), least, ["a"], salts=SALTS).select(F.col("m").alias("a"), "b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.filter("b > a"), least.select("a", "m"), "a", by="b", salts=SALTS, counts=least.select("a", "n")).select(F.col("m").alias("a"), "b")
         large = large.filter("a < b").distinct()
         # small star: a node's smaller neighbours, and itself, move to the least of them
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        small = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = salted_join(down, small, ["u"], salts=SALTS).filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        small = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = hot_join(down, small.select("u", "m"), "u", by="v", salts=SALTS, counts=small.select("u", "n")).filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         step += 1
         edges = stored(moved.union(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct(), folder, f"{name}{step}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -220,34 +288,83 @@ def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
         before = now
 
 
-def _across(members: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) of different components within each band, as far as registers allow.
-
-    members: band, n (its sets), node, component, n_shingles, registers. A
-    band's sets are dealt to blocks of about BLOCK; each pair of blocks is one
-    group of at most about twice that, whatever the band's size.
+def merged(found: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """found (node, component) after more links (a, b): components are contracted over the links between them."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    placed = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    upper = components(placed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"), folder, name)
+    to = upper.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    moved = hot_join(found, to, "component", by="node", how="left", salts=SALTS, counts=sizes).select("node", F.coalesce("_to", "component").alias("component"))
+    return stored(moved.unionByName(upper), folder, f"{name}_all")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends found has not put into one component."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    placed = hot_join(pairs.join(of("b"), "b", "left"), of("a"), "a", by="b", how="left", salts=SALTS, counts=counts)
+    return placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _across(members: DataFrame, docs: DataFrame, sets: DataFrame, size: int, similar: int) -> DataFrame:
+    """Links (a, b) between components within each band: all components that a link of the band joins are joined.
+
+    members: band, n (its sets), q (those outside its largest component),
+    asks (whether the set is one of those), node, component, n_shingles,
+    registers. Sets that ask are compared with all of the band's, in blocks of
+    about BLOCK times BLOCK, so a band costs its size times what lies outside
+    its largest component, and no group of rows grows with it. A pair is
+    looked at only in the first band that it shares. Registers come first; the
+    full sets of those that they don't rule out are then compared in the same
+    blocks, and a set that asks returns one link for each component at most.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int")
-    dealt = members.withColumn("_blocks", blocks).withColumn("_own", own)
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("band", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "_own", "node", "component", "n_shingles", "registers")
+    own = lambda blocks, seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks).cast("int")
+    askers, asked = F.ceil(F.col("q") / BLOCK).cast("bigint"), F.ceil(F.col("n") / BLOCK).cast("bigint")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
+    columns = ["node", "component", "n_shingles", "registers"]
+    ask = members.filter("asks").withColumn("_y", each(asked)).select("band", own(askers, 1).alias("_x"), "_y", F.lit(True).alias("_asks"), *columns)
+    answer = members.withColumn("_x", each(askers)).select("band", "_x", own(asked, 2).alias("_y"), F.lit(False).alias("_asks"), *columns)
+    place = "band bigint, _x int, _y int"
 
     def compare(block: pa.Table) -> pa.Table:
-        node, comp, n, own = (block.column(c).to_numpy() for c in ("node", "component", "n_shingles", "_own"))
-        rows = np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in block.column("registers")])
-        x, y = block.column("_x")[0].as_py(), block.column("_y")[0].as_py()
-        first, second = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        found: list[np.ndarray] = []
-        for i in first:
-            with_ = second[(comp[second] != comp[i]) & ((node[second] > node[i]) | (x != y))]
+        comp, n, asks = (block.column(c).to_numpy() for c in ("component", "n_shingles", "_asks"))
+        code = block.column("band")[0].as_py() & 255
+        style, band = code >> 6, code & 63
+        rows = np.stack([np.frombuffer(v.as_buffer(), np.uint16).reshape(len(STYLES), -1)[style] for v in block.column("registers")])
+        others, part = np.flatnonzero(~asks), np.zeros(len(rows), bool)
+        for i in np.flatnonzero(asks):
+            with_ = others[comp[others] != comp[i]]
+            if len(with_) and band:
+                earlier = slice(0, band * ROWS)
+                same = (rows[with_, earlier] == rows[i, earlier]).reshape(len(with_), band, ROWS).all(axis=2)
+                with_ = with_[~(same & rows[i, earlier].reshape(band, ROWS).any(axis=1)).any(axis=1)]
             if len(with_):
-                good = with_[likely(rows[with_], rows[i], n[with_], np.full(len(with_), n[i]), similar)]
-                found += [np.stack([np.full(len(good), node[i]), node[good]], axis=1)]
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pairs.min(axis=1) if len(pairs) else pairs[:, 0], "b": pairs.max(axis=1) if len(pairs) else pairs[:, 1]})
-
-    return dealt.groupBy("band", "_x", "_y").applyInArrow(compare, PAIR).distinct()
+                with_ = with_[likely(rows[with_], rows[i], n[with_], np.full(len(with_), n[i]), similar)]
+                part[with_] = True
+                part[i] |= bool(len(with_))
+        return block.select(["band", "_x", "_y", "_asks", "node", "component"]).filter(pa.array(part))
+
+    def confirm(block: pa.Table) -> pa.Table:
+        node, comp, asks = (block.column(c).to_numpy() for c in ("node", "component", "_asks"))
+        full = [np.frombuffer(v.as_buffer(), np.uint64) for v in block.column("shingles")]
+        others = np.flatnonzero(~asks)
+        sizes = np.array([len(full[j]) for j in others], np.int64)
+        found: set[tuple[int, int]] = set()
+        if len(others):
+            all_, starts = np.concatenate([full[j] for j in others]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            for i in np.flatnonzero(asks):
+                at = np.searchsorted(full[i], all_)
+                both = np.add.reduceat((full[i][np.minimum(at, len(full[i]) - 1)] == all_).astype(np.int64), starts)
+                good = others[(100 * both >= similar * (sizes + len(full[i]) - both)) & (comp[others] != comp[i])]
+                _, first = np.unique(comp[good], return_index=True)
+                found |= {(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in good[first]}
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    maybe = ask.unionByName(answer).groupBy("band", "_x", "_y").applyInArrow(compare, f"{place}, _asks boolean, node bigint, component bigint")
+    maybe = stored(maybe, scratch_dir(members.sparkSession), "maybe")
+    with_sets = maybe.join(_full_sets(maybe.select("node"), docs, sets, size), "node")
+    return with_sets.groupBy("band", "_x", "_y").applyInArrow(confirm, PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
@@ -261,43 +378,74 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
     different texts, each row has the class of its own text. Other columns are
     ignored; no rows give none.
     """
+    return _classes(docs, size, similar).drop("_text")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the least doc_id.
+
+    Of rows that repeat an id and text one stays. Rows without doc_id or
+    without words all stay. Columns stay as they are.
+    """
+    classes = stored(_classes(docs, size, similar), scratch_dir(docs.sparkSession), "classes")
+    marked = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_text", F.xxhash64("text"))
+    gone = classes.filter("NOT kept").select(F.col("doc_id").alias("_id"), "_text").distinct()
+    out = marked.join(gone, ["_id", "_text"], "left_anti")
+    again = classes.filter("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "_text").count().filter("count > 1").select(F.col("doc_id").alias("_id"), "_text")
+    if not again.isEmpty():
+        twice = out.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+        out = out.join(again, ["_id", "_text"], "left_anti").unionByName(twice)
+    return out.select(*docs.columns)
+
+
+def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
+    """What near_duplicates returns, and _text, a hash of each row's text."""
     spark = docs.sparkSession
     ship(spark)
     folder = scratch_dir(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = stored(map_text(docs, _sketcher(size), ["doc_id", "text"], SKETCH), folder, "sketches")
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    sketches = stored(map_text(marked, _sketcher(size), ["doc_id", "text"], SKETCH, carry=True).drop("text"), folder, "sketches")
     usable = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     # one node for each distinct set, named by its least document
     groups = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")), folder, "groups")
     # a row of each group: its least document's
-    leads = usable.join(groups.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"])
+    leads = usable.drop("_text").join(groups.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
     sets = stored(leads.withColumnRenamed("doc_id", "node"), folder, "sets")
-    banded = sets.select("node", F.explode("bands").alias("band"))
+    banded = map_text(sets, _banded, ["node", "registers"], BANDED, text="registers")
     bands = stored(banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1"), folder, "bands")
     wide = bands.filter("n > 2").select("band", "lead", "n")
-    members = stored(salted_join(banded, wide, ["band"], by="node", salts=SALTS), folder, "members")
+    members = stored(hot_join(banded, wide, "band", by="node", salts=SALTS, counts=wide.select("band", "n")), folder, "members")
     star = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    pairs = bands.filter("n = 2 AND lead < last").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(star).distinct()
-    likely_ = stored(_estimated(pairs, sets, similar), folder, "likely")
-    links = stored(_verified(likely_, docs, sets, size, similar), folder, "links")
-    found = components(links, folder)
+    pairs = stored(bands.filter("n = 2 AND lead < last").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(star).distinct(), folder, "pairs")
+
+    def confirmed(candidates: DataFrame, name: str) -> DataFrame:
+        kept = stored(_estimated(candidates, sets, similar), folder, f"likely_{name}")
+        return stored(_verified(kept, docs, sets, size, similar), folder, f"links_{name}")
+
+    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), folder, "first")
+    found = stored(components(confirmed(first, "first"), folder), folder, "found")
+    others = stored(_apart(pairs.join(first, ["a", "b"], "left_anti"), found), folder, "others")
+    found = merged(found, confirmed(others, "others"), folder, "stars")
 
     # bands that stars have not brought into one component
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("band")
-    rest = salted_join(placed, open_, ["band"], by="node", salts=SALTS).join(sets.select("node", "n_shingles", "registers"), "node")
-    across = stored(_across(rest, similar), folder, "across")
-    # what the stars tried already was linked or is none
-    more = _verified(across.join(likely_, ["a", "b"], "left_anti"), docs, sets, size, similar)
-    more = stored(more, folder, "more")
+    shares = placed.groupBy("band", "component").agg(F.count("*").alias("_m"))
+    open_ = shares.groupBy("band").agg(F.max_by("component", F.struct("_m", -F.col("component"))).alias("_largest"), F.max("_m").alias("_most"), F.sum("_m").alias("n"))
+    open_ = stored(open_.filter("n > _most").withColumn("q", F.col("n") - F.col("_most")), folder, "open")
+    rest = hot_join(placed.drop("n"), open_, "band", by="node", salts=SALTS, counts=open_.select("band", "n"))
+    rest = rest.withColumn("asks", F.col("component") != F.col("_largest")).join(sets.select("node", "n_shingles", "registers"), "node")
+    more = stored(_across(rest, docs, sets, size, similar), folder, "more")
     if not more.isEmpty():
-        found = components(links.union(more), folder, "again")
+        found = merged(found, more, folder, "rest")
 
-    named = groups.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("_component"), "n_rows")
-    rows = sketches.select("doc_id", "n_shingles", "digest")
-    joined = salted_join(rows.withColumn("digest", F.coalesce("digest", F.lit(b""))), named.drop("n_rows"), ["digest"], how="left", by="doc_id", salts=SALTS)
+    named = groups.join(found, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("_component"), "n_rows")
+    rows = sketches.select("doc_id", "_text", "n_shingles", "digest")
+    # rows that are the only one of their set, and have no link, need no look-up
+    other = named.filter("n_rows > 1 OR _component <> node").select("digest", "_component")
+    joined = hot_join(rows.withColumn("digest", F.coalesce("digest", F.lit(bytearray()))), other, "digest", by="doc_id", how="left", salts=SALTS, counts=groups.select("digest", F.col("n_rows").alias("n")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return joined.select("doc_id", "_text", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
