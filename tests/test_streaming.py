@@ -77,6 +77,16 @@ def test_stream_gives_what_a_batch_gives_after_a_restart(spark, tmp_path):
     finish(st.start(st.live_features(stream(spark, folder), "5 days"), out, check, keep))
     same(spark, out, rows)
     assert spark.read.json(out).filter("late").count() == 0
+    assert st.state_summary(spark, check).count() and not st.state_summary(spark, check).filter("keys < 1").count()
+
+
+def test_replayed_files_give_the_batch_too(spark, tmp_path):
+    rows = rows_of(30, 3)
+    st.replay(frame(spark, rows), str(tmp_path / "in"), 3)
+    feed(tmp_path, [[heartbeat(rows[-1][1] + 86_400)], [heartbeat(rows[-1][1] + 86_401)]])
+    out = str(tmp_path / "out")
+    finish(st.start(st.live_features(spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.json").json(str(tmp_path / "in")), "10 seconds"), out, str(tmp_path / "check"), lambda df: df.select("id", "late", *FEATURE)))
+    same(spark, out, rows)
 
 
 def test_history_takes_late_rows_at_its_latest_time():

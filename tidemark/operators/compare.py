@@ -80,3 +80,10 @@ def order_control(exact: DataFrame, parted: DataFrame, columns: Sequence[str]) -
     """(rows, wrong_rows): how many rows differ in any of the columns, as when each partition only sees its own cards."""
     j = exact.select("id", F.struct(*columns).alias("a")).join(parted.select("id", F.struct(*columns).alias("b")), "id")
     return j.agg(F.count("*").alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("wrong_rows"))
+
+
+def covered(rows: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the columns of predictions; a row without prediction fails the job."""
+    joined = rows.join(predictions.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))).cast(rows.schema[key].dataType)
+    return joined.withColumn(key, F.when(F.col("_there"), F.col(key)).otherwise(missing)).drop("_there")

@@ -142,7 +142,7 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Decision records of JSON lines. A last line without its end is left out; any other bad line fails the job."""
     lines = spark.read.text(path, wholetext=False)
     parsed = F.from_json("value", DECISION, {"mode": "PERMISSIVE"})
-    df = lines.select("value", parsed.alias("d"), F.try_parse_json("value").isNull().alias("_bad"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    df = lines.select("value", parsed.alias("d"), F.try_parse_json("value").isNull().alias("_bad"))
     torn = df.withColumn("_torn", F.col("_bad") & ~F.rtrim("value").endswith("}"))
     wrong = F.raise_error(F.concat(F.lit("not a decision: "), F.substring("value", 1, 80))).cast("boolean")
     return torn.filter(~F.col("_torn") & F.when(F.col("_bad"), wrong).otherwise(True)).select("d.*")

@@ -247,3 +247,29 @@ def kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True) ->
 def configure(spark: SparkSession) -> None:
     """Settings that stateful processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def state_summary(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(operator, partition, keys) of a stopped query's state, read from its checkpoint."""
+    parts = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorProperties").distinct().collect()
+    out = None
+    for p in parts:
+        name = "history" if '"history"' in p.operatorProperties else "parts"
+        one = spark.read.format("statestore").option("operatorId", p.operatorId).option("stateVarName", name).load(checkpoint)
+        counted = one.groupBy("partition_id").agg(F.count("*").alias("keys")).select(F.lit(p.operatorId).alias("operator"), F.col("partition_id").alias("partition"), "keys")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def replay(payments: DataFrame, path: str, batches: int, beats: bool = True) -> None:
+    """Payments as JSON files in order of time, one per batch, for a file source; each ends with a heartbeat if beats."""
+    low, high = payments.agg(F.min("dt"), F.max("dt")).first()
+    if low is None:
+        return
+    step = (high - low) // batches + 1
+    for b in range(batches):
+        part = payments.filter((F.col("dt") >= low + b * step) & (F.col("dt") < low + (b + 1) * step))
+        if beats:
+            beat = payments.sparkSession.createDataFrame([(low + (b + 1) * step - 1,)], "dt bigint")
+            part = part.unionByName(beat, allowMissingColumns=True)
+        part.orderBy("dt", "id").coalesce(1).write.mode("append").json(path)
