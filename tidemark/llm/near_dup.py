@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -47,6 +48,7 @@ SLACK = 6.0
 #: Sets of a band compared at a time, if it still holds several components.
 BLOCK = 128
 SALTS = 16
+FEW_LINKS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,7 +214,8 @@ PAIR = "a bigint, b bigint"
 def _both_sides(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
     """pairs with side("a") and side("b"). b is one of many; a may be the least of a large group."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    return hot_join(pairs.join(side("b"), "b"), side("a").join(counts, "a", "left_semi"), "a", by="b", salts=SALTS, counts=counts)
+    # what goes along with a pair may be large, so few is fewer here
+    return hot_join(pairs.join(side("b"), "b"), side("a").join(counts, "a", "left_semi"), "a", by="b", salts=SALTS, counts=counts, n=pairs.count(), few=20_000)
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -265,7 +268,8 @@ def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
 
     links: a < b. Large-star and small-star contraction by turns; every step
     is written to the scratch folder. Each node's least neighbour comes from a
-    partial aggregate and is joined back with salts, so hubs are spread out.
+    partial aggregate and is joined back with salts, so hubs are spread out,
+    but for FEW_LINKS links or less, where a window does both.
     """
     step, before = 0, None
     edges = stored(links.distinct(), folder, f"{name}0")
@@ -273,15 +277,22 @@ def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both.filter("b > a"), least.select("a", "m"), "a", by="b", salts=SALTS, counts=least.select("a", "n")).select(F.col("m").alias("a"), "b")
-        large = large.filter("a < b").distinct()
-        # small star: a node's smaller neighbours, and itself, move to the least of them
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        small = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        moved = hot_join(down, small.select("u", "m"), "u", by="v", salts=SALTS, counts=small.select("u", "n")).filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        least = lambda by, of: F.min(of).over(W.partitionBy(by))
+        if (before or (edges.count(),))[0] <= FEW_LINKS:
+            # so few that one hub may have them all in one task
+            large = both.withColumn("m", F.least(least("a", "b"), "a")).filter("b > a AND m < b").select(F.col("b").alias("u"), F.col("m").alias("v"))
+            down = large.withColumn("m", least("u", "v"))
+            moved = down.select("m", F.explode(F.array("v", "u")).alias("x")).filter("x > m").select(F.col("m").alias("a"), F.col("x").alias("b"))
+        else:
+            lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+            large = hot_join(both.filter("b > a"), lows.select("a", "m"), "a", by="b", salts=SALTS, counts=lows.select("a", "n"))
+            # small star: a node's smaller neighbours, and itself, move to the least of them
+            down = large.filter("m < b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+            small = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            moved = hot_join(down, small.select("u", "m"), "u", by="v", salts=SALTS, counts=small.select("u", "n")).filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+            moved = moved.union(small.select(F.col("m").alias("a"), F.col("u").alias("b")))
         step += 1
-        edges = stored(moved.union(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct(), folder, f"{name}{step}")
+        edges = stored(moved.distinct(), folder, f"{name}{step}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
@@ -295,15 +306,15 @@ def merged(found: DataFrame, links: DataFrame, folder: str, name: str) -> DataFr
     upper = components(placed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"), folder, name)
     to = upper.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-    moved = hot_join(found, to, "component", by="node", how="left", salts=SALTS, counts=sizes).select("node", F.coalesce("_to", "component").alias("component"))
+    moved = hot_join(found, to, "component", by="node", how="left", salts=SALTS, counts=sizes, n=found.count()).select("node", F.coalesce("_to", "component").alias("component"))
     return stored(moved.unionByName(upper), folder, f"{name}_all")
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends found has not put into one component."""
+def _apart(pairs: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b), of n at most, whose ends found has not put into one component."""
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    placed = hot_join(pairs.join(of("b"), "b", "left"), of("a"), "a", by="b", how="left", salts=SALTS, counts=counts)
+    placed = hot_join(pairs.join(of("b"), "b", "left"), of("a"), "a", by="b", how="left", salts=SALTS, counts=counts, n=n)
     return placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
@@ -425,7 +436,7 @@ def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
 
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), folder, "first")
     found = stored(components(confirmed(first, "first"), folder), folder, "found")
-    others = stored(_apart(pairs.join(first, ["a", "b"], "left_anti"), found), folder, "others")
+    others = stored(_apart(pairs.join(first, ["a", "b"], "left_anti"), found, pairs.count()), folder, "others")
     found = merged(found, confirmed(others, "others"), folder, "stars")
 
     # bands that stars have not brought into one component
@@ -433,7 +444,7 @@ def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("_m"))
     open_ = shares.groupBy("band").agg(F.max_by("component", F.struct("_m", -F.col("component"))).alias("_largest"), F.max("_m").alias("_most"), F.sum("_m").alias("n"))
     open_ = stored(open_.filter("n > _most").withColumn("q", F.col("n") - F.col("_most")), folder, "open")
-    rest = hot_join(placed.drop("n"), open_, "band", by="node", salts=SALTS, counts=open_.select("band", "n"))
+    rest = hot_join(placed.drop("n"), open_, "band", by="node", salts=SALTS, counts=open_.select("band", "n"), n=members.count())
     rest = rest.withColumn("asks", F.col("component") != F.col("_largest")).join(sets.select("node", "n_shingles", "registers"), "node")
     more = stored(_across(rest, docs, sets, size, similar), folder, "more")
     if not more.isEmpty():
@@ -443,7 +454,7 @@ def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
     rows = sketches.select("doc_id", "_text", "n_shingles", "digest")
     # rows that are the only one of their set, and have no link, need no look-up
     other = named.filter("n_rows > 1 OR _component <> node").select("digest", "_component")
-    joined = hot_join(rows.withColumn("digest", F.coalesce("digest", F.lit(bytearray()))), other, "digest", by="doc_id", how="left", salts=SALTS, counts=groups.select("digest", F.col("n_rows").alias("n")))
+    joined = hot_join(rows.withColumn("digest", F.coalesce("digest", F.lit(bytearray()))), other, "digest", by="doc_id", how="left", salts=SALTS, counts=groups.select("digest", F.col("n_rows").alias("n")), n=sketches.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return joined.select("doc_id", "_text", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
