@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import map_text, table
+from tidemark.llm.common import kept, map_text, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of known ids that a process keeps in each of two generations.
@@ -161,17 +161,16 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-_loaded: dict[str | None, ByteBpe] = {}
-
-
 def load(path: str | None) -> ByteBpe:
     """The tokenizer of a process, kept between its tasks."""
-    if path not in _loaded:
+
+    def read() -> ByteBpe:
         import public_tokenizers
 
         with open(path or public_tokenizers.path(RANKS), "rb") as file:
-            _loaded[path] = ByteBpe(read_ranks(file), public_tokenizers.PATTERN)
-    return _loaded[path]
+            return ByteBpe(read_ranks(file), public_tokenizers.PATTERN)
+
+    return kept(("byte_bpe", path), read)
 
 
 ENCODED = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
@@ -204,6 +203,17 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return map_text(encoded, _decode, ENCODED.names, DECODED, text="ids", make=lambda: load(path), carry=True)
 
 
+def _both(bpe: ByteBpe, doc_ids: list, texts: list) -> dict[str, list]:
+    out = _encode(bpe, doc_ids, texts)
+    return _decode(bpe, out["doc_id"], out["n_tokens"], out["ids"])
+
+
+def round_trip(docs: DataFrame, path: str | None = None, carry: bool = False) -> DataFrame:
+    """decode(encode(docs)) by one tokenizer in one process per task."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return map_text(docs, _both, ["doc_id", "text"], DECODED, make=lambda: load(path), carry=carry)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = round_trip(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -16,7 +16,7 @@ from tidemark.shipping import ship
 
 #: Rows are handed to Python code in slices of about this many characters, so
 #: that a batch of very long texts never has to be decoded at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 #: What separates words in the contracts on white space (as Java and RE2 class).
 SPACES = " \t\n\x0b\f\r"
@@ -57,6 +57,17 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """make(), kept in this process for its later tasks until something else is kept: one large tool at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def map_text(
     df: DataFrame,
     function: Callable[..., dict[str, list]],
@@ -76,10 +87,10 @@ def map_text(
     function must then return a value for each row.
     """
     ship(df.sparkSession)
-    kept = [f for f in df.schema if carry and f.name not in schema.names]
-    schema = StructType([*kept, *schema])
+    carried = [f for f in df.schema if carry and f.name not in schema.names]
+    schema = StructType([*carried, *schema])
     out = to_arrow_schema(schema)
-    made_fields = [out.field(i) for i in range(len(kept), len(out))]
+    made_fields = [out.field(i) for i in range(len(carried), len(out))]
     first = len(columns)
     where = list(columns).index(text) if text in columns else None
 
@@ -91,11 +102,11 @@ def map_text(
                 end = n if where is None else _slice_end(block.column(where), begin, n)
                 lists = [block.column(i).slice(begin, end - begin).to_pylist() for i in range(len(columns))]
                 made = function(*tool, *lists)
-                beside = [block.column(first + i).slice(begin, end - begin).cast(out.field(i).type) for i in range(len(kept))]
+                beside = [block.column(first + i).slice(begin, end - begin).cast(out.field(i).type) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*beside, *(pa.array(made[f.name], f.type) for f in made_fields)], schema=out)
                 begin = end
 
-    return df.select(*columns, *(df[f.name].alias(f"_kept{i}") for i, f in enumerate(kept))).mapInArrow(batches, schema)
+    return df.select(*columns, *(df[f.name].alias(f"_kept{i}") for i, f in enumerate(carried))).mapInArrow(batches, schema)
 
 
 def _slice_end(column: pa.Array, begin: int, n: int) -> int:
@@ -108,6 +119,20 @@ def _slice_end(column: pa.Array, begin: int, n: int) -> int:
     return n
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int, n: int | None = None) -> DataFrame:
+    """At most `rows` rows of df, those with the least hashes of key; equal keys stay or go by the order of all columns.
+
+    A large table is first thinned to hashes that some four times as many rows
+    have, so what its tasks send grows with `rows` and not with their number.
+    n: about how many rows df has; counted if not given.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    n = df.count() if n is None else n
+    if n > 8 * rows:
+        df = df.filter(place < F.lit(int(4 * rows / n * (1 << 40))))
+    return df.withColumn("_place", place).orderBy("_place", *df.columns).limit(rows).drop("_place")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16, by: str | None = None) -> DataFrame:
     """Equi-join of a large, perhaps skewed left side with a right side that is unique on keys.
 
@@ -126,12 +151,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 HOT_KEYS, HOT_ROWS = 1_000, 1_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16, counts: DataFrame | None = None) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16, counts: DataFrame | None = None, n: int | None = None, few: int = 1_000_000) -> DataFrame:
     """Equi-join on key of a left side that may be skewed, as salted_join, but salting hot keys only.
 
+    n: how many rows left has, if known; of `few` or less even one key may have
+    all of them in one task, and the join is a plain one.
+
     counts has (key, n) for left, and is made from it if not given. The hot
     keys, HOT_KEYS at most, are broadcast; only their right rows are repeated.
     """
+    if n is not None and n <= few:
+        return left.join(right, key, how)
     counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
     hot = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.col("n").desc(), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
     drawn = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)

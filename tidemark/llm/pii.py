@@ -10,7 +10,6 @@ over the whole text is decoded from them.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import map_text, table
+from tidemark.llm.common import hashed_sample, map_text, table
 
 #: Kinds in the order in which the contract lists them; the method adds the last.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -523,10 +522,9 @@ def _find(tagger: Tagger, ids: list, texts: list) -> dict[str, list]:
 
 def sample_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[str]:
     """Stretches of `chars` letters of at most `rows` texts, drawn and placed by a hash of the id."""
-    drawn = F.xxhash64("doc_id")
-    at = F.pmod(drawn, F.greatest(F.length("text") - chars, F.lit(1)).cast("bigint")).cast("int") + 1
-    picked = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(drawn.alias("h"), "doc_id", F.substring(F.col("text"), at, F.lit(chars)).alias("text"))
-    return [r.text for r in picked.orderBy("h", "doc_id", "text").limit(rows).collect()]
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1)).cast("bigint")).cast("int") + 1
+    picked = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.substring(F.col("text"), at, F.lit(chars)).alias("text"))
+    return [r.text for r in hashed_sample(picked, "doc_id", rows, docs.select("doc_id").count()).collect()]
 
 
 def find_personal_data(docs: DataFrame, tagger: Tagger) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import map_text, table
+from tidemark.llm.common import kept, map_text, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -199,12 +199,10 @@ def count_text(text: str, counts: Counts, block: int = BLOCK) -> int:
     return scan(maps, counts).total(counts)
 
 
-_loaded: dict[str, Counts] = {}
-
-
 def load(path: str | None) -> Counts:
     """The counts of a process, kept between its tasks."""
-    if path not in _loaded:
+
+    def compiled() -> Counts:
         import public_tokenizers
         import sentencepiece
 
@@ -213,8 +211,9 @@ def load(path: str | None) -> Counts:
         scores = {model.id_to_piece(i): model.get_score(i) for i in usual}
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece spans words; words can't be counted one by one")
-        _loaded[path] = Counts(Transducer(scores))
-    return _loaded[path]
+        return Counts(Transducer(scores))
+
+    return kept(("token_count", path), compiled)
 
 
 RESULT = StructType([StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])

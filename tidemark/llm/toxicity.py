@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import map_text, table
+from tidemark.llm.common import hashed_sample, map_text, table
 
 #: Look-alike letters (fixed values): what they are read as.
 HOMOGLYPHS = {
@@ -42,7 +42,7 @@ MAX_ENTRIES = 2_000
 #: A beginning of a word has this many letters.
 SHORTEST, LONGEST = 4, 10
 #: An entry stands in this share of the toxic texts of the sample, in so many at least, and so seldom in others.
-SUPPORT, LEAST, PURITY = 0.012, 3, 0.9
+SUPPORT, LEAST, PURITY = 0.012, 6, 0.9
 #: The weights' sum is divided by (1 + letters / NORM) to this power.
 NORM, POWER = 4_000, 0.5
 THRESHOLD = 0.7
@@ -125,7 +125,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     # Spark's crc32 is the one of zlib
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     usable = usable.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    drawn = hashed_sample(usable, "doc_id", rows)
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
     return texts.groupBy(F.xxhash64("text").alias("_text")).agg(F.max(F.struct("toxic", "text")).alias("x")).select("x.text", "x.toxic")
 
