@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text's bytes."""
-    done = byte_bpe.decode(byte_bpe.encode(docs, carry=True))
+    done = byte_bpe.round_trip(docs, carry=True)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return done.select("doc_id", "source", "lang", "n_tokens", "ids", same.alias("round_trip"))
 
