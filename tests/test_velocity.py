@@ -129,6 +129,26 @@ def test_probes_do_not_count(spark):
         check(got.filter(F.col("id") == p[0]), {p[0]: {k: v for k, v in want.items() if not k.startswith("distinct")}})
 
 
+@pytest.mark.parametrize("seed", [4, 31])
+def test_probes_have_distinct_cards(spark, seed):
+    rows = history(160, seed)
+    probes, past = rows[:25], rows[25:]
+    df = lambda x: frame(spark, x).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
+    got = velocity.as_of(df(past), df(probes)).drop("is_fraud").collect()
+    assert len(got) == len(probes) and set(FEATURES) <= set(got[0].asDict())
+    want = {p[0]: brute([*past, p])[p[0]] for p in probes}
+    assert any(w["distinct_cards_per_device_24h"] for w in want.values())
+    for r in got:
+        assert {c: r[c] for c in FEATURES if c.startswith("distinct")} == {c: v for c, v in want[r.id].items() if c.startswith("distinct")}
+    check(velocity.as_of(df(past), df(probes)), want)
+
+
+def test_payments_probed_against_themselves(spark):
+    rows = history(200, 12)
+    df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
+    check(velocity.as_of(df, df), brute(rows))
+
+
 def test_sketches_never_fall_short(spark):
     rows = history(200, 9)
     df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))

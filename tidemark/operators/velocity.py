@@ -32,6 +32,8 @@ from tidemark.functions.values import divide, milli, number
 BUCKETS = {"1h": 60, "24h": 900, "7d": 3_600}
 #: Rows without a key are nobody's history; they are spread over so many groups.
 KEYLESS_GROUPS = 1_024
+#: Rows in time, a probe (whose _real is 0) before a payment at its own place.
+_PROBE_ORDER = ("dt", "id", "_real")
 
 
 def _finite(x: Column) -> Column:
@@ -132,19 +134,24 @@ def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = t
     return df.drop(*by, "_n", "_s", "_began", "_gap", "_own", "_before", "_start", *[f"_b_{w}" for w in windows])
 
 
-def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None) -> DataFrame:
-    """Distinct cards of the last day: entries into the window before this row less exits up to its far end."""
+def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None, probes: bool = False) -> DataFrame:
+    """Distinct cards of the last day: entries into the window before this row less exits up to its far end.
+
+    probes: rows with _real 0 are probes, which neither enter nor leave.
+    """
     place, length = ("dt", DAY) if bucket is None else ("_place", DAY // bucket + 1)
     if bucket is not None:
         df = df.withColumn("_place", F.floor(F.col("dt") / bucket).cast("bigint"))
     df = df.withColumn("_card", _finite(F.col("card1")))
     # an exchange on the key serves groups of key and card too
-    same = W.partitionBy(*by, "_card").orderBy("dt", "id")
+    same = W.partitionBy(*by, "_card", *(["_real"] if probes else [])).orderBy("dt", "id")
     last, following = F.lag(place).over(same), F.lead(place).over(same)
-    enters = F.col("_card").isNotNull() & (last.isNull() | (F.col(place) - last >= length))
-    leaves = F.col("_card").isNotNull() & (following.isNull() | (following - F.col(place) >= length))
+    counts = F.col("_card").isNotNull() & (F.col("_real") == 1) if probes else F.col("_card").isNotNull()
+    enters = counts & (last.isNull() | (F.col(place) - last >= length))
+    leaves = counts & (following.isNull() | (following - F.col(place) >= length))
     df = _add(df, {"_enters": enters.cast("bigint"), "_leaves": leaves.cast("bigint")})
-    inside = F.sum("_enters").over(W.partitionBy(*by).orderBy("dt", "id").rowsBetween(W.unboundedPreceding, -1))
+    order = _PROBE_ORDER if probes else ("dt", "id")
+    inside = F.sum("_enters").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     outside = F.sum("_leaves").over(W.partitionBy(*by).orderBy(place).rangeBetween(W.unboundedPreceding, -length))
     count = (F.coalesce(inside, F.lit(0)) - F.coalesce(outside, F.lit(0))).cast("double")
     df = df.withColumn(f"distinct_cards_per_{entity}_24h", F.when(F.col("_k0").isNotNull(), count))
@@ -163,7 +170,10 @@ def features(payments: DataFrame, entities: Sequence[str] = ENTITIES, buckets: d
 
 
 def as_of(history: DataFrame, probes: DataFrame) -> DataFrame:
-    """Features of probes as if each came at its (dt, id), without any of them counting for another."""
+    """All features of probes as if each came at its (dt, id), without any of them counting for another.
+
+    A payment of history at a probe's own (dt, id) doesn't count for it, so payments can be probed against themselves.
+    """
     marked = history.withColumn("_probe", F.lit(False)).unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
     return _without_probes(marked).filter("_probe").drop("_probe")
 
@@ -174,7 +184,7 @@ def _without_probes(df: DataFrame) -> DataFrame:
     for entity in ENTITIES:
         df, by = keyed(df, entity)
         df = df.withColumn("_real", real)
-        rows = W.partitionBy(*by).orderBy("dt", "id")
+        rows = W.partitionBy(*by).orderBy(*_PROBE_ORDER)
         before = rows.rowsBetween(W.unboundedPreceding, -1)
         has = F.col("_k0").isNotNull()
         zero = lambda x: F.coalesce(x, F.lit(0))
@@ -195,7 +205,10 @@ def _without_probes(df: DataFrame) -> DataFrame:
             f"{entity}_amount_ratio_7d": F.when(mean > 0, divide(F.col("amount"), mean)),
             f"{entity}_seconds_since_first": F.when(seen, (F.col("dt") - F.col("_began")).cast("double")),
             f"{entity}_seconds_since_last": F.when(seen, F.col("_gap").cast("double")),
-        }).drop(*by, "_n", "_s", "_gap", "_began", "_real")
+        })
+        if entity in SHARED:
+            df = _distinct(df, entity, by, None, probes=True)
+        df = df.drop(*by, "_n", "_s", "_gap", "_began", "_real")
     return df.drop("_milli")
 
 

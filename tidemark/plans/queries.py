@@ -139,6 +139,13 @@ def _(spark, sf_dir):
     return velocity.as_of(df.filter("id % 20 <> 0"), df.filter("id % 20 = 0")).select("id", "card_txn_count_24h", "card_amount_sum_24h")
 
 
+# every payment probed against all payments has the features that it has in their history
+@query("features_as_of_all", f"{oracle.velocity(_P1)} SELECT id, dt, {oracle.feature_list()} FROM f")
+def _(spark, sf_dir):
+    df = payments(spark, sf_dir)
+    return velocity.as_of(df, df).select("id", "dt", *FEATURES)
+
+
 _FAMILIES = """CASE WHEN feature LIKE '%txn_count%' THEN 'count' WHEN feature LIKE '%amount_sum%' THEN 'sum' WHEN feature LIKE '%mean_amount%' THEN 'mean' WHEN feature LIKE '%amount_ratio%' THEN 'ratio' WHEN feature LIKE '%distinct%' THEN 'distinct' ELSE 'recency' END"""
 _EXACT_SELECT = f"(SELECT id, {oracle.feature_list()} FROM ({oracle.velocity(_P1)} SELECT * FROM f))"
 _RING_SELECT = f"(SELECT id, {oracle.feature_list()} FROM ({oracle.velocity(_P1, buckets=velocity.BUCKETS)} SELECT * FROM f))"
