@@ -84,6 +84,52 @@ def test_license_blocks_against_all_templates(spark):
             assert [b.label for b in r.blocks] == want, lines[r.doc_id]
 
 
+WRAPPED = {
+    "bsd": "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n */",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file",
+    "mit": "Released\nunder\nthe\nMIT\nlicense.",
+}
+
+
+def test_license_notices_over_several_lines(spark):
+    far = "released " + "alpha " * 3_000 + "under " + "beta " * 3_000 + "the " + "gamma " * 3_000 + "license"
+    inside = "alpha " * 3_000 + "released under the MIT license " + "beta " * 3_000
+    texts = [*WRAPPED.values(), far, inside, "\n\n".join([WRAPPED["mit"]] * 3), "Released under the MIT license.\n" * 3, "eins mit zwei drei\nvier f\u00fcnf sechs sieben licensed under the Apache License, Version 2.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(b.label, b.line, b.word) for b in r.blocks] for r in license_scan.scan_licenses(df).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert [b[0] for b in got[i]] == [label], texts[i]
+    assert got[8] == [("apache-2.0", 1, 4)]
+    assert got[4] == [] and got[5] == [("mit", 0, 3_000)]
+    assert got[6] == [("mit", 0, 0), ("mit", 6, 5), ("mit", 12, 10)] and got[7] == [("mit", 0, 0), ("mit", 1, 5), ("mit", 2, 10)]
+
+
+def test_license_runs_and_short_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    words = sorted({w for t in license_scan.TEMPLATES.values() for w in t.split()}) + ["foo", "bar"]
+    texts = []
+    for t in list(license_scan.TEMPLATES.values()) * 6:
+        kept = [w for w in t.split() if rng.random() > 0.12]
+        for _ in range(rng.choice([0, 4, 30])):
+            kept.insert(rng.randint(0, len(kept)), rng.choice(["foo", "bar", "baz"]))
+        texts.append(" ".join([*rng.choices(words, k=rng.randint(0, 40)), *kept, *rng.choices(words, k=rng.randint(0, 40))]))
+    rows = [(2 * i + k, x if not k else "".join(rng.choice([" ", "\n", " \n\n"]) if c == " " else c for c in x)) for i, x in enumerate(texts) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = Counter()
+    for r in license_scan.scan_licenses(df).collect():
+        own, want = texts[r.doc_id // 2].split(), set()
+        lines = [x.split() for x in rows[r.doc_id][1].split("\n")]
+        for label, t in license_scan.TEMPLATES.items():
+            size, width = len(set(t.split())), license_scan.window_of(t)
+            runs = [own[i : i + width] for i in range(len(own))] + [x for x in lines if len(x) <= max(width, license_scan.SHORT_LINE)]
+            if any(len(set(x) & set(t.split())) >= 0.8 * size - 1e-9 for x in runs):
+                want.add(label)
+        assert {b.label for b in r.blocks} == want, own
+        seen[bool(want)] += 1
+    assert seen[True] > 20 and seen[False] > 5
+
+
 def test_license_places(spark):
     got = license_scan.scan_licenses(docs(spark)).filter("doc_id = 4").first()
     assert [(p.label, p.word) for p in got.places] == [("cc-by", 2), ("reserved", 6)] and got.n_words == 9

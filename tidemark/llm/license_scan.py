@@ -1,17 +1,20 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, as the set of its words. It meets a template if
-it holds at least the threshold's share of the template's words. All words of
-templates are ordered by how often the corpus uses them, rarest first; two
-sets that share enough words must share one within their prefixes in that
-order, so only blocks with a word of a template's prefix are looked at, and
-length and position rule out most of those before the sets are compared.
+A text meets a template if some run of its words, no longer than the template's
+window and whatever its line breaks, holds at least the threshold's share of
+the template's words, or a short line does so in any order and spacing. Such a
+line is one block; elsewhere runs that share no word are. All words of templates are ordered by how
+often the corpus uses them, rarest first; two sets that share enough words must
+share one within their prefixes in that order, so only the surroundings of
+words of a template's prefix are looked at, and only those with enough of its
+words are gone through run by run.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Mapping
 
@@ -40,6 +43,10 @@ TEMPLATES = {
     "proprietary": "copyright all rights reserved unauthorized copying prohibited",
 }
 THRESHOLD = 0.8
+#: A template's window is so many times its words.
+WINDOW_TIMES = 2
+#: A line of so many words, or of a window's, is short.
+SHORT_LINE = 24
 #: The templates travel to every task, so there may be this many, of so many words, at most.
 MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 10_000, 1_000
 
@@ -58,39 +65,104 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * size, 9)))
 
 
+def window_of(text: str) -> int:
+    """How many consecutive words a template's words may be spread over."""
+    return WINDOW_TIMES * len(WORD.findall(text))
+
+
 class Index:
     """Templates by the words of their prefixes, in the order given by rank."""
 
     def __init__(self, templates: Mapping[str, str], threshold: float, rank: Mapping[str, int]):
-        self.rank, self.sets, self.by_word = rank, [], {}
+        self.sets, self.by_word = [], {}
         for label, text in sorted(templates.items()):
-            words = sorted({rank[w] for w in WORD.findall(text.translate(LOWER))})
+            times = Counter(WORD.findall(text.translate(LOWER)))
+            words = sorted(times, key=rank.__getitem__)
             if not words:
                 continue
             least = needed(len(words), threshold)
-            for i, w in enumerate(words[: len(words) - least + 1]):
-                self.by_word.setdefault(w, []).append((len(self.sets), i))
-            self.sets.append((label, frozenset(words), least))
-        self.first = {w for w, r in rank.items() if r in self.by_word}
-
-    def matches(self, words: list[str]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that a block of these words meets."""
-        distinct = set(words)
-        if self.first.isdisjoint(distinct):
+            for w in words[: len(words) - least + 1]:
+                self.by_word.setdefault(w, []).append(len(self.sets))
+            self.sets.append((label, times, least, window_of(text)))
+
+    def blocks(self, words: list[str], starts: list[int]) -> list[tuple[str, int, int, float]]:
+        """(label, line, first word, containment) of the blocks of a text of these words, whose lines start there."""
+        if self.by_word.keys().isdisjoint(words):
             return []
-        block = sorted(self.rank[w] for w in distinct if w in self.rank)
-        n, found, candidates = len(block), [], set()
-        for j, w in enumerate(block):
-            for t, i in self.by_word.get(w, ()):
-                _, template, least = self.sets[t]
-                # length, then prefix, then what can still follow both positions
-                if n >= least and j <= n - least and 1 + min(len(template) - i, n - j) - 1 >= least:
-                    candidates.add(t)
-        for t in candidates:
-            label, template, least = self.sets[t]
-            if (shared := len(template.intersection(block))) >= least:
-                found.append((label, shared / len(template)))
-        return sorted(found)
+        places: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            for t in self.by_word.get(w, ()):
+                places.setdefault(t, []).append(i)
+        found = []
+        for t, at in places.items():
+            label, times, least, window = self.sets[t]
+            if _near(words, at, times, least, max(window, SHORT_LINE)):
+                found += [(label, bisect_right(starts, i) - 1, i, shared / len(times)) for i, shared in _blocks(words, starts, times, least, window)]
+        return sorted(found, key=lambda x: (x[2], x[0]))
+
+
+def _near(words: list[str], at: list[int], times: Mapping[str, int], least: int, reach: int) -> bool:
+    """Whether the surroundings of any of these places hold enough of the template's words."""
+    k = 0
+    while k < len(at):
+        low = max(0, at[k] - reach + 1)
+        while k + 1 < len(at) and at[k + 1] - at[k] < 2 * reach:
+            k += 1
+        if len(times.keys() & set(words[low : at[k] + reach])) >= least:
+            return True
+        k += 1
+    return False
+
+
+def _blocks(words: list[str], starts: list[int], times: Mapping[str, int], least: int, window: int) -> list[tuple[int, int]]:
+    """(first word, number of template words) of the short lines that meet the template, and of the runs between those."""
+    by_line: dict[int, list[tuple[int, str]]] = {}
+    for i, w in enumerate(words):
+        if w in times:
+            by_line.setdefault(bisect_right(starts, i) - 1, []).append((i, w))
+    found, between = [], []
+    for line, own in by_line.items():
+        shared = len({w for _, w in own})
+        end = starts[line + 1] if line + 1 < len(starts) else len(words)
+        if shared >= least and end - starts[line] <= max(window, SHORT_LINE):
+            found += [*_runs(between, times, least, window), (starts[line], shared)]
+            between = []
+        else:
+            between += own
+    return found + _runs(between, times, least, window)
+
+
+def _runs(own: list[tuple[int, str]], times: Mapping[str, int], least: int, window: int) -> list[tuple[int, int]]:
+    """(first word, number of template words) of runs with enough of them that share no word, from the left."""
+    found: list[tuple[int, int]] = []
+    held: Counter[str] = Counter()
+    first = k = 0
+
+    def drop() -> None:
+        nonlocal first
+        w = own[first][1]
+        held[w] -= 1
+        if not held[w]:
+            del held[w]
+        first += 1
+
+    while k < len(own):
+        held[own[k][1]] += 1
+        while own[k][0] - own[first][0] >= window:
+            drop()
+        k += 1
+        if len(held) < least:
+            continue
+        while held[own[first][1]] > 1:
+            drop()
+        # the rest of the notice, up to a word that it has had
+        while k < len(own) and own[k][0] - own[first][0] < window and held[own[k][1]] < times[own[k][1]]:
+            held[own[k][1]] += 1
+            k += 1
+        found.append((own[first][0], len(held)))
+        held.clear()
+        first = k
+    return found
 
 
 def places_of(words: list[str]) -> list[tuple[str, int]]:
@@ -112,15 +184,14 @@ def places_of(words: list[str]) -> list[tuple[str, int]]:
 def _scan(index: Index, ids: list, texts: list) -> dict[str, list]:
     out = {k: [] for k in RESULT.names}
     for doc_id, text in zip(ids, texts, strict=True):
-        words, blocks = [], []
-        for number, line in enumerate((text or "").translate(LOWER).split("\n")):
-            own = WORD.findall(line)
-            blocks += [{"label": a, "line": number, "word": len(words), "containment": b} for a, b in index.matches(own)]
-            words += own
+        words, starts = [], []
+        for line in (text or "").translate(LOWER).split("\n"):
+            starts.append(len(words))
+            words += WORD.findall(line)
         out["doc_id"].append(doc_id)
         out["n_words"].append(len(words))
         out["places"].append([{"label": a, "word": i} for a, i in places_of(words)])
-        out["blocks"].append(blocks)
+        out["blocks"].append([{"label": a, "line": n, "word": i, "containment": c} for a, n, i, c in index.blocks(words, starts)])
     return out
 
 
@@ -147,8 +218,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
 
     docs needs doc_id and text; other columns are ignored. Returns a row for
     each row of docs: doc_id, n_words, places (label, word: where a phrase's
-    words stand consecutively) and blocks (label, line, word: the block's first
-    word, containment). A null text counts as empty and has none of either; a
+    words stand consecutively) and blocks (label, line and word: the block's first
+    ones, containment). A null text counts as empty and has none of either; a
     null doc_id stays null; repeated rows give repeated results; no rows, none.
     """
     if len(templates) > MAX_TEMPLATES or any(len(WORD.findall(t)) > MAX_TEMPLATE_WORDS for t in templates.values()):
