@@ -271,6 +271,17 @@ def test_media_round_trip_and_fingerprint(spark):
     assert len(media.fingerprint(b"\0" * 64)[0]) == 0
 
 
+def test_short_media_have_fingerprints_of_their_own(spark):
+    rng = random.Random(6)
+    texts = [chr(c) for c in range(1, 128)] + ["ab", "ba", "abc", "cab", "x" * 64, "x" * 65, "y" * 512, "x" * 512, "x" * 513]
+    texts += ["".join(rng.choices("abcdefgh ", k=rng.randint(3, 512))) for _ in range(300)]
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([*enumerate(texts), (-1, ""), (-2, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (tuple(r.times), tuple(r.codes)) for r in media.read_media(media.store_media(df)).collect()}
+    assert got[-1] == got[-2] == ((), ()) and all(got[i][1] for i in range(len(texts)))
+    assert len({got[i] for i in range(len(texts))}) == len(texts)
+
+
 # -- personal data --------------------------------------------------------------------------
 
 

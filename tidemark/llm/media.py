@@ -3,7 +3,9 @@
 A payload becomes the 8-bit samples of a mono WAV file in a binary column.
 Reading goes through the wave module: short-time Fourier transforms give the
 loudest frequencies over time, and pairs of such peaks (two frequencies and
-the time between them) with the time of the first are the fingerprint.
+the time between them) with the time of the first are the fingerprint. A payload
+that fits one frame is transformed in short frames instead, whose peaks also
+stand with their loudness, as a few letters differ in little else.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ RATE = 8_000
 WINDOW, HOP = 512, 256
 #: The loudest bin of each band of frequencies in a frame is a peak.
 BANDS = ((4, 64), (64, 257))
+#: The same for payloads of at most WINDOW bytes.
+SHORT_WINDOW, SHORT_HOP = 16, 4
+SHORT_BANDS = ((1, 4), (4, 9))
+#: Loudness is counted in such parts; it stays below 16 bits.
+LOUDNESS = 1 / 8
 #: A peak is paired with the peaks of so many frames after its own.
 AHEAD = 2
 #: Frames transformed at a time.
@@ -80,13 +87,43 @@ def peaks_of(samples: bytes) -> np.ndarray:
     return found
 
 
+_short_shape = np.hanning(SHORT_WINDOW + 2)[1:-1]
+
+
+def short_peaks_of(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The loudest bin for each short frame and band, and how loud it is; frames begin before the first sample."""
+    x = np.frombuffer(samples, np.uint8)
+    before = SHORT_WINDOW - SHORT_HOP
+    n = -(-(before + len(x)) // SHORT_HOP)
+    padded = np.full(SHORT_WINDOW + (n - 1) * SHORT_HOP, 128, np.uint8)
+    padded[before : before + len(x)] = x
+    frames = np.lib.stride_tricks.sliding_window_view(padded, SHORT_WINDOW)[::SHORT_HOP]
+    power = np.round(np.abs(np.fft.rfft((frames.astype(np.float64) - 128) * _short_shape)), 3)
+    found = np.stack([low + power[:, low:high].argmax(axis=1) for low, high in SHORT_BANDS], axis=1).astype(np.int32)
+    loud = np.round(np.take_along_axis(power, found, axis=1) / LOUDNESS).astype(np.int32)
+    return found, loud
+
+
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(times, codes): for each pair of peaks the first one's frame, and both bins with the frames between."""
-    peaks = peaks_of(samples)
-    n = len(peaks)
+    """(times, codes): for each pair of peaks the first one's frame, and both bins with the frames between.
+
+    For at most WINDOW samples, those of short frames, and for each peak its
+    bin with its loudness and no frames between. Zeros alone, the payload of an
+    empty text, have neither.
+    """
     times, codes = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    if len(samples) > WINDOW:
+        peaks = peaks_of(samples)
+    elif any(samples):
+        peaks, loud = short_peaks_of(samples)
+        for b in range(len(SHORT_BANDS)):
+            times.append(np.arange(len(peaks), dtype=np.int32))
+            codes.append((peaks[:, b] << 20) | (loud[:, b] << 4))
+    else:
+        return times[0], codes[0]
+    n = len(peaks)
     for ahead in range(1, min(AHEAD, n - 1) + 1):
-        for b in range(len(BANDS)):
+        for b in range(peaks.shape[1]):
             times.append(np.arange(n - ahead, dtype=np.int32))
             codes.append((peaks[:-ahead, b] << 14) | (peaks[ahead:, b] << 4) | ahead)
     t, c = np.concatenate(times), np.concatenate(codes)
@@ -128,8 +165,8 @@ def store_media(docs: DataFrame) -> DataFrame:
 def read_media(files: DataFrame) -> DataFrame:
     """Sizes and digests of each file (doc_id, n_bytes, media) and its fingerprint (times, codes).
 
-    Files must be mono WAV of 8-bit samples. One too short for a pair of
-    frames has an empty fingerprint.
+    Files must be mono WAV of 8-bit samples. Only one of up to WINDOW zeros has
+    an empty fingerprint.
     """
     return map_text(files, _read, MEDIA.names, READ, text="media")
 
