@@ -42,6 +42,10 @@ def test_query_against_sql(spark, name):
     compare(spark, QUERIES[name], SQL[name])
 
 
+def test_synthetic_payments_are_all_made(spark):
+    assert QUERIES["synthetic_payments"](spark, str(DATA)).count() == 590_540
+
+
 def test_names():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 60
     import __spark_entry__ as entry

@@ -674,4 +674,4 @@ def _(spark, sf_dir):
 
 @query("synthetic_payments")
 def _(spark, sf_dir):
-    return synthetic.generate(spark, rows=20_000)
+    return synthetic.generate(spark)
