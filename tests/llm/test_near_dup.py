@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.llm import near_dup as nd
 
 SCHEMA = "doc_id bigint, text string, component_id string, n bigint"
@@ -60,8 +62,12 @@ def corpus(seed=1):
     return rows
 
 
+@pytest.mark.parametrize("hot", [None, 2])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
+def test_against_all_pairs(spark, monkeypatch, seed, hot):
+    """hot: with so few rows to a group that nearly every join is dealt to several."""
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = corpus(seed)
     got = {d: (n, c, k) for d, n, c, k in run(spark, rows)}
     for (d, _), (n, c) in zip(rows, brute(rows), strict=True):
@@ -102,10 +108,10 @@ def test_bands_find_and_estimates_hold():
             if both / (len(a) + len(b) - both) < 0.8:
                 continue
             x, y = nd.sketch_of(a), nd.sketch_of(b)
-            assert set(nd.bands_of(x)) & set(nd.bands_of(y))
-            assert nd.likely_any(x[None], y[None], np.array([len(a)]), np.array([len(b)]))[0]
+            assert set(nd.bands_of(x, len(a))) & set(nd.bands_of(y, len(b)))
+            assert nd.likely_any([x.tobytes()], [y.tobytes()], np.array([len(a)]), np.array([len(b)]))[0]
     x, y = (nd.sketch_of(rng.integers(0, 2**64, size=300, dtype=np.uint64)) for _ in range(2))
-    assert not nd.likely_any(x[None], y[None], np.array([300]), np.array([300]))[0]
+    assert not nd.likely_any([x.tobytes()], [y.tobytes()], np.array([300]), np.array([300]))[0]
 
 
 def test_registers_are_least_hashes():
@@ -116,7 +122,8 @@ def test_registers_are_least_hashes():
         for part in range(nd.REGISTERS // width):
             least = {}
             for v in values:
-                h = int(nd._scramble(np.array([v ^ (np.uint64(part) * nd._MIX)], np.uint64))[0])
+                seed = np.uint64(part * int(nd._MIX) % 2**64)
+                h = int(nd._scramble(np.array([v ^ seed], np.uint64))[0])
                 place, rest = (h >> (64 - bits) if bits else 0), (h << bits) & (2**64 - 1) | (1 << (bits - 1) if bits else 1)
                 least[place] = min(least.get(place, 2**64), rest)
             for place in range(width):
@@ -145,6 +152,35 @@ def test_contraction(spark):
     assert all(got.get(i, i) == want[i] for i in want)
 
 
+def test_hot_keys_are_few_and_lose_no_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    left = [(rng.choice([1, 1, 1, 2, 3, None, 4 + i % 50]), i) for i in range(3_000)]
+    right = [(k, -k) for k in range(60)] + [(7, -70)]
+    left_df, right_df = spark.createDataFrame(left, "k int, _salt int"), spark.createDataFrame(right, "k int, _groups int")
+    for rows, parts in ((1, 5), (64, 1_000), (10, 1)):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        monkeypatch.setattr(common, "HOT_PARTS", parts)
+        counts = left_df.groupBy("k").agg(F.count("*").alias("n"))
+        assert common.hot_keys(counts, ["k"], len(left))[0].count() <= max(parts, 1)
+        for how in ("inner", "left", "left_semi"):
+            want = left_df.join(right_df, "k", how)
+            got = common.hot_join(left_df, right_df, "k", by="_salt", how=how)
+            assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_texts_that_are_not_utf8(spark):
+    texts = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("CAST(X'6120FF206220632064' AS STRING)").alias("text"))
+    assert [(r.n_shingles, r.component_id) for r in nd.near_duplicates(texts).collect()] == [(2, 0)] * 3
+
+
+def test_columns_that_clash_and_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c d e f", "x", 2), (1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 1), (3, None, "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _ID string, _text int").withColumn("kept", F.lit("k"))
+    out = nd.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b c d e f", "x", 1, "k"), (3, None, "z", 1, "k")]
+
+
 def test_dropping_keeps_one_of_each(spark):
     rows = [(3, "a b c d e f", "k", 1), (1, "a b c d e f", "k", 2), (1, "a b c d e f", "k", 3), (9, None, "k", 4), (None, "a b c d e f", "k", 5), (4, "other words stand here now", "k", 6)]
     out = nd.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA), size=5)

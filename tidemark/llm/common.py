@@ -83,6 +83,7 @@ def map_text(
     function gets one Python list per name in columns, and what make() returned
     in its process if make is given; it returns lists by the names of schema.
     The slices are cut by the length of the text column, not by row count alone.
+    Bytes of a string that aren't UTF-8 are read as U+FFFD; carried columns keep them.
     carry: all columns of df that schema doesn't name stay beside the new ones;
     function must then return a value for each row.
     """
@@ -100,7 +101,7 @@ def map_text(
             begin, n = 0, block.num_rows
             while begin < n:
                 end = n if where is None else _slice_end(block.column(where), begin, n)
-                lists = [block.column(i).slice(begin, end - begin).to_pylist() for i in range(len(columns))]
+                lists = [values(block.column(i).slice(begin, end - begin)) for i in range(len(columns))]
                 made = function(*tool, *lists)
                 beside = [block.column(first + i).slice(begin, end - begin).cast(out.field(i).type) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*beside, *(pa.array(made[f.name], f.type) for f in made_fields)], schema=out)
@@ -109,6 +110,14 @@ def map_text(
     return df.select(*columns, *(df[f.name].alias(f"_kept{i}") for i, f in enumerate(carried))).mapInArrow(batches, schema)
 
 
+def values(column: pa.Array) -> list:
+    """The column's values; of strings that aren't valid UTF-8, U+FFFD for each part that isn't."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def _slice_end(column: pa.Array, begin: int, n: int) -> int:
     total = 0
     for i in range(begin, n):
@@ -133,39 +142,49 @@ def hashed_sample(df: DataFrame, key: str, rows: int, n: int | None = None) -> D
     return df.withColumn("_place", place).orderBy("_place", *df.columns).limit(rows).drop("_place")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16, by: str | None = None) -> DataFrame:
-    """Equi-join of a large, perhaps skewed left side with a right side that is unique on keys.
+def unused(names: Sequence[str], *wanted: str) -> list[str]:
+    """wanted, each with underscores before it until none of names is alike, in capitals or not."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    Each right row is repeated for every salt and each left row draws one from
-    the column `by` (default: all its columns), so one hot key is spread over
-    `salts` tasks; no row is dropped. how: inner, left or left_semi.
-    """
-    drawn = F.xxhash64(F.col(by)) if by else F.xxhash64(*[F.col(c) for c in left.columns])
-    left = left.withColumn("_salt", F.pmod(drawn, F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
+#: A key's rows are dealt to groups of about HOT_ROWS, or of one in HOT_PARTS of all rows where that is more.
+HOT_ROWS, HOT_PARTS = 64, 1_000
 
-#: Of the keys with more than HOT_ROWS rows, the HOT_KEYS with most are salted;
-#: any other key has less than one row in HOT_KEYS, or HOT_ROWS at most.
-HOT_KEYS, HOT_ROWS = 1_000, 1_000
 
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: int) -> tuple[DataFrame, str]:
+    """The keys of counts (keys, n) that need several groups, with how many; and that column's name.
+
+    n is the sum of all counts, or more. At most HOT_PARTS keys have more than
+    one in HOT_PARTS of n rows, so this table may be broadcast at any size.
+    """
+    group = max(HOT_ROWS, -(-n // HOT_PARTS))
+    (groups,) = unused([*counts.columns, *keys], "_groups")
+    return counts.filter(F.col("n") > group).select(*keys, F.ceil(F.col("n") / group).cast("int").alias(groups)), groups
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16, counts: DataFrame | None = None, n: int | None = None, few: int = 1_000_000) -> DataFrame:
-    """Equi-join on key of a left side that may be skewed, as salted_join, but salting hot keys only.
 
-    n: how many rows left has, if known; of `few` or less even one key may have
-    all of them in one task, and the join is a plain one.
+def hot_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], by: str | Sequence[str], how: str = "inner", counts: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """Equi-join of a left side that may be skewed with a right side that is unique on keys, or nearly so.
 
-    counts has (key, n) for left, and is made from it if not given. The hot
-    keys, HOT_KEYS at most, are broadcast; only their right rows are repeated.
+    A key's left rows are dealt by a hash of their columns `by` to as many
+    groups as their number asks for, and its right rows go to each of them; so
+    no key's rows meet in one task, and what is repeated stays a small part.
+    counts has (keys, n) for left, and is made from it if not given; n is their
+    sum or more. how: inner, left or left_semi.
     """
-    if n is not None and n <= few:
-        return left.join(right, key, how)
-    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
-    hot = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.col("n").desc(), key).limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))
-    drawn = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)
-    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", drawn).drop("_hot")
-    each = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
-    right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    keys, by = ([x] if isinstance(x, str) else list(x) for x in (keys, by))
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count("*").alias("n"))
+    n = (counts.agg(F.sum("n")).first()[0] or 0) if n is None else n
+    hot, groups = hot_keys(counts, keys, n)
+    named, salt = unused([*left.columns, *right.columns], "_groups", "_salt")
+    hot = hot.withColumnRenamed(groups, named)
+    many = F.coalesce(F.col(named), F.lit(1))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(*by), many).cast("int")).drop(named)
+    right = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(named)
+    return left.join(right, [*keys, salt], how).drop(salt)

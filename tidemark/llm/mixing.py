@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import salted_join, scratch_dir, stored, table
+from tidemark.llm.common import hot_join, scratch_dir, stored, table, unused
 
 #: Without given weights, a source's target is its share to this power.
 TEMPERATURE = 0.5

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import hot_join, map_text, scratch_dir, stored, table
+from tidemark.llm.common import hot_join, map_text, scratch_dir, stored, table, unused
 from tidemark.shipping import ship
 
 SHINGLE = 4
@@ -47,8 +47,6 @@ STYLES = ((0, 1), (64, 16), (1024, 256))
 SLACK = 6.0
 #: Sets of a band compared at a time, if it still holds several components.
 BLOCK = 128
-SALTS = 16
-FEW_LINKS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,19 +116,14 @@ def registers_of(shingles: np.ndarray, style: int) -> np.ndarray:
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """The registers of each style, one row each; of styles that don't fit the size they are all empty."""
-    out = np.zeros((len(STYLES), REGISTERS), np.uint16)
-    for style in styles_of(len(shingles)) if len(shingles) else ():
-        out[style] = registers_of(shingles, style)
-    return out
+    """The registers of each way in which a set of this size is sketched, one row each."""
+    return np.array([registers_of(shingles, style) for style in styles_of(len(shingles))], np.uint16)
 
 
-def bands_of(sketch: np.ndarray) -> list[int]:
-    """A hash for each band of each style in use, of its registers; its last eight bits are the style and the band's place."""
+def bands_of(sketch: np.ndarray, n: int) -> list[int]:
+    """A hash for each band of each row of a sketch of n shingles, of its registers; its last eight bits are the style and the band's place."""
     out = []
-    for style, registers in enumerate(sketch):
-        if not registers.any():
-            continue
+    for style, registers in zip(styles_of(n), sketch, strict=True):
         rows = registers[: BANDS * ROWS].reshape(BANDS, ROWS)
         raw, size = rows.tobytes(), rows.itemsize * ROWS
         for b in np.flatnonzero(rows.any(axis=1)).tolist():
@@ -139,6 +132,12 @@ def bands_of(sketch: np.ndarray) -> list[int]:
     return out
 
 
+def rows_of(sketches: list, n: np.ndarray, style: int) -> np.ndarray:
+    """The registers of one style, a row for each of the stored sketches of n shingles; each must have it."""
+    places = [styles_of(k).index(style) * REGISTERS * 2 for k in n.tolist()]
+    return np.stack([np.frombuffer(x, np.uint16, REGISTERS, at) for x, at in zip(sketches, places, strict=True)])
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Registers expected to agree by chance in disjoint sets of n and m (the sketch's published approximation)."""
     ratio = np.minimum(n, m) / np.maximum(np.maximum(n, m), 1)
@@ -156,13 +155,15 @@ def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similar:
     return sizes & (estimate + SLACK * np.sqrt(t * (1 - t) / np.maximum(filled, 1)) >= t)
 
 
-def likely_any(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """likely for pairs of whole sketches (pairs, styles, registers), by any style that both have."""
+def likely_any(a: list, b: list, n: np.ndarray, m: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """likely for pairs of stored sketches of n and m shingles, by any style that both have."""
     out = np.zeros(len(a), bool)
+    mine, its = ([set(styles_of(k)) for k in x.tolist()] for x in (n, m))
     for style in range(len(STYLES)):
-        x, y = a[:, style], b[:, style]
-        both = np.flatnonzero((x > 0).any(axis=1) & (y > 0).any(axis=1))
-        out[both] |= likely(x[both], y[both], n[both], m[both], similar)
+        both = np.array([i for i, (x, y) in enumerate(zip(mine, its, strict=True)) if style in x & y], np.int64)
+        if len(both):
+            x, y = (rows_of([v[i] for i in both], k[both], style) for v, k in ((a, n), (b, m)))
+            out[both] |= likely(x, y, n[both], m[both], similar)
     return out
 
 
@@ -184,9 +185,8 @@ def _sketcher(size: int) -> Callable:
         for text in texts:
             shingles = shingles_of(text, size)
             out["n_shingles"].append(len(shingles))
-            registers = sketch_of(shingles) if len(shingles) else None
             out["digest"].append(_digest(shingles) if len(shingles) else None)
-            out["registers"].append(None if registers is None else registers.tobytes())
+            out["registers"].append(sketch_of(shingles).tobytes() if len(shingles) else None)
         return out
 
     return sketch
@@ -195,8 +195,8 @@ def _sketcher(size: int) -> Callable:
 BANDED = StructType([StructField("node", LongType()), StructField("band", LongType())])
 
 
-def _banded(nodes: list, registers: list) -> dict[str, list]:
-    bands = [bands_of(np.frombuffer(x, np.uint16).reshape(len(STYLES), -1)) for x in registers]
+def _banded(nodes: list, n: list, registers: list) -> dict[str, list]:
+    bands = [bands_of(np.frombuffer(x, np.uint16).reshape(-1, REGISTERS), k) for k, x in zip(n, registers, strict=True)]
     return {"node": [n for n, b in zip(nodes, bands, strict=True) for _ in b], "band": [x for b in bands for x in b]}
 
 
@@ -214,8 +214,7 @@ PAIR = "a bigint, b bigint"
 def _both_sides(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
     """pairs with side("a") and side("b"). b is one of many; a may be the least of a large group."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    # what goes along with a pair may be large, so few is fewer here
-    return hot_join(pairs.join(side("b"), "b"), side("a").join(counts, "a", "left_semi"), "a", by="b", salts=SALTS, counts=counts, n=pairs.count(), few=20_000)
+    return hot_join(pairs.join(side("b"), "b"), side("a").join(counts, "a", "left_semi"), "a", by="b", counts=counts, n=pairs.count())
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -228,7 +227,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     def keep(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
             if block.num_rows:
-                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in block.column(i)]).reshape(block.num_rows, len(STYLES), -1) for i in (4, 5))
+                x, y = (block.column(i).to_pylist() for i in (4, 5))
                 good = likely_any(x, y, block.column(2).to_numpy(), block.column(3).to_numpy(), similar)
                 yield block.select(["a", "b"]).filter(pa.array(good))
 
@@ -245,9 +244,8 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, sets: DataFrame, size: int) ->
     return full.select(F.col("doc_id").alias("node"), "shingles")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, sets, size)
+def _verified(pairs: DataFrame, full: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (node, shingles) reach the threshold."""
     side = lambda c: full.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     joined = _both_sides(pairs, side)
 
@@ -268,35 +266,32 @@ def components(links: DataFrame, folder: str, name: str = "cc") -> DataFrame:
 
     links: a < b. Large-star and small-star contraction by turns; every step
     is written to the scratch folder. Each node's least neighbour comes from a
-    partial aggregate and is joined back with salts, so hubs are spread out,
-    but for FEW_LINKS links or less, where a window does both.
+    partial aggregate and is joined back by groups of its links, so hubs are
+    spread out.
     """
     step, before = 0, None
     edges = stored(links.distinct(), folder, f"{name}0")
-    if edges.isEmpty():
+    now = _size(edges)
+    if not now[0]:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    while True:
+    while now != before:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = lambda by, of: F.min(of).over(W.partitionBy(by))
-        if (before or (edges.count(),))[0] <= FEW_LINKS:
-            # so few that one hub may have them all in one task
-            large = both.withColumn("m", F.least(least("a", "b"), "a")).filter("b > a AND m < b").select(F.col("b").alias("u"), F.col("m").alias("v"))
-            down = large.withColumn("m", least("u", "v"))
-            moved = down.select("m", F.explode(F.array("v", "u")).alias("x")).filter("x > m").select(F.col("m").alias("a"), F.col("x").alias("b"))
-        else:
-            lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-            large = hot_join(both.filter("b > a"), lows.select("a", "m"), "a", by="b", salts=SALTS, counts=lows.select("a", "n"))
-            # small star: a node's smaller neighbours, and itself, move to the least of them
-            down = large.filter("m < b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-            small = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-            moved = hot_join(down, small.select("u", "m"), "u", by="v", salts=SALTS, counts=small.select("u", "n")).filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-            moved = moved.union(small.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        step += 1
+        lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.filter("b > a"), lows.select("a", "m"), "a", by="b", counts=lows.select("a", "n"), n=2 * now[0])
+        # small star: a node's smaller neighbours, and itself, move to the least of them
+        down = large.filter("m < b").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+        small = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = hot_join(down, small.select("u", "m"), "u", by="v", counts=small.select("u", "n"), n=2 * now[0]).filter("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        moved = moved.union(small.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        step, before = step + 1, now
         edges = stored(moved.distinct(), folder, f"{name}{step}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = now
+        now = _size(edges)
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+
+
+def _size(edges: DataFrame) -> tuple:
+    """How many links there are and the sum of their hashes, by which two steps are told apart."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def merged(found: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -306,7 +301,7 @@ def merged(found: DataFrame, links: DataFrame, folder: str, name: str) -> DataFr
     upper = components(placed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"), folder, name)
     to = upper.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
-    moved = hot_join(found, to, "component", by="node", how="left", salts=SALTS, counts=sizes, n=found.count()).select("node", F.coalesce("_to", "component").alias("component"))
+    moved = hot_join(found, to, "component", by="node", how="left", counts=sizes, n=found.count()).select("node", F.coalesce("_to", "component").alias("component"))
     return stored(moved.unionByName(upper), folder, f"{name}_all")
 
 
@@ -314,7 +309,7 @@ def _apart(pairs: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b), of n at most, whose ends found has not put into one component."""
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    placed = hot_join(pairs.join(of("b"), "b", "left"), of("a"), "a", by="b", how="left", salts=SALTS, counts=counts, n=n)
+    placed = hot_join(pairs.join(of("b"), "b", "left"), of("a"), "a", by="b", how="left", counts=counts, n=n)
     return placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
@@ -342,7 +337,7 @@ def _across(members: DataFrame, docs: DataFrame, sets: DataFrame, size: int, sim
         comp, n, asks = (block.column(c).to_numpy() for c in ("component", "n_shingles", "_asks"))
         code = block.column("band")[0].as_py() & 255
         style, band = code >> 6, code & 63
-        rows = np.stack([np.frombuffer(v.as_buffer(), np.uint16).reshape(len(STYLES), -1)[style] for v in block.column("registers")])
+        rows = rows_of(block.column("registers").to_pylist(), n, style)
         others, part = np.flatnonzero(~asks), np.zeros(len(rows), bool)
         for i in np.flatnonzero(asks):
             with_ = others[comp[others] != comp[i]]
@@ -374,6 +369,8 @@ def _across(members: DataFrame, docs: DataFrame, sets: DataFrame, size: int, sim
 
     maybe = ask.unionByName(answer).groupBy("band", "_x", "_y").applyInArrow(compare, f"{place}, _asks boolean, node bigint, component bigint")
     maybe = stored(maybe, scratch_dir(members.sparkSession), "maybe")
+    if maybe.isEmpty():
+        return maybe.select(F.col("node").alias("a"), F.col("node").alias("b"))
     with_sets = maybe.join(_full_sets(maybe.select("node"), docs, sets, size), "node")
     return with_sets.groupBy("band", "_x", "_y").applyInArrow(confirm, PAIR).distinct()
 
@@ -387,7 +384,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
     doc_id keeps its n_shingles, is linked with nothing, and has a null
     component_id; it is kept. Repeated rows get equal results; if an id has
     different texts, each row has the class of its own text. Other columns are
-    ignored; no rows give none.
+    ignored; no rows give none. Bytes that aren't UTF-8 are read as U+FFFD.
     """
     return _classes(docs, size, similar).drop("_text")
 
@@ -395,22 +392,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """docs with one row of each group of near-duplicates, the one with the least doc_id.
 
-    Of rows that repeat an id and text one stays. Rows without doc_id or
-    without words all stay. Columns stay as they are.
+    Of rows that repeat an id and text one stays, the one that is least as
+    JSON. Rows without doc_id or without words all stay. Columns stay as they
+    are, whatever their names.
     """
     classes = stored(_classes(docs, size, similar), scratch_dir(docs.sparkSession), "classes")
-    marked = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_text", F.xxhash64("text"))
-    gone = classes.filter("NOT kept").select(F.col("doc_id").alias("_id"), "_text").distinct()
-    out = marked.join(gone, ["_id", "_text"], "left_anti")
-    again = classes.filter("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "_text").count().filter("count > 1").select(F.col("doc_id").alias("_id"), "_text")
+    id_, text = unused(docs.columns, "_id", "_text")
+    named = lambda rows: rows.select(F.col("doc_id").alias(id_), F.col("_text").alias(text))
+    marked = docs.withColumns({id_: F.col("doc_id").cast("bigint"), text: F.xxhash64("text")})
+    out = marked.join(named(classes.filter("NOT kept")).distinct(), [id_, text], "left_anti")
+    again = classes.filter("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "_text").count().filter("count > 1")
+    again = stored(named(again), scratch_dir(docs.sparkSession), "again")
     if not again.isEmpty():
-        twice = out.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
-        out = out.join(again, ["_id", "_text"], "left_anti").unionByName(twice)
+        twice = out.join(again, [id_, text], "left_semi")
+        # of rows that differ elsewhere one and the same stays in every run: the least as JSON
+        one = twice.withColumn(_row := unused(twice.columns, "_row")[0], F.struct(*docs.columns)).groupBy(id_, text).agg(F.min_by(_row, F.to_json(_row)).alias(_row))
+        out = out.join(again, [id_, text], "left_anti").select(*docs.columns).unionByName(one.select(f"{_row}.*"))
     return out.select(*docs.columns)
 
 
 def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
     """What near_duplicates returns, and _text, a hash of each row's text."""
+    if similar < SIMILAR:
+        raise ValueError(f"sketches and bands are made for similarities of {SIMILAR} percent or more")
     spark = docs.sparkSession
     ship(spark)
     folder = scratch_dir(spark)
@@ -423,28 +427,27 @@ def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
     # a row of each group: its least document's
     leads = usable.drop("_text").join(groups.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
     sets = stored(leads.withColumnRenamed("doc_id", "node"), folder, "sets")
-    banded = map_text(sets, _banded, ["node", "registers"], BANDED, text="registers")
+    banded = map_text(sets, _banded, ["node", "n_shingles", "registers"], BANDED, text="registers")
     bands = stored(banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1"), folder, "bands")
     wide = bands.filter("n > 2").select("band", "lead", "n")
-    members = stored(hot_join(banded, wide, "band", by="node", salts=SALTS, counts=wide.select("band", "n")), folder, "members")
+    members = stored(hot_join(banded, wide, "band", by="node", counts=wide.select("band", "n")), folder, "members")
     star = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     pairs = stored(bands.filter("n = 2 AND lead < last").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(star).distinct(), folder, "pairs")
-
-    def confirmed(candidates: DataFrame, name: str) -> DataFrame:
-        kept = stored(_estimated(candidates, sets, similar), folder, f"likely_{name}")
-        return stored(_verified(kept, docs, sets, size, similar), folder, f"links_{name}")
-
+    pairs = stored(_estimated(pairs, sets, similar), folder, "likely")
+    # the full sets of all that may be linked, made once
+    full = stored(_full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, sets, size), folder, "full")
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), folder, "first")
-    found = stored(components(confirmed(first, "first"), folder), folder, "found")
+    found = stored(components(stored(_verified(first, full, similar), folder, "links_first"), folder), folder, "found")
     others = stored(_apart(pairs.join(first, ["a", "b"], "left_anti"), found, pairs.count()), folder, "others")
-    found = merged(found, confirmed(others, "others"), folder, "stars")
+    if not others.isEmpty():
+        found = merged(found, stored(_verified(others, full, similar), folder, "links_others"), folder, "stars")
 
     # bands that stars have not brought into one component
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("_m"))
     open_ = shares.groupBy("band").agg(F.max_by("component", F.struct("_m", -F.col("component"))).alias("_largest"), F.max("_m").alias("_most"), F.sum("_m").alias("n"))
     open_ = stored(open_.filter("n > _most").withColumn("q", F.col("n") - F.col("_most")), folder, "open")
-    rest = hot_join(placed.drop("n"), open_, "band", by="node", salts=SALTS, counts=open_.select("band", "n"), n=members.count())
+    rest = hot_join(placed.drop("n"), open_, "band", by="node", counts=open_.select("band", "n"))
     rest = rest.withColumn("asks", F.col("component") != F.col("_largest")).join(sets.select("node", "n_shingles", "registers"), "node")
     more = stored(_across(rest, docs, sets, size, similar), folder, "more")
     if not more.isEmpty():
@@ -454,7 +457,9 @@ def _classes(docs: DataFrame, size: int, similar: int) -> DataFrame:
     rows = sketches.select("doc_id", "_text", "n_shingles", "digest")
     # rows that are the only one of their set, and have no link, need no look-up
     other = named.filter("n_rows > 1 OR _component <> node").select("digest", "_component")
-    joined = hot_join(rows.withColumn("digest", F.coalesce("digest", F.lit(bytearray()))), other, "digest", by="doc_id", how="left", salts=SALTS, counts=groups.select("digest", F.col("n_rows").alias("n")), n=sketches.count())
+    linked = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    joined = hot_join(rows.filter(linked), other, "digest", by="doc_id", how="left", counts=groups.select("digest", F.col("n_rows").alias("n")))
+    joined = joined.unionByName(rows.filter(~linked).withColumn("_component", F.lit(None).cast("bigint")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return joined.select("doc_id", "_text", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
