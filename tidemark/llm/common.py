@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -175,7 +176,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], by: s
     groups as their number asks for, and its right rows go to each of them; so
     no key's rows meet in one task, and what is repeated stays a small part.
     counts has (keys, n) for left, and is made from it if not given; n is their
-    sum or more. how: inner, left or left_semi.
+    sum or more. how: inner, left or left_semi. Left rows with a null key match
+    nothing and are dealt out too.
     """
     keys, by = ([x] if isinstance(x, str) else list(x) for x in (keys, by))
     if counts is None:
@@ -185,6 +187,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], by: s
     named, salt = unused([*left.columns, *right.columns], "_groups", "_salt")
     hot = hot.withColumnRenamed(groups, named)
     many = F.coalesce(F.col(named), F.lit(1))
-    left = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(*by), many).cast("int")).drop(named)
+    keyless = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    left = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(*by), F.when(keyless, HOT_PARTS).otherwise(many)).cast("int")).drop(named)
     right = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(named)
     return left.join(right, [*keys, salt], how).drop(salt)
