@@ -18,7 +18,7 @@ from tidemark.llm.common import hot_join, scratch_dir, stored, table, unused
 #: Without given weights, a source's target is its share to this power.
 TEMPERATURE = 0.5
 SEED = "mix-1"
-#: Up to so many sources (some 20 MB) the rates are broadcast, else joined by salted shuffle.
+#: Up to so many sources (some 20 MB) the rates are broadcast, else joined by a shuffle that deals large sources to groups.
 MAX_BROADCAST_SOURCES = 100_000
 #: exp(-mean) of a larger mean would leave the range of doubles.
 LARGEST_MEAN = 500
@@ -59,7 +59,9 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, text: str
     Shares are of characters. weights maps sources to target weights of any
     scale; a source without one gets none of the mixture. Without weights each
     target is the present share to the power TEMPERATURE. The total stays what
-    it is. A source that holds no character at all keeps rate 1.
+    it is. A source that holds no character at all keeps rate 1. A null source
+    is "", repeated rows count each, other columns mean nothing, no rows give
+    no sources.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
         F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars")
@@ -88,22 +90,24 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str =
     an MD5 number of seed, doc_id and copy, and are sorted by it there.
 
     A null source is a source of its own (""); null and empty texts count no
-    characters but are drawn at their source's rate; a null doc_id is drawn as
-    the id "". Repeated rows draw the same count. Empty input gives no rows.
+    characters but are drawn at their source's rate. A row without doc_id is
+    drawn by a hash of its text. Rows that repeat both draw the same count.
+    Other columns of docs stay, whatever their names. Empty input gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("copy", "shuffle_key")
-    rates = stored(source_rates(docs, weights, text), scratch_dir(spark), "rates").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    docs = docs.withColumn("_source", F.coalesce("source", F.lit("")))
-    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    docs = docs.withColumn("_id", doc_id)
-    if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates), "_source")
+    source, rate, id_, n = unused(docs.columns, "_source", "_rate", "_id", "_n")
+    sizes = stored(source_rates(docs, weights, text), scratch_dir(spark), "rates")
+    rates = sizes.select(F.col("source").alias(source), F.col("rate").alias(rate))
+    unnamed = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    docs = docs.withColumns({source: F.coalesce("source", F.lit("")), id_: F.coalesce(F.col("doc_id").cast("string"), unnamed)})
+    if sizes.count() <= MAX_BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(rates), source)
     else:
-        joined = salted_join(docs, rates, ["_source"], by="_id")
-    drawn = joined.withColumn("_n", repetitions(F.col("_rate"), seed, F.col("_id")))
-    copies = drawn.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = copies.withColumn("shuffle_key", unit(F.lit(seed), F.lit("order"), F.col("_id"), F.col("copy"))).drop("_source", "_rate", "_n", "_id")
+        joined = hot_join(docs, rates, source, by=id_, counts=sizes.select(F.col("source").alias(source), F.col("n_docs").alias("n")))
+    drawn = joined.withColumn(n, repetitions(F.col(rate), seed, F.col(id_)))
+    copies = drawn.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    keyed = copies.withColumn("shuffle_key", unit(F.lit(seed), F.lit("order"), F.col(id_), F.col("copy"))).drop(source, rate, n, id_)
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

@@ -69,14 +69,15 @@ FROM c LEFT JOIN j ON c.host = j.host AND c.fetched = j.fetched"""
 
 def op4() -> str:
     unit = lambda v: f"((('0x' || substr(md5({v}), 1, 13))::UBIGINT)::DOUBLE + 0.5) / {2**52}::DOUBLE"
+    key = "coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))"
     return f"""
-WITH d AS (SELECT doc_id, source, lang, text, coalesce(source, '') AS s, {unit(f"'{mixing.SEED}:' || doc_id || ':1'")} AS u FROM documents),
+WITH d AS (SELECT doc_id, source, lang, text, coalesce(source, '') AS s, {key} AS id, {unit(f"'{mixing.SEED}:' || {key} || ':1'")} AS u FROM documents),
 n AS (SELECT s, coalesce(sum(length(text)), 0)::DOUBLE AS chars FROM d GROUP BY s),
 r AS (SELECT s, CASE WHEN chars = 0 THEN 1.0 ELSE pow(chars, {mixing.TEMPERATURE}) / (SELECT sum(pow(chars, {mixing.TEMPERATURE})) FROM n) * (SELECT sum(chars) FROM n) / chars END AS rate FROM n),
 p AS (SELECT s, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END AS p FROM (SELECT s, rate, unnest(range(0, (rate + 10 * sqrt(rate) + 30)::INT)) AS k FROM r)),
 c AS (SELECT s, list(cdf ORDER BY k) AS cdf FROM (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM p) GROUP BY s),
 x AS (SELECT d.*, unnest(range(0, len(list_filter(cdf, lambda q: q <= u)))) AS copy FROM d JOIN c USING (s))
-SELECT doc_id, source, lang, text, copy::INT AS copy, {unit(f"'{mixing.SEED}:order:' || doc_id || ':' || copy")} AS shuffle_key FROM x"""
+SELECT doc_id, source, lang, text, copy::INT AS copy, {unit(f"'{mixing.SEED}:order:' || id || ':' || copy")} AS shuffle_key FROM x"""
 
 
 def op5() -> str:
