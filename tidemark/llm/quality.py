@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, lower_ascii, table
+from tidemark.llm.common import let, lower_ascii, table, unused
 
 NO_SYMBOL = "[^#*$%&|<>]+"
 WORD = r"[^ \t\n\x0b\f\r]"
@@ -41,6 +41,7 @@ MAX_SEPARATORS = 20
 #: A document that keeps less than this percentage of its word characters goes.
 MIN_LEFT = 50
 MIN_WORDS, WINDOW, MAX_REPEATED = 10, 5, 20
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "chars_left")
 
 
 def words_of(text: Column) -> Column:
@@ -98,8 +99,8 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_bad_lines, chars_left (all bigint), cleaned (the lines that pass, null
     only for a null text), base_failed and kept. A null text counts as empty,
-    which fails; order, repeated rows and all other columns stay as they are.
-    Columns of docs with one of these names give way to the new ones.
+    which fails; order, repeated rows and all other columns stay as they are,
+    whatever their names; only columns with one of these names give way.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(value, "\n")
@@ -108,22 +109,19 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     sound = F.filter(lines, lambda x: blank(x) | ~line_fails(x))
     # a line can hold a phrase only if the whole text does
     said = F.when(says_boilerplate(value), F.filter(sound, lambda x: ~says_boilerplate(x))).otherwise(sound)
-    figures = {"_words": words_of(value), "_good": said}
+    own = unused([*docs.columns, *FIGURES], "_words", "_good")
+    words, good = F.col(own[0]), F.col(own[1])
     solid = lambda w: F.length(F.array_join(w, ""))
-    left = F.when(F.size("_good") == F.size(lines), solid("_words")).otherwise(solid(words_of(F.array_join("_good", "\n"))))
-    added = {
-        "n_words": F.size("_words").cast("bigint"),
-        "word_chars": solid("_words").cast("bigint"),
-        "n_symbols": F.length(F.regexp_replace(value, NO_SYMBOL, "")).cast("bigint"),
-        "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("bigint"),
-        "n_bad_lines": (F.size(lines) - F.size("_good")).cast("bigint"),
-        "cleaned": F.when(F.col(text).isNotNull(), F.array_join("_good", "\n")),
-        "chars_left": left.cast("bigint"),
-    }
-    out = docs.withColumns(figures).withColumns(added)
+    left = F.when(F.size(good) == F.size(lines), solid(words)).otherwise(solid(words_of(F.array_join(good, "\n"))))
+    figures = (
+        F.size(words), solid(words), F.length(F.regexp_replace(value, NO_SYMBOL, "")), let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        repeated_words(words), F.size(lines) - F.size(good), left,
+    )
+    cleaned = F.when(F.col(text).isNotNull(), F.array_join(good, "\n"))
+    out = docs.withColumns(dict(zip(own, (words_of(value), said), strict=True)))
+    out = out.withColumns({**{k: x.cast("bigint") for k, x in zip(FIGURES, figures, strict=True)}, "cleaned": cleaned})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & (100 * F.col("chars_left") >= MIN_LEFT * F.col("word_chars"))}).drop(*figures)
+    return out.withColumns({"base_failed": failed, "kept": ~failed & (100 * F.col("chars_left") >= MIN_LEFT * F.col("word_chars"))}).drop(*own)
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
