@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from tidemark.llm.common import lower_ascii, table
+from tidemark.llm.common import hot_join, hot_keys, lower_ascii, table
 
-#: Tasks over which one hot host or domain is spread.
-SALTS = 16
 FOREVER = "9999-12-31"
 
 
@@ -53,21 +52,26 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Adds host, n_active (intervals that hold), active_lists (distinct names,
     sorted, comma-joined), matched_key (the longest active key) and blocked:
     whether an active block entry has a longer key than any active allow entry.
-    Columns of captures with these names give way. A null or relative URL has
+    Columns of captures with these names give way; others stay, whatever theirs. A null or relative URL has
     no host and, like a null fetch date, is never blocked; repeated rows are
     judged alike; without entries nothing is blocked.
 
     Verdicts are computed once for each (host, day), which partial aggregation
-    makes few even where one host has a third of all captures, and each (host,
-    day) is looked up by its parents with salted keys, so that a domain that
-    nearly all hosts share is spread over tasks. No side is broadcast by us.
+    makes few even where one host has a third of all captures. Domains that
+    many hosts share are dropped before the shuffle if no list holds them, and
+    else dealt to groups by their number, and so are the captures of a host on
+    a day. Only such keys are broadcast, a thousand at most.
     """
     captures = captures.drop("host", "n_active", "active_lists", "matched_key", "blocked").withColumn("host", host_of(F.col("url")))
     asked = captures.filter("host IS NOT NULL AND fetched_on IS NOT NULL").select("host", "fetched_on").distinct()
-    asked = asked.withColumn("_salt", F.pmod(F.xxhash64("host", "fetched_on"), F.lit(SALTS)).cast("int")).withColumn("key", F.explode(parents_of(F.col("host"))))
-    lists = validity(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = asked.withColumn("key", F.explode(parents_of(F.col("host"))))
+    lists = validity(entries)
+    counts = asked.groupBy("key").agg(F.count("*").alias("n"))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    unlisted = hot_keys(counts, ["key"], n)[0].join(lists, "key", "left_anti").select("key")
+    asked = asked.join(F.broadcast(unlisted), "key", "left_anti")
     within = (F.col("fetched_on") >= F.col("valid_from")) & (F.col("fetched_on") < F.col("valid_to"))
-    hits = asked.join(lists, ["key", "_salt"]).filter(within)
+    hits = hot_join(asked, lists, "key", by=("host", "fetched_on"), counts=counts, n=n).filter(within)
     size = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.length("key"))), F.lit(0))
     verdicts = hits.groupBy("host", "fetched_on").agg(
         F.count("*").alias("n_active"),
@@ -75,10 +79,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.max_by("key", F.length("key")).alias("matched_key"),
         (size("block") > size("allow")).alias("blocked"),
     )
-    # one verdict serves all captures of a host on a day: salted likewise
-    drawn = F.pmod(F.xxhash64(*captures.columns), F.lit(SALTS)).cast("int")
-    verdicts = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = captures.withColumn("_salt", drawn).join(verdicts, ["host", "fetched_on", "_salt"], "left").drop("_salt")
+    # one verdict serves all captures of a host on a day
+    by = [c for c in captures.columns if not isinstance(captures.schema[c].dataType, (MapType, VariantType))]
+    out = hot_join(captures, verdicts, ("host", "fetched_on"), by=by, how="left")
     return out.withColumns({"n_active": F.coalesce("n_active", F.lit(0)).cast("bigint"), "active_lists": F.coalesce("active_lists", F.lit("")), "blocked": F.coalesce("blocked", F.lit(False))})
 
 
