@@ -560,7 +560,8 @@ def _redact(tagger: Tagger, texts: list) -> dict[str, list]:
 def redact_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets, and n_chars, if there is one, to match.
 
-    Null texts stay null. Columns and rows stay as they are otherwise.
+    Null texts stay null. Columns and rows stay as they are otherwise, whatever
+    the columns' names, repeated rows and those without doc_id included.
     """
     weights = tagger.p
     done = map_text(docs, _redact, ["text"], _TEXT, make=lambda: Tagger(weights), carry=True)

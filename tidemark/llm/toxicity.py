@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import hashed_sample, map_text, table
+from tidemark.llm.common import hashed_sample, map_text, table, unused
 
 #: Look-alike letters (fixed values): what they are read as.
 HOMOGLYPHS = {
@@ -150,7 +150,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
 
     Counting runs on the executors; the driver gets at most MAX_ENTRIES
     patterns and one (weight, label) pair for each sampled row. Without
-    labelled rows the lexicon is SEEDS at weight 1.
+    labelled rows the lexicon is SEEDS at weight 1. Rows without id, text or
+    label teach nothing, repeated texts count once, and columns other than
+    doc_id, text and toxic are ignored.
     """
     sample = labelled(docs, labels, rows)
     counted = map_text(sample, _count, ["text", "toxic"], _COUNTS).groupBy("pattern", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -224,12 +226,16 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of docs whose text the lexicon does not call toxic, with all their columns and no others."""
-    names = {"doc_id": "_doc_id", "held_out": "_held_out", "score": "_score", "n_hits": "_n_hits"}
+    """The rows of docs whose text the lexicon does not call toxic, with all their columns and no others.
+
+    Rows with null or empty texts stay, and so do rows without doc_id and
+    repeated ones. Columns stay as they are, whatever their names.
+    """
+    names = dict(zip(_SCORED.names, unused(docs.columns, *(f"_{n}" for n in _SCORED.names)), strict=True))
     own = StructType([StructField(names[f.name], f.dataType) for f in _SCORED])
     score = lambda x, i, t: {names[k]: v for k, v in _score(x, i, t).items()}
     scored = map_text(docs, score, ["doc_id", "text"], own, make=_maker(lexicon), carry=True)
-    return scored.filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return scored.filter(F.col(names["score"]) < THRESHOLD).select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
