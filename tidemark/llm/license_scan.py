@@ -47,8 +47,8 @@ THRESHOLD = 0.8
 WINDOW_TIMES = 2
 #: A line of so many words, or of a window's, is short.
 SHORT_LINE = 24
-#: The templates travel to every task, so there may be this many, of so many words, at most.
-MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 10_000, 1_000
+#: The templates travel to every task; those of more words than this in all do so in several passes.
+PASS_WORDS = 1_000_000
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -181,13 +181,19 @@ def places_of(words: list[str]) -> list[tuple[str, int]]:
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
+def _words(text: str | None) -> tuple[list[str], list[int]]:
+    """A text's words and at which of them each line starts."""
+    words, starts = [], []
+    for line in (text or "").translate(LOWER).split("\n"):
+        starts.append(len(words))
+        words += WORD.findall(line)
+    return words, starts
+
+
 def _scan(index: Index, ids: list, texts: list) -> dict[str, list]:
     out = {k: [] for k in RESULT.names}
     for doc_id, text in zip(ids, texts, strict=True):
-        words, starts = [], []
-        for line in (text or "").translate(LOWER).split("\n"):
-            starts.append(len(words))
-            words += WORD.findall(line)
+        words, starts = _words(text)
         out["doc_id"].append(doc_id)
         out["n_words"].append(len(words))
         out["places"].append([{"label": a, "word": i} for a, i in places_of(words)])
@@ -195,6 +201,26 @@ def _scan(index: Index, ids: list, texts: list) -> dict[str, list]:
     return out
 
 
+def _scan_more(index: Index, texts: list, blocks: list) -> dict[str, list]:
+    """blocks with those of further templates."""
+    more = ([{"label": a, "line": n, "word": i, "containment": c} for a, n, i, c in index.blocks(*_words(t))] for t in texts)
+    return {"blocks": [sorted([*a, *b], key=lambda x: (x["word"], x["label"])) for a, b in zip(blocks, more, strict=True)]}
+
+
+def passes(templates: Mapping[str, str], size: int) -> list[dict[str, str]]:
+    """templates in parts of at most `size` words each, or of one template."""
+    parts: list[dict[str, str]] = [{}]
+    left = size
+    for label, text in templates.items():
+        n = len(WORD.findall(text))
+        if parts[-1] and n > left:
+            parts.append({})
+            left = size
+        parts[-1][label] = text
+        left -= n
+    return parts
+
+
 def word_order(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
     """The vocabulary's words by how many lines of all documents hold them, rarest first.
 
@@ -221,13 +247,20 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     words stand consecutively) and blocks (label, line and word: the block's first
     ones, containment). A null text counts as empty and has none of either; a
     null doc_id stays null; repeated rows give repeated results; no rows, none.
+    Bytes that aren't UTF-8 are read as U+FFFD.
+
+    However many templates there are, all are looked for, at most PASS_WORDS
+    words of them in each pass over the texts; passes follow one another within
+    a stage.
     """
-    if len(templates) > MAX_TEMPLATES or any(len(WORD.findall(t)) > MAX_TEMPLATE_WORDS for t in templates.values()):
-        raise ValueError(f"over {MAX_TEMPLATES} templates or {MAX_TEMPLATE_WORDS} words in one")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     vocabulary = {w for t in templates.values() for w in WORD.findall(t.translate(LOWER))}
-    index = Index(templates, threshold, word_order(docs, vocabulary))
-    return map_text(docs, _scan, ["doc_id", "text"], RESULT, make=lambda: index)
+    rank = word_order(docs, vocabulary)
+    first, *more = (Index(t, threshold, rank) for t in passes(templates, PASS_WORDS))
+    out = map_text(docs, _scan, ["doc_id", "text"], RESULT, make=lambda: first, carry=bool(more))
+    for index in more:
+        out = map_text(out, _scan_more, ["text", "blocks"], StructType([RESULT["blocks"]]), make=lambda x=index: x, carry=True)
+    return out.select(*RESULT.names)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
