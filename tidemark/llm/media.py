@@ -3,9 +3,10 @@
 A payload becomes the 8-bit samples of a mono WAV file in a binary column.
 Reading goes through the wave module: short-time Fourier transforms give the
 loudest frequencies over time, and pairs of such peaks (two frequencies and
-the time between them) with the time of the first are the fingerprint. A payload
-that fits one frame is transformed in short frames instead, whose peaks also
-stand with their loudness, as a few letters differ in little else.
+the time between them, of one band or of two) with the time of the first are the
+fingerprint. Where nothing sounds there is no peak. A payload that fits one
+frame is transformed in short frames instead, whose peaks also stand with their
+loudness, as a few letters differ in little else.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import io
 import wave
 import zlib
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +27,15 @@ from tidemark.llm.common import map_text, table
 UNIT = 64
 RATE = 8_000
 WINDOW, HOP = 512, 256
-#: The loudest bin of each band of frequencies in a frame is a peak.
+#: The loudest bin of each band of frequencies in a frame is a peak, if it is this loud.
+LEAST = 1.0
 BANDS = ((4, 64), (64, 257))
 #: The same for payloads of at most WINDOW bytes.
-SHORT_WINDOW, SHORT_HOP = 16, 4
+SHORT_WINDOW, SHORT_HOP = 16, 8
 SHORT_BANDS = ((1, 4), (4, 9))
 #: Loudness is counted in such parts; it stays below 16 bits.
 LOUDNESS = 1 / 8
-#: A peak is paired with the peaks of so many frames after its own.
+#: A peak is paired with the peaks of higher bands in its frame, and with all of so many frames after it.
 AHEAD = 2
 #: Frames transformed at a time.
 FRAMES = 4_096
@@ -71,7 +74,10 @@ _shape = np.hanning(WINDOW)
 
 
 def peaks_of(samples: bytes) -> np.ndarray:
-    """The loudest bin for each frame (row) and band (column); the lowest of equals."""
+    """The loudest bin for each frame (row) and band (column), the lowest of equals; -1 where nothing sounds.
+
+    A frame's mean is taken off first, so that a constant level is silence.
+    """
     x = np.frombuffer(samples, np.uint8)
     n = max(1, -(-(len(x) - WINDOW) // HOP) + 1)
     padded = np.full(WINDOW + (n - 1) * HOP, 128, np.uint8)
@@ -79,14 +85,18 @@ def peaks_of(samples: bytes) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::HOP]
     found = np.empty((n, len(BANDS)), np.int32)
     for i in range(0, n, FRAMES):
-        part = (frames[i : i + FRAMES].astype(np.float64) - 128) * _shape
+        part = frames[i : i + FRAMES].astype(np.float64)
         # rounded, so that noise in the last bits of a transform can't turn a tie
-        power = np.round(np.abs(np.fft.rfft(part)), 3)
-        for b, (low, high) in enumerate(BANDS):
-            found[i : i + FRAMES, b] = low + power[:, low:high].argmax(axis=1)
+        power = np.round(np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * _shape)), 3)
+        found[i : i + FRAMES] = _loudest(power, BANDS)
     return found
 
 
+def _loudest(power: np.ndarray, bands: tuple) -> np.ndarray:
+    found = np.stack([low + power[:, low:high].argmax(axis=1) for low, high in bands], axis=1)
+    return np.where(np.take_along_axis(power, found, axis=1) >= LEAST, found, -1).astype(np.int32)
+
+
 _short_shape = np.hanning(SHORT_WINDOW + 2)[1:-1]
 
 
@@ -99,14 +109,16 @@ def short_peaks_of(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     padded[before : before + len(x)] = x
     frames = np.lib.stride_tricks.sliding_window_view(padded, SHORT_WINDOW)[::SHORT_HOP]
     power = np.round(np.abs(np.fft.rfft((frames.astype(np.float64) - 128) * _short_shape)), 3)
-    found = np.stack([low + power[:, low:high].argmax(axis=1) for low, high in SHORT_BANDS], axis=1).astype(np.int32)
-    loud = np.round(np.take_along_axis(power, found, axis=1) / LOUDNESS).astype(np.int32)
+    found = _loudest(power, SHORT_BANDS)
+    loud = np.round(np.take_along_axis(power, np.maximum(found, 0), axis=1) / LOUDNESS).astype(np.int32)
     return found, loud
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(times, codes): for each pair of peaks the first one's frame, and both bins with the frames between.
 
+    Bands don't overlap, so the bins tell of which band each peak is.
+
     For at most WINDOW samples, those of short frames, and for each peak its
     bin with its loudness and no frames between. Zeros alone, the payload of an
     empty text, have neither.
@@ -117,15 +129,19 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     elif any(samples):
         peaks, loud = short_peaks_of(samples)
         for b in range(len(SHORT_BANDS)):
-            times.append(np.arange(len(peaks), dtype=np.int32))
-            codes.append((peaks[:, b] << 20) | (loud[:, b] << 4))
+            at = np.flatnonzero(peaks[:, b] >= 0).astype(np.int32)
+            times.append(at)
+            codes.append((peaks[at, b] << 20) | (loud[at, b] << 4))
     else:
         return times[0], codes[0]
     n = len(peaks)
-    for ahead in range(1, min(AHEAD, n - 1) + 1):
-        for b in range(peaks.shape[1]):
-            times.append(np.arange(n - ahead, dtype=np.int32))
-            codes.append((peaks[:-ahead, b] << 14) | (peaks[ahead:, b] << 4) | ahead)
+    for ahead in range(min(AHEAD, n - 1) + 1):
+        for one, other in product(range(peaks.shape[1]), repeat=2):
+            if not ahead and one >= other:
+                continue
+            at = np.flatnonzero((peaks[: n - ahead, one] >= 0) & (peaks[ahead:, other] >= 0)).astype(np.int32)
+            times.append(at)
+            codes.append((peaks[at, one] << 14) | (peaks[at + ahead, other] << 4) | ahead)
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order], c[order]
@@ -140,7 +156,14 @@ def _read(ids: list, n_bytes: list, media: list) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in READ.names}
     out["doc_id"], out["n_bytes"] = ids, n_bytes
     for file in media:
-        payload = from_wav(file)
+        try:
+            payload = from_wav(file)
+        except (TypeError, ValueError, EOFError, wave.Error):
+            # nothing is known of what isn't such a file
+            for column in out.values():
+                if column is not ids and column is not n_bytes:
+                    column.append(None)
+            continue
         times, codes = fingerprint(payload)
         out["payload_bytes"].append(len(payload))
         out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
@@ -157,6 +180,7 @@ def store_media(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty: one unit of zeros. A null doc_id stays null,
     repeated rows repeat, other columns of docs are ignored, no rows, none.
+    Bytes that aren't UTF-8 are read as U+FFFD.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_text(docs, _store, ["doc_id", "text"], MEDIA)
@@ -165,14 +189,16 @@ def store_media(docs: DataFrame) -> DataFrame:
 def read_media(files: DataFrame) -> DataFrame:
     """Sizes and digests of each file (doc_id, n_bytes, media) and its fingerprint (times, codes).
 
-    Files must be mono WAV of 8-bit samples. Only one of up to WINDOW zeros has
-    an empty fingerprint.
+    Files are mono WAV of 8-bit samples; of a null or any other file all of
+    that is null. A file of one level throughout has an empty fingerprint.
+    Repeated rows repeat, a null doc_id stays null, other columns are ignored;
+    no rows, none.
     """
     return map_text(files, _read, MEDIA.names, READ, text="media")
 
 
 def op7_wav_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(store_media(table(spark, sf_dir, "documents")))
-    coded = F.sha2(F.concat_ws(";", F.array_join("times", ","), F.array_join("codes", ",")), 256)
-    feature = F.concat_ws(":", F.size("codes").cast("string"), coded)
+    # the fingerprint itself, so that two texts' can be compared
+    feature = F.concat_ws(";", F.array_join("times", ","), F.array_join("codes", ","))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
