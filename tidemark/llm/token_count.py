@@ -9,28 +9,39 @@ These are the states of a deterministic transducer; each transition carries
 by how much the number of pieces changes. States and transitions are made
 when first needed.
 
-A text is cut into blocks. A space resets the transducer, as no piece spans a
-letter and a space after it, so a block's map from entry state to exit state
-and count is known by its letters up to the first reset, the count between,
-and the letters after the last. Such maps compose associatively; a scan over
-the blocks' maps gives the count of the whole, wherever blocks were cut.
+A text is cut into chunks. A chunk's map tells, for the states in which it may
+be entered, in which state it is left and how many pieces it adds. Maps compose
+by looking one's exit up in the other's entries, in any grouping; a scan over
+the maps of a text gives its count. The states in which a chunk may be entered
+come from the letters before it: after a space, which no piece spans, there is
+one; else the transducer is run over those letters from several places, as
+nearly all histories end in the same few states. A state that is entered all
+the same without being in a map is run when maps are composed.
+
+Long texts are cut first, and their chunks go to tasks of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import kept, map_text, table
+from tidemark.llm.common import kept, map_text, scratch_dir, stored, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Letters in a block of the scan.
-BLOCK = 1 << 16
+#: Letters in a chunk, and letters of a text whose chunks are spread over tasks.
+CHUNK, LONG = 1 << 16, 1 << 20
+#: The states in which a chunk may be entered are looked for so many letters, and up to SHIFTS fewer, before it.
+BEFORE, SHIFTS = 64, 16
 #: What a process keeps: words of known count in each of two generations, and states.
 CACHE_WORDS, MAX_STATES = 300_000, 400_000
 MARK = "▁"
@@ -112,18 +123,26 @@ class Transducer:
             self.moves.append({})
         return found
 
-    def count(self, word: str) -> int:
-        """Pieces of a word, from the start state on."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        state, total, moves = 0, 0, self.moves
+    def run(self, word: str, state: int = 0) -> tuple[int, int]:
+        """(the state after a word, pieces that it adds), from a state on."""
+        total, moves = 0, self.moves
         for letter in word:
             step = moves[state].get(letter)
             if step is None:
                 step = moves[state][letter] = self.move(state, letter)
             state = step[0]
             total += step[1]
-        return total
+        return state, total
+
+    def make_room(self) -> None:
+        """Forget all states if there are too many; numbers of states don't outlive this."""
+        if len(self.states) > MAX_STATES:
+            self._reset()
+
+    def count(self, word: str) -> int:
+        """Pieces of a word, from the start state on."""
+        self.make_room()
+        return self.run(word)[1]
 
 
 class Counts(dict):
@@ -144,59 +163,88 @@ class Counts(dict):
         return n
 
 
-@dataclass(frozen=True)
-class BlockMap:
-    """What a block does to the transducer, whatever state it is entered in.
+#: The state after nothing, in the form that goes from process to process.
+START = ("", (("", 0),))
+
+
+@dataclass
+class ChunkMap:
+    """What a chunk does to the transducer: for each entry state its exit state and how many pieces it adds.
 
-    head: the letters before the first reset; inside: the count from the first
-    reset to the last; tail: the letters after the last. Without a reset only
-    head is set, and tail is None.
+    fresh: it begins where the transducer resets, so every entry is START.
+    again: runs the chunk from a state that moves doesn't have; None where its letters aren't at hand.
     """
 
-    head: str
-    inside: int = 0
-    tail: str | None = None
+    moves: dict[tuple, tuple[tuple, int]]
+    fresh: bool
+    again: Callable[[tuple], tuple[tuple, int]] | None = None
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        state = START if self.fresh else state
+        found = self.moves.get(state)
+        if found is None:
+            if self.again is None:
+                raise LookupError("a chunk is entered in a state that was not foreseen")
+            found = self.moves[state] = self.again(state)
+        return found
+
+    def then(self, after: ChunkMap) -> ChunkMap:
+        """The map of both chunks, entered in the states in which this one is."""
 
-    def then(self, after: BlockMap, counts: Counts) -> BlockMap:
-        if self.tail is None:
-            joined = map_of(self.head + after.head, counts)
-            if after.tail is None or joined.tail is None:
-                return BlockMap(joined.head, after.inside, after.tail) if joined.tail is None else joined
-            return BlockMap(joined.head, joined.inside + counts[joined.tail] + after.inside, after.tail)
-        joined = map_of(self.tail + after.head, counts)
-        resets = 0 if joined.tail is None else counts[joined.head] + joined.inside
-        end = joined.head if joined.tail is None else joined.tail
-        if after.tail is None:
-            return BlockMap(self.head, self.inside + resets, end)
-        return BlockMap(self.head, self.inside + resets + counts[end] + after.inside, after.tail)
+        def through(state: tuple) -> tuple[tuple, int]:
+            middle, n = self(state)
+            end, m = after(middle)
+            return end, n + m
 
-    def total(self, counts: Counts) -> int:
-        return (counts[self.head] if self.head else 0) + self.inside + (counts[self.tail] if self.tail else 0)
+        return ChunkMap({s: through(s) for s in self.moves}, self.fresh, through)
 
 
-def map_of(block: str, counts: Counts) -> BlockMap:
-    words = SEGMENT.findall(block)
-    if len(words) < 2:
-        return BlockMap(block)
-    return BlockMap(words[0], sum(map(counts.__getitem__, words[1:-1])), words[-1])
+def map_of(chunk: str, before: str, counts: Counts) -> ChunkMap:
+    """The map of a chunk after these letters: all of the text's, or BEFORE of them at least."""
+    t = counts.transducer
+    t.make_room()
+    head, *words = SEGMENT.findall(chunk)
+    fresh = not before or (chunk[0] == MARK and before[-1] != MARK)
+    inside = sum(map(counts.__getitem__, words[:-1]))
+    end = t.states[t.run(words[-1])[0]] if words else None
+    inside += counts[words[-1]] if words else 0
 
+    def run(state: tuple) -> tuple[tuple, int]:
+        after, n = t.run(head, t._at(state))
+        return (end if words else t.states[after]), n + inside
 
-def scan(maps: list[BlockMap], counts: Counts) -> BlockMap:
+    if fresh:
+        entries = {START}
+    else:
+        near = before[-BEFORE:]
+        # from the last reset on there is one history only
+        last = SEGMENT.findall(near)[-1]
+        known = len(last) < len(near) or len(near) == len(before)
+        entries = {t.states[t.run(last[i:])[0]] for i in range(1 if known else SHIFTS)}
+    return ChunkMap({s: run(s) for s in entries}, fresh, run)
+
+
+def scan(maps: list[ChunkMap]) -> ChunkMap:
     """The composition of all maps, pair by pair, as parallel scans go."""
     while len(maps) > 1:
-        paired = [a.then(b, counts) for a, b in zip(maps[::2], maps[1::2], strict=False)]
+        paired = [a.then(b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
         maps = paired + maps[len(maps) & ~1 :]
     return maps[0]
 
 
-def count_text(text: str, counts: Counts, block: int = BLOCK) -> int:
+def marked(text: str) -> str:
+    return MARK + text.replace(" ", MARK)
+
+
+def count_text(text: str, counts: Counts, chunk: int = CHUNK) -> int:
     if not text:
         return 0
-    marked = MARK + text.replace(" ", MARK)
-    if len(marked) <= block:
-        return sum(map(counts.__getitem__, SEGMENT.findall(marked)))
-    maps = [map_of(marked[i : i + block], counts) for i in range(0, len(marked), block)]
-    return scan(maps, counts).total(counts)
+    letters = marked(text)
+    if len(letters) <= chunk:
+        # one chunk, entered in START
+        return sum(map(counts.__getitem__, SEGMENT.findall(letters)))
+    maps = [map_of(letters[i : i + chunk], letters[max(0, i - 2 * BEFORE) : i], counts) for i in range(0, len(letters), chunk)]
+    return scan(maps)(START)[1]
 
 
 def load(path: str | None) -> Counts:
@@ -227,16 +275,76 @@ def _count(counts: Counts, ids: list, texts: list) -> dict[str, list]:
     }
 
 
+_ROW = [StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("digest", StringType())]
+_PART = StructType([*_ROW, StructField("chunk", LongType()), StructField("before", StringType()), StructField("letters", StringType())])
+_MAP = StructType([*_ROW, StructField("chunk", LongType()), StructField("fresh", BooleanType()), StructField("moves", StringType())])
+
+
+def _cut(ids: list, texts: list) -> dict[str, list]:
+    """A row for each chunk of each text, with the letters before it."""
+    out: dict[str, list] = {k: [] for k in _PART.names}
+    for doc_id, text in zip(ids, texts, strict=True):
+        data, letters = text.encode(), marked(text)
+        starts = range(0, len(letters), CHUNK)
+        row = [doc_id, len(data), hashlib.sha256(data).hexdigest()]
+        for name, value in zip(_PART.names, row, strict=False):
+            out[name] += [value] * len(starts)
+        out["chunk"] += range(len(starts))
+        out["before"] += [letters[max(0, i - 2 * BEFORE) : i] for i in starts]
+        out["letters"] += [letters[i : i + CHUNK] for i in starts]
+    return out
+
+
+def _mapped(counts: Counts, *columns: list) -> dict[str, list]:
+    *kept, before, letters = columns
+    maps = [map_of(x, b, counts) for x, b in zip(letters, before, strict=True)]
+    return dict(zip(_MAP.names, kept, strict=False)) | {"fresh": [m.fresh for m in maps], "moves": [json.dumps([*m.moves.items()]) for m in maps]}
+
+
+def _frozen(x: object) -> object:
+    return tuple(map(_frozen, x)) if isinstance(x, list) else x
+
+
+def _composed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The maps of one text composed; no count if a chunk was entered in a state that its map doesn't have."""
+    times = int((rows["chunk"] == 0).sum())
+    rows = rows.drop_duplicates("chunk").sort_values("chunk")
+    maps = [ChunkMap(dict(_frozen(json.loads(m))), bool(f)) for m, f in zip(rows["moves"], rows["fresh"], strict=True)]
+    try:
+        n = scan(maps)(START)[1]
+    except LookupError:
+        n = None
+    first = rows.iloc[0]
+    return pd.DataFrame({"doc_id": [first["doc_id"]] * times, "n_bytes": first["n_bytes"], "digest": first["digest"], "n_tokens": pd.array([n] * times, "Int64")})
+
+
+def _count_long(docs: DataFrame, path: str | None) -> DataFrame:
+    """count_tokens for long texts: each chunk is mapped in a task of its own, and what meets again are the maps."""
+    make = lambda: load(path)
+    parts = map_text(docs, _cut, ["doc_id", "text"], _PART).repartition("digest", "chunk")
+    maps = map_text(parts, _mapped, _PART.names, _MAP, text="letters", make=make)
+    counted = stored(maps.groupBy("doc_id", "digest").applyInPandas(_composed, StructType([*_ROW, RESULT["n_tokens"]])), scratch_dir(docs.sparkSession), "long")
+    done = counted.filter("n_tokens IS NOT NULL").drop("digest")
+    open_ = counted.filter("n_tokens IS NULL").select("digest").distinct()
+    # histories that leave states of their own are rare: such texts are gone through in one piece
+    rest = docs.withColumn("digest", F.sha2("text", 256)).join(open_, "digest", "left_semi")
+    return done.unionByName(map_text(rest, _count, ["doc_id", "text"], RESULT, make=make)).select(*RESULT.names)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens for each row of docs (doc_id, text).
 
     path: a SentencePiece BPE model with byte fallback and identity
     normalisation, by default the public one. A null text counts as empty: no
     bytes, no tokens. A null doc_id stays null, repeated rows repeat, other
-    columns are ignored, no rows give none.
+    columns are ignored, no rows give none. Bytes that aren't UTF-8 are read as
+    U+FFFD. Texts of more than LONG letters are cut into chunks that are
+    counted in parallel.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_text(docs, _count, ["doc_id", "text"], RESULT, make=lambda: load(path))
+    long = F.length("text") > LONG
+    usual = map_text(docs.filter(F.col("text").isNull() | ~long), _count, ["doc_id", "text"], RESULT, make=lambda: load(path))
+    return usual.unionByName(_count_long(docs.filter(long).withColumn("text", F.make_valid_utf8("text")), path))
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
