@@ -110,6 +110,28 @@ def test_tables_export_and_log(spark, tmp_path):
         records.read_decisions(spark, str(tmp_path / "bad")).collect()
 
 
+def test_only_a_last_line_without_its_end_may_be_torn(spark, tmp_path):
+    good = [f'{{"payment_id": "txn_{i}", "note": "{"x" * 50}"}}' for i in range(40)]
+
+    def read(name, *files):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(files):
+            (tmp_path / name / f"{i}.jsonl").write_bytes(text.encode())
+        return sorted(r.payment_id for r in records.read_decisions(spark, str(tmp_path / name)).collect())
+
+    whole, all_ = "\n".join(good) + "\n", sorted(f"txn_{i}" for i in range(40))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")  # several parts to a file
+    try:
+        assert read("whole", whole) == read("open", whole[:-1]) == read("blank", "\n\n" + whole + "\n  \n") == all_
+        assert read("torn", whole + '{"payment_id": "tx') == read("closed", whole + '{"payment_id": "a}') == read("windows", whole.replace("\n", "\r\n") + "{") == all_
+        assert read("two", whole + "{", "{" + "x" * 40) == all_
+        for name, text in {"first": "{\n" + whole, "middle": "\n".join([*good[:20], '{"pay', *good[20:]]), "ended": whole + "{\n", "both": "x\n" + whole + "{", "late": whole + "{\n\n", "other": whole + "7\n"}.items():
+            with pytest.raises(ValueError, match=f"{name}/0.jsonl: 1 lines are not a decision"):
+                read(name, text, whole + "{")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_cached(spark, tmp_path):
     src, calls = write(tmp_path, "s.csv", "x\n1\n"), []
 

@@ -102,6 +102,29 @@ def test_chunks_of_time_change_nothing(spark):
         velocity.features(df, chunks={"card": week - 1})
 
 
+@pytest.mark.parametrize("rows_", [2, 30])
+def test_hot_keys_are_dealt_by_time_and_nothing_changes(spark, rows_):
+    rows = history(240, 5)
+    df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
+    split = velocity.hot_chunks(df, rows_)
+    assert split["hot"] and set(split["hot"]) == set(split["chunks"])
+    check(velocity.features(df, **split), brute(rows))
+    check(velocity.feature_table(df, rows=rows_), brute(rows))
+    probes, past = rows[:60], rows[60:]
+    cut = lambda x: frame(spark, x).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
+    check(velocity.as_of(cut(past), cut(probes), rows=rows_), {p[0]: brute([*past, p])[p[0]] for p in probes})
+    check(velocity.as_of(df, df, rows=rows_), brute(rows))
+
+
+def test_a_probe_before_a_new_history_belongs_to_the_old_one(spark):
+    day = 86_400
+    past = [payment(i, t) for i, t in enumerate([0, 10 * day, 41 * day])]
+    probes = [payment(100 + i, t) for i, t in enumerate([39 * day, 40 * day - 1, 40 * day, 41 * day + 1])]
+    for n in (1, 10**9):
+        got = velocity.as_of(frame(spark, past), frame(spark, probes), rows=n)
+        check(got, {p[0]: brute([*past, p])[p[0]] for p in probes})
+
+
 def test_window_edges_ties_and_ttl(spark):
     rows = [payment(5, 100_000), payment(3, 100_000), payment(4, 100_000), payment(6, 103_599), payment(7, 103_600), payment(8, 103_600 + IDLE_TTL - 1), payment(9, 103_600 + 2 * IDLE_TTL - 1)]
     got = {r.id: r for r in velocity.features(frame(spark, rows), ("card",)).collect()}

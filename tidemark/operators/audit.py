@@ -28,15 +28,14 @@ def audit(log: DataFrame, history: Mapping[int, RuleSet], model: Model | None, e
         rows = rows.withColumns({"raw_score": F.lit(None).cast("double"), "risk_score": F.lit(None).cast("double")})
     rows = rows.withColumn("risk_score", F.when(F.col("scored"), F.col("risk_score")))
     logged = rows.withColumnsRenamed({"decision": "_decision", "rule_id": "_rule_id", "shadow_matches": "_shadow"})
-    parts = []
+    # every version decides every row in one pass over the log; the row's own version then counts
+    said = {"action": F.lit(None).cast("string"), "rule_id": F.lit(None).cast("string"), "shadow_matches": F.lit(None).cast("array<string>")}
+    df = logged
     for version, rules in history.items():
-        again = decide(logged.filter(F.col("ruleset_version") == version), rules)
-        parts.append(again.drop(*[f"m_{i}" for i in range(len(rules.rules))], "rule_index"))
-    unknown = logged.filter(~F.col("ruleset_version").isin(*history) if history else F.lit(True))
-    parts.append(unknown.withColumns({"action": F.lit(None).cast("string"), "rule_id": F.lit(None).cast("string"), "shadow_matches": F.lit(None).cast("array<string>")}))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+        df = decide(df, rules).drop(*[f"m_{i}" for i in range(len(rules.rules))], "rule_index").withColumnsRenamed({c: f"_{c}_{version}" for c in said})
+        own = F.col("ruleset_version") == version
+        said = {c: F.when(own, F.col(f"_{c}_{version}")).otherwise(x) for c, x in said.items()}
+    df = df.withColumns(said)
     known = F.col("action").isNotNull()
     no = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     checks = {

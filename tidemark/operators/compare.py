@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.metrics import percentiles
+
 
 def feature_errors(reference: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column of two tables joined by id: rows, missing_mismatch, exact, mean_abs, max_abs, mean_rel, over, under.
@@ -71,9 +73,10 @@ def top_keys(events: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 def latency_windows(log: DataFrame, at: str, latency: str, seconds: int = 5) -> DataFrame:
     """(start, n, p50, p99, p999, worst) of a latency over windows of `seconds`, exact percentiles."""
-    start = (F.floor(F.col(at) / seconds) * seconds).alias("start")
-    p = lambda q: F.percentile(latency, q)
-    return log.groupBy(start).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.99).alias("p99"), p(0.999).alias("p999"), F.max(latency).alias("worst"))
+    timed = log.select((F.floor(F.col(at) / seconds) * seconds).alias("start"), F.col(latency).alias("_v"))
+    whole = timed.groupBy("start").agg(F.count("*").alias("n"), F.max("_v").alias("worst"))
+    ranked = percentiles(timed, "start", "_v", (0.5, 0.99, 0.999))
+    return whole.join(ranked, "start", "left").select("start", "n", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("p50", "p99", "p999"))], "worst")
 
 
 def order_control(exact: DataFrame, parted: DataFrame, columns: Sequence[str]) -> DataFrame:

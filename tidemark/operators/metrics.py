@@ -8,6 +8,8 @@ that no task holds all of them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,18 +27,51 @@ def tie_groups(df: DataFrame, score: str = "score", label: str = "fraud", amount
     )
 
 
+def _cuts(of: Column | str) -> Column:
+    """Values that part a column into some RANGES ranges with about equally many rows: as many as there are, whatever the rows."""
+    return F.array_distinct(F.percentile_approx(of, [k / RANGES for k in range(1, RANGES)], 10 * RANGES))
+
+
+def _range(value: Column, cuts: Column) -> Column:
+    """The range that value lies in: odd where it is one of the cuts, which a value with very many rows is."""
+    return F.aggregate(cuts, F.lit(0), lambda a, c: a + F.when(value > c, 2).when(value == c, 1).otherwise(0))
+
+
 def cumulative(groups: DataFrame, columns: tuple[str, ...] = ("p", "n", "pm", "nm")) -> DataFrame:
     """groups with c_<column>: sums from the highest score down to each, and t_<column>, the totals."""
-    low_high = groups.agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"), *[F.sum(c).alias(f"t_{c}") for c in columns])
-    df = groups.join(F.broadcast(low_high))
-    span = F.col("_hi") - F.col("_lo")
-    df = df.withColumn("_r", F.when(span > 0, F.least(F.floor((F.col("s") - F.col("_lo")) / span * RANGES), F.lit(RANGES - 1))).otherwise(0).cast("int"))
+    whole = groups.agg(_cuts("s").alias("_cuts"), *[F.sum(c).alias(f"t_{c}") for c in columns])
+    # one row, the result of an aggregate without keys
+    df = groups.join(F.broadcast(whole)).withColumn("_r", _range(F.col("s"), F.col("_cuts")))
     parts = df.groupBy("_r").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     above = W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("_r", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"a_{c}") for c in columns])
     down = W.partitionBy("_r").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     df = df.join(F.broadcast(parts), "_r")
-    return df.withColumns({f"c_{c}": F.col(f"a_{c}") + F.sum(c).over(down) for c in columns}).drop("_r", "_lo", "_hi", *[f"a_{c}" for c in columns])
+    return df.withColumns({f"c_{c}": F.col(f"a_{c}") + F.sum(c).over(down) for c in columns}).drop("_r", "_cuts", *[f"a_{c}" for c in columns])
+
+
+def percentiles(values: DataFrame, by: str, value: str, q: Sequence[float]) -> DataFrame:
+    """(by, p): for each group the exact percentiles at q, linear between two values, as an array.
+
+    Rows are counted per value first; values are then ranked within ranges that
+    approximate cuts part evenly, so that no task holds all values of a group.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    whole = counts.groupBy(by).agg(_cuts("v").alias("_cuts"), F.sum("n").alias("_t"))
+    df = counts.join(whole, by).withColumn("_r", _range(F.col("v"), F.col("_cuts")))
+    parts = df.groupBy(by, "_r").agg(F.sum("n").alias("_m"))
+    below = W.partitionBy(by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(by, "_r", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_below"))
+    inside = W.partitionBy(by, "_r").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    df = df.join(parts, [by, "_r"]).withColumn("_at", F.col("_below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    aggs = []
+    for k, x in enumerate(q):
+        place = (F.col("_t") - 1) * F.lit(float(x))
+        holds = lambda i: (F.col("_at") <= i) & (i < F.col("_at") + F.col("n"))
+        aggs += [F.max(F.when(holds(F.floor(place)), F.col("v"))).alias(f"_lo{k}"), F.max(F.when(holds(F.ceil(place)), F.col("v"))).alias(f"_hi{k}"), F.max(place - F.floor(place)).alias(f"_f{k}")]
+    done = df.groupBy(by).agg(*aggs)
+    at = lambda k: F.when(F.col(f"_f{k}") == 0, F.col(f"_lo{k}")).otherwise((1 - F.col(f"_f{k}")) * F.col(f"_lo{k}") + F.col(f"_f{k}") * F.col(f"_hi{k}"))
+    return done.select(by, F.array(*[at(k) for k in range(len(q))]).alias("p"))
 
 
 def _d(c: Column | str) -> Column:
@@ -91,16 +126,19 @@ def reliability(df: DataFrame, p: str = "p", label: str = "fraud", bins: int = 1
 def reliability_by_mass(df: DataFrame, p: str = "p", label: str = "fraud", bins: int = 20, order: str = "id") -> DataFrame:
     """(bin, n, mean_p, rate) of bins with equally many rows, by p and then `order`; the first bins take what is left over.
 
-    A row's place is its place within its range of p plus the rows of lower
-    ranges, so ranks are exact and no task ranks all rows.
+    A row's place is its place within its range of p, and where one p has very
+    many rows its range of `order`, plus the rows of lower ranges; so ranks are
+    exact and no task ranks all rows.
     """
     df = df.filter(F.col(label).isin(0, 1) & F.col(p).isNotNull()).select(F.col(p).alias("p_"), F.col(label).cast("double").alias("y_"), F.col(order).alias("o_"))
-    df = df.withColumn("_r", F.least(F.floor(F.col("p_") * RANGES), F.lit(RANGES - 1)).cast("int"))
-    sizes = df.groupBy("_r").agg(F.count("*").alias("_n"))
-    below, all_ = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_r").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    sizes = sizes.select("_r", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(all_).alias("_all"))
-    df = df.join(F.broadcast(sizes), "_r")
-    place = F.col("_below") + F.row_number().over(W.partitionBy("_r").orderBy("p_", "o_")) - 1
+    df = df.join(F.broadcast(df.agg(_cuts("p_").alias("_cuts")))).withColumn("_r", _range(F.col("p_"), F.col("_cuts"))).drop("_cuts")
+    ties = df.filter("_r % 2 = 1").groupBy("_r").agg(_cuts("o_").alias("_cuts"))
+    df = df.join(F.broadcast(ties), "_r", "left").withColumn("_q", F.coalesce(_range(F.col("o_"), F.col("_cuts")), F.lit(0))).drop("_cuts")
+    sizes = df.groupBy("_r", "_q").agg(F.count("*").alias("_n"))
+    below, all_ = W.orderBy("_r", "_q").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_r", "_q").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sizes = sizes.select("_r", "_q", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(all_).alias("_all"))
+    df = df.join(F.broadcast(sizes), ["_r", "_q"])
+    place = F.col("_below") + F.row_number().over(W.partitionBy("_r", "_q").orderBy("p_", "o_")) - 1
     size, more = F.floor(F.col("_all") / bins), F.col("_all") % bins
     head = more * (size + 1)
     b = F.when(place < head, F.floor(place / (size + 1))).otherwise(more + F.floor(F.try_divide(place - head, size)))
@@ -118,6 +156,7 @@ def score_histogram(df: DataFrame, score: str = "risk_score") -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, p50): exact medians of the present values."""
-    row = df.agg(*[F.median(c).alias(c) for c in columns])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("p50")) for c in columns])))
+    """(field, p50): exact medians of the present values; null for a field without any."""
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in columns])))
+    fields = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
+    return fields.join(percentiles(each, "field", "x", (0.5,)), "field", "left").select("field", F.get("p", F.lit(0)).alias("p50"))

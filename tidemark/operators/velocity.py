@@ -11,10 +11,14 @@ Distinct cards are counted the same way, by how many cards have entered the
 window and how many have left it. All columns of one entity come from a single
 exchange on its key.
 
-A key with a large share of all rows makes one long task that way. With a chunk
-length, at least that of the longest window, rows are dealt by key and chunk
-of time instead, each chunk with the rows of the one before it; recency,
-which reaches further back, comes from one row per key and chunk.
+A key with a large share of all rows makes one long task that way. Rows of such
+keys are dealt by key and chunk of time instead, each chunk, at least as long as
+the longest window, with the rows of the one before it; recency, which reaches
+further back, comes from one row per key and chunk. Which keys those are is
+counted first.
+
+Payments not yet seen (probes) go through the same frames beside the history,
+with a weight of 0.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from tidemark.functions.values import divide, milli, number
 BUCKETS = {"1h": 60, "24h": 900, "7d": 3_600}
 #: Rows without a key are nobody's history; they are spread over so many groups.
 KEYLESS_GROUPS = 1_024
+#: A key is hot if it has more rows than a task sorts with ease, and than one in HOT_PARTS of all.
+HOT_ROWS, HOT_PARTS = 250_000, 1_000
 #: Rows in time, a probe (whose _real is 0) before a payment at its own place.
-_PROBE_ORDER = ("dt", "id", "_real")
+_ORDER = ("dt", "id", "_real")
 
 
 def _finite(x: Column) -> Column:
@@ -65,46 +71,65 @@ def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns(columns)
 
 
-def _chunked(df: DataFrame, by: list[str], chunk: int) -> tuple[DataFrame, list[str]]:
-    """df dealt to chunks of time: each row to its own (_own) and, for what comes later, to the next.
+def hot_keys(payments: DataFrame, entity: str, rows: int = HOT_ROWS) -> DataFrame | None:
+    """The entity's hot keys in these payments, HOT_PARTS at most, or None if there are none."""
+    df, by = keyed(payments, entity)
+    counts = df.filter("_k0 IS NOT NULL").groupBy(*by[:-1]).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.filter(F.col("_n") > max(rows, total // HOT_PARTS)).drop("_n")
+    # fewer than HOT_PARTS rows, as each has more than that part of all
+    found = hot.collect()
+    return payments.sparkSession.createDataFrame(found, hot.schema) if found else None
+
 
-    Adds _before, the key's last time before the chunk, and _start, when the
-    key's history began as of the chunk; no gap of IDLE_TTL fits into a chunk.
+def _chunked(df: DataFrame, by: list[str], chunk: int, hot: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """df with the rows of hot keys (None: of all) dealt to chunks of time: each to its own (_own) and, for what comes later, to the next.
+
+    Adds _before, the key's last time before the chunk, _start, when the key's
+    history began as of the chunk, and _first, when it began as of the chunk
+    before; all null for keys that aren't hot. No gap of IDLE_TTL fits into a chunk.
     """
     if chunk < max(WINDOWS.values()) or chunk >= IDLE_TTL:
         raise ValueError("a chunk is at least the longest window and shorter than the idle time")
-    df = df.withColumn("_c", F.floor(F.col("dt") / chunk).cast("bigint"))
-    spans = df.filter("_k0 IS NOT NULL").groupBy(*by, "_c").agg(F.min("dt").alias("_low"), F.max("dt").alias("_high"))
-    in_time = W.partitionBy(*by).orderBy("_c")
-    spans = spans.withColumn("_before", F.lag("_high").over(in_time))
-    begins = F.when(F.col("_before").isNull() | (F.col("_low") - F.col("_before") >= IDLE_TTL), F.col("_low"))
-    spans = spans.withColumn("_start", F.max(begins).over(in_time.rowsBetween(W.unboundedPreceding, 0)))
-    places = F.when(F.col("_k0").isNull(), F.array("_c")).otherwise(F.array(F.col("_c"), F.col("_c") + 1))
+    if hot is None:
+        df = df.withColumn("_hot", F.col("_k0").isNotNull())
+    else:
+        df = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), by[:-1], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    df = df.withColumn("_c", F.when(F.col("_hot"), F.floor(F.col("dt") / chunk)).otherwise(0).cast("bigint"))
+    real = F.when(F.col("_real") == 1, F.col("dt"))
+    spans = df.filter("_hot").groupBy(*by[:-1], "_c").agg(F.min(real).alias("_low"), F.max(real).alias("_high"))
+    in_time = W.partitionBy(*by[:-1]).orderBy("_c")
+    earlier = in_time.rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.last("_high", ignorenulls=True).over(earlier))
+    spans = spans.withColumn("_begins", F.when(F.col("_before").isNull() | (F.col("_low") - F.col("_before") >= IDLE_TTL), F.col("_low")))
+    spans = spans.withColumns({"_start": F.max("_begins").over(in_time.rowsBetween(W.unboundedPreceding, 0)), "_first": F.max("_begins").over(earlier)})
+    places = F.when(F.col("_hot"), F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array("_c"))
     dealt = df.withColumn("_part", F.explode(places)).withColumn("_own", F.col("_part") == F.col("_c")).drop("_c")
-    # keys are compared as they are: a row without one finds no span
-    on = [dealt[c].eqNullSafe(spans[c]) if c == "_ks" else dealt[c] == spans[c] for c in by]
-    joined = dealt.join(spans, [*on, dealt["_part"] == spans["_c"]], "left").select(*[dealt[c] for c in dealt.columns], spans["_before"], spans["_start"])
-    return joined, [*by, "_part"]
+    spans = spans.select(*by[:-1], F.col("_c").alias("_part"), F.lit(True).alias("_hot"), "_before", "_start", "_first")
+    return dealt.join(spans, [*by[:-1], "_part", "_hot"], "left").drop("_hot"), [*by, "_part"]
 
 
-def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = tuple(WINDOWS), buckets: dict[str, int] | None = None, chunk: int | None = None) -> DataFrame:
-    """payments (with _milli) and the entity's exact features; with buckets, those of ring buckets.
+def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = tuple(WINDOWS), buckets: dict[str, int] | None = None, chunk: int | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """payments (with _milli, and _real: 0 for probes, else 1) and the entity's exact features; with buckets, those of ring buckets.
 
-    chunk: deal rows by key and so many seconds of time, for keys with a large share of all rows.
+    chunk: deal rows by key and so many seconds of time; hot: those of these keys only.
 
     A payment without key has none of them. A key not seen within IDLE_TTL has
     counts and sums of zero and no mean, ratio or recency.
     """
     df, by = keyed(payments, entity)
     if chunk:
-        df, by = _chunked(df, by, chunk + (buckets or {}).get("7d", 0))
-    rows = W.partitionBy(*by).orderBy("dt", "id")
-    before = rows.rowsBetween(W.unboundedPreceding, -1)
+        df, by = _chunked(df, by, chunk + (buckets or {}).get("7d", 0), hot)
+    before = W.partitionBy(*by).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
     zero = lambda x: F.coalesce(x, F.lit(0))
-    last = F.lag("dt").over(rows)
+    real = F.col("_real") == 1
+    last = F.max(F.when(real, F.col("dt"))).over(before)
     gap = F.col("dt") - (F.coalesce(last, F.col("_before")) if chunk else last)
-    df = _add(df, {"_n": zero(F.count("*").over(before)), "_s": zero(F.sum("_milli").over(before)), "_gap": F.when(gap < IDLE_TTL, gap)})
-    began = F.col("_start") if chunk else F.max(F.when(F.col("_gap").isNull(), F.col("dt"))).over(rows.rowsBetween(W.unboundedPreceding, 0))
+    df = _add(df, {"_n": zero(F.sum("_real").over(before)), "_s": zero(F.sum("_milli").over(before)), "_gap": F.when(gap < IDLE_TTL, gap)})
+    began = F.max(F.when(real & F.col("_gap").isNull(), F.col("dt"))).over(before)
+    if chunk:
+        # a probe may come before the payment with which a new history begins in its chunk
+        began = F.coalesce(F.when(F.col("_start") <= F.col("dt"), F.col("_start")), F.col("_first"), began)
     df = _add(df, {"_began": began})
     has = F.col("_k0").isNotNull()
     out: dict[str, Column] = {}
@@ -114,7 +139,7 @@ def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = t
         df = _add(df, {f"_b_{w}": F.floor(F.col("dt") / buckets[w]).cast("bigint") for w in windows})
         gone = {w: W.partitionBy(*by).orderBy(f"_b_{w}").rangeBetween(W.unboundedPreceding, -(WINDOWS[w] // buckets[w] + 1)) for w in windows}
     for w in windows:
-        out[f"{entity}_txn_count_{w}"] = F.when(has, (F.col("_n") - zero(F.count("*").over(gone[w]))).cast("double"))
+        out[f"{entity}_txn_count_{w}"] = F.when(has, (F.col("_n") - zero(F.sum("_real").over(gone[w]))).cast("double"))
         out[f"{entity}_amount_sum_{w}"] = F.when(has, (F.col("_s") - zero(F.sum("_milli").over(gone[w]))) / 1000.0)
     df = _add(df, out)
     if "7d" in windows:
@@ -131,90 +156,69 @@ def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = t
         df = _distinct(df, entity, by, None if buckets is None else buckets["24h"])
     if chunk:
         df = df.filter("_own")
-    return df.drop(*by, "_n", "_s", "_began", "_gap", "_own", "_before", "_start", *[f"_b_{w}" for w in windows])
-
+    return df.drop(*by, "_n", "_s", "_began", "_gap", "_own", "_before", "_start", "_first", *[f"_b_{w}" for w in windows])
 
-def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None, probes: bool = False) -> DataFrame:
-    """Distinct cards of the last day: entries into the window before this row less exits up to its far end.
 
-    probes: rows with _real 0 are probes, which neither enter nor leave.
-    """
+def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None) -> DataFrame:
+    """Distinct cards of the last day: entries into the window before this row less exits up to its far end."""
     place, length = ("dt", DAY) if bucket is None else ("_place", DAY // bucket + 1)
     if bucket is not None:
         df = df.withColumn("_place", F.floor(F.col("dt") / bucket).cast("bigint"))
     df = df.withColumn("_card", _finite(F.col("card1")))
-    # an exchange on the key serves groups of key and card too
-    same = W.partitionBy(*by, "_card", *(["_real"] if probes else [])).orderBy("dt", "id")
+    # an exchange on the key serves groups of key and card too; probes are a group of their own
+    same = W.partitionBy(*by, "_card", "_real").orderBy("dt", "id")
     last, following = F.lag(place).over(same), F.lead(place).over(same)
-    counts = F.col("_card").isNotNull() & (F.col("_real") == 1) if probes else F.col("_card").isNotNull()
+    counts = F.col("_card").isNotNull() & (F.col("_real") == 1)
     enters = counts & (last.isNull() | (F.col(place) - last >= length))
     leaves = counts & (following.isNull() | (following - F.col(place) >= length))
     df = _add(df, {"_enters": enters.cast("bigint"), "_leaves": leaves.cast("bigint")})
-    order = _PROBE_ORDER if probes else ("dt", "id")
-    inside = F.sum("_enters").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("_enters").over(W.partitionBy(*by).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1))
     outside = F.sum("_leaves").over(W.partitionBy(*by).orderBy(place).rangeBetween(W.unboundedPreceding, -length))
     count = (F.coalesce(inside, F.lit(0)) - F.coalesce(outside, F.lit(0))).cast("double")
     df = df.withColumn(f"distinct_cards_per_{entity}_24h", F.when(F.col("_k0").isNotNull(), count))
     return df.drop("_card", "_enters", "_leaves", "_place")
 
 
-def features(payments: DataFrame, entities: Sequence[str] = ENTITIES, buckets: dict[str, int] | None = None, chunks: Mapping[str, int] | None = None) -> DataFrame:
+def features(payments: DataFrame, entities: Sequence[str] = ENTITIES, buckets: dict[str, int] | None = None, chunks: Mapping[str, int] | None = None, hot: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """payments with all velocity features: exact ones, or with buckets those of ring buckets.
 
-    chunks: chunk lengths in seconds for entities some of whose keys have a large share of all rows.
+    chunks: chunk lengths in seconds for entities whose rows are dealt by time too; hot: for the rows of these keys only.
     """
-    df = payments.withColumn("_milli", milli(F.col("amount")))
+    df = payments.withColumns({"_milli": milli(F.col("amount")), "_real": F.lit(1).cast("bigint")})
+    return _all_features(df, entities, buckets, chunks, hot)
+
+
+def _all_features(df: DataFrame, entities: Sequence[str], buckets: dict[str, int] | None, chunks: Mapping[str, int] | None, hot: Mapping[str, DataFrame] | None) -> DataFrame:
     for entity in entities:
-        df = entity_features(df, entity, buckets=buckets, chunk=(chunks or {}).get(entity))
-    return df.drop("_milli")
+        df = entity_features(df, entity, buckets=buckets, chunk=(chunks or {}).get(entity), hot=(hot or {}).get(entity))
+    return df.drop("_milli", "_real")
+
 
+def hot_chunks(payments: DataFrame, rows: int = HOT_ROWS, chunk: int = max(WINDOWS.values())) -> dict:
+    """chunks and hot, for features, of the entities that have hot keys in these payments."""
+    hot = {e: h for e in ENTITIES if (h := hot_keys(payments, e, rows)) is not None}
+    return {"chunks": dict.fromkeys(hot, chunk), "hot": hot}
 
-def as_of(history: DataFrame, probes: DataFrame) -> DataFrame:
+
+def as_of(history: DataFrame, probes: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
     """All features of probes as if each came at its (dt, id), without any of them counting for another.
 
     A payment of history at a probe's own (dt, id) doesn't count for it, so payments can be probed against themselves.
+    Keys with over `rows` rows in both are dealt by time.
     """
-    marked = history.withColumn("_probe", F.lit(False)).unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
-    return _without_probes(marked).filter("_probe").drop("_probe")
-
-
-def _without_probes(df: DataFrame) -> DataFrame:
-    real = (~F.col("_probe")).cast("bigint")
-    df = df.withColumn("_milli", F.when(~F.col("_probe"), milli(F.col("amount"))).otherwise(0))
-    for entity in ENTITIES:
-        df, by = keyed(df, entity)
-        df = df.withColumn("_real", real)
-        rows = W.partitionBy(*by).orderBy(*_PROBE_ORDER)
-        before = rows.rowsBetween(W.unboundedPreceding, -1)
-        has = F.col("_k0").isNotNull()
-        zero = lambda x: F.coalesce(x, F.lit(0))
-        last = F.max(F.when(~F.col("_probe"), F.col("dt"))).over(before)
-        df = _add(df, {"_n": zero(F.sum("_real").over(before)), "_s": zero(F.sum("_milli").over(before)), "_gap": F.when(F.col("dt") - last < IDLE_TTL, F.col("dt") - last)})
-        begins = F.when(~F.col("_probe") & F.col("_gap").isNull(), F.col("dt"))
-        df = _add(df, {"_began": F.max(begins).over(before)})
-        for w, seconds in WINDOWS.items():
-            gone = W.partitionBy(*by).orderBy("dt").rangeBetween(W.unboundedPreceding, -seconds)
-            df = _add(df, {
-                f"{entity}_txn_count_{w}": F.when(has, (F.col("_n") - zero(F.sum("_real").over(gone))).cast("double")),
-                f"{entity}_amount_sum_{w}": F.when(has, (F.col("_s") - zero(F.sum("_milli").over(gone))) / 1000.0),
-            })
-        df = df.withColumn(f"{entity}_mean_amount_7d", divide(F.col(f"{entity}_amount_sum_7d"), F.col(f"{entity}_txn_count_7d")))
-        mean = F.col(f"{entity}_mean_amount_7d")
-        seen = has & F.col("_gap").isNotNull()
-        df = _add(df, {
-            f"{entity}_amount_ratio_7d": F.when(mean > 0, divide(F.col("amount"), mean)),
-            f"{entity}_seconds_since_first": F.when(seen, (F.col("dt") - F.col("_began")).cast("double")),
-            f"{entity}_seconds_since_last": F.when(seen, F.col("_gap").cast("double")),
-        })
-        if entity in SHARED:
-            df = _distinct(df, entity, by, None, probes=True)
-        df = df.drop(*by, "_n", "_s", "_gap", "_began", "_real")
-    return df.drop("_milli")
-
-
-def feature_table(payments: DataFrame, score: Column | None = None) -> DataFrame:
-    """The catalog's fields beside id, dt, fraud and label_time (null: never labelled)."""
-    df = features(payments)
+    real = lambda df, n: df.withColumn("_real", F.lit(n).cast("bigint"))
+    df = real(history, 1).unionByName(real(probes, 0), allowMissingColumns=True)
+    split = hot_chunks(df, rows)
+    df = df.withColumns({"_probe": F.col("_real") == 0, "_milli": F.when(F.col("_real") == 1, milli(F.col("amount"))).otherwise(0)})
+    return _all_features(df, ENTITIES, None, **split).filter("_probe").drop("_probe")
+
+
+def feature_table(payments: DataFrame, score: Column | None = None, rows: int = HOT_ROWS) -> DataFrame:
+    """The catalog's fields beside id, dt, fraud and label_time (null: never labelled).
+
+    Keys are counted first, and those with over `rows` rows dealt by time.
+    """
+    df = features(payments, **hot_chunks(payments, rows))
     label_time = F.col("label_time").cast("bigint") if "label_time" in payments.columns else F.lit(None).cast("bigint")
     df = df.withColumn("risk_score", score if score is not None else F.lit(None).cast("double"))
     return df.select("id", "dt", F.col("is_fraud").alias("fraud"), label_time.alias("label_time"), *[f.name for f in FIELDS])

@@ -118,6 +118,12 @@ def _(spark, sf_dir):
     return velocity.features(payments(spark, sf_dir), chunks=dict.fromkeys(ENTITIES, week)).select("id", "dt", *FEATURES)
 
 
+# keys with over fifty rows are hot here, which nearly all devices and domains are
+@query("velocity_hot_key", f"{oracle.velocity(_P1)} SELECT id, dt, is_fraud AS fraud, {oracle.feature_list()} FROM f")
+def _(spark, sf_dir):
+    return velocity.feature_table(payments(spark, sf_dir), rows=50).select("id", "dt", "fraud", *FEATURES)
+
+
 _KEYS_SQL = f"""SELECT id, card1 AS card_key, CASE WHEN card1 IS NOT NULL AND billing_region IS NOT NULL AND d1 IS NOT NULL THEN floor(dt / 86400.0) - d1 END AS uid_begun, device_info AS device_key, purchaser_email_domain AS email_key FROM ({_P1})"""
 
 
@@ -146,6 +152,12 @@ def _(spark, sf_dir):
     return velocity.as_of(df, df).select("id", "dt", *FEATURES)
 
 
+@query("features_as_of_hot_keys", f"{oracle.velocity(_P1)} SELECT id, dt, {oracle.feature_list()} FROM f")
+def _(spark, sf_dir):
+    df = payments(spark, sf_dir)
+    return velocity.as_of(df, df, rows=50).select("id", "dt", *FEATURES)
+
+
 _FAMILIES = """CASE WHEN feature LIKE '%txn_count%' THEN 'count' WHEN feature LIKE '%amount_sum%' THEN 'sum' WHEN feature LIKE '%mean_amount%' THEN 'mean' WHEN feature LIKE '%amount_ratio%' THEN 'ratio' WHEN feature LIKE '%distinct%' THEN 'distinct' ELSE 'recency' END"""
 _EXACT_SELECT = f"(SELECT id, {oracle.feature_list()} FROM ({oracle.velocity(_P1)} SELECT * FROM f))"
 _RING_SELECT = f"(SELECT id, {oracle.feature_list()} FROM ({oracle.velocity(_P1, buckets=velocity.BUCKETS)} SELECT * FROM f))"

@@ -139,13 +139,23 @@ def decisions(decided: DataFrame, version: int, model_sha256: str = "", at_ms: C
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision records of JSON lines. A last line without its end is left out; any other bad line fails the job."""
-    lines = spark.read.text(path, wholetext=False)
-    parsed = F.from_json("value", DECISION, {"mode": "PERMISSIVE"})
-    df = lines.select("value", parsed.alias("d"), F.try_parse_json("value").isNull().alias("_bad"))
-    torn = df.withColumn("_torn", F.col("_bad") & ~F.rtrim("value").endswith("}"))
-    wrong = F.raise_error(F.concat(F.lit("not a decision: "), F.substring("value", 1, 80))).cast("boolean")
-    return torn.filter(~F.col("_torn") & F.when(F.col("_bad"), wrong).otherwise(True)).select("d.*")
+    """Decision records of JSON lines. Only a last line without its end may be torn, and is then left out; any other bad line is an error.
+
+    Lines are looked through once before any is returned. A file's last line is
+    the last one of its last part: within a part Spark numbers lines in order.
+    It lacks its end if the file is one byte shorter than its lines with theirs
+    (of a compressed file that isn't known, so there no line may be bad).
+    """
+    lines = spark.read.text(path, wholetext=False, lineSep="\n")
+    empty = F.trim("value") == ""
+    bad = ~empty & ~F.coalesce(F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull(), F.lit(False))
+    placed = lines.select("value", bad.alias("bad"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("whole"), (F.octet_length("value") + 1).alias("size"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    cut = F.sum("size") == F.max("whole") + 1
+    files = placed.groupBy("file").agg((F.max_by("bad", "place") & cut).alias("torn"), F.count_if("bad").alias("n"), F.min(F.when(F.col("bad"), F.struct("place", "value"))).alias("first"))
+    wrong = files.filter(F.col("n") > F.col("torn").cast("int")).select("file", F.col("n") - F.col("torn").cast("int"), F.substring("first.value", 1, 80)).first()
+    if wrong:
+        raise ValueError(f"{wrong[0]}: {wrong[1]} lines are not a decision, first {wrong[2]!r}")
+    return lines.filter(~bad & ~empty).select(F.from_json("value", DECISION, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
 
 
 def feature_columns(log: DataFrame) -> DataFrame:
