@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.scratch import scratch_dir, stored  # noqa: F401
 from tidemark.shipping import ship
 
 #: Rows are handed to Python code in slices of about this many characters, so
@@ -37,27 +36,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder.
-
-    Clusters name it in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a folder of our own is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df written to and read back from the scratch folder: its lineage ends here."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _kept: dict[object, object] = {}
 
 
