@@ -8,13 +8,16 @@ import duckdb
 import pandas as pd
 import pytest
 
+from tidemark.plans import flows  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind here; the driver compares all of them.
 CHOSEN = ["velocity_exact", "velocity_ties", "velocity_bucketed", "rule_expressions", "decide", "rule_stats", "backtest_block", "overlaps_block", "samples_allow", "sweep_given_current", "label_delay",
-          "model_score", "ranking_metrics", "dollar_budget", "reliability_by_mass", "encoded", "dispute_upsert", "label_overlay", "decoded_payments", "decision_set", "audit_report"]
+          "model_score", "ranking_metrics", "dollar_budget", "reliability_by_mass", "encoded", "dispute_upsert", "label_overlay", "decoded_payments", "decision_set", "audit_report",
+          "csv_payments", "saved_table", "export_by_split", "encoded_by_table", "decision_log_scan", "audit_versions", "signed_deliveries", "backtest_label_time", "rule_problems", "model_parts", "model_reasons",
+          "routed_keys", "stream_decisions", "stream_once", "stream_labels", "velocity_hot_key", "features_as_of_hot_keys", "medians", "latency_windows"]
 
 
 def normal(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
@@ -47,7 +50,7 @@ def test_synthetic_payments_are_all_made(spark):
 
 
 def test_names():
-    assert set(SQL) <= set(QUERIES) and len(QUERIES) > 60
+    assert set(SQL) <= set(QUERIES) and len(QUERIES) > 100
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())

@@ -102,29 +102,30 @@ class Model:
                 out[rows, f] += step
         return out, bias
 
+    def test_sql(self, tree: Tree, node: int, engine: str = "spark") -> str:
+        """Whether a row goes left at a node, as SQL."""
+        name, kind = self.features[tree.feature[node]], int(tree.kind[node])
+        cut = f"CAST({float(tree.threshold[node])!r} AS DOUBLE)"
+        if kind & CATEGORICAL:
+            inside = [c for c in range(32 * len(tree.bits[node])) if tree.bits[node][c >> 5] >> np.uint32(c & 31) & 1]
+            whole = f"trunc({name})" if engine == "duckdb" else name
+            return f"coalesce({name} > -1 AND {name} < {32 * len(tree.bits[node])} AND CAST({whole} AS INT) IN ({', '.join(map(str, inside)) or '-1'}), false)"
+        zeroed = f"(CASE WHEN {name} IS NULL OR abs({name}) <= {ZERO!r} THEN 0.0 ELSE {name} END)"
+        default = "true" if kind & DEFAULT_LEFT else "false"
+        left = f"{zeroed} <= {cut}"
+        if (kind >> 2) & 3 == MISSING_NAN:
+            return f"(CASE WHEN {name} IS NULL THEN {default} ELSE {left} END)"
+        if (kind >> 2) & 3 == MISSING_ZERO:
+            return f"(CASE WHEN {zeroed} = 0 THEN {default} ELSE {left} END)"
+        return left
+
     def sql(self, engine: str = "spark") -> str:
         """The raw score as one nested CASE per tree, for small models and other engines."""
 
-        def test(tree: Tree, node: int) -> str:
-            name, kind = self.features[tree.feature[node]], int(tree.kind[node])
-            cut = f"CAST({float(tree.threshold[node])!r} AS DOUBLE)"
-            if kind & CATEGORICAL:
-                inside = [c for c in range(32 * len(tree.bits[node])) if tree.bits[node][c >> 5] >> np.uint32(c & 31) & 1]
-                listed = ", ".join(map(str, inside)) or "-1"
-                return f"coalesce({name} > -1 AND {name} < {32 * len(tree.bits[node])} AND CAST(trunc({name}) AS INT) IN ({listed}), false)" if engine == "duckdb" else f"coalesce({name} > -1 AND {name} < {32 * len(tree.bits[node])} AND CAST({name} AS INT) IN ({listed}), false)"
-            zeroed = f"(CASE WHEN {name} IS NULL OR abs({name}) <= {ZERO!r} THEN 0.0 ELSE {name} END)"
-            default = "true" if kind & DEFAULT_LEFT else "false"
-            left = f"{zeroed} <= {cut}"
-            if (kind >> 2) & 3 == MISSING_NAN:
-                return f"(CASE WHEN {name} IS NULL THEN {default} ELSE {left} END)"
-            if (kind >> 2) & 3 == MISSING_ZERO:
-                return f"(CASE WHEN {zeroed} = 0 THEN {default} ELSE {left} END)"
-            return left
-
         def branch(tree: Tree, child: int) -> str:
             if child < 0 or not len(tree.feature):
                 return f"CAST({float(tree.leaf[~child if child < 0 else 0])!r} AS DOUBLE)"
-            return f"(CASE WHEN {test(tree, child)} THEN {branch(tree, int(tree.left[child]))} ELSE {branch(tree, int(tree.right[child]))} END)"
+            return f"(CASE WHEN {self.test_sql(tree, child, engine)} THEN {branch(tree, int(tree.left[child]))} ELSE {branch(tree, int(tree.right[child]))} END)"
 
         return " + ".join(["CAST(0 AS DOUBLE)", *(branch(t, 0) for t in self.trees)])
 

@@ -13,9 +13,11 @@ Structured Streaming's own: offsets and state are checkpointed together.
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -26,6 +28,9 @@ from tidemark.functions.values import milli
 from tidemark.operators.velocity import keys
 from tidemark.shipping import ship
 
+# the driver's helper process for stateful processors knows nothing of shipped archives
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long rows wait for earlier ones. Sources may lag each other by this much.
 DELAY = "10 minutes"
@@ -41,9 +46,9 @@ _PART = StructType([StructField("id", LongType()), StructField("entity", StringT
 class KeyHistory:
     """What one key did: enough of it for every feature, and no more."""
 
-    def __init__(self):
-        self.rows: list[tuple[int, int, float | None]] = []  # (dt, milli, card), in order, of the longest window
-        self.first = self.last = None
+    def __init__(self, rows: list[tuple[int, int, float | None]] | None = None, first: int | None = None, last: int | None = None):
+        self.rows = rows or []  # (dt, milli, card), in order, of the longest window
+        self.first, self.last = first, last
 
     def take(self, dt: int, amount: float | None, milli_: int, card: float | None) -> list[float | None]:
         """The features of a payment as of just before it; the payment then joins the history.
@@ -88,36 +93,39 @@ class VelocityProcessor(StatefulProcessor):
     def _released(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if not rows:
             return
-        history = self._load(self.history, KeyHistory())
+        history = KeyHistory(*self._load(self.history, ()))
         out = []
         for dt, id_, amount, m, card in sorted(rows) if self.ordered else rows:
             late = history.last is not None and dt < history.last
             out.append([id_, key[0], late, *history.take(dt, amount, m, card)])
-        self.history.update((pickle.dumps(history),))
+        self.history.update((pickle.dumps((history.rows, history.first, history.last)),))
         yield pd.DataFrame(out, columns=_PART.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new, stamps = [], set()
+        new = []
         for block in rows:
             for r in block.itertuples(index=False):
                 if r.id == r.id and r.id is not None and key[0] != "heartbeat":
                     new.append((int(r.dt), int(r.id), None if r.amount != r.amount else float(r.amount), int(r.milli), None if r.card != r.card else float(r.card)))
-                    stamps.add(int(pd.Timestamp(r.ts).value // 1_000_000))
         if not self.ordered:
             yield from self._released(key, new)
             return
         if new:
-            self.waiting.update((pickle.dumps(self._load(self.waiting, []) + new),))
-            for t in stamps:
-                self.handle.registerTimer(t)
+            old = self._load(self.waiting, [])
+            self.waiting.update((pickle.dumps(old + new),))
+            # one timer a key, for the first row that waits: it releases all that are ready
+            first = min(r[0] for r in new)
+            if not old or first < min(r[0] for r in old):
+                self.handle.registerTimer(_stamp(first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = timerValues.getCurrentWatermarkInMs()
         waiting = self._load(self.waiting, [])
-        # dt counts seconds from an epoch of its own; the offset is in what routed() made ts of
-        ready = [r for r in waiting if (r[0] + _OFFSET) * 1000 <= until]
+        ready, left = [r for r in waiting if _stamp(r[0]) <= until], [r for r in waiting if _stamp(r[0]) > until]
         if ready:
-            self.waiting.update((pickle.dumps([r for r in waiting if (r[0] + _OFFSET) * 1000 > until]),))
+            self.waiting.update((pickle.dumps(left),))
+            if left:
+                self.handle.registerTimer(_stamp(min(r[0] for r in left)))
             yield from self._released(key, ready)
 
     def close(self) -> None:
@@ -127,6 +135,11 @@ class VelocityProcessor(StatefulProcessor):
 _OFFSET = 1_512_086_400
 
 
+def _stamp(dt: int) -> int:
+    """dt, which counts seconds from an epoch of its own, as event time in milliseconds, as routed() has it."""
+    return (dt + _OFFSET) * 1000
+
+
 class JoinProcessor(StatefulProcessor):
     """Per payment: its parts, until all that its mask expects are there. Parts that come twice are taken once."""
 
