@@ -123,10 +123,6 @@ def classes_of(text: str) -> np.ndarray:
 # -- network ------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Tagger:
     """Weights: embedding, and for each direction input, recurrent and bias; emission, transitions."""
@@ -246,76 +242,84 @@ def _viterbi(emissions: np.ndarray, trans: np.ndarray, start: int, end: int) ->
 # -- training -----------------------------------------------------------------
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss per row and its gradients for rows of classes x and tags y; keep marks places that aren't padding."""
+    """Loss per row and its gradients for rows of classes x and tags y; keep marks places that aren't padding, which is at the right.
+
+    Both directions run at once, the backward one over reversed rows. Only what
+    goes from place to place is in loops; all else is taken over all places.
+    """
     n, width = x.shape
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    emitted = np.zeros((width, n, TAGS), np.float32) + p["bias"]
-    runs = {}
-    for d in "fb":
-        order = range(width) if d == "f" else range(width - 1, -1, -1)
-        h, c, saved = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), {}
-        for t in order:
-            e = p["emb"][x[:, t]]
-            z = e @ p[f"w{d}"] + h @ p[f"u{d}"] + p[f"c{d}"]
-            i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
-            a = np.tanh(z[:, 3 * HIDDEN :])
-            new = f * c + i * a
-            th = np.tanh(new)
-            k = keep[:, t : t + 1]
-            saved[t] = (h, c, i, f, o, a, th, e, k)
-            c, h = np.where(k, new, c), np.where(k, o * th, h)
-            emitted[t] += h @ p[f"o{d}"]
-            saved[t] += (h,)
-        runs[d] = (order, saved)
-    # CRF: forward and backward sums
-    trans, ok = p["trans"], keep.T
-    alpha = np.zeros((width, n, TAGS), np.float32)
-    alpha[0] = emitted[0]
-    for t in range(1, width):
-        new = _lse(alpha[t - 1][:, :, None] + trans[None], 1) + emitted[t]
-        alpha[t] = np.where(ok[t][:, None], new, alpha[t - 1])
-    log_z = _lse(alpha[-1], 1)
-    beta = np.zeros((width, n, TAGS), np.float32)
-    for t in range(width - 2, -1, -1):
-        new = _lse(trans[None] + (emitted[t + 1] + beta[t + 1])[:, None, :], 2)
-        beta[t] = np.where(ok[t + 1][:, None], new, 0)
-    marginal = np.exp(alpha + beta - log_z[None, :, None]) * ok[:, :, None]
-    gold = np.zeros_like(marginal)
-    rows = np.arange(n)
-    score = np.zeros(n)
+    lengths = keep.sum(axis=1)
+    place = np.maximum(lengths[:, None] - 1 - np.arange(width)[None, :], 0)
+    turned = place.T[:, :, None]
+    ok = keep.T
+    letters = np.stack([x, np.where(keep, np.take_along_axis(x, place, axis=1), 0)]).transpose(2, 0, 1)
+    w, u, o_ = (np.stack([p[f"{k}f"], p[f"{k}b"]]) for k in "wuo")
+    e = p["emb"][letters]
+    gates = e @ w + np.stack([p["cf"], p["cb"]])[:, None, :]
+    before, squashed, out = (np.empty((width, 2, n, HIDDEN), gates.dtype) for _ in range(3))
+    h = c = np.zeros((2, n, HIDDEN), gates.dtype)
+    three = slice(0, 3 * HIDDEN)
+    i, f, o, a = (slice(k * HIDDEN, (k + 1) * HIDDEN) for k in range(4))
+    for t in range(width):
+        z = gates[t]
+        z += h @ u
+        z[..., three] *= 0.5
+        np.tanh(z, out=z)
+        z[..., three] *= 0.5
+        z[..., three] += 0.5
+        before[t] = c
+        c = z[..., f] * c + z[..., i] * z[..., a]
+        squashed[t] = np.tanh(c)
+        h = out[t] = z[..., o] * squashed[t]
+    each = out @ o_
+    emitted = each[:, 0] + np.take_along_axis(each[:, 1], turned, axis=0) + p["bias"]
+    # CRF: forward and backward sums, scaled to one at each place
+    trans, top = np.exp(p["trans"]), emitted.max(axis=2)
+    weight = np.exp(emitted - top[:, :, None])
+    alpha, beta, scale = np.empty_like(weight), np.ones_like(weight), np.ones_like(top)
     for t in range(width):
-        gold[t, rows, y[:, t]] = ok[t]
-        score += np.where(ok[t], emitted[t, rows, y[:, t]], 0)
-        if t:
-            both = ok[t]
-            score += np.where(both, trans[y[:, t - 1], y[:, t]], 0)
-            pair = np.exp(alpha[t - 1][:, :, None] + trans[None] + (emitted[t] + beta[t])[:, None, :] - log_z[:, None, None]) * both[:, None, None]
-            g["trans"] += pair.sum(axis=0)
-            np.add.at(g["trans"], (y[both, t - 1], y[both, t]), -1)
-    d_emit = marginal - gold
-    g["bias"] += d_emit.sum(axis=(0, 1))
-    for d, (order, saved) in runs.items():
-        dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        for t in reversed(order):
-            h, c, i, f, o, a, th, e, k, out = saved[t]
-            g[f"o{d}"] += out.T @ d_emit[t]
-            dh = dh + d_emit[t] @ p[f"o{d}"].T
-            held_h, held_c = np.where(k, 0, dh), np.where(k, 0, dc)
-            dh_, dc_ = np.where(k, dh, 0), np.where(k, dc, 0)
-            dc_ = dc_ + dh_ * o * (1 - th * th)
-            dz = np.concatenate([dc_ * a * i * (1 - i), dc_ * c * f * (1 - f), dh_ * th * o * (1 - o), dc_ * i * (1 - a * a)], axis=1)
-            g[f"w{d}"] += e.T @ dz
-            g[f"u{d}"] += h.T @ dz
-            g[f"c{d}"] += dz.sum(axis=0)
-            np.add.at(g["emb"], x[:, t], dz @ p[f"w{d}"].T)
-            dh, dc = dz @ p[f"u{d}"].T + held_h, dc_ * f + held_c
-    return float((log_z - score).mean()), {k: v / n for k, v in g.items()}
+        now = weight[t] if not t else (alpha[t - 1] @ trans) * weight[t]
+        scale[t] = np.where(ok[t], now.sum(axis=1), 1)
+        alpha[t] = np.where(ok[t][:, None], now / scale[t][:, None], alpha[t - 1])
+    for t in range(width - 1, 0, -1):
+        weight[t] *= beta[t] * (ok[t] / scale[t])[:, None]
+        beta[t - 1] = np.where(ok[t][:, None], weight[t] @ trans.T, 1)
+    log_z = float((np.log(scale) + top)[ok].sum())
+    times, rows = np.nonzero(ok)
+    tags = y.T
+    d_emit = alpha * beta * ok[:, :, None]
+    d_emit[times, rows, tags[times, rows]] -= 1
+    pairs = trans * (alpha[:-1].reshape(-1, TAGS).T @ weight[1:].reshape(-1, TAGS))
+    g = {"bias": d_emit.sum(axis=(0, 1)), "trans": pairs}
+    later, row = np.nonzero(ok[1:])
+    moves = tags[later, row], tags[later + 1, row]
+    np.add.at(g["trans"], moves, -1)
+    score = float(emitted[times, rows, tags[times, rows]].sum() + p["trans"][moves].sum())
+    # and back through both directions
+    d_out = np.stack([d_emit, np.take_along_axis(d_emit, turned, axis=0) * ok[:, :, None]], axis=1)
+    dz = np.empty_like(gates)
+    dh, dc = d_out @ o_.transpose(0, 2, 1), np.zeros_like(c)
+    back = u.transpose(0, 2, 1)
+    for t in range(width - 1, -1, -1):
+        z, now = gates[t], dh[t]
+        if t + 1 < width:
+            now += dz[t + 1] @ back
+        dc = dc + now * z[..., o] * (1 - squashed[t] ** 2)
+        dz[t, ..., i] = dc * z[..., a]
+        dz[t, ..., f] = dc * before[t]
+        dz[t, ..., o] = now * squashed[t]
+        dz[t, ..., three] *= z[..., three] * (1 - z[..., three])
+        dz[t, ..., a] = dc * z[..., i] * (1 - z[..., a] ** 2)
+        dc = dc * z[..., f]
+    flat = lambda v, k: v[:, k].reshape(-1, v.shape[-1])
+    last = np.concatenate([np.zeros_like(out[:1]), out[:-1]])
+    d_letters = dz @ w.transpose(0, 2, 1)
+    for k, d in enumerate("fb"):
+        g |= {f"w{d}": flat(e, k).T @ flat(dz, k), f"u{d}": flat(last, k).T @ flat(dz, k), f"c{d}": flat(dz, k).sum(axis=0), f"o{d}": flat(out, k).T @ flat(d_out, k)}
+    one = letters.ravel()
+    g["emb"] = np.stack([np.bincount(one, d_letters[..., k].ravel(), len(p["emb"])) for k in range(d_letters.shape[-1])], axis=1)
+    return (log_z - score) / n, {k: (v / n).astype(p[k].dtype) for k, v in g.items()}
 
 
 def _with_check(digits: str) -> str:
