@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates at 0.8 of five-word shingles."""
+    """The first document of each group of near-duplicates at 0.8 of five-word shingles.
+
+    Five words are what stages on shingles take; op5's four are its contract's.
+    """
     return near_dup.drop_near_duplicates(docs, size=5)
 
 
