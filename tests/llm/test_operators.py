@@ -535,6 +535,92 @@ def test_learning_from_labels(spark):
     assert toxicity.labelled(docs_, labels, 50).count() == 50
 
 
+def test_lexicon_against_a_plain_search(spark):
+    """Scores by looking for each entry at each place, without an automaton."""
+    rng = random.Random(11)
+    entries = [("idiot", True, 2.0), ("scum", False, 1.5), ("scumb", True, 3.0), ("trash", False, 1.0), ("ash", True, 4.0)]
+    x = toxicity.Lexicon(entries).ready()
+    parts = ["idiot", "scum", "scumb", "scumbag", "trash", "trash can", "trashcan", "pond scum", "ash", "wash", "1d10t", "five", "i-d", "\u0456diot", "clown fish"]
+    texts = [rng.choice(["", " ", "- "]).join(rng.choice([*parts, *" ,.x"]) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+
+    def plain(text):
+        t, best = toxicity.fold(text), {}
+        word = lambda i: 0 <= i < len(t) and t[i].isalnum()
+        covered = []
+        for phrase in map(toxicity.fold, x.exceptions):
+            covered += [(i, i + len(phrase)) for i in range(len(t)) if t.startswith(phrase, i) and not word(i - 1) and not word(i + len(phrase))]
+        for pattern, whole, weight in entries:
+            for i in range(len(t)):
+                if t.startswith(pattern, i) and not word(i - 1) and not (whole and word(i + len(pattern))) and weight > best.get(i, (0, 0))[0]:
+                    best[i] = (weight, i + len(pattern))
+        total = sum(w for i, (w, e) in best.items() if not any(a <= i and e <= b for a, b in covered))
+        return total / (1 + len(t) / toxicity.NORM) ** toxicity.POWER
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in toxicity.score_toxicity(df, x).collect():
+        assert r.score == pytest.approx(x.score(plain(texts[r.doc_id]))), texts[r.doc_id]
+
+
+def test_windows_give_what_the_whole_text_gives(spark):
+    """Spans by windows against the network run over each whole text at once and Viterbi over all places."""
+    rng, tagger = random.Random(12), TAGGER()
+    words = lambda n: " ".join(rng.choice(["some", "plain", "words", "stand", "here"]) for _ in range(n))
+    texts = [f"{words(60)} jo.doe@mail.example.com {words(70)} 10.0.0.1 {words(90)} +1 (663) 555-6869 {words(k)}" for k in range(0, 80, 8)]
+    same = total = 0
+    for text, tags in zip(texts, pii.tag_texts(tagger, texts), strict=True):
+        x = pii.classes_of(text)
+        whole = pii._viterbi(tagger.emissions(x[None], np.array([len(x)]))[0], tagger.p["trans"], 0, len(x))
+        same, total = same + int((whole == tags).sum()), total + len(tags)
+        base, spans = pii.all_spans(text, tags)
+        assert set(base) <= set(spans) and {k for _, _, k in base} == {0, 1, 3}
+    assert same / total > 0.99
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: [(pii.KINDS[k], s, e) for s, e, k in pii.all_spans(t, g)[1]] for i, (t, g) in enumerate(zip(texts, pii.tag_texts(tagger, texts), strict=True))}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_personal_data(df, tagger).collect()} == want
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("name", ["op3_token_count", "op7_wav_media", "op8_char_tagger", "op9_byte_bpe", "op10_toxicity"])
+def test_queries_over_their_whole_table(spark, name):
+    """The contracts' columns of each text, made again without the operator."""
+    from pathlib import Path
+
+    import sentencepiece
+    import tiktoken
+
+    from tidemark.llm import entry
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables here")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    rows = entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    if name.startswith("op3"):
+        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tc.MODEL))
+    with open(public_tokenizers.path(byte_bpe.RANKS), "rb") as f:
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(f), special_tokens={}) if name.startswith("op9") else None
+    for r in rows:
+        text, data = texts[r.doc_id], texts[r.doc_id].encode()
+        if name.startswith("op3"):
+            n = len(model.encode(text))
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(data), n, n > 4096)
+        elif name.startswith("op7"):
+            payload = media.payload_of(data)
+            times, codes = (",".join(map(str, x.tolist())) for x in media.fingerprint(payload))
+            assert (r.n_bytes, r.payload_sha256, r.media_sha256) == (len(data), sha(payload), sha(media.to_wav(payload))) and r.feature == f"{times};{codes}"
+        elif name.startswith("op8"):
+            base = pii.base_spans(text)
+            said = [f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base]
+            assert r.base_sha256 == sha(",".join(said).encode()) and set(said) <= set(r.spans.split(",")) | {""}
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, _, k in base) for i in range(4)]
+        elif name.startswith("op9"):
+            ids = library.encode_ordinary(text)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(data))
+        else:
+            assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 # -- the operators' SQL and the pipeline -----------------------------------------------------------
 
 
