@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -28,7 +30,10 @@ def feed(tmp_path, batches):
     folder.mkdir(exist_ok=True)
     names = SCHEMA.replace(",", "").split()[0::2]
     for i, b in enumerate(batches):
-        (folder / f"b{len(list(folder.iterdir())):03}-{i}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in b))
+        n = len(list(folder.iterdir()))
+        file = folder / f"b{n:03}-{i}.json"
+        file.write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in b))
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))  # batches are taken by the files' times
     return str(folder)
 
 
@@ -68,7 +73,7 @@ def test_stream_gives_what_a_batch_gives_after_a_restart(spark, tmp_path):
     rows = rows_of()
     rng = random.Random(1)
     mixed = sorted(rows, key=lambda r: r[1] + rng.randint(0, 3 * 86_400))
-    end = heartbeat(rows[-1][1] + 40 * 86_400)
+    end = heartbeat(rows[-1][1] + 20 * 86_400)
     folder = feed(tmp_path, [mixed[:30], mixed[30:]])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     keep = lambda df: df.select("id", "late", *FEATURE)
@@ -96,6 +101,60 @@ def test_history_takes_late_rows_at_its_latest_time():
     assert out["txn_count_1h"] == 1 and out["seconds_since_last"] == 0 and h.last == 100
 
 
+def test_history_equals_a_count_of_every_row():
+    rng, h, done = random.Random(4), st.KeyHistory(), []
+    dt = 0
+    for i in range(400):
+        dt += rng.choice([0, 1, 600, 3_600, 86_400, 200_000])
+        amount, card = rng.randint(1, 900), rng.choice([None, 1.0, 2.0, 3.0])
+        got = dict(zip(st.PER_KEY, h.take(dt, amount / 1000, amount, card), strict=True))
+        for w, seconds in st.WINDOWS.items():
+            inside = [m for t, m, _ in done if t > dt - seconds]
+            assert (got[f"txn_count_{w}"], got[f"amount_sum_{w}"]) == (len(inside), sum(inside) / 1000)
+        assert got["distinct_cards"] == len({c for t, _, c in done if c is not None and t > dt - 86_400})
+        done.append((dt, amount, card))
+        if i % 37 == 0:  # written and read back
+            h = st.KeyHistory(h.rows, h.first, h.last)
+
+
+def released(spark, tmp_path, batches):
+    """What the stream of one batch a file says of each payment, and where its checkpoint is."""
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    df = st.velocity_parts(stream(spark, feed(tmp_path, batches)), "1 minute")
+    finish(df.writeStream.format("json").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start())
+    return {r.id: r for r in spark.read.schema(st._PART).json(out).filter("entity = 'card'").collect()}, check
+
+
+def payment(id_, dt, card=5.0, amount=10.0):
+    named = {"id": id_, "dt": dt, "card1": card, "amount": amount}
+    return tuple(named.get(c) for c in SCHEMA.replace(",", "").split()[0::2])
+
+
+def test_payments_behind_the_watermark_are_kept_and_clamped(spark, tmp_path):
+    batches = [[payment(1, 1_000), payment(2, 5_000)], [heartbeat(50_000)], [heartbeat(50_001)], [payment(3, 2_000), payment(4, 49_990)], [heartbeat(90_000)], [heartbeat(90_001)]]
+    got, _ = released(spark, tmp_path, batches)
+    assert {i: r.late for i, r in got.items()} == {1: False, 2: False, 3: True, 4: False}
+    # 3 counts as if it came at 5,000; 4 is within the delay and sees all three
+    assert (got[3].txn_count_24h, got[3].seconds_since_last) == (2, 0)
+    assert (got[4].txn_count_24h, got[4].seconds_since_last, got[4].seconds_since_first) == (3, 44_990, 48_990)
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    month = 30 * 86_400
+    batches = [[payment(1, 100), payment(2, 100, 6.0)], [payment(3, 20 * 86_400)], [heartbeat(month + 500)], [heartbeat(month + 501)], [payment(4, month + 600), payment(5, month + 600, 6.0)], [heartbeat(month + 900)], [heartbeat(month + 901)]]
+    got, check = released(spark, tmp_path, batches)
+    assert got[4].seconds_since_first == month + 500 and got[5].seconds_since_first is None
+    feed(tmp_path, [[heartbeat(3 * month)], [heartbeat(3 * month + 1)]])
+    released(spark, tmp_path, [])
+    assert st.state_summary(spark, check).count() == 0
+
+
+def test_records_for_a_topic(spark):
+    rows = st.kafka_records(spark.createDataFrame([(1, "a"), (2, None)], "id bigint, `odd.name` string"), "id", 8).collect()
+    assert [(r.key, json.loads(r.value)) for r in rows] == [("1", {"id": 1, "odd.name": "a"}), ("2", {"id": 2})]
+    assert [r.partition for r in rows] == [int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 8 for i in (1, 2)]
+
+
 def test_once_and_conflicts(spark, tmp_path):
     folder = tmp_path / "e"
     folder.mkdir()

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidemark.catalog import DAY, ENTITIES, IDLE_TTL, SHARED, WINDOWS
 from tidemark.functions.values import milli
@@ -35,20 +36,45 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 #: How long rows wait for earlier ones. Sources may lag each other by this much.
 DELAY = "10 minutes"
 
-_EVENT = StructType([
-    StructField("entity", StringType()), StructField("key", StringType()), StructField("id", LongType()), StructField("dt", LongType()), StructField("ts", TimestampType()),
-    StructField("amount", DoubleType()), StructField("milli", LongType()), StructField("card", DoubleType()),
-])
 PER_KEY = [*[f"{x}_{w}" for w in WINDOWS for x in ("txn_count", "amount_sum")], "mean_amount_7d", "amount_ratio_7d", "seconds_since_first", "seconds_since_last", "distinct_cards"]
 _PART = StructType([StructField("id", LongType()), StructField("entity", StringType()), StructField("late", BooleanType()), *[StructField(c, DoubleType()) for c in PER_KEY]])
 
 
 class KeyHistory:
-    """What one key did: enough of it for every feature, and no more."""
+    """What one key did: enough of it for every feature, and no more.
+
+    Each window keeps its first row and its sum, which only move forward, so a
+    payment costs the rows that leave a window, not those in it.
+    """
 
     def __init__(self, rows: list[tuple[int, int, float | None]] | None = None, first: int | None = None, last: int | None = None):
-        self.rows = rows or []  # (dt, milli, card), in order, of the longest window
         self.first, self.last = first, last
+        self._begin(rows or [])
+
+    def _begin(self, rows: list[tuple[int, int, float | None]]) -> None:
+        self._rows = rows  # (dt, milli, card), in order
+        self._start = dict.fromkeys(WINDOWS.values(), 0)
+        self._sum = dict.fromkeys(WINDOWS.values(), sum(m for _, m, _ in rows))
+        self._cards = Counter(c for _, _, c in rows if c is not None)  # of the last day
+
+    @property
+    def rows(self) -> list[tuple[int, int, float | None]]:
+        """Those of the longest window."""
+        return self._rows[self._start[max(WINDOWS.values())] :]
+
+    def _leave(self, dt: int) -> None:
+        """Rows that are out of a window at dt leave it."""
+        for seconds in self._start:
+            i = self._start[seconds]
+            while i < len(self._rows) and self._rows[i][0] <= dt - seconds:
+                _, milli_, card = self._rows[i]
+                self._sum[seconds] -= milli_
+                if seconds == DAY and card is not None:
+                    self._cards[card] -= 1
+                    if not self._cards[card]:
+                        del self._cards[card]
+                i += 1
+            self._start[seconds] = i
 
     def take(self, dt: int, amount: float | None, milli_: int, card: float | None) -> list[float | None]:
         """The features of a payment as of just before it; the payment then joins the history.
@@ -56,26 +82,34 @@ class KeyHistory:
         A payment that comes after later ones counts as if it came with the latest.
         """
         dt = dt if self.last is None else max(dt, self.last)
-        idle = self.last is not None and dt - self.last >= IDLE_TTL
-        seen = self.last is not None and not idle
-        self.rows = [r for r in self.rows if r[0] > dt - max(WINDOWS.values())] if not idle else []
+        seen = self.last is not None and dt - self.last < IDLE_TTL
+        if not seen:
+            self._begin([])
+        self._leave(dt)
         out: list[float | None] = []
-        for seconds in WINDOWS.values():
-            inside = [m for t, m, _ in self.rows if t > dt - seconds]
-            out += [float(len(inside)), sum(inside) / 1000.0]
+        for seconds, i in self._start.items():
+            out += [float(len(self._rows) - i), self._sum[seconds] / 1000.0]
         mean = out[-1] / out[-2] if out[-2] else None
         ratio = amount / mean if mean is not None and mean > 0 and amount is not None else None
-        cards = {c for t, _, c in self.rows if c is not None and t > dt - DAY}
-        out += [mean, ratio, float(dt - self.first) if seen else None, float(dt - self.last) if seen else None, float(len(cards))]
+        out += [mean, ratio, float(dt - self.first) if seen else None, float(dt - self.last) if seen else None, float(len(self._cards))]
         self.first = self.first if seen else dt
         self.last = dt
-        self.rows.append((dt, milli_, card))
+        self._rows.append((dt, milli_, card))
+        for seconds in self._sum:
+            self._sum[seconds] += milli_
+        if card is not None:
+            self._cards[card] += 1
         return out
 
 
 class VelocityProcessor(StatefulProcessor):
     """Per entity key: rows that wait for the watermark, and the history of those that were released.
 
+    A row that comes behind the watermark is taken at once, in order with those that are ready, and
+    marked late; what was released before it isn't taken back, so it counts as if it came with its key's latest.
+    A key that was idle for IDLE_TTL by the watermark is forgotten: a row in order finds the
+    same without it; a late one counts as its key's first.
+
     ordered=False is a control that takes rows as they come, as a pipeline without event time would.
     """
 
@@ -93,20 +127,23 @@ class VelocityProcessor(StatefulProcessor):
     def _released(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if not rows:
             return
-        history = KeyHistory(*self._load(self.history, ()))
+        old = self._load(self.history, ())
+        history = KeyHistory(*old)
         out = []
-        for dt, id_, amount, m, card in sorted(rows) if self.ordered else rows:
-            late = history.last is not None and dt < history.last
+        for dt, id_, amount, m, card, behind in sorted(rows, key=lambda r: r[:2]) if self.ordered else rows:
+            late = behind or history.last is not None and dt < history.last
             out.append([id_, key[0], late, *history.take(dt, amount, m, card)])
         self.history.update((pickle.dumps((history.rows, history.first, history.last)),))
+        if not old and self.ordered:
+            self.handle.registerTimer(_forget_at(history.last))
         yield pd.DataFrame(out, columns=_PART.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = []
+        new, until = [], timerValues.getCurrentWatermarkInMs() if self.ordered else 0
         for block in rows:
             for r in block.itertuples(index=False):
                 if r.id == r.id and r.id is not None and key[0] != "heartbeat":
-                    new.append((int(r.dt), int(r.id), None if r.amount != r.amount else float(r.amount), int(r.milli), None if r.card != r.card else float(r.card)))
+                    new.append((int(r.dt), int(r.id), None if r.amount != r.amount else float(r.amount), int(r.milli), None if r.card != r.card else float(r.card), _stamp(int(r.dt)) <= until))
         if not self.ordered:
             yield from self._released(key, new)
             return
@@ -120,14 +157,27 @@ class VelocityProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until = timerValues.getCurrentWatermarkInMs()
+        if expiredTimerInfo.getExpiryTimeInMs() % 1000:
+            self._forget(until)
+            return
         waiting = self._load(self.waiting, [])
         ready, left = [r for r in waiting if _stamp(r[0]) <= until], [r for r in waiting if _stamp(r[0]) > until]
         if ready:
-            self.waiting.update((pickle.dumps(left),))
             if left:
+                self.waiting.update((pickle.dumps(left),))
                 self.handle.registerTimer(_stamp(min(r[0] for r in left)))
+            else:
+                self.waiting.clear()
             yield from self._released(key, ready)
 
+    def _forget(self, until: int) -> None:
+        """Clear the history of a key that was idle for long; ask again later if it wasn't."""
+        old = self._load(self.history, ())
+        if old and _forget_at(old[2]) > until:
+            self.handle.registerTimer(_forget_at(old[2]))
+        elif old:
+            self.history.clear()
+
     def close(self) -> None:
         pass
 
@@ -140,6 +190,11 @@ def _stamp(dt: int) -> int:
     return (dt + _OFFSET) * 1000
 
 
+def _forget_at(last: int) -> int:
+    """When a key is forgotten: a millisecond past a whole second, by which its timer is told from those of rows."""
+    return _stamp(last + IDLE_TTL) + 1
+
+
 class JoinProcessor(StatefulProcessor):
     """Per payment: its parts, until all that its mask expects are there. Parts that come twice are taken once."""
 
@@ -168,12 +223,15 @@ class JoinProcessor(StatefulProcessor):
 
 
 def routed(payments: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One row for each key that a payment has, under a watermark. Rows without id (heartbeats) only move the watermark."""
+    """One row for each key that a payment has, under a watermark. Rows without id (heartbeats) only move the watermark.
+
+    The time itself isn't passed on: operators drop rows whose time is behind the watermark, and late ones must stay.
+    """
     beat = F.when(F.col("id").isNull(), F.struct(F.lit("heartbeat").alias("entity"), F.lit("").alias("key")))
     named = [F.when(F.col("id").isNotNull() & keys(e)[0].isNotNull(), F.struct(F.lit(e).alias("entity"), F.concat_ws("|", *[k.cast("string") for k in keys(e)]).alias("key"))) for e in ENTITIES]
     df = payments.withColumn("ts", F.timestamp_seconds(F.col("dt") + _OFFSET)).withWatermark("ts", delay)
     df = df.withColumn("_k", F.explode(F.filter(F.array(beat, *named), lambda x: x.isNotNull())))
-    return df.select("_k.entity", "_k.key", "id", "dt", "ts", "amount", milli(F.col("amount")).alias("milli"), F.col("card1").alias("card"))
+    return df.select("_k.entity", "_k.key", "id", "dt", "amount", milli(F.col("amount")).alias("milli"), F.col("card1").alias("card"))
 
 
 def velocity_parts(payments: DataFrame, delay: str = DELAY, ordered: bool = True) -> DataFrame:
@@ -257,6 +315,23 @@ def kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True) ->
     return reader.format("kafka").options(**options).load().selectExpr("CAST(value AS STRING) AS value", "partition", "offset", "timestamp")
 
 
+def kafka_records(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """(key, value) of rows as JSON, and of `partitions` the one that the key's MD5 number gives: the same for every writer."""
+    name = F.col(key).cast("string")
+    out = [name.alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")]
+    if partitions:
+        number = F.conv(F.substring(F.md5(F.coalesce(name, F.lit(""))), 1, 8), 16, 10).cast("bigint")
+        out.append((number % partitions).cast("int").alias("partition"))
+    return df.select(*out)
+
+
+def to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str, partitions: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """Write a stream's rows to a topic, acknowledged by all replicas. A batch done again sends its rows again: readers use once(). Needs the Kafka connector."""
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "checkpointLocation": checkpoint}
+    writer = kafka_records(df, key, partitions).writeStream.format("kafka").options(**options).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def configure(spark: SparkSession) -> None:
     """Settings that stateful processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
