@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.catalog import ENTITIES, FEATURES, FIELDS
+from tidemark.catalog import ENTITIES, FEATURES, FIELDS, NUMBER
 from tidemark.operators import audit, calendar, compare, labels, ruleset, velocity
 from tidemark.operators import backtest as bt
 from tidemark.operators import model as md
@@ -15,11 +15,14 @@ from tidemark.operators.ruleset import RuleSet
 from tidemark.plans import oracle, samples
 from tidemark.plans import queries as q
 from tidemark.plans.checking import lint, load_rules, nearest
+from tidemark.plans.compiling import holds
+from tidemark.plans.compiling import sql as rule_sql
 from tidemark.plans.language import RuleError, parse, show, spell
 from tidemark.plans.queries import query
 from tidemark.scratch import scratch_dir
 from tidemark.sources import payments as pay
 from tidemark.sources import records, tables
+from tidemark.sources import synthetic as syn
 from tidemark.streaming import pipeline as st
 
 
@@ -180,6 +183,68 @@ def _(spark, sf_dir):
     return records.verify(df.withColumn("header", header("id", "payload")), secrets).select("id", "signature_error")
 
 
+@query("decisions_in_order", f"SELECT count(*) AS decisions, 0::BIGINT AS out_of_order FROM ({q._P1})")
+def _(spark, sf_dir):
+    """Decisions written in the order of events and read back, each with the one before it in its file, and each file with the one before."""
+    path = f"{scratch_dir(spark)}/ordered"
+    log = q.logged(spark, sf_dir)
+    log = records.in_event_order(log.select("payment_id", "created"))
+    log.select(F.to_json(F.struct("payment_id", "created")).alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.from_json("value", "payment_id string, created bigint").alias("d"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select("file", "line", F.struct("d.created", F.substring("d.payment_id", 5, 20).cast("bigint").alias("id")).alias("at"))
+    before = F.lag("at").over(Window.partitionBy("file").orderBy("line"))
+    inside = lines.withColumn("wrong", F.coalesce(before > F.col("at"), F.lit(False)))
+    files = inside.groupBy("file").agg(F.count("*").alias("n"), F.count_if("wrong").alias("wrong"), F.min("at").alias("low"), F.max("at").alias("high"))
+    between = F.coalesce(F.lag("high").over(Window.orderBy("file")) > F.col("low"), F.lit(False))
+    return files.withColumn("between", between).agg(F.sum("n").alias("decisions"), (F.sum("wrong") + F.count_if("between")).alias("out_of_order"))
+
+
+@query("topic_records", f"SELECT id::VARCHAR AS key, ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % 16 AS partition, id AS said_id, dt AS said_dt FROM ({q._P1})")
+def _(spark, sf_dir):
+    """What a topic of 16 partitions would get."""
+    sent = st.kafka_records(q.payments(spark, sf_dir).select("id", "dt"), "id", 16)
+    said = F.from_json("value", "id bigint, dt bigint")
+    return sent.select("key", F.col("partition").cast("bigint").alias("partition"), said["id"].alias("said_id"), said["dt"].alias("said_dt"))
+
+
+# -- drawn tables -------------------------------------------------------------------------
+
+
+def _drawn_sql(rows: int) -> str:
+    """The drawn feature table in DuckDB's words."""
+    number = lambda name: f"('0x' || substr(md5('7:{name}:' || i), 1, 8))::BIGINT"
+
+    def cell(v: float | str) -> str:
+        return "'" + v + "'" if isinstance(v, str) else f"'{v!r}'::DOUBLE"
+
+    def one(f) -> str:
+        pick = lambda values: f"[{', '.join(map(cell, values))}][1 + {number(f.name + '=')} % {len(values)}]"
+        edges, usual = (syn.EDGE_NUMBERS, f"({number(f.name + '=')} % 20000)::DOUBLE / 100.0::DOUBLE") if f.kind == NUMBER else (syn.EDGE_STRINGS, pick(syn.COMMON_STRINGS))
+        if f.name == "risk_score":
+            edges, usual = [0.0, 99.0], f"({number(f.name + '=')} % 100)::DOUBLE"
+        return f"CASE WHEN {number(f.name)} % 1000 < 100 THEN NULL WHEN {number(f.name)} % 1000 < 300 THEN {pick(edges)} ELSE {usual} END AS {f.name}"
+
+    return f"SELECT i + 3000000 AS id, floor(i * (182 * 86400) / {rows}::DOUBLE)::BIGINT + 86400 AS dt, {number('fraud')} % 1000 AS luck, {', '.join(map(one, FIELDS))} FROM range({rows}) r(i)"
+
+
+_DRAWN_ROWS = 20_000
+_RISK = "coalesce(risk_score, 0) / 99.0::DOUBLE"
+
+
+@query("synthetic_table", f"SELECT id, dt, (luck < 5 + floor(120 * ({_RISK}) * ({_RISK}) * ({_RISK})))::TINYINT AS fraud, {', '.join(f.name for f in FIELDS)} FROM ({_drawn_sql(_DRAWN_ROWS)})")
+def _(spark, sf_dir):
+    return syn.feature_table(spark, _DRAWN_ROWS).drop("label_time")
+
+
+_OVER_DRAWN = [(f"r{i}", r.condition) for i, r in enumerate(q._RULES.rules)]
+
+
+@query("rules_over_edges", f"SELECT id, {', '.join(f'coalesce({rule_sql(c, samples.SCOPE)}, false) AS {n}' for n, c in _OVER_DRAWN)} FROM ({_drawn_sql(_DRAWN_ROWS)})")
+def _(spark, sf_dir):
+    """The rules of the sample set over drawn rows with missing and edge values."""
+    return syn.feature_table(spark, _DRAWN_ROWS).select("id", *[holds(c, samples.SCOPE).alias(n) for n, c in _OVER_DRAWN])
+
+
 # -- backtests by label time -----------------------------------------------------------------
 
 

@@ -158,6 +158,11 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(~bad & ~empty).select(F.from_json("value", DECISION, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
 
 
+def in_event_order(log: DataFrame) -> DataFrame:
+    """Decisions by time, then number of payment (those without one first), then name: ranges of them in parallel."""
+    return log.orderBy("created", F.coalesce(payment_number("payment_id"), F.lit(-1)), "payment_id")
+
+
 def feature_columns(log: DataFrame) -> DataFrame:
     """log with each catalog field as a column, from its place in features."""
     place = lambda i, f: F.get("features", F.lit(i)).cast("double" if f.kind == NUMBER else "string").alias(f.name)

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.catalog import FIELDS, NUMBER
 from tidemark.sources.payments import COLUMNS
 
 DAY = 86_400
 
+# Numbers at the borders of what doubles hold, and letters whose lower case is special.
+EDGE_NUMBERS = [0.0, -0.0, 5e-324, 1e-300, 0.3, 0.1 + 0.2, 49.99, 1e15, 1e308, -1e308, 9007199254740992.0, float("inf"), float("-inf")]
+EDGE_STRINGS = ["\u212a", "\u0130stanbul", "\u1e9e", "\u01c5", "\u03a3\u0391\u03a3", " ", "VISA"]
+COMMON_STRINGS = ["visa", "credit", "gmail.com", "mail.com", "purchase", "dev-1", "mobile"]
+
 
 def draw(name: str, *of: Column | str, seed: int = 7) -> Column:
     """A number in [0, 1) for each value of the columns."""
@@ -51,3 +57,36 @@ def generate(spark: SparkSession, rows: int = 590_540, days: int = 182, fraud: f
         "device_type": missing("device?", 0.3, pick(u("device type"), ["mobile", "desktop"])), "device_info": missing("device?", 0.3, F.when(F.col("_kind") == 2, new).otherwise(home)), "is_fraud": F.col("_fraud").cast("tinyint"),
     })
     return df.select(*COLUMNS)
+
+
+def md5_number(text: Column) -> Column:
+    """A number below 2**32 for each text: one that other engines can work out too."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def feature_table(spark: SparkSession, rows: int, days: int = 182, missing: float = 0.1, edge: float = 0.2, seed: int = 7) -> DataFrame:
+    """A feature table of drawn fields for comparing evaluators: a share of each field is missing, another one takes edge values.
+
+    Each value depends on the seed, its row and its field alone. Fraud grows with risk_score.
+    """
+
+    def number(name: str) -> Column:
+        return md5_number(F.concat(F.lit(f"{seed}:{name}:"), F.col("_row").cast("string")))
+
+    df = spark.range(rows).withColumnRenamed("id", "_row")
+    columns = []
+    for f in FIELDS:
+        kind, value = number(f.name) % 1_000, number(f"{f.name}=")
+        edges, usual = (EDGE_NUMBERS, value % 20_000 / 100.0) if f.kind == NUMBER else (EDGE_STRINGS, listed(value, COMMON_STRINGS))
+        if f.name == "risk_score":
+            edges, usual = [0.0, 99.0], (value % 100).cast("double")
+        columns.append(F.when(kind < int(missing * 1_000), F.lit(None)).when(kind < int((missing + edge) * 1_000), listed(value, edges)).otherwise(usual).alias(f.name))
+    step = (F.floor(F.col("_row") * (days * DAY) / max(rows, 1)) + DAY).cast("bigint")
+    df = df.select((F.col("_row") + 3_000_000).alias("id"), step.alias("dt"), *columns, "_row")
+    risk = F.coalesce(F.col("risk_score"), F.lit(0.0)) / 99
+    fraud = number("fraud") % 1_000 < 5 + F.floor(120 * risk * risk * risk)
+    return df.select("id", "dt", fraud.cast("tinyint").alias("fraud"), F.lit(None).cast("bigint").alias("label_time"), *[f.name for f in FIELDS])
+
+
+def listed(value: Column, values: list) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), (value % len(values)).cast("int"))
