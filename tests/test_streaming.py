@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_velocity import SCHEMA, frame, history
 
-from tidemark.operators import labels, velocity
+from tidemark.operators import labels, ruleset, velocity
+from tidemark.operators.ruleset import RuleSet
 from tidemark.sources import records
 from tidemark.streaming import pipeline as st
 
@@ -85,6 +86,21 @@ def test_stream_gives_what_a_batch_gives_after_a_restart(spark, tmp_path):
     assert st.state_summary(spark, check).count() and not st.state_summary(spark, check).filter("keys < 1").count()
 
 
+def test_rules_over_the_stream_count_what_they_count_over_the_table(spark, tmp_path):
+    fields = ["card_txn_count_1h", "card_txn_count_24h", "card_amount_sum_7d", "uid_amount_sum_24h", "device_txn_count_7d", "email_txn_count_24h", "card_amount_ratio_7d", "distinct_cards_per_email_24h"]
+    texts = [f"{a} if :{f}: > {v}" for a, f, v in zip(["block", "review"] * 4, fields, (1, 2, 50, 30, 3, 2, 1.2, 1), strict=True)]
+    texts += ["shadow block if :card_seconds_since_last: < 600", "shadow review if is_missing(:uid_seconds_since_first:)", "review if :amount: > 50 and :device_txn_count_1h: > 0", "allow if :email_mean_amount_7d: < 5", "shadow block if :distinct_cards_per_device_24h: >= 2"]
+    assert len(texts) == 13
+    rules, rows, out = RuleSet.load("\n".join(texts)), rows_of(60, 8), str(tmp_path / "out")
+    folder = feed(tmp_path, [rows[:30], rows[30:], [heartbeat(rows[-1][1] + 86_400)], [heartbeat(rows[-1][1] + 86_401)]])
+    full = lambda df: df.withColumns({"risk_score": F.lit(None).cast("double"), "fraud": F.col("is_fraud")})
+    table = full(velocity.features(frame(spark, rows)))
+    finish(st.start(st.live_features(stream(spark, folder), "1 day"), out, str(tmp_path / "check")))
+    streamed = full(spark.read.schema(table.drop("fraud", "risk_score").schema).json(out))
+    counted = [sorted(map(str, ruleset.rule_stats(ruleset.decide(t, rules), rules).collect())) for t in (streamed, table)]
+    assert counted[0] == counted[1] and len(counted[0]) == 13
+
+
 def test_replayed_files_give_the_batch_too(spark, tmp_path):
     rows = rows_of(30, 3)
     st.replay(frame(spark, rows), str(tmp_path / "in"), 3)
