@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 import pytest
@@ -175,12 +177,44 @@ def test_payments_probed_against_themselves(spark):
 def test_sketches_never_fall_short(spark):
     rows = history(200, 9)
     df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
-    ring = {r.id: r for r in velocity.features(df, ("card",), buckets=velocity.BUCKETS).collect()}
-    for width, equal in ((2, False), (1 << 14, True)):
-        for r in sketches.count_min(df, "card", width=width).collect():
-            for w in WINDOWS:
-                a, b = r[f"card_txn_count_{w}"], ring[r.id][f"card_txn_count_{w}"]
-                assert (a is None) == (b is None) and (b is None or (a == b if equal else a >= b))
+    for buckets in (sketches.SKETCH_BUCKETS, velocity.BUCKETS):
+        ring = {r.id: r for r in velocity.features(df, ("card",), buckets=buckets).filter("card1 IS NOT NULL").collect()}
+        for width, equal in ((2, False), (1 << 14, True)):
+            got = sketches.count_min(df, "card", width=width, buckets=buckets).collect()
+            assert {r.id for r in got} == set(ring)
+            for r in got:
+                for name in (f"card_{x}_{w}" for w in WINDOWS for x in ("txn_count", "amount_sum")):
+                    assert r[name] == ring[r.id][name] if equal else r[name] >= ring[r.id][name]
+
+
+def test_sketched_features_by_ring_buckets(spark):
+    rows = history(150, 4)
+    df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
+    ring = {r.id: r for r in velocity.features(df, buckets=sketches.SKETCH_BUCKETS).collect()}
+    for hot_rows in (velocity.HOT_ROWS, 5):
+        got = sketches.features(df, rows=hot_rows).collect()
+        assert len(got) == len(rows) and set(got[0].asDict()) == set(ring[got[0].id].asDict())
+        for r in got:
+            for name in FEATURES:
+                a, b = r[name], ring[r.id][name]
+                assert (a is None) == (b is None), name
+                # few keys and cards: no cell is shared, and bitmaps are nearly empty
+                assert b is None or abs(a - b) <= (0.01 if name.startswith("distinct") else 1e-9 * abs(b)), (name, a, b)
+
+
+@pytest.mark.parametrize("width", [1, 1 << 10])
+def test_bitmaps_by_counting_bits(spark, width):
+    rng = random.Random(6)
+    rows = [payment(i, rng.randint(0, 60) * 1_800 + rng.randint(0, 2), card=rng.choice([None, *map(float, range(40))]), device=rng.choice(["a", "b", None])) for i in range(300)]
+    bits = {c: int(hashlib.md5(f"b|{int(c * 1000)}".encode()).hexdigest()[:8], 16) % 16 for c in map(float, range(40))}
+    cell = lambda row, key: int(hashlib.md5(f"d|{row}|{key}".encode()).hexdigest()[:8], 16) % width
+    for r in sketches.distinct_cards(frame(spark, rows), "device", rows=2, width=width, bits=16).collect():
+        me = rows[r.id]
+        held = []
+        for row in (0, 1):
+            near = [x for x in rows if x[14] and cell(row, x[14]) == cell(row, me[14]) and me[1] // 3_600 - 24 <= x[1] // 3_600 and (x[1], x[0]) < (me[1], me[0])]
+            held.append(len({bits[x[4]] for x in near if x[4] is not None}))
+        assert r.distinct_cards_per_device_24h == pytest.approx(-16 * math.log(1 - min(min(held), 15) / 16), abs=1e-3)
 
 
 def test_distinct_sketch(spark):

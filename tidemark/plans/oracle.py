@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.catalog import DAY, ENTITIES, FEATURES, IDLE_TTL, SHARED, WINDOWS
+from tidemark.operators import sketches
 from tidemark.operators.ruleset import RuleSet
 from tidemark.plans.compiling import sql as rule_sql
 
@@ -90,3 +91,36 @@ def windowed(prefix: str, rules: RuleSet, start: str, end: str, as_of: str, matu
 b AS (SELECT min(dt) AS lo, max(dt) + 1 AS hi FROM d),
 w AS (SELECT d.* EXCLUDE (is_fraud), {young} AS immature, NOT ({young}) AS counted, NOT ({young}) AND fraud = 1 AS is_fraud, NOT ({young}) AND fraud = 0 AS is_legit,
  {allowed} AS allowed, action = 'block' AS blocked, action = 'review' AS reviewed, {MILLI} AS milli {extra} FROM d, b WHERE dt >= {start} AND dt < {end})"""
+
+
+def sketched(source: str, entities=ENTITIES) -> str:
+    """velocity's clauses, and k: (id, all features) with counts, sums, means, ratios and distinct cards from sketches."""
+    number = lambda *x: f"('0x' || substr(md5(concat_ws('|', {', '.join(x)})), 1, 8))::BIGINT"
+    thousandths = lambda x: f"CAST(round(({x}) * 1000) AS BIGINT)::VARCHAR"
+    parts, joins = [velocity(source, entities)], []
+    for e in entities:
+        keys = _KEYS[e]
+        has = " AND ".join(f"({k}) IS NOT NULL" for k in keys)
+        key = "concat_ws('|', " + ", ".join(k if e in SHARED else thousandths(k) for k in keys) + ")"
+        parts.append(f"{e}k AS (SELECT id, dt, {MILLI} AS milli, card1, {key} AS key FROM f WHERE {has})")
+        parts.append(f"{e}c AS (SELECT id, dt, milli, r, {number(chr(39) + 'c' + chr(39), 'r::VARCHAR', 'key')} % {sketches.WIDTH} AS cell FROM {e}k, range({sketches.ROWS}) t(r))")
+        cols = []
+        for w, seconds in WINDOWS.items():
+            b = f"CAST(floor(dt / {sketches.SKETCH_BUCKETS[w]}.0) AS BIGINT)"
+            ring = f"PARTITION BY r, cell ORDER BY {b} RANGE BETWEEN {seconds // sketches.SKETCH_BUCKETS[w]} PRECEDING AND CURRENT ROW"
+            rest = f"PARTITION BY r, cell, {b} ORDER BY dt, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+            cols += [f"count(*) OVER ({ring}) - count(*) OVER ({rest}) AS n{w}", f"sum(milli) OVER ({ring}) - sum(milli) OVER ({rest}) AS s{w}"]
+        parts.append(f"{e}m AS (SELECT id, " + ", ".join(f"min(n{w})::DOUBLE AS n{w}, min(s{w})::DOUBLE / 1000.0::DOUBLE AS s{w}" for w in WINDOWS) + f" FROM (SELECT id, {', '.join(cols)} FROM {e}c) GROUP BY id)")
+        out = [f"n{w} AS {e}_txn_count_{w}, s{w} AS {e}_amount_sum_{w}" for w in WINDOWS]
+        mean = "s7d / nullif(n7d, 0)"
+        out += [f"{mean} AS {e}_mean_amount_7d", f"CASE WHEN {mean} > 0 THEN amount / ({mean}) END AS {e}_amount_ratio_7d", f"{e}_seconds_since_first", f"{e}_seconds_since_last"]
+        more = ""
+        if e in SHARED:
+            bit = f"CASE WHEN card1 IS NOT NULL THEN {number(chr(39) + 'b' + chr(39), thousandths('card1'))} % {sketches.BITS} END"
+            parts.append(f"{e}d AS (SELECT id, dt, r, {number(chr(39) + 'd' + chr(39), 'r::VARCHAR', 'key')} % {sketches.DISTINCT_WIDTH} AS cell, {bit} AS bit, CAST(floor(dt / 3600.0) AS BIGINT) AS h FROM {e}k, range({sketches.DISTINCT_ROWS}) t(r))")
+            parts.append(f"{e}x AS (SELECT a.id, a.r, count(DISTINCT b.bit) AS bits FROM {e}d a LEFT JOIN {e}d b ON a.r = b.r AND a.cell = b.cell AND b.h BETWEEN a.h - 24 AND a.h AND (b.dt < a.dt OR b.dt = a.dt AND b.id < a.id) GROUP BY 1, 2)")
+            parts.append(f"{e}y AS (SELECT id, round(-{sketches.BITS} * ln(1 - least(min(bits), {sketches.BITS - 1}) / {sketches.BITS}::DOUBLE), 3) + 0.0 AS cards FROM {e}x GROUP BY id)")
+            more, out = f" LEFT JOIN {e}y USING (id)", [*out, f"cards AS distinct_cards_per_{e}_24h"]
+        parts.append(f"{e}z AS (SELECT f.id, {', '.join(out)} FROM f LEFT JOIN {e}m USING (id){more})")
+        joins.append(f"{e}z")
+    return ",\n".join(parts) + ",\nk AS (SELECT * FROM " + " JOIN ".join([joins[0], *(f"{j} USING (id)" for j in joins[1:])]) + ")"

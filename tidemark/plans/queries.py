@@ -161,11 +161,17 @@ def _(spark, sf_dir):
 _FAMILIES = """CASE WHEN feature LIKE '%txn_count%' THEN 'count' WHEN feature LIKE '%amount_sum%' THEN 'sum' WHEN feature LIKE '%mean_amount%' THEN 'mean' WHEN feature LIKE '%amount_ratio%' THEN 'ratio' WHEN feature LIKE '%distinct%' THEN 'distinct' ELSE 'recency' END"""
 _EXACT_SELECT = f"(SELECT id, {oracle.feature_list()} FROM ({oracle.velocity(_P1)} SELECT * FROM f))"
 _RING_SELECT = f"(SELECT id, {oracle.feature_list()} FROM ({oracle.velocity(_P1, buckets=velocity.BUCKETS)} SELECT * FROM f))"
-_ERRORS_SQL = f"""WITH a AS MATERIALIZED {_EXACT_SELECT}, b AS MATERIALIZED {_RING_SELECT}, j AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, a.{c} AS x, b.{c} AS y FROM a JOIN b USING (id)" for c in FEATURES)})
+
+
+def _errors_sql(other: str) -> str:
+    return f"""WITH a AS MATERIALIZED {_EXACT_SELECT}, b AS MATERIALIZED {other}, j AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, a.{c} AS x, b.{c} AS y FROM a JOIN b USING (id)" for c in FEATURES)})
 SELECT feature, count(*)::BIGINT AS rows, count(*) FILTER ((x IS NULL) <> (y IS NULL)) AS missing_mismatch, count(*) FILTER (x IS NOT DISTINCT FROM y) AS exact, avg(abs(y - x)) AS mean_abs, max(abs(y - x)) AS max_abs,
  avg(CASE WHEN x <> 0 THEN abs(y - x) / abs(x) END) AS mean_rel, count(*) FILTER (y > x) AS over, count(*) FILTER (y < x) AS under FROM j GROUP BY feature"""
 
 
+_ERRORS_SQL = _errors_sql(_RING_SELECT)
+
+
 def _errors(spark, sf_dir):
     df = payments(spark, sf_dir)
     return compare.feature_errors(velocity.features(df), velocity.features(df, buckets=velocity.BUCKETS), FEATURES)
@@ -531,11 +537,26 @@ def _(spark, sf_dir):
 # -- sketches --------------------------------------------------------------------------
 
 
-@query("sketch_counts")
+@query("sketch_counts", f"{oracle.sketched(_P1, ('card',))} SELECT id, " + ", ".join(f"n{w} AS card_txn_count_{w}, s{w} AS card_amount_sum_{w}" for w in WINDOWS) + " FROM cardm")
 def _(spark, sf_dir):
     return sketches.count_min(payments(spark, sf_dir), "card")
 
 
+_SKETCHED = oracle.sketched(_P1)
+
+
+@query("sketch_features", f"{_SKETCHED} SELECT id, {oracle.feature_list()} FROM k")
+def _(spark, sf_dir):
+    return sketches.features(payments(spark, sf_dir)).select("id", *FEATURES)
+
+
+@query("compare_sketches", "SELECT * REPLACE (round(mean_abs, 8) AS mean_abs, round(mean_rel, 8) AS mean_rel) FROM (" + _errors_sql(f"(SELECT id, {oracle.feature_list()} FROM ({_SKETCHED} SELECT * FROM k))") + ")")
+def _(spark, sf_dir):
+    df = payments(spark, sf_dir)
+    errors = compare.feature_errors(velocity.features(df), sketches.features(df), FEATURES)
+    return errors.withColumns({c: F.round(c, 8) for c in ("mean_abs", "mean_rel")})
+
+
 @query("sketch_distinct_cards")
 def _(spark, sf_dir):
     return sketches.distinct_by_hour(payments(spark, sf_dir), "device")
