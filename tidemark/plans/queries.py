@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import ENTITIES, FEATURES, FIELDS, WINDOWS
-from tidemark.operators import audit, calendar, compare, labels, metrics, ruleset, sketches, velocity
+from tidemark.operators import audit, calendar, compare, labels, metrics, ruleset, sketches, training, velocity
 from tidemark.operators import backtest as bt
 from tidemark.operators import model as md
 from tidemark.plans import oracle, samples
@@ -562,6 +562,19 @@ def _(spark, sf_dir):
     return sketches.distinct_by_hour(payments(spark, sf_dir), "device")
 
 
+# -- training ---------------------------------------------------------------------------
+
+
+@query("trained_model", f"SELECT count(*) AS rows, count(*) AS scored, count(*) AS explained FROM ({_P1})")
+def _(spark, sf_dir):
+    """Boosted trees trained here, written and read as a model file, score every payment and explain each score."""
+    df, numbers = payments(spark, sf_dir), ["amount", "distance", "billing_region"]
+    trained, _ = training.boosted(df.filter("id % 5 <> 0"), df.filter("id % 5 = 0"), numbers, "is_fraud", grid=({"maxDepth": 3, "stepSize": 0.1},), rounds=5)
+    out = md.score(df, md.parse_model(md.model_text(trained)), {}, samples.CALIBRATION, contributions=True)
+    parts = F.aggregate("contributions", F.col("bias"), lambda total, x: total + x)
+    return out.agg(F.count("*").alias("rows"), F.count("raw_score").alias("scored"), F.count_if(F.abs(F.col("raw_score") - parts) < 1e-9).alias("explained"))
+
+
 # -- labels -------------------------------------------------------------------------------
 
 _EVENTS_SQL = f"""
@@ -682,11 +695,25 @@ def _(spark, sf_dir):
     return compare.parity(log, table, ["amount", "card_txn_count_1h", "device_info"])
 
 
-@query("signatures", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'no_matching_signature' ELSE 'malformed_header' END AS signature_error FROM ({_P1})")
+def _signed(secret: bytes, t: Column, payload: Column) -> Column:
+    """HMAC-SHA256 of "t.payload" by its definition, apart from the library that verifies it."""
+    pad = lambda x: F.lit(bytearray(b ^ x for b in secret.ljust(64, b"\0")))
+    inner = F.sha2(F.concat(pad(0x36), F.concat(t, F.lit("."), payload).cast("binary")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
+
+
+@query("signatures", f"SELECT id, CASE id % 7 WHEN 0 THEN 'no_matching_signature' WHEN 1 THEN 'malformed_header' WHEN 2 THEN 'malformed_header' WHEN 5 THEN 'timestamp_outside_tolerance' WHEN 6 THEN 'no_matching_signature' END AS signature_error FROM ({_P1})")
 def _(spark, sf_dir):
-    df = payments(spark, sf_dir).select("id", F.lit(1_700_000_000).alias("now"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("payload"))
-    header = F.when(F.col("id") % 3 == 0, F.lit("t=1700000000,v1=00")).when(F.col("id") % 3 == 1, F.lit("v1=ab")).otherwise(F.lit("t=1,t=2,v1=a"))
-    return records.verify(df.withColumn("header", header), [b"secret"]).select("id", "signature_error")
+    now = 1_700_000_000
+    df = payments(spark, sf_dir).select("id", F.lit(now).alias("now"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("payload"))
+    stamp = F.when(F.col("id") % 7 == 5, F.lit(str(now - 301))).otherwise(F.lit(str(now - 300)))
+    good, case = _signed(b"secret", stamp, F.col("payload")), F.col("id") % 7
+    headers = {1: F.concat(F.lit("v1="), good), 2: F.concat(F.lit("t=1,t=2,v1="), good), 3: F.concat(F.lit("t="), stamp, F.lit(",v1="), good),
+               4: F.concat(F.lit("v0=x,v1=00, t="), stamp, F.lit(",v1="), good), 5: F.concat(F.lit("t="), stamp, F.lit(",v1="), good), 6: F.concat(F.lit("t="), stamp, F.lit(",v1="), _signed(b"other", stamp, F.col("payload")))}
+    header = F.lit(f"t={now},v1=00")
+    for n, h in headers.items():
+        header = F.when(case == n, h).otherwise(header)
+    return records.verify(df.withColumn("header", header), [b"old", b"secret"]).select("id", "signature_error")
 
 
 @query("latency_windows", f"SELECT (dt // 86400 * 86400)::BIGINT AS start, count(*) AS n, quantile_cont(amount, 0.5) AS p50, quantile_cont(amount, 0.99) AS p99, quantile_cont(amount, 0.999) AS p999, max(amount) AS worst FROM ({_P1}) GROUP BY 1")
