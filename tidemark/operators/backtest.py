@@ -114,11 +114,15 @@ def report(decided: DataFrame, rules: RuleSet, rule: Rule, options: Options) ->
     """
     df = proposed_on(decided, rules, rule, options.resolved(decided))
     groups = _groups(rule.action)
+    # rows are first counted by their flags, some dozens of combinations, and groups are then sums of those
+    flags = {f"_in_{g}": m for g, m in groups.items()} | {"_fraud": F.col("is_fraud"), "_legit": F.col("is_legit")}
+    counted = df.select(*[F.coalesce(m, F.lit(False)).alias(n) for n, m in flags.items()], "_milli").groupBy(*flags).agg(F.count("*").alias("_n"), F.sum("_milli").alias("_d"))
     aggs = []
-    for g, m in groups.items():
-        for kind, also in (("", F.lit(True)), ("f", F.col("is_fraud")), ("l", F.col("is_legit"))):
-            aggs += [F.count_if(m & also).alias(f"{g}_n{kind}"), F.coalesce(F.sum(F.when(m & also, F.col("_milli"))), F.lit(0)).alias(f"{g}_d{kind}")]
-    total = df.agg(*aggs)
+    for g in groups:
+        m = F.col(f"_in_{g}")
+        for kind, also in (("", F.lit(True)), ("f", F.col("_fraud")), ("l", F.col("_legit"))):
+            aggs += [F.coalesce(F.sum(F.when(m & also, F.col(x))), F.lit(0)).alias(f"{g}{x}{kind}") for x in ("_n", "_d")]
+    total = counted.agg(*aggs)
     c, share = F.col, lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     rows = [
         F.struct(

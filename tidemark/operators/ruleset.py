@@ -53,10 +53,9 @@ def decide(df: DataFrame, rules: RuleSet) -> DataFrame:
     df = df.withColumns(match_columns(rules))
     first = F.coalesce(*[F.when(F.col(f"m_{i}"), F.lit(i)) for i, _ in rules.live()], F.lit(NO_RULE))
     df = df.withColumn("rule_index", first)
-    action, name = F.lit("allow"), F.lit(None).cast("string")
-    for i, rule in rules.live():
-        action = F.when(F.col("rule_index") == i, rule.action).otherwise(action)
-        name = F.when(F.col("rule_index") == i, rule.id).otherwise(name)
+    # looked up in literals by place, so that code doesn't grow with the rules
+    named = lambda values: F.get(F.array(*[F.lit(v) for v in values]).cast("array<string>"), F.col("rule_index"))
+    action, name = F.coalesce(named([r.action for r in rules.rules]), F.lit("allow")), named([r.id for r in rules.rules])
     seen = [F.when(F.col(f"m_{i}"), F.lit(r.id)) for i, r in rules.shadows()]
     shadow = F.filter(F.array(*seen), lambda x: x.isNotNull()) if seen else F.array().cast("array<string>")
     return df.withColumns({"action": action, "rule_id": name, "shadow_matches": shadow})
