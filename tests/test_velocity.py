@@ -234,3 +234,9 @@ def test_empty_and_keyless(spark, empty):
 def test_one_exchange_per_entity(spark):
     plan = velocity.features(frame(spark, history(20)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_sketches_of_nothing(spark):
+    assert sketches.features(frame(spark, [])).collect() == []
+    got = sketches.features(frame(spark, [payment(1, 5, None, None, None, None, None, None)])).first()
+    assert all(got[name] is None for name in FEATURES)
