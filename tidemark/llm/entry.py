@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, license_scan, media, mixing, near_dup, pii, quality, sql, token_count, toxicity, url_filter
+from tidemark.llm import byte_bpe, license_scan, line_dedup, media, mixing, near_dup, pii, quality, sql, token_count, toxicity, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op8_char_tagger": pii.op8_char_tagger,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
     }
 
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_poisson_mix": sql.op4(),
         "op5_near_dup": sql.op5(),
         "op6_line_quality": sql.op6(),
+        "op11_line_dedup": sql.op11(),
     }

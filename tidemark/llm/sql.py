@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidemark.llm import license_scan as lic
-from tidemark.llm import mixing, quality
+from tidemark.llm import line_dedup, mixing, quality
+from tidemark.llm.common import SPACES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[ \t\n\x0b\f\r]"
@@ -113,3 +114,15 @@ f AS (SELECT doc_id, len(w) AS n_words, {solid("t")} AS word_chars, len(regexp_e
 h AS (SELECT *, {solid("array_to_string(good, chr(10))")} AS chars_left, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(worded) - len(list_distinct(worded)))::BIGINT AS n_dup_lines,
  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND 100 * chars_left >= {q.MIN_LEFT} * word_chars AS kept, (len(lines) - len(good))::BIGINT AS n_bad_lines, chars_left::BIGINT AS chars_left FROM h"""
+
+
+def op11() -> str:
+    ends = " || ".join(f"chr({ord(c)})" for c in SPACES)
+    return f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (SELECT doc_id, line, place, {_LOWER.format(f"trim(line, {ends})")} AS key FROM l),
+h AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= {line_dedup.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCS}),
+m AS (SELECT k.*, h.key IS NOT NULL AND doc_id <> owner AS gone FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
