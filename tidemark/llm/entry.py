@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, license_scan, line_dedup, media, mixing, near_dup, pii, quality, sql, token_count, toxicity, url_filter
+from tidemark.llm import byte_bpe, collocation, license_scan, line_dedup, media, mixing, near_dup, pii, quality, spelling, sql, token_count, toxicity, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,8 @@ def queries() -> dict:
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_collocations": collocation.op13_collocations,
     }
 
 
@@ -38,4 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_near_dup": sql.op5(),
         "op6_line_quality": sql.op6(),
         "op11_line_dedup": sql.op11(),
+        "op12_spelling_variants": sql.op12(),
+        "op13_collocations": sql.op13(),
     }

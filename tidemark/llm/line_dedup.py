@@ -3,10 +3,10 @@
 Documents come in batches, the largest ids first. A batch's keys, with how many
 of its documents hold them, are merge-anti-joined with the runs of the batches
 before it, as left joins that mark what a run has: a key without any mark is
-fresh, and the batch's largest document that holds it owns it. The batch's keys, fresh ones with their owner, then become a run of
-their own. A level that holds FANOUT runs is compacted into one of the next, so
-few runs are ever read. Runs are tables bucketed and sorted by key, so that the
-joins with them move no row of theirs between executors.
+fresh, and the batch's largest document that holds it owns it. The batch's keys,
+fresh ones with their owner, then become a run of their own. A level that holds
+FANOUT runs is compacted into one of the next, so few runs are ever read. Runs
+are tables bucketed and sorted by key: joins with them move none of their rows.
 
 Only built-in functions on whole tables; no Python workers.
 """
@@ -30,8 +30,10 @@ BATCHES, FANOUT = 8, 4
 class LineRuns:
     """Runs of (key, n, owner): of a batch or several, how many documents hold a key, and who owns it if no earlier run had it.
 
-    Runs are Parquet tables in folder, bucketed by key; their names in the
-    session's catalog go once they have been compacted, and with close().
+    Runs are Parquet tables in folder, bucketed by key, as many buckets as a
+    shuffle has partitions; so a batch's own keys are dealt out once and written
+    from there. The tables' names in the session's catalog go once they have been
+    compacted, and with close().
     """
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int | None = None):
@@ -58,18 +60,11 @@ class LineRuns:
 
     def add(self, pairs: DataFrame) -> None:
         """Take a batch of (key, doc_id), each pair once: its keys become a run."""
-        counted = pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner"))
-        run = self._write(counted.repartition(self.buckets, "key"))
-        if self.names:
-            staged, seen = run, F.lit(False)
-            df = self.spark.table(staged)
-            for i, name in enumerate(self.names):  # a key stands once in a run
-                mark = f"in_{i}"
-                df = df.join(self.spark.table(name).select("key", F.lit(True).alias(mark)), "key", "left")
-                seen = seen | F.col(mark).isNotNull()
-            run = self._write(df.select("key", "n", F.when(~seen, F.col("owner")).alias("owner")))
-            self._drop(staged)
-        self._keep(run, 0)
+        df, seen = pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner")), F.lit(False)
+        for i, name in enumerate(self.names):  # a key stands once in a run
+            df = df.join(self.spark.table(name).select("key", F.lit(True).alias(f"in_{i}")), "key", "left")
+            seen = seen | F.col(f"in_{i}").isNotNull()
+        self._keep(self._write(df.select("key", "n", F.when(~seen, F.col("owner")).alias("owner"))), 0)
 
     def _keep(self, run: str, level: int) -> None:
         if level == len(self.levels):
@@ -77,7 +72,7 @@ class LineRuns:
         runs = self.levels[level]
         runs.append(run)
         if len(runs) == self.fanout:
-            merged = self._write(_merged(self._rows(runs)).repartition(self.buckets, "key"))
+            merged = self._write(_merged(self._rows(runs)))
             for name in runs:
                 self._drop(name)
             self.levels[level] = []

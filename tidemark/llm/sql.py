@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import license_scan as lic
-from tidemark.llm import line_dedup, mixing, quality
+from tidemark.llm import collocation, line_dedup, mixing, quality, spelling
 from tidemark.llm.common import SPACES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,3 +126,48 @@ h AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= {line_dedup.L
 m AS (SELECT k.*, h.key IS NOT NULL AND doc_id <> owner AS gone FROM k LEFT JOIN h USING (key))
 SELECT doc_id, count(*) AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
+
+
+def op12() -> str:
+    """CRC-32 goes over a text's bytes by a table of the remainders of 0 to 255, which are made from its polynomial."""
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    parts = ["b0 AS (SELECT i, i::BIGINT AS c FROM range(256) t(i))"]
+    for k in range(8):
+        parts.append(f"b{k + 1} AS (SELECT i, {step.format('c')} AS c FROM b{k})")
+    least, most = spelling.LEAST_LETTERS, spelling.LEAST_COUNT
+    return f"""
+WITH RECURSIVE {", ".join(parts)},
+r AS (SELECT list(c ORDER BY i) AS remainders FROM b8),
+o AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")} AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM o WHERE length(run) >= {least} GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x), 2), lambda j: ('0x' || substr(x, (j + 1)::INT, 2))::BIGINT)),
+ lambda a, b: xor(a >> 8, remainders[(xor(a, b) & 255) + 1]))) AS h FROM u, r),
+s AS (SELECT n, CASE WHEN h % {spelling.SLIP} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= {least} GROUP BY word HAVING sum(n) >= {most}),
+d AS (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT DISTINCT word, n, rest FROM d),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION ALL SELECT e.word, w.word, w.n FROM e JOIN w ON e.rest = w.word
+ UNION ALL SELECT w.word, e.word, e.n FROM e JOIN w ON e.rest = w.word),
+q AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= {spelling.TIMES} * w.n THEN other END AS form, CASE WHEN other_n >= {spelling.TIMES} * w.n THEN other_n END::BIGINT AS form_n
+ FROM w LEFT JOIN q ON w.word = q.word AND place = 1),
+c AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word) USING (word)"""
+
+
+def op13() -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS length, array_to_string(w[i + 1:i + {k}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(len(w) - {k - 1})) AS i FROM p)" for k in range(1, collocation.LONGEST + 1))
+    return f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, length, phrase, count(*) AS f FROM ({grams}) GROUP BY lang, length, phrase HAVING count(*) >= {collocation.LEAST}),
+x AS (SELECT lang, length, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE length > 1),
+k AS (SELECT DISTINCT s.lang, s.phrase FROM x s JOIN x b ON s.lang = b.lang AND s.length < b.length AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.f >= 100 * s.f),
+c AS (SELECT lang, phrase, f, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, length)) AS k FROM x ANTI JOIN k USING (lang, phrase))),
+s AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.f * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+ FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest JOIN n ON n.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM m)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= {collocation.TOP}"""
