@@ -41,7 +41,7 @@ BYTES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20, 1 << 27
 #: Buckets are summed in chunks, which are dealt out.
 CHUNK = 1 << 13
 #: Counted phrases that a task holds before it passes them on.
-HELD = 300_000
+HELD = 100_000
 #: Small letters, blanks between words, and line ends between pieces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
