@@ -132,6 +132,25 @@ def test_only_a_last_line_without_its_end_may_be_torn(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+WRONG = ['{"payment_id": "txn_2", "created": "soon"}', '{"payment_id": "txn_2", "created": 1.5}', '{"payment_id": "txn_2", "ruleset_version": "x"}', '{}', '{"payment_id": 7}', '{"payment_id": null, "created": 3}', '{"payment_id": "a", "scored": 1}',
+         '{"payment_id": "a", "shadow_matches": "r"}', '{"payment_id": "a", "shadow_matches": ["r", 1]}', '{"payment_id": "a", "features": [1, {}]}', '{"payment_id": "a", "contributions": {"x": "1"}}', '{"payment_id": "a", "contributions": [1]}', '{"payment_id": "a", "bias": "0.5"}', '["a"]']
+
+
+@pytest.mark.parametrize("place", [0, 20, 40])
+def test_values_of_a_wrong_type_are_errors(spark, tmp_path, place):
+    good = [f'{{"payment_id": "txn_{i}", "created": {i}, "bias": 1, "risk_score": null, "features": ["a", 1, 0.5, null], "shadow_matches": [], "contributions": {{"x": 1}}}}' for i in range(40)]
+    for end in ("\n", ""):  # a whole line of a wrong type is no torn one, even at the end
+        for n, wrong in enumerate(WRONG):
+            (path := tmp_path / f"{n}{len(end)}").mkdir()
+            write(path, "a.jsonl", "\n".join([*good[:place], wrong, *good[place:]]) + end)
+            with pytest.raises(ValueError, match="1 lines are not a decision"):
+                records.read_decisions(spark, str(path))
+    (path := tmp_path / "good").mkdir()
+    write(path, "a.jsonl", "\n".join(good))
+    rows = records.read_decisions(spark, str(path)).collect()
+    assert len(rows) == 40 and rows[0].bias == 1 and rows[0].features == ["a", "1", "0.5", None] and rows[0].risk_score is None
+
+
 def test_cached(spark, tmp_path):
     src, calls = write(tmp_path, "s.csv", "x\n1\n"), []
 

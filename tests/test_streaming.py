@@ -3,15 +3,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import pickle
 import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_velocity import SCHEMA, frame, history
+from test_velocity import SCHEMA, frame
+from test_velocity import history as payments_of
 
 from tidemark.operators import labels, ruleset, velocity
 from tidemark.operators.ruleset import RuleSet
 from tidemark.sources import records
+from tidemark.streaming import keyed
 from tidemark.streaming import pipeline as st
 
 FEATURE = [f"{e}_{x}" for e in ("card", "uid", "device", "email") for x in ("txn_count_1h", "txn_count_7d", "amount_sum_24h", "mean_amount_7d", "amount_ratio_7d", "seconds_since_first", "seconds_since_last")] + ["distinct_cards_per_device_24h", "distinct_cards_per_email_24h"]
@@ -19,7 +22,7 @@ FEATURE = [f"{e}_{x}" for e in ("card", "uid", "device", "email") for x in ("txn
 
 def rows_of(n=70, seed=6):
     out = []
-    for r in history(n, seed):
+    for r in payments_of(n, seed):
         card = None if r[4] is None or r[4] != r[4] else r[4]
         # times after the Unix epoch's own zero, close together, so that one delay spans some of them
         out.append((*r[:4], card, *r[5:]))
@@ -78,12 +81,37 @@ def test_stream_gives_what_a_batch_gives_after_a_restart(spark, tmp_path):
     folder = feed(tmp_path, [mixed[:30], mixed[30:]])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     keep = lambda df: df.select("id", "late", *FEATURE)
-    finish(st.start(st.live_features(stream(spark, folder), "5 days"), out, check, keep))
+    finish(st.start(st.live_features(stream(spark, folder), "5 days", 3), out, check, keep))
     feed(tmp_path, [[end], [heartbeat(end[1] + 1)]])
-    finish(st.start(st.live_features(stream(spark, folder), "5 days"), out, check, keep))
+    finish(st.start(st.live_features(stream(spark, folder), "5 days", 3), out, check, keep))
     same(spark, out, rows)
     assert spark.read.json(out).filter("late").count() == 0
-    assert st.state_summary(spark, check).count() and not st.state_summary(spark, check).filter("keys < 1").count()
+    kept = {r.entity: r["keys"] for r in st.state_summary(spark, check).collect()}
+    past = rows[-1][1] + 20 * 86_400 - keyed.IDLE_TTL - 5 * 86_400
+    assert "waiting" not in kept and kept["email"] == len({r[10] for r in rows if r[10] and r[1] > past})
+
+
+def test_a_stream_goes_on_from_a_batch(spark, tmp_path):
+    rows = rows_of(90, 11)
+    folder = feed(tmp_path, [rows[50:70], rows[70:], [heartbeat(rows[-1][1] + 86_400)], [heartbeat(rows[-1][1] + 86_401)]])
+    out = str(tmp_path / "out")
+    df = st.live_features(stream(spark, folder), "1 day", 2, frame(spark, rows[:50]))
+    finish(st.start(df, out, str(tmp_path / "check"), lambda df: df.select("id", "late", *FEATURE)))
+    want = velocity.features(frame(spark, rows)).filter(F.col("id").isin([r[0] for r in rows[50:]]))
+    got = {r.id: r for r in spark.read.schema("id bigint, " + ", ".join(f"{c} double" for c in FEATURE)).json(out).collect()}
+    assert len(got) == 40
+    for r in want.collect():
+        assert {c: got[r.id][c] for c in FEATURE} == pytest.approx({c: r[c] for c in FEATURE}), r.id
+
+
+def test_many_cards_and_rows_of_one_key(spark, tmp_path):
+    """More rows than a segment and more cards than a head hold, over several batches."""
+    rows = [tuple({"id": i, "dt": 1_000 + i * 400, "amount": float(i % 13), "card1": float(i % 150), "device_info": "d", "purchaser_email_domain": "e" if i % 2 else None}.get(c) for c in SCHEMA.replace(",", "").split()[0::2]) for i in range(900)]
+    end = rows[-1][1]
+    folder = feed(tmp_path, [*[rows[i : i + 300] for i in (0, 300, 600)], [heartbeat(end + 86_400)], [heartbeat(end + 86_401)]])
+    out = str(tmp_path / "out")
+    finish(st.start(st.live_features(stream(spark, folder), "1 minute", 2), out, str(tmp_path / "check"), lambda df: df.select("id", "late", *FEATURE)))
+    same(spark, out, rows)
 
 
 def test_rules_over_the_stream_count_what_they_count_over_the_table(spark, tmp_path):
@@ -95,7 +123,7 @@ def test_rules_over_the_stream_count_what_they_count_over_the_table(spark, tmp_p
     folder = feed(tmp_path, [rows[:30], rows[30:], [heartbeat(rows[-1][1] + 86_400)], [heartbeat(rows[-1][1] + 86_401)]])
     full = lambda df: df.withColumns({"risk_score": F.lit(None).cast("double"), "fraud": F.col("is_fraud")})
     table = full(velocity.features(frame(spark, rows)))
-    finish(st.start(st.live_features(stream(spark, folder), "1 day"), out, str(tmp_path / "check")))
+    finish(st.start(st.live_features(stream(spark, folder), "1 day", 2), out, str(tmp_path / "check")))
     streamed = full(spark.read.schema(table.drop("fraud", "risk_score").schema).json(out))
     counted = [sorted(map(str, ruleset.rule_stats(ruleset.decide(t, rules), rules).collect())) for t in (streamed, table)]
     assert counted[0] == counted[1] and len(counted[0]) == 13
@@ -106,39 +134,80 @@ def test_replayed_files_give_the_batch_too(spark, tmp_path):
     st.replay(frame(spark, rows), str(tmp_path / "in"), 3)
     feed(tmp_path, [[heartbeat(rows[-1][1] + 86_400)], [heartbeat(rows[-1][1] + 86_401)]])
     out = str(tmp_path / "out")
-    finish(st.start(st.live_features(spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.json").json(str(tmp_path / "in")), "10 seconds"), out, str(tmp_path / "check"), lambda df: df.select("id", "late", *FEATURE)))
+    finish(st.start(st.live_features(spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.json").json(str(tmp_path / "in")), "10 seconds", 2), out, str(tmp_path / "check"), lambda df: df.select("id", "late", *FEATURE)))
     same(spark, out, rows)
 
 
+class Map:
+    """A map of state, with what was written to it."""
+
+    def __init__(self):
+        self.held, self.written = {}, 0
+
+    def getValue(self, key):  # noqa: N802
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+        self.written += len(value[0]) if isinstance(value[0], bytes) else 8
+
+    def removeKey(self, key):  # noqa: N802
+        self.held.pop(key, None)
+
+
+def history(maps=None, head=None):
+    segments, cards = maps or (Map(), Map())
+    return keyed.KeyHistory(keyed.Shelf(segments, cards, "k"), head)
+
+
 def test_history_takes_late_rows_at_its_latest_time():
-    h = st.KeyHistory()
+    h = history()
     h.take(100, 5.0, 5000, 1.0)
-    out = dict(zip(st.PER_KEY, h.take(50, 7.0, 7000, 2.0), strict=True))
+    out = dict(zip(keyed.PER_KEY, h.take(50, 7.0, 7000, 2.0), strict=True))
     assert out["txn_count_1h"] == 1 and out["seconds_since_last"] == 0 and h.last == 100
 
 
-def test_history_equals_a_count_of_every_row():
-    rng, h, done = random.Random(4), st.KeyHistory(), []
-    dt = 0
-    for i in range(400):
-        dt += rng.choice([0, 1, 600, 3_600, 86_400, 200_000])
-        amount, card = rng.randint(1, 900), rng.choice([None, 1.0, 2.0, 3.0])
-        got = dict(zip(st.PER_KEY, h.take(dt, amount / 1000, amount, card), strict=True))
-        for w, seconds in st.WINDOWS.items():
+@pytest.mark.parametrize(("steps", "batch"), [((0, 1, 600, 3_600, 86_400, 200_000), 37), ((0, 1, 2, 300), 150), ((0, 60, 5_000_000), 1)])
+def test_history_equals_a_count_of_every_row(monkeypatch, steps, batch):
+    monkeypatch.setattr(keyed, "SEGMENT", 5)
+    monkeypatch.setattr(keyed, "CARDS", 2)
+    rng, maps, done = random.Random(4), (Map(), Map()), []
+    h, dt, first = history(maps), 0, 0
+    for i in range(900):
+        gap = rng.choice(steps)
+        dt += gap
+        first = dt if gap >= keyed.IDLE_TTL or not done else first
+        amount, card = rng.randint(1, 900), rng.choice([None, 1.0, 2.0, 3.0, 4.0])
+        got = dict(zip(keyed.PER_KEY, h.take(dt, amount / 1000, amount, card), strict=True))
+        for w, seconds in keyed.WINDOWS.items():
             inside = [m for t, m, _ in done if t > dt - seconds]
             assert (got[f"txn_count_{w}"], got[f"amount_sum_{w}"]) == (len(inside), sum(inside) / 1000)
         assert got["distinct_cards"] == len({c for t, _, c in done if c is not None and t > dt - 86_400})
+        assert got["seconds_since_first"] == (dt - first if done and gap < keyed.IDLE_TTL else None)
         done.append((dt, amount, card))
-        if i % 37 == 0:  # written and read back
-            h = st.KeyHistory(h.rows, h.first, h.last)
+        if i % batch == 0:  # written and read back
+            h = history(maps, pickle.loads(pickle.dumps(h.head())))
+    h.leave(dt + keyed.IDLE_TTL)
+    assert h.head()[4] == [] and not maps[0].held and not maps[1].held
+
+
+def test_what_a_batch_writes_does_not_grow_with_the_week():
+    maps, head, sizes = (Map(), Map()), None, []
+    for batch in range(60):
+        before, h = maps[0].written, history(maps, head)
+        for i in range(100):
+            h.take(batch * 6_000 + i * 60, 1.0, 1_000, float(i % 7))
+        head = h.head()
+        sizes.append(maps[0].written - before + len(pickle.dumps(head)))
+    assert head[6][7 * 86_400] > 5_900 and max(sizes[-10:]) < 1.2 * max(sizes[:10])
 
 
 def released(spark, tmp_path, batches):
     """What the stream of one batch a file says of each payment, and where its checkpoint is."""
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    df = st.velocity_parts(stream(spark, feed(tmp_path, batches)), "1 minute")
+    df = st.velocity_parts(stream(spark, feed(tmp_path, batches)), "1 minute", shards=2)
     finish(df.writeStream.format("json").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start())
-    return {r.id: r for r in spark.read.schema(st._PART).json(out).filter("entity = 'card'").collect()}, check
+    return {r.id: r for r in spark.read.schema(keyed.PART).json(out).filter("entity = 'card'").collect()}, check
 
 
 def payment(id_, dt, card=5.0, amount=10.0):
@@ -208,6 +277,6 @@ def test_arrival_order_is_not_event_order(spark, tmp_path):
     folder = feed(tmp_path, [rows[20:], rows[:20]])
     df = stream(spark, folder).withColumn("device_info", F.lit(None).cast("string")).withColumn("purchaser_email_domain", F.lit(None).cast("string")).withColumn("d1", F.lit(None).cast("double"))
     out = str(tmp_path / "parts")
-    q = st.velocity_parts(df, "3650 days", ordered=False).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q = st.velocity_parts(df, "3650 days", ordered=False, shards=2).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     finish(q)
     assert spark.read.json(out).filter("late").count() > 0

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.catalog import ENTITIES, FEATURES, FIELDS, IDLE_TTL, WINDOWS
+from tidemark.catalog import DAY, ENTITIES, FEATURES, FIELDS, IDLE_TTL, WINDOWS
 from tidemark.operators import sketches, velocity
 from tidemark.sources.payments import COLUMNS
 
@@ -94,14 +94,40 @@ def test_exact_and_ring_against_brute_force(spark):
     check(velocity.features(df, buckets=velocity.BUCKETS), brute(rows, velocity.BUCKETS))
 
 
-def test_chunks_of_time_change_nothing(spark):
+@pytest.mark.parametrize("chunk", [60, 900, DAY])
+def test_chunks_of_time_change_nothing(spark, chunk):
     rows = history(240, 21)
     df = frame(spark, rows).withColumn("card1", F.nanvl("card1", F.lit(None).cast("double")))
-    week = max(WINDOWS.values())
-    check(velocity.features(df, chunks=dict.fromkeys(ENTITIES, week)), brute(rows))
-    check(velocity.features(df, buckets=velocity.BUCKETS, chunks=dict.fromkeys(ENTITIES, week)), brute(rows, velocity.BUCKETS))
+    check(velocity.features(df, chunks=dict.fromkeys(ENTITIES, chunk)), brute(rows))
+    if chunk <= velocity.BUCKETS["24h"]:
+        check(velocity.features(df, buckets=velocity.BUCKETS, chunks=dict.fromkeys(ENTITIES, chunk)), brute(rows, velocity.BUCKETS))
+
+
+@pytest.mark.parametrize(("chunk", "buckets"), [(DAY + 1, None), (1_000, velocity.BUCKETS)])
+def test_chunks_that_do_not_fit(spark, chunk, buckets):
     with pytest.raises(ValueError):
-        velocity.features(df, chunks={"card": week - 1})
+        velocity.features(frame(spark, history(5)), chunks={"card": chunk}, buckets=buckets)
+
+
+def test_a_key_that_is_hot_in_one_hour(spark):
+    """Nearly all rows are of one key, many at the same second, and no task has many of them."""
+    rng = random.Random(3)
+    rows = [payment(i, 500_000 + rng.randint(0, 3_600 if i % 3 else 600_000), card=float(rng.randint(0, 5))) for i in range(400)]
+    check(velocity.features(frame(spark, rows), **velocity.hot_chunks(frame(spark, rows), 50)), brute(rows))
+    wide = [payment(i, 500_000 + i % 3_600, card=1.0) for i in range(40_000)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or it puts small partitions together
+    try:
+        df = velocity.features(frame(spark, wide).repartition(4), ("card",), chunks={"card": 60}).select("id", F.spark_partition_id().alias("part"))
+        sizes = sorted(r["count"] for r in df.groupBy("part").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 1 and sum(sizes) == 40_000 and sizes[-1] < 2 * sum(sizes) / len(sizes)
+
+
+def test_sketches_keep_rows_whose_ids_come_again(spark):
+    rows = history(50, 3)
+    again = [*rows, *[(r[0], r[1] + 100, *r[2:]) for r in rows], *rows[:4]]
+    assert sketches.features(frame(spark, again)).count() == len(again)
 
 
 @pytest.mark.parametrize("rows_", [2, 30])

@@ -11,11 +11,13 @@ Distinct cards are counted the same way, by how many cards have entered the
 window and how many have left it. All columns of one entity come from a single
 exchange on its key.
 
-A key with a large share of all rows makes one long task that way. Rows of such
-keys are dealt by key and chunk of time instead, each chunk, at least as long as
-the longest window, with the rows of the one before it; recency, which reaches
-further back, comes from one row per key and chunk. Which keys those are is
-counted first.
+A key with a large share of all rows makes one long task that way, so such keys
+are counted first and summed by key and bucket, a minute or so of time. A payment
+enters at its own time and leaves each window at a time of its own, both in the
+bucket that holds that time. Totals of buckets are scanned once a key, which
+costs a row per bucket, and a payment's figures are the totals of the buckets
+before its own and the running sums within it. So no task holds more of a
+key than a bucket, however many payments it has in an hour or a week.
 
 Payments not yet seen (probes) go through the same frames beside the history,
 with a weight of 0.
@@ -31,13 +33,16 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import DAY, ENTITIES, FIELDS, IDLE_TTL, SHARED, WINDOWS
 from tidemark.functions.values import divide, milli, number
+from tidemark.scratch import scratch_dir, stored
 
 #: Width of the ring buckets that stand for each window's payments.
 BUCKETS = {"1h": 60, "24h": 900, "7d": 3_600}
 #: Rows without a key are nobody's history; they are spread over so many groups.
 KEYLESS_GROUPS = 1_024
 #: A key is hot if it has more rows than a task sorts with ease, and than one in HOT_PARTS of all.
-HOT_ROWS, HOT_PARTS = 250_000, 1_000
+HOT_ROWS, HOT_PARTS = 250_000, 100_000
+#: Seconds of time in which a hot key's payments are taken one by one.
+CHUNK = 60
 #: Rows in time, a probe (whose _real is 0) before a payment at its own place.
 _ORDER = ("dt", "id", "_real")
 
@@ -75,72 +80,47 @@ def hot_keys(payments: DataFrame, entity: str, rows: int = HOT_ROWS) -> DataFram
     """The entity's hot keys in these payments, HOT_PARTS at most, or None if there are none."""
     df, by = keyed(payments, entity)
     counts = df.filter("_k0 IS NOT NULL").groupBy(*by[:-1]).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.filter(F.col("_n") > max(rows, total // HOT_PARTS)).drop("_n")
-    # fewer than HOT_PARTS rows, as each has more than that part of all
-    found = hot.collect()
-    return payments.sparkSession.createDataFrame(found, hot.schema) if found else None
-
-
-def _chunked(df: DataFrame, by: list[str], chunk: int, hot: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """df with the rows of hot keys (None: of all) dealt to chunks of time: each to its own (_own) and, for what comes later, to the next.
-
-    Adds _before, the key's last time before the chunk, _start, when the key's
-    history began as of the chunk, and _first, when it began as of the chunk
-    before; all null for keys that aren't hot. No gap of IDLE_TTL fits into a chunk.
-    """
-    if chunk < max(WINDOWS.values()) or chunk >= IDLE_TTL:
-        raise ValueError("a chunk is at least the longest window and shorter than the idle time")
-    if hot is None:
-        df = df.withColumn("_hot", F.col("_k0").isNotNull())
-    else:
-        df = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), by[:-1], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    df = df.withColumn("_c", F.when(F.col("_hot"), F.floor(F.col("dt") / chunk)).otherwise(0).cast("bigint"))
-    real = F.when(F.col("_real") == 1, F.col("dt"))
-    spans = df.filter("_hot").groupBy(*by[:-1], "_c").agg(F.min(real).alias("_low"), F.max(real).alias("_high"))
-    in_time = W.partitionBy(*by[:-1]).orderBy("_c")
-    earlier = in_time.rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.last("_high", ignorenulls=True).over(earlier))
-    spans = spans.withColumn("_begins", F.when(F.col("_before").isNull() | (F.col("_low") - F.col("_before") >= IDLE_TTL), F.col("_low")))
-    spans = spans.withColumns({"_start": F.max("_begins").over(in_time.rowsBetween(W.unboundedPreceding, 0)), "_first": F.max("_begins").over(earlier)})
-    places = F.when(F.col("_hot"), F.array(F.col("_c"), F.col("_c") + 1)).otherwise(F.array("_c"))
-    dealt = df.withColumn("_part", F.explode(places)).withColumn("_own", F.col("_part") == F.col("_c")).drop("_c")
-    spans = spans.select(*by[:-1], F.col("_c").alias("_part"), F.lit(True).alias("_hot"), "_before", "_start", "_first")
-    return dealt.join(spans, [*by[:-1], "_part", "_hot"], "left").drop("_hot"), [*by, "_part"]
+    counts = stored(counts.filter(F.col("_n") > rows), scratch_dir(payments.sparkSession), "counts")
+    if counts.isEmpty():
+        return None
+    # fewer than HOT_PARTS keys, as each has more than that part of all, or of the payments of all keys that have many
+    total = counts.agg(F.sum("_n")).first()[0]
+    hot = counts.filter(F.col("_n") > total // HOT_PARTS).drop("_n")
+    return None if hot.isEmpty() else hot
 
 
 def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = tuple(WINDOWS), buckets: dict[str, int] | None = None, chunk: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """payments (with _milli, and _real: 0 for probes, else 1) and the entity's exact features; with buckets, those of ring buckets.
 
-    chunk: deal rows by key and so many seconds of time; hot: those of these keys only.
+    chunk: sum rows by key and so many seconds of time; hot: those of these keys only.
+    A day at most, and a part of the day's ring buckets.
 
     A payment without key has none of them. A key not seen within IDLE_TTL has
     counts and sums of zero and no mean, ratio or recency.
     """
     df, by = keyed(payments, entity)
-    if chunk:
-        df, by = _chunked(df, by, chunk + (buckets or {}).get("7d", 0), hot)
-    before = W.partitionBy(*by).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    real = F.col("_real") == 1
-    last = F.max(F.when(real, F.col("dt"))).over(before)
-    gap = F.col("dt") - (F.coalesce(last, F.col("_before")) if chunk else last)
-    df = _add(df, {"_n": zero(F.sum("_real").over(before)), "_s": zero(F.sum("_milli").over(before)), "_gap": F.when(gap < IDLE_TTL, gap)})
-    began = F.max(F.when(real & F.col("_gap").isNull(), F.col("dt"))).over(before)
-    if chunk:
-        # a probe may come before the payment with which a new history begins in its chunk
-        began = F.coalesce(F.when(F.col("_start") <= F.col("dt"), F.col("_start")), F.col("_first"), began)
-    df = _add(df, {"_began": began})
+    if not chunk:
+        df = _in_frames(df, entity, by, windows, buckets)
+    else:
+        if chunk > DAY or (buckets and buckets["24h"] % chunk):
+            raise ValueError("a chunk is a day at most, and a part of the day's ring buckets")
+        if hot is None:
+            df = df.withColumn("_hot", F.col("_k0").isNotNull())
+        else:
+            df = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), by[:-1], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        df = stored(df, scratch_dir(df.sparkSession), entity)
+        split = _in_chunks(df.filter("_hot"), entity, by[:-1], windows, buckets, chunk)
+        df = _in_frames(df.filter("NOT _hot"), entity, by, windows, buckets).unionByName(split).drop("_hot")
+    return _with_features(df, entity, by, windows)
+
+
+def _with_features(df: DataFrame, entity: str, by: list[str], windows: Sequence[str]) -> DataFrame:
+    """df with the entity's features by their names, from what _in_frames adds."""
     has = F.col("_k0").isNotNull()
     out: dict[str, Column] = {}
-    if buckets is None:
-        gone = {w: W.partitionBy(*by).orderBy("dt").rangeBetween(W.unboundedPreceding, -WINDOWS[w]) for w in windows}
-    else:
-        df = _add(df, {f"_b_{w}": F.floor(F.col("dt") / buckets[w]).cast("bigint") for w in windows})
-        gone = {w: W.partitionBy(*by).orderBy(f"_b_{w}").rangeBetween(W.unboundedPreceding, -(WINDOWS[w] // buckets[w] + 1)) for w in windows}
     for w in windows:
-        out[f"{entity}_txn_count_{w}"] = F.when(has, (F.col("_n") - zero(F.sum("_real").over(gone[w]))).cast("double"))
-        out[f"{entity}_amount_sum_{w}"] = F.when(has, (F.col("_s") - zero(F.sum("_milli").over(gone[w]))) / 1000.0)
+        out[f"{entity}_txn_count_{w}"] = F.when(has, F.col(f"_n{w}").cast("double"))
+        out[f"{entity}_amount_sum_{w}"] = F.when(has, F.col(f"_s{w}") / 1000.0)
     df = _add(df, out)
     if "7d" in windows:
         mean = divide(F.col(f"{entity}_amount_sum_7d"), F.col(f"{entity}_txn_count_7d"))
@@ -153,14 +133,39 @@ def entity_features(payments: DataFrame, entity: str, windows: Sequence[str] = t
         f"{entity}_seconds_since_last": F.when(seen, F.col("_gap").cast("double")),
     })
     if entity in SHARED:
-        df = _distinct(df, entity, by, None if buckets is None else buckets["24h"])
-    if chunk:
-        df = df.filter("_own")
-    return df.drop(*by, "_n", "_s", "_began", "_gap", "_own", "_before", "_start", "_first", *[f"_b_{w}" for w in windows])
+        df = df.withColumn(f"distinct_cards_per_{entity}_24h", F.when(has, F.col("_cards").cast("double")))
+    return df.drop(*by, "_began", "_gap", "_cards", *[f"_{x}{w}" for w in windows for x in "ns"])
+
+
+def _zero(x: Column) -> Column:
+    return F.coalesce(x, F.lit(0))
+
 
+def _leaves(seconds: int, bucket: int | None) -> Column:
+    """When a payment at dt is out of a window, of ring buckets if their width is given."""
+    return F.col("dt") + seconds if bucket is None else (F.floor(F.col("dt") / bucket).cast("bigint") + seconds // bucket + 1) * bucket
 
-def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None) -> DataFrame:
-    """Distinct cards of the last day: entries into the window before this row less exits up to its far end."""
+
+def _in_frames(df: DataFrame, entity: str, by: list[str], windows: Sequence[str], buckets: dict[str, int] | None) -> DataFrame:
+    """df with _n<w> and _s<w> (payments and thousandths in each window), _gap, _began and _cards, by frames over a key's rows."""
+    before = W.partitionBy(*by).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
+    real = F.col("_real") == 1
+    gap = F.col("dt") - F.max(F.when(real, F.col("dt"))).over(before)
+    df = _add(df, {"_n": _zero(F.sum("_real").over(before)), "_s": _zero(F.sum("_milli").over(before)), "_gap": F.when(gap < IDLE_TTL, gap)})
+    df = _add(df, {"_began": F.max(F.when(real & F.col("_gap").isNull(), F.col("dt"))).over(before)})
+    if buckets is None:
+        gone = {w: W.partitionBy(*by).orderBy("dt").rangeBetween(W.unboundedPreceding, -WINDOWS[w]) for w in windows}
+    else:
+        df = _add(df, {f"_b_{w}": F.floor(F.col("dt") / buckets[w]).cast("bigint") for w in windows})
+        gone = {w: W.partitionBy(*by).orderBy(f"_b_{w}").rangeBetween(W.unboundedPreceding, -(WINDOWS[w] // buckets[w] + 1)) for w in windows}
+    df = _add(df, {f"{x}{w}": F.col(x) - _zero(F.sum(y).over(gone[w])) for w in windows for x, y in (("_n", "_real"), ("_s", "_milli"))})
+    if entity in SHARED:
+        df = _distinct(df, by, None if buckets is None else buckets["24h"])
+    return df.drop("_n", "_s", *[f"_b_{w}" for w in windows])
+
+
+def _distinct(df: DataFrame, by: list[str], bucket: int | None) -> DataFrame:
+    """_cards: distinct cards of the last day, entries into the window before this row less exits up to its far end."""
     place, length = ("dt", DAY) if bucket is None else ("_place", DAY // bucket + 1)
     if bucket is not None:
         df = df.withColumn("_place", F.floor(F.col("dt") / bucket).cast("bigint"))
@@ -174,15 +179,72 @@ def _distinct(df: DataFrame, entity: str, by: list[str], bucket: int | None) ->
     df = _add(df, {"_enters": enters.cast("bigint"), "_leaves": leaves.cast("bigint")})
     inside = F.sum("_enters").over(W.partitionBy(*by).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1))
     outside = F.sum("_leaves").over(W.partitionBy(*by).orderBy(place).rangeBetween(W.unboundedPreceding, -length))
-    count = (F.coalesce(inside, F.lit(0)) - F.coalesce(outside, F.lit(0))).cast("double")
-    df = df.withColumn(f"distinct_cards_per_{entity}_24h", F.when(F.col("_k0").isNotNull(), count))
-    return df.drop("_card", "_enters", "_leaves", "_place")
+    return df.withColumn("_cards", _zero(inside) - _zero(outside)).drop("_card", "_enters", "_leaves", "_place")
+
+
+#: What happens to a key, in the order in which it counts at one time: payments and cards leave, then a probe or a payment comes, then its card counts.
+_PROBE, _PAYMENT, _CARD = 0, 1, 2
+
+
+def _in_chunks(df: DataFrame, entity: str, by: list[str], windows: Sequence[str], buckets: dict[str, int] | None, chunk: int) -> DataFrame:
+    """What _in_frames gives, for rows that all have a key, by totals per key and chunk of time and running sums within a chunk.
+
+    Nothing but the totals, one row per key and chunk, is ever gathered by key.
+    """
+    out_of = {w: f"left_{w}" for w in windows}
+    kinds = {name: -1 - i for i, name in enumerate([*out_of.values(), "card_left"])}
+    event = lambda t, kind, id_=None: F.struct(t.cast("bigint").alias("_t"), F.lit(kind).alias("_kind"), (F.lit(None) if id_ is None else id_).cast("bigint").alias("_id"), (F.col("_milli") if kind < 0 and kind != kinds["card_left"] else F.lit(0)).cast("bigint").alias("_m"))
+    own = df.select(*by, F.col("dt").alias("_t"), F.when(F.col("_real") == 1, _PAYMENT).otherwise(_PROBE).alias("_kind"), F.col("id").alias("_id"), F.col("_milli").alias("_m"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    exits = df.filter("_real = 1").select(*by, F.inline(F.array(*[event(_leaves(WINDOWS[w], buckets and buckets[w]), kinds[out_of[w]]) for w in windows])))
+    events = own.unionByName(exits, allowMissingColumns=True)
+    if entity in SHARED:
+        events = events.unionByName(_card_events(df, by, chunk, buckets and buckets["24h"], lambda t, kind, id_=None: event(t, kinds.get(kind, _CARD), id_)), allowMissingColumns=True)
+    events = events.withColumn("_c", F.floor(F.col("_t") / chunk).cast("bigint"))
+    paid = F.col("_kind") == _PAYMENT
+    of = lambda kind, x: F.sum(F.when(F.col("_kind") == kind, x))
+    sums = {"n_in": of(_PAYMENT, 1), "s_in": of(_PAYMENT, F.col("_m")), **{f"n_{k}": of(kinds[k], 1) for k in out_of.values()}, **{f"s_{k}": of(kinds[k], F.col("_m")) for k in out_of.values()}}
+    if entity in SHARED:
+        sums |= {"cards_in": of(_CARD, 1), "cards_out": of(kinds["card_left"], 1)}
+    totals = events.groupBy(*by, "_c").agg(*[x.alias(k) for k, x in sums.items()], F.min(F.when(paid, F.col("_t"))).alias("_low"), F.max(F.when(paid, F.col("_t"))).alias("_high"))
+    in_time = W.partitionBy(*by).orderBy("_c")
+    earlier = in_time.rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.last("_high", ignorenulls=True).over(earlier))
+    # no gap of IDLE_TTL fits into a chunk, so a history begins with a chunk's first payment or not in it
+    totals = totals.withColumn("_begins", F.when(F.col("_before").isNull() | (F.col("_low") - F.col("_before") >= IDLE_TTL), F.col("_low")))
+    held = totals.select(*by, "_c", *[_zero(F.sum(k).over(earlier)).alias(f"b_{k}") for k in sums], "_before", F.max("_begins").over(in_time.rowsBetween(W.unboundedPreceding, 0)).alias("_start"), F.max("_begins").over(earlier).alias("_first"))
+    events = events.join(held, [*by, "_c"])
+    # what leaves at a time is out of the window of what comes at that time
+    here = W.partitionBy(*by, "_c").orderBy("_t", F.col("_kind") >= 0, "_id", "_kind").rowsBetween(W.unboundedPreceding, -1)
+    run = {k: F.col(f"b_{k}") + _zero(x.over(here)) for k, x in sums.items()}
+    last = F.coalesce(F.max(F.when(paid, F.col("_t"))).over(here), F.col("_before"))
+    # a probe may come before the payment with which a new history begins in its chunk
+    began = F.coalesce(F.when(F.col("_start") <= F.col("_t"), F.col("_start")), F.col("_first"))
+    figures = {f"_n{w}": run["n_in"] - run[f"n_left_{w}"] for w in windows} | {f"_s{w}": run["s_in"] - run[f"s_left_{w}"] for w in windows}
+    figures |= {"_gap": F.col("_t") - last, "_began": began} | ({"_cards": run["cards_in"] - run["cards_out"]} if entity in SHARED else {})
+    done = events.select("_kind", "_row", *[x.alias(k) for k, x in figures.items()]).filter((F.col("_kind") == _PROBE) | paid)
+    return done.select("_row.*", *figures).withColumn("_gap", F.when(F.col("_gap") < IDLE_TTL, F.col("_gap")))
+
+
+def _card_events(df: DataFrame, by: list[str], chunk: int, bucket: int | None, event) -> DataFrame:
+    """When cards come into a key's last day and when they leave it.
+
+    A card that comes twice in a chunk hasn't left in between, so the first and last payment of each card and chunk say it.
+    """
+    place, length = (lambda t: t, DAY) if bucket is None else (lambda t: F.floor(t / bucket).cast("bigint"), DAY // bucket + 1)
+    cards = df.filter("_real = 1").withColumn("_card", _finite(F.col("card1"))).filter("_card IS NOT NULL")
+    cards = cards.groupBy(*by, "_card", F.floor(F.col("dt") / chunk).cast("bigint").alias("_c")).agg(F.min(F.struct("dt", "id")).alias("_in"), F.max("dt").alias("dt"))
+    same = W.partitionBy(*by, "_card").orderBy("_c")
+    cards = _add(cards, {"_last": F.lag("dt").over(same), "_next": F.lead("_in.dt").over(same), "_milli": F.lit(0)})
+    enters = F.col("_last").isNull() | (place(F.col("_in.dt")) - place(F.col("_last")) >= length)
+    leaves = F.col("_next").isNull() | (place(F.col("_next")) - place(F.col("dt")) >= length)
+    both = F.array(F.when(enters, event(F.col("_in.dt"), "card", F.col("_in.id"))), F.when(leaves, event(_leaves(DAY, bucket), "card_left")))
+    return cards.select(*by, F.inline(F.filter(both, lambda x: x.isNotNull())))
 
 
 def features(payments: DataFrame, entities: Sequence[str] = ENTITIES, buckets: dict[str, int] | None = None, chunks: Mapping[str, int] | None = None, hot: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """payments with all velocity features: exact ones, or with buckets those of ring buckets.
 
-    chunks: chunk lengths in seconds for entities whose rows are dealt by time too; hot: for the rows of these keys only.
+    chunks: seconds of time by which an entity's rows are summed; hot: for the rows of these keys only.
     """
     df = payments.withColumns({"_milli": milli(F.col("amount")), "_real": F.lit(1).cast("bigint")})
     return _all_features(df, entities, buckets, chunks, hot)
@@ -194,7 +256,7 @@ def _all_features(df: DataFrame, entities: Sequence[str], buckets: dict[str, int
     return df.drop("_milli", "_real")
 
 
-def hot_chunks(payments: DataFrame, rows: int = HOT_ROWS, chunk: int = max(WINDOWS.values())) -> dict:
+def hot_chunks(payments: DataFrame, rows: int = HOT_ROWS, chunk: int = CHUNK) -> dict:
     """chunks and hot, for features, of the entities that have hot keys in these payments."""
     hot = {e: h for e in ENTITIES if (h := hot_keys(payments, e, rows)) is not None}
     return {"chunks": dict.fromkeys(hot, chunk), "hot": hot}
@@ -204,7 +266,7 @@ def as_of(history: DataFrame, probes: DataFrame, rows: int = HOT_ROWS) -> DataFr
     """All features of probes as if each came at its (dt, id), without any of them counting for another.
 
     A payment of history at a probe's own (dt, id) doesn't count for it, so payments can be probed against themselves.
-    Keys with over `rows` rows in both are dealt by time.
+    Keys with over `rows` rows in both are summed by chunks of time.
     """
     real = lambda df, n: df.withColumn("_real", F.lit(n).cast("bigint"))
     df = real(history, 1).unionByName(real(probes, 0), allowMissingColumns=True)
@@ -213,10 +275,27 @@ def as_of(history: DataFrame, probes: DataFrame, rows: int = HOT_ROWS) -> DataFr
     return _all_features(df, ENTITIES, None, **split).filter("_probe").drop("_probe")
 
 
+def features_by_arrival(payments: DataFrame, arrival: Sequence[str], entities: Sequence[str] = ENTITIES) -> DataFrame:
+    """payments with all features as a pipeline gives them that takes each payment when it arrives, late ones too.
+
+    arrival: the columns that say in which order payments arrive. Nothing that
+    was said before is taken back, so a payment that comes after later ones of
+    its key counts, for that key, as if it came with the latest of them: at the
+    running maximum of time in order of arrival.
+    """
+    real = payments.withColumns({"_milli": milli(F.col("amount")), "_real": F.lit(1).cast("bigint"), "_dt": F.col("dt"), "_id": F.col("id"), "_arrival": F.struct(*arrival)})
+    for entity in entities:
+        df, by = keyed(real, entity)
+        latest = F.max("_dt").over(W.partitionBy(*by).orderBy("_arrival").rowsBetween(W.unboundedPreceding, 0))
+        real = _with_features(_in_frames(df.withColumns({"dt": latest, "id": F.col("_arrival")}), entity, by, tuple(WINDOWS), None), entity, by, tuple(WINDOWS))
+        real = real.withColumns({"dt": F.col("_dt"), "id": F.col("_id")})
+    return real.drop("_milli", "_real", "_dt", "_id", "_arrival")
+
+
 def feature_table(payments: DataFrame, score: Column | None = None, rows: int = HOT_ROWS) -> DataFrame:
     """The catalog's fields beside id, dt, fraud and label_time (null: never labelled).
 
-    Keys are counted first, and those with over `rows` rows dealt by time.
+    Keys are counted first, and those with over `rows` rows summed by chunks of time.
     """
     df = features(payments, **hot_chunks(payments, rows))
     label_time = F.col("label_time").cast("bigint") if "label_time" in payments.columns else F.lit(None).cast("bigint")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.catalog import ENTITIES, FEATURES, FIELDS, NUMBER
+from tidemark.catalog import ENTITIES, FEATURES, FIELDS, IDLE_TTL, NUMBER
 from tidemark.operators import audit, calendar, compare, labels, ruleset, velocity
 from tidemark.operators import backtest as bt
 from tidemark.operators import model as md
@@ -429,31 +429,109 @@ def _routed_sql() -> str:
 @query("routed_keys", _routed_sql())
 def _(spark, sf_dir):
     """What each entity's operator gets: a row for each key that a payment has."""
-    return st.routed(q.payments(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"))
+    return st.routed(q.payments(spark, sf_dir)).filter(F.col("entity") != st.BASE).groupBy("entity").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"))
 
 
-def _replayed(spark: SparkSession, sf_dir: str, folder: str, batches: int = 1) -> DataFrame:
-    """The test payments as a stream of files, with beats at its end that let all of them through."""
+_FILES, _JITTER, _LATE = 8, 21_600, 17
+
+
+def _dealt(df: DataFrame, late: bool = False) -> DataFrame:
+    """df with the file in which each payment comes: its time's eighth, up to six hours on; with late, one in seventeen two files later."""
+    low, high = df.agg(F.min("dt"), F.max("dt")).first()
+    place = F.col("dt") - F.lit(low or 0) + F.pmod(F.col("id") * 7_919, F.lit(_JITTER))
+    file = F.floor(place / F.lit(((high or 0) - (low or 0) + _JITTER) // _FILES + 1)).cast("int")
+    return df.withColumn("file", file + F.when(F.col("id") % _LATE == 0, 2).otherwise(0) if late else file)
+
+
+_DEALT_SQL = f"SELECT *, floor((dt - min(dt) OVER () + (id * 7919) % {_JITTER}) / ((max(dt) OVER () - min(dt) OVER () + {_JITTER}) // {_FILES} + 1)::DOUBLE)::INT + CASE WHEN id % {_LATE} = 0 THEN 2 ELSE 0 END AS file FROM ({q._P1})"
+
+
+def arrived(dealt: DataFrame) -> DataFrame:
+    """dealt with `batch`, the one in which each payment is taken: the first whose watermark has passed it, or its own file's if that has.
+
+    A batch's watermark is the latest time of all files before it, less the delay.
+    """
+    seen = dealt.groupBy("file").agg(F.max("dt").alias("high"))
+    every = dealt.sparkSession.range(1, _FILES + 3).select(F.col("id").cast("int").alias("batch"))
+    marks = every.join(seen, F.col("file") < F.col("batch")).groupBy("batch").agg((F.max("high") - _JITTER).alias("mark"))
+    # a dozen rows
+    marks = marks.agg(F.array_sort(F.collect_list(F.struct("batch", "mark"))).alias("marks"))
+    passed = F.get(F.filter("marks", lambda m: m["mark"] >= F.col("dt")), F.lit(0))["batch"]
+    return dealt.crossJoin(F.broadcast(marks)).withColumn("batch", F.greatest(F.col("file"), F.coalesce(passed, F.lit(_FILES + 3)))).drop("marks")
+
+
+_ARRIVED_SQL = f"""WITH d AS ({_DEALT_SQL}), h AS (SELECT file, max(dt) AS high FROM d GROUP BY file),
+m AS (SELECT b AS batch, max(high) - {_JITTER} AS mark FROM range(1, {_FILES + 3}) t(b) JOIN h ON file < b GROUP BY b),
+w AS (SELECT d.id, min(batch) AS batch FROM d JOIN m ON mark >= d.dt GROUP BY d.id)
+SELECT d.* EXCLUDE (dt, id, file), d.dt, d.dt AS event_dt, d.id AS pid, row_number() OVER (ORDER BY greatest(file, coalesce(batch, {_FILES + 3})), d.dt, d.id) AS id FROM d LEFT JOIN w USING (id)"""
+
+
+def _replayed(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """Payments (with file) as a stream of files, one a batch, with beats at its end that let all of them through."""
     st.configure(spark)
-    df = q.payments(spark, sf_dir)
-    st.replay(df, f"{folder}/in", batches)
-    last = df.agg(F.max("dt")).first()[0] or 0
-    for beat in (last + 86_400, last + 86_401):
+    low, last = df.agg(F.min("file"), F.max("file")).first()
+    for n in range(low or 0, (last or 0) + 1 if last is not None else 0):
+        df.filter(F.col("file") == n).drop("file").orderBy(F.xxhash64("id")).coalesce(1).write.mode("append").json(f"{folder}/in")
+    end = df.agg(F.max("dt")).first()[0] or 0
+    for beat in (end + 86_400, end + 86_401):
         spark.createDataFrame([(beat,)], "dt bigint").coalesce(1).write.mode("append").json(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{folder}/in")
+    return spark.readStream.schema(df.drop("file").schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{folder}/in")
 
 
-def live(spark: SparkSession, sf_dir: str, decide=None, columns=None) -> DataFrame:
-    """Features of the streamed payments, decided if decide is given, as the stream wrote them."""
-    folder = scratch_dir(spark)
-    df = st.live_features(_replayed(spark, sf_dir, folder), "1 minute")
+def live(spark: SparkSession, sf_dir: str, decide=None, columns=None, late: bool = False, half: bool = False) -> tuple[DataFrame, str]:
+    """Features of the streamed payments, decided if decide is given, as the stream wrote them; and where its checkpoint is.
+
+    Payments come in eight files, shuffled within six hours. half: those of the first half of time aren't streamed, but are a batch that the stream starts from.
+    """
+    folder, df, history = scratch_dir(spark), _dealt(q.payments(spark, sf_dir), late), None
+    if half:
+        middle = df.agg((F.min("dt") + F.max("dt")).alias("x")).first()[0] or 0
+        history, df = df.filter(F.col("dt") < middle // 2).drop("file"), df.filter(F.col("dt") >= middle // 2)
+    df = st.live_features(_replayed(spark, df, folder), f"{_JITTER} seconds", history=history)
     _done(st.start(df, f"{folder}/out", f"{folder}/checkpoint", decide))
-    return spark.read.schema(columns).json(f"{folder}/out")
+    return spark.read.schema(columns).json(f"{folder}/out"), f"{folder}/checkpoint"
+
+
+_LIVE = "id bigint, dt bigint, " + ", ".join(f"{c} double" for c in FEATURES)
 
 
 @query("stream_features", f"{oracle.velocity(q._P1)} SELECT id, dt, {oracle.feature_list()} FROM f")
 def _(spark, sf_dir):
-    return live(spark, sf_dir, columns="id bigint, dt bigint, " + ", ".join(f"{c} double" for c in FEATURES)).select("id", "dt", *FEATURES)
+    return live(spark, sf_dir, columns=_LIVE)[0].select("id", "dt", *FEATURES)
+
+
+_LATE_SQL = f"{oracle.velocity(_ARRIVED_SQL, late=True)} SELECT pid AS id, event_dt AS dt, {oracle.feature_list()} FROM f"
+
+
+@query("velocity_late", _LATE_SQL)
+def _(spark, sf_dir):
+    """Features by arrival in a batch, where one payment in seventeen comes days after its time."""
+    df = arrived(_dealt(q.payments(spark, sf_dir), late=True))
+    return velocity.features_by_arrival(df, ["batch", "dt", "id"]).select("id", "dt", *FEATURES)
+
+
+@query("stream_late", _LATE_SQL)
+def _(spark, sf_dir):
+    """The same payments as a stream, which has the late ones behind its watermark."""
+    return live(spark, sf_dir, columns=_LIVE, late=True)[0].select("id", "dt", *FEATURES)
+
+
+@query("stream_from_history", f"{oracle.velocity(q._P1)} SELECT id, dt, {oracle.feature_list()} FROM f WHERE dt >= (SELECT (min(dt) + max(dt)) // 2 FROM f)")
+def _(spark, sf_dir):
+    """The second half of the payments as a stream that starts from a batch of the first: all have the features of one long history."""
+    return live(spark, sf_dir, columns=_LIVE, half=True)[0].select("id", "dt", *FEATURES)
+
+
+def _kept_sql(entity: str) -> str:
+    k = oracle._KEYS[entity]
+    latest = f"(SELECT max(dt) FROM ({q._P1})) + 86400 - {_JITTER} - {IDLE_TTL}"
+    return f"SELECT '{entity}' AS entity, count(*) AS keys FROM (SELECT max(dt) AS latest FROM ({q._P1}) WHERE {' AND '.join(f'({x}) IS NOT NULL' for x in k)} GROUP BY {', '.join(k)}) WHERE latest > {latest}"
+
+
+@query("stream_state", " UNION ALL ".join(map(_kept_sql, ENTITIES)))
+def _(spark, sf_dir):
+    """Key histories in a stopped stream's state: one for each key that wasn't idle for a month by its last watermark."""
+    return st.state_summary(spark, live(spark, sf_dir, columns=_LIVE)[1]).filter("entity <> 'waiting'")
 
 
 @query("stream_decisions", f"{q._DECIDED} SELECT 'txn_' || id AS payment_id, action AS decision, risk_score::BIGINT AS risk_score FROM d")
@@ -464,7 +542,7 @@ def _(spark, sf_dir):
         df = md.score(df, q._MODEL, samples.ENCODER, samples.CALIBRATION)
         return records.decisions(ruleset.decide(df, q._RULES), version=1).select("payment_id", "decision", "risk_score")
 
-    return live(spark, sf_dir, decide, "payment_id string, decision string, risk_score bigint")
+    return live(spark, sf_dir, decide, "payment_id string, decision string, risk_score bigint")[0]
 
 
 def _streamed(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:

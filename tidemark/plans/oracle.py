@@ -16,14 +16,22 @@ _KEYS = {
 MILLI = "CAST(coalesce(round(amount * 1000), 0) AS BIGINT)"
 
 
-def velocity(source: str, entities=ENTITIES, buckets: dict[str, int] | None = None) -> str:
-    """WITH clauses that end in f: the payments of `source` with all features."""
+def velocity(source: str, entities=ENTITIES, buckets: dict[str, int] | None = None, late: bool = False) -> str:
+    """WITH clauses that end in f: the payments of `source` with all features.
+
+    late: id says in which order payments arrive, and event_dt when they happened; dt is each key's latest so far.
+    """
     parts = [f"p AS ({source})"]
     last = "p"
     for e in entities:
         keys = ", ".join(f"{'CASE WHEN ' + ' AND '.join(f'{x} IS NOT NULL' for x in _KEYS[e]) + ' THEN ' + k + ' END' if len(_KEYS[e]) > 1 else k} AS k{i}" for i, k in enumerate(_KEYS[e]))
         by = ", ".join(f"k{i}" for i in range(len(_KEYS[e])))
-        parts.append(f"{e}0 AS (SELECT *, {MILLI} AS milli, {keys} FROM {last})")
+        if late:
+            keys = keys.replace("floor(dt", "floor(event_dt")
+            parts.append(f"{e}k AS (SELECT * EXCLUDE (dt), {MILLI} AS milli, {keys} FROM {last})")
+            parts.append(f"{e}0 AS (SELECT *, max(event_dt) OVER (PARTITION BY {by} ORDER BY id ROWS UNBOUNDED PRECEDING) AS dt FROM {e}k)")
+        else:
+            parts.append(f"{e}0 AS (SELECT *, {MILLI} AS milli, {keys} FROM {last})")
         parts.append(f"{e}1 AS (SELECT *, dt - lag(dt) OVER (PARTITION BY {by} ORDER BY dt, id) AS gap, lag(dt) OVER (PARTITION BY {by}, card1 ORDER BY dt, id) AS ldt, lead(dt) OVER (PARTITION BY {by}, card1 ORDER BY dt, id) AS ndt FROM {e}0)")
         enter = "card1 IS NOT NULL AND (ldt IS NULL OR {} )"
         if buckets is None:

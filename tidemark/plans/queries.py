@@ -114,8 +114,25 @@ def _(spark, sf_dir):
 
 @query("velocity_chunked", f"{oracle.velocity(_P1)} SELECT id, dt, {oracle.feature_list()} FROM f")
 def _(spark, sf_dir):
-    week = max(WINDOWS.values())
-    return velocity.features(payments(spark, sf_dir), chunks=dict.fromkeys(ENTITIES, week)).select("id", "dt", *FEATURES)
+    return velocity.features(payments(spark, sf_dir), chunks=dict.fromkeys(ENTITIES, 900)).select("id", "dt", *FEATURES)
+
+
+# a month of payments put into one week, of which one key of each kind has nine of ten
+_HOT_WEEK = f"""SELECT * REPLACE (dt % 604800 AS dt, CASE WHEN id % 10 <> 0 THEN 1.0::DOUBLE ELSE card1 END AS card1, CASE WHEN id % 10 <> 0 THEN 2.0::DOUBLE ELSE billing_region END AS billing_region,
+ CASE WHEN id % 10 <> 0 THEN floor((dt % 604800) / 86400.0) - 3 ELSE d1 END AS d1, CASE WHEN id % 10 <> 1 THEN 'hot' ELSE device_info END AS device_info, CASE WHEN id % 10 <> 2 THEN 'hot.example' ELSE purchaser_email_domain END AS purchaser_email_domain) FROM ({_P1})"""
+
+
+def hot_week(df: DataFrame) -> DataFrame:
+    dt = F.col("dt") % 604_800
+    nine = lambda digit, value, other: F.when(F.col("id") % 10 != digit, value).otherwise(F.col(other))
+    changed = {"dt": dt, "card1": nine(0, 1.0, "card1"), "billing_region": nine(0, 2.0, "billing_region"), "d1": nine(0, F.floor(dt / 86_400).cast("double") - 3, "d1"), "device_info": nine(1, "hot", "device_info"), "purchaser_email_domain": nine(2, "hot.example", "purchaser_email_domain")}
+    return df.withColumns(changed)
+
+
+@query("velocity_hot_week", f"{oracle.velocity(_HOT_WEEK)} SELECT id, dt, is_fraud AS fraud, {oracle.feature_list()} FROM f")
+def _(spark, sf_dir):
+    """The feature table where one key has most of a week: its payments are summed by minute, as with any number of rows."""
+    return velocity.feature_table(hot_week(payments(spark, sf_dir)), rows=1_000).select("id", "dt", "fraud", *FEATURES)
 
 
 # keys with over fifty rows are hot here, which nearly all devices and domains are
@@ -539,7 +556,7 @@ def _(spark, sf_dir):
 
 @query("sketch_counts", f"{oracle.sketched(_P1, ('card',))} SELECT id, " + ", ".join(f"n{w} AS card_txn_count_{w}, s{w} AS card_amount_sum_{w}" for w in WINDOWS) + " FROM cardm")
 def _(spark, sf_dir):
-    return sketches.count_min(payments(spark, sf_dir), "card")
+    return sketches.count_min(payments(spark, sf_dir), "card").drop("dt")
 
 
 _SKETCHED = oracle.sketched(_P1)

@@ -138,9 +138,35 @@ def decisions(decided: DataFrame, version: int, model_sha256: str = "", at_ms: C
     )
 
 
+#: The kinds of JSON values that a column of some type is read from.
+_KINDS = {"string": "STRING", "bigint": "BIGINT", "double": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN"}
+
+
+def _is_decision(line: Column) -> Column:
+    """Whether a line is a JSON object that names a payment, with a value of its own type, or none, for every field of a decision."""
+    v = F.try_parse_json(line)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    is_a = lambda x, names: kind(x).rlike(f"^({names}|VOID)$")
+    sound = F.startswith(F.ltrim(line), F.lit("{")) & v.isNotNull() & (F.coalesce(F.try_variant_get(v, "$.payment_id", "string"), F.lit("")) != "")
+    for f in DECISION:
+        value = F.try_variant_get(v, f"$.{f.name}", "variant")
+        if isinstance(f.dataType, ArrayType):
+            # a feature may be a text or a number
+            names = _KINDS["string"] + ("|" + _KINDS["double"] if f.name == "features" else "")
+            good = kind(value).rlike("^(ARRAY<.*|VOID)$") & F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x, n=names: is_a(x, n)), F.lit(True))
+        elif isinstance(f.dataType, MapType):
+            good = kind(value).rlike("^(OBJECT<.*|VOID)$") & F.coalesce(F.forall(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), lambda x: kind(x).rlike(f"^({_KINDS['double']})$")), F.lit(True))
+        else:
+            good = is_a(value, _KINDS[f.dataType.simpleString()])
+        sound = sound & good
+    return F.coalesce(sound, F.lit(False))
+
+
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Decision records of JSON lines. Only a last line without its end may be torn, and is then left out; any other bad line is an error.
 
+    A line is bad if it isn't a JSON object, names no payment, or has a value of
+    another type than its field's; fields that are absent or null are null.
     Lines are looked through once before any is returned. A file's last line is
     the last one of its last part: within a part Spark numbers lines in order.
     It lacks its end if the file is one byte shorter than its lines with theirs
@@ -148,10 +174,11 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path, wholetext=False, lineSep="\n")
     empty = F.trim("value") == ""
-    bad = ~empty & ~F.coalesce(F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull(), F.lit(False))
-    placed = lines.select("value", bad.alias("bad"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("whole"), (F.octet_length("value") + 1).alias("size"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    bad = ~empty & ~_is_decision(F.col("value"))
+    parses = F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{"))
+    placed = lines.select("value", bad.alias("bad"), (bad & ~parses).alias("broken"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("whole"), (F.octet_length("value") + 1).alias("size"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("place"))
     cut = F.sum("size") == F.max("whole") + 1
-    files = placed.groupBy("file").agg((F.max_by("bad", "place") & cut).alias("torn"), F.count_if("bad").alias("n"), F.min(F.when(F.col("bad"), F.struct("place", "value"))).alias("first"))
+    files = placed.groupBy("file").agg((F.max_by("broken", "place") & cut).alias("torn"), F.count_if("bad").alias("n"), F.min(F.when(F.col("bad"), F.struct("place", "value"))).alias("first"))
     wrong = files.filter(F.col("n") > F.col("torn").cast("int")).select("file", F.col("n") - F.col("torn").cast("int"), F.substring("first.value", 1, 80)).first()
     if wrong:
         raise ValueError(f"{wrong[0]}: {wrong[1]} lines are not a decision, first {wrong[2]!r}")

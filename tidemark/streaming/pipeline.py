@@ -1,10 +1,12 @@
 """The same decisions from a stream of payments.
 
-Payments become one row per entity key. Keyed state holds each key's recent
-history; rows wait in it until the watermark has passed them and are then taken
-in order of (dt, id), so that a stream gives what a batch gives whatever the
-order of arrival within the watermark's delay. The rows of a payment meet
-again by its id; score and rules are the columns that batches use.
+Payments become one row per entity key, and one for the payment itself. Keyed
+state holds each key's recent history; rows wait in it until the watermark has
+passed them and are then taken in order of (dt, id), so that a stream gives what
+a batch gives whatever the order of arrival within the watermark's delay. The
+rows of a payment come out in one batch and meet again by its id; score and
+rules are the columns that batches use. A stream may start from a batch's
+payments.
 
 Exactly-once output, restart and moving state between executors are
 Structured Streaming's own: offsets and state are checkpointed together.
@@ -12,243 +14,74 @@ Structured Streaming's own: offsets and state are checkpointed together.
 
 from __future__ import annotations
 
-import pickle
-import sys
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from tidemark.catalog import DAY, ENTITIES, IDLE_TTL, SHARED, WINDOWS
+from tidemark.catalog import ENTITIES, IDLE_TTL, SHARED, WINDOWS
 from tidemark.functions.values import milli
 from tidemark.operators.velocity import keys
 from tidemark.shipping import ship
-
-# the driver's helper process for stateful processors knows nothing of shipped archives
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tidemark.streaming.keyed import _OFFSET, BASE, HEARTBEAT, PART, PER_KEY, JoinProcessor, VelocityProcessor
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long rows wait for earlier ones. Sources may lag each other by this much.
 DELAY = "10 minutes"
 
-PER_KEY = [*[f"{x}_{w}" for w in WINDOWS for x in ("txn_count", "amount_sum")], "mean_amount_7d", "amount_ratio_7d", "seconds_since_first", "seconds_since_last", "distinct_cards"]
-_PART = StructType([StructField("id", LongType()), StructField("entity", StringType()), StructField("late", BooleanType()), *[StructField(c, DoubleType()) for c in PER_KEY]])
-
+#: Groups that an entity's keys are dealt to; it stays the same for a checkpoint's life.
+SHARDS = 32
 
-class KeyHistory:
-    """What one key did: enough of it for every feature, and no more.
 
-    Each window keeps its first row and its sum, which only move forward, so a
-    payment costs the rows that leave a window, not those in it.
-    """
+def _keyed(payments: DataFrame) -> list[Column]:
+    """Per entity a struct (entity, key) that is null where a payment has no key."""
+    return [F.when(F.col("id").isNotNull() & keys(e)[0].isNotNull(), F.struct(F.lit(e).alias("entity"), F.concat_ws("|", *[k.cast("string") for k in keys(e)]).alias("key"))) for e in ENTITIES]
 
-    def __init__(self, rows: list[tuple[int, int, float | None]] | None = None, first: int | None = None, last: int | None = None):
-        self.first, self.last = first, last
-        self._begin(rows or [])
-
-    def _begin(self, rows: list[tuple[int, int, float | None]]) -> None:
-        self._rows = rows  # (dt, milli, card), in order
-        self._start = dict.fromkeys(WINDOWS.values(), 0)
-        self._sum = dict.fromkeys(WINDOWS.values(), sum(m for _, m, _ in rows))
-        self._cards = Counter(c for _, _, c in rows if c is not None)  # of the last day
-
-    @property
-    def rows(self) -> list[tuple[int, int, float | None]]:
-        """Those of the longest window."""
-        return self._rows[self._start[max(WINDOWS.values())] :]
-
-    def _leave(self, dt: int) -> None:
-        """Rows that are out of a window at dt leave it."""
-        for seconds in self._start:
-            i = self._start[seconds]
-            while i < len(self._rows) and self._rows[i][0] <= dt - seconds:
-                _, milli_, card = self._rows[i]
-                self._sum[seconds] -= milli_
-                if seconds == DAY and card is not None:
-                    self._cards[card] -= 1
-                    if not self._cards[card]:
-                        del self._cards[card]
-                i += 1
-            self._start[seconds] = i
-
-    def take(self, dt: int, amount: float | None, milli_: int, card: float | None) -> list[float | None]:
-        """The features of a payment as of just before it; the payment then joins the history.
-
-        A payment that comes after later ones counts as if it came with the latest.
-        """
-        dt = dt if self.last is None else max(dt, self.last)
-        seen = self.last is not None and dt - self.last < IDLE_TTL
-        if not seen:
-            self._begin([])
-        self._leave(dt)
-        out: list[float | None] = []
-        for seconds, i in self._start.items():
-            out += [float(len(self._rows) - i), self._sum[seconds] / 1000.0]
-        mean = out[-1] / out[-2] if out[-2] else None
-        ratio = amount / mean if mean is not None and mean > 0 and amount is not None else None
-        out += [mean, ratio, float(dt - self.first) if seen else None, float(dt - self.last) if seen else None, float(len(self._cards))]
-        self.first = self.first if seen else dt
-        self.last = dt
-        self._rows.append((dt, milli_, card))
-        for seconds in self._sum:
-            self._sum[seconds] += milli_
-        if card is not None:
-            self._cards[card] += 1
-        return out
-
-
-class VelocityProcessor(StatefulProcessor):
-    """Per entity key: rows that wait for the watermark, and the history of those that were released.
-
-    A row that comes behind the watermark is taken at once, in order with those that are ready, and
-    marked late; what was released before it isn't taken back, so it counts as if it came with its key's latest.
-    A key that was idle for IDLE_TTL by the watermark is forgotten: a row in order finds the
-    same without it; a late one counts as its key's first.
-
-    ordered=False is a control that takes rows as they come, as a pipeline without event time would.
-    """
 
-    def __init__(self, ordered: bool = True):
-        self.ordered = ordered
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.history = handle.getValueState("history", StructType([StructField("v", BinaryType())]))
-        self.waiting = handle.getValueState("waiting", StructType([StructField("v", BinaryType())]))
-
-    def _load(self, state, empty):
-        return pickle.loads(bytes(state.get()[0])) if state.exists() else empty
-
-    def _released(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if not rows:
-            return
-        old = self._load(self.history, ())
-        history = KeyHistory(*old)
-        out = []
-        for dt, id_, amount, m, card, behind in sorted(rows, key=lambda r: r[:2]) if self.ordered else rows:
-            late = behind or history.last is not None and dt < history.last
-            out.append([id_, key[0], late, *history.take(dt, amount, m, card)])
-        self.history.update((pickle.dumps((history.rows, history.first, history.last)),))
-        if not old and self.ordered:
-            self.handle.registerTimer(_forget_at(history.last))
-        yield pd.DataFrame(out, columns=_PART.names)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new, until = [], timerValues.getCurrentWatermarkInMs() if self.ordered else 0
-        for block in rows:
-            for r in block.itertuples(index=False):
-                if r.id == r.id and r.id is not None and key[0] != "heartbeat":
-                    new.append((int(r.dt), int(r.id), None if r.amount != r.amount else float(r.amount), int(r.milli), None if r.card != r.card else float(r.card), _stamp(int(r.dt)) <= until))
-        if not self.ordered:
-            yield from self._released(key, new)
-            return
-        if new:
-            old = self._load(self.waiting, [])
-            self.waiting.update((pickle.dumps(old + new),))
-            # one timer a key, for the first row that waits: it releases all that are ready
-            first = min(r[0] for r in new)
-            if not old or first < min(r[0] for r in old):
-                self.handle.registerTimer(_stamp(first))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = timerValues.getCurrentWatermarkInMs()
-        if expiredTimerInfo.getExpiryTimeInMs() % 1000:
-            self._forget(until)
-            return
-        waiting = self._load(self.waiting, [])
-        ready, left = [r for r in waiting if _stamp(r[0]) <= until], [r for r in waiting if _stamp(r[0]) > until]
-        if ready:
-            if left:
-                self.waiting.update((pickle.dumps(left),))
-                self.handle.registerTimer(_stamp(min(r[0] for r in left)))
-            else:
-                self.waiting.clear()
-            yield from self._released(key, ready)
-
-    def _forget(self, until: int) -> None:
-        """Clear the history of a key that was idle for long; ask again later if it wasn't."""
-        old = self._load(self.history, ())
-        if old and _forget_at(old[2]) > until:
-            self.handle.registerTimer(_forget_at(old[2]))
-        elif old:
-            self.history.clear()
-
-    def close(self) -> None:
-        pass
-
-
-_OFFSET = 1_512_086_400
-
-
-def _stamp(dt: int) -> int:
-    """dt, which counts seconds from an epoch of its own, as event time in milliseconds, as routed() has it."""
-    return (dt + _OFFSET) * 1000
-
-
-def _forget_at(last: int) -> int:
-    """When a key is forgotten: a millisecond past a whole second, by which its timer is told from those of rows."""
-    return _stamp(last + IDLE_TTL) + 1
-
-
-class JoinProcessor(StatefulProcessor):
-    """Per payment: its parts, until all that its mask expects are there. Parts that come twice are taken once."""
-
-    def init(self, handle) -> None:
-        self.parts = handle.getValueState("parts", StructType([StructField("v", BinaryType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        have = pickle.loads(bytes(self.parts.get()[0])) if self.parts.exists() else {}
-        for block in rows:
-            for r in block.to_dict("records"):
-                have.setdefault(r["entity"], r)
-        base = have.get("base")
-        if base is None or len(have) - 1 < base["expected"]:
-            self.parts.update((pickle.dumps(have),))
-            return
-        self.parts.clear()
-        out = {"id": key[0], "payload": base["payload"], "late": any(bool(p["late"]) for e, p in have.items() if e != "base")}
-        for e in ENTITIES:
-            for c in PER_KEY:
-                v = have[e][c] if e in have else None
-                out[f"{e}_{c}"] = None if v is None or v != v else v
-        yield pd.DataFrame([out])
-
-    def close(self) -> None:
-        pass
-
-
-def routed(payments: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One row for each key that a payment has, under a watermark. Rows without id (heartbeats) only move the watermark.
+def routed(payments: DataFrame, delay: str = DELAY, shards: int = SHARDS) -> DataFrame:
+    """One row for each key that a payment has, and one (BASE) with the payment itself, under a watermark. Rows without id (heartbeats) only move the watermark.
 
     The time itself isn't passed on: operators drop rows whose time is behind the watermark, and late ones must stay.
     """
-    beat = F.when(F.col("id").isNull(), F.struct(F.lit("heartbeat").alias("entity"), F.lit("").alias("key")))
-    named = [F.when(F.col("id").isNotNull() & keys(e)[0].isNotNull(), F.struct(F.lit(e).alias("entity"), F.concat_ws("|", *[k.cast("string") for k in keys(e)]).alias("key"))) for e in ENTITIES]
+    named = _keyed(payments)
+    beat = F.struct(F.lit(HEARTBEAT).alias("entity"), F.lit("").alias("key"))
+    base = F.struct(F.lit(BASE).alias("entity"), F.col("id").cast("string").alias("key"))
+    expected = F.size(F.filter(F.array(*named), lambda x: x.isNotNull()))
+    payload = F.when(F.col("_k.entity") == BASE, F.to_json(F.struct(*payments.columns)))
     df = payments.withColumn("ts", F.timestamp_seconds(F.col("dt") + _OFFSET)).withWatermark("ts", delay)
-    df = df.withColumn("_k", F.explode(F.filter(F.array(beat, *named), lambda x: x.isNotNull())))
-    return df.select("_k.entity", "_k.key", "id", "dt", "amount", milli(F.col("amount")).alias("milli"), F.col("card1").alias("card"))
+    df = df.withColumns({"expected": expected, "_k": F.explode(F.when(F.col("id").isNull(), F.array(beat)).otherwise(F.array_append(F.filter(F.array(*named), lambda x: x.isNotNull()), base)))})
+    shard = F.pmod(F.xxhash64("_k.key"), F.lit(shards)).cast("int")
+    return df.select("_k.entity", shard.alias("shard"), "_k.key", "id", "dt", "amount", milli(F.col("amount")).alias("milli"), F.col("card1").alias("card"), "expected", payload.alias("payload"))
 
 
-def velocity_parts(payments: DataFrame, delay: str = DELAY, ordered: bool = True) -> DataFrame:
-    """(id, entity, late, features) for each key of each payment, once the watermark has passed it."""
+def history_state(payments: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows from which a stream that follows these payments starts: each key's last week, with when its history began."""
+    df = payments.withColumn("_k", F.explode(F.filter(F.array(*_keyed(payments)), lambda x: x.isNotNull())))
+    df = df.select("_k.entity", F.pmod(F.xxhash64("_k.key"), F.lit(shards)).cast("int").alias("shard"), "_k.key", "id", "dt", milli(F.col("amount")).alias("milli"), F.col("card1").alias("card"))
+    of = W.partitionBy("entity", "shard", "key")
+    df = df.withColumn("_gap", F.col("dt") - F.lag("dt").over(of.orderBy("dt", "id")))
+    df = df.withColumns({"began": F.max(F.when(F.col("_gap").isNull() | (F.col("_gap") >= IDLE_TTL), F.col("dt"))).over(of), "_last": F.max("dt").over(of)})
+    return df.filter(F.col("dt") > F.col("_last") - max(WINDOWS.values())).drop("_gap", "_last")
+
+
+def velocity_parts(payments: DataFrame, delay: str = DELAY, ordered: bool = True, shards: int = SHARDS, history: DataFrame | None = None) -> DataFrame:
+    """Rows of PART: (id, entity, late, features) for each key of each payment, once the watermark has passed it, and the payment itself.
+
+    history: payments of a batch, all before the stream's, whose keys' histories the stream goes on with.
+    """
     ship(payments.sparkSession)
-    return routed(payments, delay).groupBy("entity", "key").transformWithStateInPandas(VelocityProcessor(ordered), _PART, "Append", "EventTime")
+    grouped = routed(payments, delay, shards).groupBy("entity", "shard")
+    before = None if history is None else history_state(history, shards).groupBy("entity", "shard")
+    return grouped.transformWithStateInPandas(VelocityProcessor(ordered), PART, "Append", "EventTime", before)
 
 
-def joined_features(payments: DataFrame, parts: DataFrame) -> DataFrame:
+def joined_features(payments: DataFrame, parts: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Payments with the features of all their parts: payments is the stream that parts was made from."""
-    has = [F.when(keys(e)[0].isNotNull(), F.lit(1)).otherwise(0) for e in ENTITIES]
-    expected = has[0] + has[1] + has[2] + has[3]
-    real = payments.filter("id IS NOT NULL")
-    base = real.select("id", F.lit("base").alias("entity"), F.lit(False).alias("late"), *[F.lit(None).cast("double").alias(c) for c in PER_KEY], expected.alias("expected"), F.to_json(F.struct(*[c for c in real.columns])).alias("payload"))
-    all_ = base.unionByName(parts.withColumns({"expected": F.lit(None).cast("int"), "payload": F.lit(None).cast("string")}))
     out = StructType([StructField("id", LongType()), StructField("payload", StringType()), StructField("late", BooleanType()), *[StructField(f"{e}_{c}", DoubleType()) for e in ENTITIES for c in PER_KEY]])
-    rows = all_.groupBy("id").transformWithStateInPandas(JoinProcessor(), out, "Append", "None")
+    rows = parts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").transformWithStateInPandas(JoinProcessor(), out, "Append", "None")
     schema = StructType([f for f in payments.schema if f.name not in ("id",)])
     rows = rows.withColumn("_p", F.from_json("payload", schema)).select("id", "_p.*", "late", *[c for c in out.names[3:]])
     for e in SHARED:
@@ -256,8 +89,9 @@ def joined_features(payments: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.drop(*[f"{e}_distinct_cards" for e in ENTITIES])
 
 
-def live_features(payments: DataFrame, delay: str = DELAY) -> DataFrame:
-    return joined_features(payments, velocity_parts(payments, delay))
+def live_features(payments: DataFrame, delay: str = DELAY, shards: int = SHARDS, history: DataFrame | None = None) -> DataFrame:
+    """Payments with all features and whether one was late. history: a batch's payments before them."""
+    return joined_features(payments, velocity_parts(payments, delay, shards=shards, history=history), shards)
 
 
 def once(events: DataFrame, key: str, ts: str = "ts", within: str = "4 days") -> DataFrame:
@@ -338,14 +172,14 @@ def configure(spark: SparkSession) -> None:
 
 
 def state_summary(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """(operator, partition, keys) of a stopped query's state, read from its checkpoint."""
-    parts = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorProperties").distinct().collect()
+    """(entity, keys) of a stopped query's key histories, and ("waiting", keys) of payments that still wait for parts, read from its checkpoint."""
+    found = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorProperties").distinct().collect()
     out = None
-    for p in parts:
-        name = "history" if '"history"' in p.operatorProperties else "parts"
-        one = spark.read.format("statestore").option("operatorId", p.operatorId).option("stateVarName", name).load(checkpoint)
-        counted = one.groupBy("partition_id").agg(F.count("*").alias("keys")).select(F.lit(p.operatorId).alias("operator"), F.col("partition_id").alias("partition"), "keys")
-        out = counted if out is None else out.unionByName(counted)
+    for p in found:
+        heads = '"heads"' in p.operatorProperties
+        one = spark.read.format("statestore").option("operatorId", p.operatorId).option("stateVarName", "heads" if heads else "parts").load(checkpoint)
+        one = one.groupBy((F.col("key.entity") if heads else F.lit("waiting")).alias("entity")).agg(F.count("*").alias("keys"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
