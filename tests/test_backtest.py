@@ -106,17 +106,19 @@ def test_backtester_says_what_it_found(spark):
     df, _ = table(spark)
     b = bt.Backtester(df, RULES)
     out = b.run(load_rules("block if :amount: > 450")[0][0], bt.Options(maturity=-1))
-    assert out["unreachable"] and out["covered_by"][0]["rule_index"] in (0, 1) and "change none" in out["summary"]
+    assert out["unreachable"] and out["covered_by"][0]["rule_index"] in (0, 1) and "changed: none" in out["summary"]
     out = b.run(load_rules("shadow review if :amount: > 50")[0][0], bt.Options(maturity=10 * DAY))
-    assert len(out["samples"]) == 10 and "sent to review" in out["summary"] and len(out["warnings"]) == 1
+    assert len(out["samples"]) == 10 and "review over" in out["summary"] and len(out["warnings"]) == 1
     assert "matches no payment" in b.run(load_rules("block if :amount: > 10000")[0][0], bt.Options(maturity=-1))["warnings"][0]
     b.close()
 
 
 def test_words():
-    assert [bt.money_text(x) for x in (4.99, 25, 182346.7, -3.5, 99.999)] == ["$4.99", "$25", "$182,347", "-$3.50", "$100"]
-    assert [bt.percent_text(a, b) for a, b in ((0, 5), (1, 5000), (1, 200), (1, 3), (999, 1000), (5, 5), (1, 0))] == ["0%", "under 0.1%", "0.5%", "33%", "over 99%", "100%", "n/a"]
-    assert bt.date_text(0) == "December 1, 2017" and bt.count_text(1) == "1 payment" and bt.count_text(1204) == "1,204 payments"
+    zero = dict.fromkeys(bt.MEASURES, 0)
+    rows = [{"grp": "period", **zero, "payments": 200, "dollars": 1234.5, "fraud": 8}, {"grp": "changed", **zero, "payments": 3, "dollars": 20.25, "fraud": 2}, {"grp": "from_review", **zero}]
+    assert bt.facts(rows) == [("period", "payments", 200, None), ("period", "dollars", 1234.5, None), ("period", "fraud", 8, None), ("changed", "payments", 3, None), ("changed", "dollars", 20.25, None), ("changed", "fraud", 2, 0.25)]
+    text = bt.summary(rows, load_rules("block if :amount: > 1")[0][0], bt.Options(0, 10 * DAY, 7 * DAY, -1, True))
+    assert text.split("\n") == ["block over 10 days, labels known 3 days before their end", "period: payments 200, dollars 1,234, fraud 8", "changed: payments 3, dollars 20.2, fraud 2 (25 %)", "from review: none"]
 
 
 def test_delay():

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.words import figure
 from tidemark.operators import metrics
 from tidemark.operators import model as md
 from tidemark.plans import samples
@@ -103,12 +104,25 @@ def test_scoring_frames(spark):
         md.score(df, MODEL, {}, samples.CALIBRATION)
 
 
+def test_long_lists_of_values_and_steps(spark):
+    values = [f"v{i:05}" for i in range(3_000)]
+    steps = md.Calibrator(tuple(i / 1_000 for i in range(-3_000, 3_000)), tuple(i / 6_000 for i in range(6_000)))
+    rows = [(i, float(i % 120), values[i * 7 % 3_000] if i % 5 else None if i % 2 else "unseen", 2.0, None, 3.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, amount double, product_code string, card_txn_count_24h double, card_seconds_since_last double, distance double")
+    for r, row in zip(md.score(df, MODEL, {**samples.ENCODER, "product_code": values}, steps).orderBy("id").collect(), rows, strict=True):
+        code = values.index(row[2]) if row[2] in values else np.nan
+        raw = naive(MODEL, [row[1], float(code), row[3], np.nan, row[5]])[0]
+        assert (r.raw_score, r.probability) == (raw, pytest.approx(steps.apply(np.array([raw]))[0])) and r.product_code == row[2]
+
+
 def test_reasons():
-    assert md.reason("card_txn_count_1h", 5.0, 1.0) == "5 earlier payments on the card in the last hour (typical: 1)"
-    assert "no card" in md.reason("card_amount_sum_7d", None).replace("the payment has no", "no") and "new to the model" in md.reason("product_code", "Q", known=False)
-    assert md.reason("uid_seconds_since_last", 7_200.0) == "the customer was last seen 2 hours ago" and "$1,234.50" in md.reason("amount", 1234.5)
-    for f in ("distinct_cards_per_email_24h", "email_amount_ratio_7d", "email_mean_amount_7d", "distance", "device_type"):
-        assert md.reason(f, None) and md.reason(f, "x" if f == "device_type" else 2.0)
+    assert md.reason("card_txn_count_1h", 5.0, 1.0, 0.3) == "card_txn_count_1h is 5 (typically 1, raises the score)"
+    assert md.reason("card_amount_sum_7d", None) == "card_amount_sum_7d is missing" and md.reason("distance", float("nan"), contribution=-1.0) == "distance is missing (lowers the score)"
+    assert md.reason("product_code", "Q", known=False) == "product_code is Q (not seen in training)"
+
+
+def test_figures():
+    assert [figure(x) for x in (4.99, 25, 182346.7, -3.5, 99.999, 0.000123, 0, -1234.5, None, "x")] == ["4.99", "25", "182,347", "-3.5", "100", "0.000123", "0", "-1,234", "missing", "x"]
 
 
 def test_metrics(spark):

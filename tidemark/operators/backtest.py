@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.words import figure
 from tidemark.operators.ruleset import RuleSet, decide
 from tidemark.plans.compiling import holds
 from tidemark.plans.language import Rule, attributes
@@ -295,70 +295,27 @@ def label_delay(decided: DataFrame, rules: RuleSet, rule: Rule, as_of: int, wind
 
 # -- words ------------------------------------------------------------------------
 
-EPOCH = datetime(2017, 12, 1, tzinfo=UTC)
+#: What is said of a group of payments, and whether beside its share of the period's.
+MEASURES = {"payments": False, "dollars": False, "fraud": True, "fraud_dollars": True, "legit": True, "legit_dollars": True, "unlabeled": False}
 
 
-def money_text(x: float) -> str:
-    """Cents up to a hundred dollars where there are any, whole dollars from there on."""
-    sign, x = ("-" if x < 0 else ""), abs(x)
-    cents = math.floor(x * 100 + 0.5)
-    if x < 100 and cents % 100:
-        return f"{sign}${cents / 100:.2f}"
-    return f"{sign}${math.floor(x + 0.5):,}"
-
-
-def percent_text(part: float, whole: float) -> str:
-    """A share in percent that never rounds to none or all when it is neither."""
-    if not whole:
-        return "n/a"
-    p = 100 * part / whole
-    if p == 0:
-        return "0%"
-    if p < 0.1:
-        return "under 0.1%"
-    if p < 1:
-        return f"{p:.1f}%"
-    return "over 99%" if p > 99 and part < whole else f"{math.floor(p + 0.5)}%"
-
-
-def count_text(n: int, noun: str = "payment") -> str:
-    return f"{n:,} {noun}{'' if n == 1 else 's'}"
-
-
-def date_text(dt: int) -> str:
-    day = EPOCH + timedelta(seconds=dt)
-    return f"{day:%B} {day.day}, {day.year}"
+def facts(rows: list[dict]) -> list[tuple[str, str, float, float | None]]:
+    """(group, measure, value, share of the period's value) of a report's rows; without what is zero."""
+    period = next((r for r in rows if r["grp"] == "period"), {})
+    share = lambda r, m: r[m] / period[m] if MEASURES[m] and period.get(m) and r is not period else None
+    return [(r["grp"], m, r[m], share(r, m)) for r in rows for m in MEASURES if r[m]]
 
 
 def summary(rows: list[dict], rule: Rule, options: Options) -> str:
-    """A report in a few sentences. rows: report's rows as dicts; options: resolved."""
-    by = {r["grp"]: r for r in rows}
-    changed, matched, period = by["changed"], by["matched"], by["period"]
-    n, days = changed["payments"], round((options.end - options.start) / DAY)
-    said = [f"In the {count_text(days, 'day')} to {date_text(options.end - 1)},"]
-    if matched["payments"] and not n:
-        return f"{said[0]} this rule matches {count_text(matched['payments'])}, but would change none of them: the rules in force decide them already."
-    verb = {"allow": "let through", "block": "blocked", "review": "sent to review"}[rule.action]
-    said[0] += f" this rule would have {verb} {count_text(n)} worth {money_text(changed['dollars'])}."
-    known = changed["fraud"] + changed["legit"]
-    if changed["fraud"]:
-        share = f", {percent_text(changed['fraud_dollars'], period['fraud_dollars'])} of all fraud dollars" if period["fraud_dollars"] else ""
-        when = f" by {date_text(options.as_of)}" if options.use_label_time else ""
-        said.append(f"{percent_text(changed['fraud'], known)} of those with a label were disputed as fraud{when}{share}.")
-        if changed["legit"] and rule.action != "allow":
-            said.append(f"{count_text(changed['legit'], 'legitimate payment')} worth {money_text(changed['legit_dollars'])} would have been {verb} too.")
-    elif changed["legit"]:
-        said.append("None of them was disputed as fraud.")
-    for group, text in (("overrides_block", "blocked today"), ("from_review", "going to review already")):
-        if group in by and by[group]["payments"]:
-            said.append(f"{by[group]['payments']:,} of them are {text}.")
-    if matched["payments"] > n:
-        said.append(f"It also matches {count_text(matched['payments'] - n)} that it would not change.")
-    if by["immature"]["payments"]:
-        said.append(f"{count_text(by['immature']['payments'])} from the last {count_text(round(options.maturity / DAY), 'day')} are left out, as disputes may yet come.")
+    """A report as lines: the rule and its days, then a line for each group with what facts() has of it."""
+    found = facts(rows)
+    lines = [f"{rule.action} over {figure((options.end - options.start) / DAY)} days"]
     if options.use_label_time:
-        said.append("Label times are simulated.")
-    return " ".join(said)
+        lines[0] += f", labels known {figure((options.end - options.as_of) / DAY)} days before their end"
+    for group in dict.fromkeys(r["grp"] for r in rows):
+        said = [f"{m.replace('_', ' ')} {figure(v)}" + ("" if s is None else f" ({figure(100 * s)} %)") for g, m, v, s in found if g == group]
+        lines.append(f"{group.replace('_', ' ')}: {', '.join(said) or 'none'}")
+    return "\n".join(lines)
 
 
 class Backtester:
@@ -380,7 +337,7 @@ class Backtester:
         if not by["matched"]["payments"]:
             warnings.append("The rule matches no payment of this period.")
         if unreachable:
-            warnings.append("The rule is out of reach: rules in force decide all it matches.")
+            warnings.append("Rules in force decide all that the rule matches.")
         if rule.shadow:
             warnings.append("A shadow rule; this is what it would do if it were enforced.")
         return {

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog import KIND_OF, STRING
+from tidemark.functions.words import figure
 from tidemark.shipping import ship
 
 #: Smaller magnitudes reach a tree as zero: float32's 1e-35 (a fixed value of the format).
@@ -328,33 +329,36 @@ def check_fit(model: Model, encoder: dict[str, list[str]]) -> None:
 def score(df: DataFrame, model: Model, encoder: dict[str, list[str]], calibrator: Calibrator, contributions: bool = False) -> DataFrame:
     """df with raw_score, probability and risk_score; with contributions also bias and an array in feature order.
 
-    Trees are walked in Arrow batches by rows; df needs the model's features
-    under their names, texts as texts.
+    Trees are walked in Arrow batches by rows, where long lists of values and
+    the steps of the calibration are looked up too; df needs the model's
+    features under their names, texts as texts.
     """
     ship(df.sparkSession)
     check_fit(model, encoder)
-    inputs = []
-    for f in model.features:
-        inputs.append(_code(f, encoder[f]) if f in encoder else F.col(f).cast("double"))
-    kind = "struct<raw double, bias double, parts array<double>>" if contributions else "double"
-
-    @F.pandas_udf(kind)
+    inputs, places = [], {}
+    for i, f in enumerate(model.features):
+        if f in encoder and len(encoder[f]) > LISTED_VALUES:
+            places[i] = {v: float(code) for code, v in enumerate(encoder[f])}
+            inputs.append(F.col(f))
+        else:
+            inputs.append(_code(f, encoder[f]) if f in encoder else F.col(f).cast("double"))
+    kind = "raw double, p double" + (", bias double, parts array<double>" if contributions else "")
+
+    @F.pandas_udf(f"struct<{kind}>")
     def scored(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for block in parts:
-            x = _matrix(block)
+            block = (block,) if isinstance(block, pd.Series) else block
+            x = _matrix([s.map(places[i]) if i in places else s for i, s in enumerate(block)])
             raw = model.raw(x)
+            out = pd.DataFrame({"raw": raw, "p": calibrator.apply(raw)})
             if contributions:
                 each, bias = model.contributions(x)
-                yield pd.DataFrame({"raw": raw, "bias": bias, "parts": list(each)})
-            else:
-                yield pd.Series(raw)
+                out = out.assign(bias=bias, parts=list(each))
+            yield out
 
+    named = {"raw_score": "raw", "probability": "p"} | ({"bias": "bias", "contributions": "parts"} if contributions else {})
     df = df.withColumn("_scored", scored(*inputs))
-    if contributions:
-        df = df.withColumns({"raw_score": F.col("_scored.raw"), "bias": F.col("_scored.bias"), "contributions": F.col("_scored.parts")})
-    else:
-        df = df.withColumn("raw_score", F.col("_scored"))
-    df = df.withColumn("probability", calibrator.column(F.col("raw_score")))
+    df = df.withColumns({name: F.col(f"_scored.{field}") for name, field in named.items()})
     return df.withColumn("risk_score", risk_score(F.col("probability"))).drop("_scored")
 
 
@@ -378,45 +382,12 @@ def largest_contributions(contributions: Column, features: Sequence[str], limit:
 
 # -- reasons in words -------------------------------------------------------------
 
-_NOUN = {"card": "card", "uid": "customer", "device": "device", "email": "e-mail domain"}
-_SPAN = {"1h": "hour", "24h": "24 hours", "7d": "7 days"}
-
-
-def _amount(v: float) -> str:
-    return f"{'-' if v < 0 else ''}${abs(v):,.2f}"
-
-
-def _time(seconds: float) -> str:
-    for limit, unit, name in ((90, 1, "second"), (5_400, 60, "minute"), (172_800, 3_600, "hour"), (math.inf, 86_400, "day")):
-        if seconds < limit:
-            n = round(seconds / unit)
-            return f"{n} {name}{'' if n == 1 else 's'}"
-    return ""
-
-
-def reason(name: str, value: float | str | None, typical: float | None = None, known: bool = True) -> str:
-    """One field's value as a phrase, beside what is typical of it."""
-    plain, usual = name.replace("_", " "), lambda form: "" if typical is None else f" (typical: {form(typical)})"
-    if KIND_OF.get(name) == STRING:
-        return f"{plain} is missing" if value is None else f"{plain} is {value!r}" if known else f"{plain} {value!r} is new to the model"
-    if name == "amount" and value is not None:
-        return f"amount is {_amount(value)}{usual(_amount)}"
-    if name.startswith("distinct_cards_per_"):
-        noun = _NOUN[name.split("_")[3]]
-        return f"no {noun} to count cards on" if value is None else f"{value:.0f} cards on the {noun} in the last 24 hours{usual(lambda t: f'{t:.0f}')}"
-    entity, _, rest = name.partition("_")
-    if entity in _NOUN and rest:
-        noun, span = _NOUN[entity], _SPAN.get(rest.rpartition("_")[2], "")
-        if rest.startswith(("txn_count", "amount_sum")):
-            if value is None:
-                return f"the payment has no {noun} to follow"
-            what = f"{value:.0f} earlier payments" if rest.startswith("txn") else f"{_amount(value)} paid"
-            return f"{what} on the {noun} in the last {span}{usual((lambda t: f'{t:.0f}') if rest.startswith('txn') else _amount)}"
-        if value is None:
-            return f"no earlier payment on the {noun}" + (" in the last 7 days" if rest.endswith("7d") else "")
-        if rest == "mean_amount_7d":
-            return f"the {noun} paid {_amount(value)} a time in the last 7 days{usual(_amount)}"
-        if rest == "amount_ratio_7d":
-            return f"the amount is {value:.1f} times the {noun}'s mean of 7 days{usual(lambda t: f'{t:.1f}')}"
-        return f"the {noun} was {'first' if rest.endswith('first') else 'last'} seen {_time(value)} ago{usual(_time)}"
-    return f"{plain} is missing" if value is None else f"{plain} is {value:g}{usual(lambda t: f'{t:g}')}"
+
+def reason(name: str, value: float | str | None, typical: float | str | None = None, contribution: float | None = None, known: bool = True) -> str:
+    """One field as text: its value, and in brackets what is typical, which way it moves the score, and whether training never saw it."""
+    notes = [] if typical is None else [f"typically {figure(typical)}"]
+    if contribution:
+        notes.append("raises the score" if contribution > 0 else "lowers the score")
+    if not known:
+        notes.append("not seen in training")
+    return f"{name} is {figure(value)}" + (f" ({', '.join(notes)})" if notes else "")

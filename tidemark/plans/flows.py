@@ -12,12 +12,12 @@ from tidemark.operators import audit, calendar, compare, labels, ruleset, veloci
 from tidemark.operators import backtest as bt
 from tidemark.operators import model as md
 from tidemark.operators.ruleset import RuleSet
-from tidemark.plans import oracle, samples
+from tidemark.plans import oracle, samples, texts
 from tidemark.plans import queries as q
-from tidemark.plans.checking import lint, load_rules, nearest
+from tidemark.plans.checking import load_rules, nearest
 from tidemark.plans.compiling import holds
 from tidemark.plans.compiling import sql as rule_sql
-from tidemark.plans.language import RuleError, parse, show, spell
+from tidemark.plans.language import RuleError, parse
 from tidemark.plans.queries import query
 from tidemark.scratch import scratch_dir
 from tidemark.sources import payments as pay
@@ -172,15 +172,13 @@ def _(spark, sf_dir):
 @query("signed_deliveries", f"SELECT id, CASE id % 4 WHEN 1 THEN 'no_matching_signature' WHEN 2 THEN 'timestamp_outside_tolerance' WHEN 3 THEN 'malformed_header' END AS signature_error FROM ({q._P1})")
 def _(spark, sf_dir):
     """Deliveries signed for their payloads (by one of two secrets), for another payload, long ago, and not at all."""
-    now, secrets = 1_700_000_000, [b"old", b"new"]
-
-    @F.udf("string")
-    def header(i: int, payload: str) -> str:
-        kind, t = i % 4, now - (10_000 if i % 4 == 2 else 7)
-        return f"t={t},v0=00" if kind == 3 else records.sign(secrets[i % 2], (payload + "!" * (kind == 1)).encode(), t)
-
+    now, secrets, kind = 1_700_000_000, [b"old", b"new"], F.col("id") % 4
     df = q.payments(spark, sf_dir).select("id", F.lit(now).alias("now"), F.to_json(F.struct("id", "amount")).alias("payload"))
-    return records.verify(df.withColumn("header", header("id", "payload")), secrets).select("id", "signature_error")
+    t = F.when(kind == 2, now - 10_000).otherwise(now - 7)
+    said = F.when(kind == 1, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    by = F.when(F.col("id") % 2 == 0, records.signed(secrets[0], said, t)).otherwise(records.signed(secrets[1], said, t))
+    header = F.when(kind == 3, F.concat(F.lit("t="), t.cast("string"), F.lit(",v0=00"))).otherwise(by)
+    return records.verify(df.withColumn("header", header), secrets).select("id", "signature_error")
 
 
 @query("decisions_in_order", f"SELECT count(*) AS decisions, 0::BIGINT AS out_of_order FROM ({q._P1})")
@@ -224,16 +222,23 @@ def _drawn_sql(rows: int) -> str:
             edges, usual = [0.0, 99.0], f"({number(f.name + '=')} % 100)::DOUBLE"
         return f"CASE WHEN {number(f.name)} % 1000 < 100 THEN NULL WHEN {number(f.name)} % 1000 < 300 THEN {pick(edges)} ELSE {usual} END AS {f.name}"
 
-    return f"SELECT i + 3000000 AS id, floor(i * (182 * 86400) / {rows}::DOUBLE)::BIGINT + 86400 AS dt, {number('fraud')} % 1000 AS luck, {', '.join(map(one, FIELDS))} FROM range({rows}) r(i)"
+    return f"SELECT i + 3000000 AS id, floor(i * (182 * 86400) / {rows}::DOUBLE)::BIGINT + 86400 AS dt, {number('fraud')} % 1000 AS luck, {', '.join(map(one, FIELDS))} FROM (SELECT event_id AS i FROM events)"
 
 
+#: Rows that half a year of drawn times is laid out for.
 _DRAWN_ROWS = 20_000
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("bigint").alias("_row"))
+
+
 _RISK = "coalesce(risk_score, 0) / 99.0::DOUBLE"
 
 
 @query("synthetic_table", f"SELECT id, dt, (luck < 5 + floor(120 * ({_RISK}) * ({_RISK}) * ({_RISK})))::TINYINT AS fraud, {', '.join(f.name for f in FIELDS)} FROM ({_drawn_sql(_DRAWN_ROWS)})")
 def _(spark, sf_dir):
-    return syn.feature_table(spark, _DRAWN_ROWS).drop("label_time")
+    return syn.feature_table(spark, _DRAWN_ROWS, ids=_events(spark, sf_dir)).drop("label_time")
 
 
 _OVER_DRAWN = [(f"r{i}", r.condition) for i, r in enumerate(q._RULES.rules)]
@@ -241,8 +246,8 @@ _OVER_DRAWN = [(f"r{i}", r.condition) for i, r in enumerate(q._RULES.rules)]
 
 @query("rules_over_edges", f"SELECT id, {', '.join(f'coalesce({rule_sql(c, samples.SCOPE)}, false) AS {n}' for n, c in _OVER_DRAWN)} FROM ({_drawn_sql(_DRAWN_ROWS)})")
 def _(spark, sf_dir):
-    """The rules of the sample set over drawn rows with missing and edge values."""
-    return syn.feature_table(spark, _DRAWN_ROWS).select("id", *[holds(c, samples.SCOPE).alias(n) for n, c in _OVER_DRAWN])
+    """The rules of the sample set over rows with missing and edge values, one drawn for each event."""
+    return syn.feature_table(spark, _DRAWN_ROWS, ids=_events(spark, sf_dir)).select("id", *[holds(c, samples.SCOPE).alias(n) for n, c in _OVER_DRAWN])
 
 
 # -- backtests by label time -----------------------------------------------------------------
@@ -263,9 +268,11 @@ def _(spark, sf_dir):
 
 
 # the log-normal distribution function with median 5 and sigma 0.5, cut at 20 days
-@query("arrived_within", _values("days, share", (0.0, 0.0), (2.0, 0.033432418), (5.0, 0.5), (10.0, 0.917171481), (20.0, 0.997219382), (40.0, 0.997219382)))
+@query("arrived_within", "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.033432418 WHEN 2 THEN 0.5 WHEN 3 THEN 0.917171481 ELSE 0.997219382 END::DOUBLE AS share FROM customer")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(d, round(q.DELAY.arrived_within(d), 9)) for d in (0.0, 2.0, 5.0, 10.0, 20.0, 40.0)], "days double, share double")
+    """How many labels have arrived after some days, which differ by row."""
+    df = _customers(spark, sf_dir).withColumn("text", F.expr("CASE id % 6 WHEN 0 THEN '0' WHEN 1 THEN '2' WHEN 2 THEN '5' WHEN 3 THEN '10' WHEN 4 THEN '20' ELSE '40' END"))
+    return df.select("id", texts.each(df, lambda days: round(q.DELAY.arrived_within(float(days)), 9), "double").alias("share"))
 
 
 @query("unreachable_rule", f"{q._DECIDED} SELECT r.rule, count(*) FILTER (action = 'block' AND r.rule = 'inside' OR r.rule = 'outside' AND amount > 90) > 0 AND r.rule = 'inside' AS unreachable, r.rule = 'inside' AS has_cover FROM d, (VALUES ('inside'), ('outside')) r(rule) GROUP BY r.rule")
@@ -280,80 +287,94 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "rule string, unreachable boolean, has_cover boolean")
 
 
-@query("rule_versions", _values("rule, live_in", ("amount", "1,2"), ("distance", "2"), ("never", "")))
+_IDS = "SELECT c_custkey AS id FROM customer"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
+
+
+def _texts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A rule text for each customer, by an expression that DuckDB reads alike."""
+    return _customers(spark, sf_dir).withColumn("text", F.expr(text))
+
+
+@query("rule_versions", f"SELECT id, CASE id % 3 WHEN 0 THEN '1,2' WHEN 1 THEN '2' ELSE '' END AS live_in FROM ({_IDS})")
 def _(spark, sf_dir):
-    """In which versions of a rule history a shadow rule is live; a version with an error is never added."""
-    history = tables.RuleHistory()
-    history.add("shadow block if :amount: > 5")
-    history.add("shadow block if :amount: > 5.0\nshadow review if :distance: < 1")
-    try:
-        history.add("block if :amnt: > 5")
-    except RuleError:
-        pass
-    history.add("block if :amount: > 5")
-    assert history.current.version == 3
-    texts = {"amount": "shadow block if :amount: > 5", "distance": "shadow review if :distance: < 1", "never": "shadow review if :distance: < 2"}
-    rows = [(n, ",".join(map(str, history.live_in(parse(t)[0][0].id)))) for n, t in texts.items()]
-    return spark.createDataFrame(rows, "rule string, live_in string")
+    """In which versions of its own history a customer's shadow rule is live; a version with an error is never added."""
 
+    def live_in(i: str) -> str:
+        history = tables.RuleHistory()
+        history.add(f"shadow block if :amount: > {i}")
+        history.add(f"shadow block if :amount: > {i}.0\nshadow review if :distance: < {i}")
+        try:
+            history.add(f"block if :amnt: > {i}")
+        except RuleError:
+            pass
+        history.add(f"block if :amount: > {i}")
+        asked = (f"shadow block if :amount: > {i}", f"shadow review if :distance: < {i}", f"shadow review if :distance: < {i}5")[int(i) % 3]
+        return ",".join(map(str, history.live_in(parse(asked)[0][0].id)))
 
-# -- the rule language: what is expected is written out by hand ---------------------------------
+    df = _texts(spark, sf_dir, "CAST(id AS STRING)")
+    return df.select("id", texts.each(df, live_in, "string").alias("live_in"))
 
 
-@query("rule_words", _values("place, kind, said", (0, "block", "block"), (1, "if", "if"), (2, "attr", "amount"), (3, ">=", ">="), (4, "number", "2.5"), (5, "and", "and"), (6, "attr", "device_info"), (7, "in", "in"), (8, "list", "seen")))
+# -- the rule language: what is expected is written out by hand, in texts with each customer's number ---------------
+
+
+@query("rule_words", f"""SELECT id, place, kind, CASE place WHEN 4 THEN id || '.5' ELSE said END AS said FROM ({_IDS}),
+ (VALUES (0, 'block', 'block'), (1, 'if', 'if'), (2, 'attr', 'amount'), (3, '>=', '>='), (4, 'number', ''), (5, 'and', 'and'), (6, 'attr', 'device_info'), (7, 'in', 'in'), (8, 'list', 'seen')) w(place, kind, said)""")
 def _(spark, sf_dir):
-    words, problems = spell("block if :amount: >= 2.50 and :device_info: in @seen # why", 1)
-    assert not problems
-    return spark.createDataFrame([(i, w.kind, str(w.value)) for i, w in enumerate(w for w in words if w.kind != "end")], "place int, kind string, said string")
+    return texts.words(_texts(spark, sf_dir, "'block if :amount: >= ' || id || '.50 and :device_info: in @seen # why'")).drop("text")
 
 
 _CANONICAL = {
-    "block  if (:amount: > 1) and (:distance: < 2 or true)": "block if :amount: > 1 and (:distance: < 2 or true)",
-    "shadow review if not (:amount: - (:distance: - 2) = 0.50)": "shadow review if not :amount: - (:distance: - 2) = 0.5",
-    "allow if :device_info: not in [\"b\", \"a\"]": "allow if not :device_info: in [\"b\", \"a\"]",
-    "block if ((:amount: + :distance:) * 2 > 4)": "block if (:amount: + :distance:) * 2 > 4",
+    "block  if (:amount: > {}) and (:distance: < 2 or true)": "block if :amount: > {} and (:distance: < 2 or true)",
+    "shadow review if not (:amount: - (:distance: - {}) = 0.50)": "shadow review if not :amount: - (:distance: - {}) = 0.5",
+    "allow if :device_info: not in [\"b{}\", \"a\"]": "allow if not :device_info: in [\"b{}\", \"a\"]",
+    "block if ((:amount: + :distance:) * {} > 4)": "block if (:amount: + :distance:) * {} > 4",
 }
 
 
-@query("rule_canonical", _values("source, canonical, conditions", *[(s, c, c.partition(" if ")[2]) for s, c in _CANONICAL.items()]))
+def _by_kind(sources, column: str = "id") -> str:
+    """A CASE by column % n that puts the number into the source of its kind."""
+    joined = lambda x: "'" + x.replace("'", "''").replace("{}", f"' || {column} || '") + "'"
+    return f"CASE {column} % {len(sources)} " + " ".join(f"WHEN {i} THEN {joined(x)}" for i, x in enumerate(sources)) + " END"
+
+
+@query("rule_canonical", f"SELECT id, canonical, split_part(canonical, ' if ', 2) AS conditions FROM (SELECT id, {_by_kind(list(_CANONICAL.values()))} AS canonical FROM ({_IDS}))")
 def _(spark, sf_dir):
-    rules = {s: parse(s)[0][0] for s in _CANONICAL}
-    return spark.createDataFrame([(s, r.text, show(r.condition)) for s, r in rules.items()], "source string, canonical string, conditions string")
+    df = _texts(spark, sf_dir, _by_kind(list(_CANONICAL)))
+    said = texts.canonical(df)
+    return df.select("id", F.get(said, F.lit(0)).alias("canonical"), F.get(said, F.lit(1)).alias("conditions"))
 
 
-_WRONG = "block if :amnt: > 1\nallow if :amount: > 2\nreview if :distanc: < 1\nblock if :amount: == 1"
+_WRONG = _by_kind(["block if :amnt: > {}\nallow if :amount: > 2", "allow if :amount: > {}", "allow if :amount: > 1\nreview if :distanc: < {}", "block if :amount: == {}"])
+_WHERE = f"SELECT id, CASE id % 4 WHEN 2 THEN 2 ELSE 1 END AS line, CASE id % 4 WHEN 0 THEN 10 WHEN 2 THEN 11 ELSE 19 END AS place, CASE id % 4 WHEN 0 THEN 6 WHEN 2 THEN 9 ELSE 2 END AS width FROM ({_IDS}) WHERE id % 4 <> 1"
 
 
-@query("rule_problems", _values("line, column_, width", (1, 10, 6), (3, 11, 9), (4, 19, 2)))
+@query("rule_problems", f"SELECT id, 'error' AS severity, line, place, width FROM ({_WHERE})")
 def _(spark, sf_dir):
-    """Where the mistakes of a text are: none hides another, and the good line has none."""
-    try:
-        load_rules(_WRONG, samples.SCOPE)
-        found = []
-    except RuleError as e:
-        found = e.problems
-    return spark.createDataFrame([(p.line, p.start + 1, p.end - p.start) for p in found], "line int, column_ int, width int")
+    """Where the mistakes of each text are; a good line has none."""
+    return texts.diagnosed(_texts(spark, sf_dir, _WRONG), samples.SCOPE).select("id", "severity", "line", "place", "width")
 
 
-@query("rule_carets", _values("line, marks", (1, "         ^^^^^^"), (3, "          ^^^^^^^^^"), (4, "                  ^^")))
+@query("rule_carets", f"SELECT id, repeat(' ', place - 1) || repeat('^', width) AS marks FROM ({_WHERE})")
 def _(spark, sf_dir):
-    try:
-        load_rules(_WRONG, samples.SCOPE)
-        found = []
-    except RuleError as e:
-        found = e.problems
-    return spark.createDataFrame([(p.line, p.render().split("\n")[2]) for p in found], "line int, marks string")
+    return texts.diagnosed(_texts(spark, sf_dir, _WRONG), samples.SCOPE).select("id", "marks")
 
 
-@query("rule_suggestions", _values("name, nearest", ("amout", "amount"), ("card_txn_count_1hh", "card_txn_count_1h"), ("devise_info", "device_info"), ("zzzzzz", None)))
+@query("rule_suggestions", f"SELECT id, CASE id % 4 WHEN 0 THEN 'amount' WHEN 1 THEN 'card_txn_count_1h' WHEN 2 THEN 'device_info' END AS nearest FROM ({_IDS})")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(n, nearest(n, [f.name for f in FIELDS])) for n in ("amout", "card_txn_count_1hh", "devise_info", "zzzzzz")], "name string, nearest string")
+    df = _texts(spark, sf_dir, "CASE id % 4 WHEN 0 THEN 'amout' WHEN 1 THEN 'card_txn_count_1hh' WHEN 2 THEN 'devise_info' ELSE 'zzzzzz' || id END")
+    return df.select("id", texts.each(df, lambda name: nearest(name, [f.name for f in FIELDS]), "string").alias("nearest"))
 
 
-@query("rule_warnings", _values("line", (1,), (2,), (4,)))
+@query("rule_warnings", f"SELECT id, 'warning' AS severity, CASE id % 4 WHEN 2 THEN 2 ELSE 1 END AS line FROM ({_IDS}) WHERE id % 4 <> 3")
 def _(spark, sf_dir):
-    text = 'block if :amount: > 500 and :amount: < 100\nblock if 1 < 2\nreview if :amount: > 1\nreview if  :amount: > 1.0\nblock if :amount: >= 5 and :amount: <= 5'
-    return spark.createDataFrame([(p.line,) for p in lint(parse(text)[0], samples.SCOPE)], "line int")
+    """A chain that can't hold, a condition that always does, a rule said twice, and a text without fault."""
+    text = _by_kind(["block if :amount: > 5{} and :amount: < 5", "block if 1 < 2{}", "review if :amount: > {}\nreview if  :amount: > {}.0", "block if :amount: >= 5 and :amount: <= 5{}"])
+    return texts.diagnosed(_texts(spark, sf_dir, text), samples.SCOPE).select("id", "severity", "line")
 
 
 # -- the model ---------------------------------------------------------------------------------

@@ -744,11 +744,15 @@ def _(spark, sf_dir):
     return pipeline.key_conflicts(df)
 
 
-@query("catalog", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f.name}', '{f.kind}')" for i, f in enumerate(FIELDS)) + ") t(place, name, kind)")
+@query("catalog", f"{_SCORED} " + " UNION ALL ".join(f"SELECT {i} AS place, '{f.name}' AS name, '{f.kind}' AS kind, count({f.name}) AS present FROM t" for i, f in enumerate(FIELDS)))
 def _(spark, sf_dir):
-    return spark.createDataFrame([(i, f.name, f.kind) for i, f in enumerate(FIELDS)], "place int, name string, kind string")
+    """Every attribute with its kind, and in how many payments it isn't missing."""
+    counts = scored(spark, sf_dir).agg(*[F.count(f.name).alias(f.name) for f in FIELDS])
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("name"), F.lit(f.kind).alias("kind"), F.col(f.name).alias("present")) for i, f in enumerate(FIELDS)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 @query("synthetic_payments")
 def _(spark, sf_dir):
-    return synthetic.generate(spark)
+    """As many made-up payments as there are order lines."""
+    return synthetic.generate(spark, max(1, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()))

@@ -64,16 +64,17 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def feature_table(spark: SparkSession, rows: int, days: int = 182, missing: float = 0.1, edge: float = 0.2, seed: int = 7) -> DataFrame:
+def feature_table(spark: SparkSession, rows: int, days: int = 182, missing: float = 0.1, edge: float = 0.2, seed: int = 7, ids: DataFrame | None = None) -> DataFrame:
     """A feature table of drawn fields for comparing evaluators: a share of each field is missing, another one takes edge values.
 
     Each value depends on the seed, its row and its field alone. Fraud grows with risk_score.
+    ids: rows (_row) to draw for instead of 0 to rows - 1.
     """
 
     def number(name: str) -> Column:
         return md5_number(F.concat(F.lit(f"{seed}:{name}:"), F.col("_row").cast("string")))
 
-    df = spark.range(rows).withColumnRenamed("id", "_row")
+    df = spark.range(rows).withColumnRenamed("id", "_row") if ids is None else ids.select("_row")
     columns = []
     for f in FIELDS:
         kind, value = number(f.name) % 1_000, number(f"{f.name}=")
