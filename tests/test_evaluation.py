@@ -5,14 +5,15 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 from test_language import random_condition
 
 from tidemark.operators.ruleset import RuleSet, decide
-from tidemark.plans.checking import Scope
-from tidemark.plans.compiling import column, sql
+from tidemark.plans.checking import ListTable, Scope, load_rules
+from tidemark.plans.compiling import column, sql, with_conditions
 from tidemark.plans.interpret import lower, value
-from tidemark.plans.language import parse, show
+from tidemark.plans.language import RuleError, parse, show
 
 SCHEMA = "id int, amount double, distance double, billing_region double, device_info string, product_code string, purchaser_email_domain string"
 NUMBERS = [None, 0.0, -0.0, 1.0, 2.5, 100.0, -3.0, 5e-324, 1e-300, float("inf"), float("-inf"), 2.0**53 + 1, 1.7e308]
@@ -53,6 +54,29 @@ def test_kleene_table(spark):
         assert [r[0] for r in df.select(column(c, scope)).collect()] == want, text
 
 
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_long_lists_are_joined(spark, monkeypatch, sent):
+    """A hundred thousand values, as a list and as a table: present, absent and missing, and both ways of joining."""
+    monkeypatch.setattr("tidemark.plans.compiling.SENT", sent)
+    many = tuple(f"v{i:06}" for i in range(100_000))
+    numbers = spark.range(100_000).select((F.col("id") / 2).alias("n")).union(spark.createDataFrame([(None,), (float("nan"),), (-0.0,)], "n double"))
+    scope = Scope(lists={"many": many, "few": ("a",)}, tables={"halves": ListTable(numbers, "n"), "none": ListTable(numbers.limit(0), "n")})
+    data = [(i, a, d, x) for i, (a, d, x) in enumerate([(0.5, -0.0, "v000007"), (0.25, None, "V000007"), (None, 3.0, None), (49_999.5, 1.0, "a"), (50_000.0, 0.0, "v100000"), *[(2.0, 1.0, "v000001")] * 40])]
+    df = spark.createDataFrame(data, "id int, amount double, distance double, device_info string")
+    texts = [":device_info: in @many", ":device_info: not in @many", "lower(:device_info:) in @many and not (:amount: in @halves)", ":amount: in @halves", ":distance: not in @halves", ":distance: in @none", ":distance: not in @none", ":device_info: in @few or :amount: + :distance: in @halves", "not (:device_info: in @many or :amount: in @halves)"]
+    rules = {f"c{i}": load_rules(f"block if {t}", scope)[0][0].condition for i, t in enumerate(texts)}
+    halves, plain = Scope(lists={"many": many, "few": ("a",), "halves": tuple(i / 2 for i in range(100_000)), "none": ()}), ["id", "amount", "distance", "device_info"]
+    out = with_conditions(df, rules, scope)
+    assert out.columns == [*df.columns, *rules]
+    for r in out.collect():
+        row = dict(zip(plain, data[r.id], strict=True))
+        assert [r[c] for c in rules] == [value(x, row, halves) is True for x in rules.values()], row
+    with pytest.raises(RuleError, match="halves"):
+        load_rules("block if :amount: in @halfes", scope)
+    with pytest.raises(RuleError, match="list of numbers"):
+        load_rules("block if :device_info: in @halves", scope)
+
+
 def test_lower_is_letter_by_letter(spark):
     for s in ("İ", "ΟΔΟΣ", "K", "ẞ", "ABC", "ǅ"):
         c = parse("block if lower(:device_info:) = :product_code:")[0][0].condition

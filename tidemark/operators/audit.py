@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.model import Calibrator, Model, score
 from tidemark.operators.ruleset import RuleSet, decide
-from tidemark.plans.compiling import holds
+from tidemark.plans.compiling import with_conditions
 from tidemark.sources.records import catalog_stamp, feature_columns
 
 
@@ -63,11 +63,11 @@ def shadow_report(log: DataFrame, rules: RuleSet, live_in: Mapping[str, list[int
 
     live_in: the versions in which each rule was a shadow rule; only their records count.
     """
-    rows = feature_columns(log)
     aggs, shadows = [], rules.shadows()
+    rows = with_conditions(feature_columns(log), {f"_holds_{i}": r.condition for i, r in shadows}, rules.scope)
     for i, r in shadows:
         live = F.col("ruleset_version").isin(*live_in.get(r.id, [])) if live_in.get(r.id) else F.lit(False)
-        aggs += [F.count_if(live).alias(f"e{i}"), F.count_if(live & F.array_contains("shadow_matches", r.id)).alias(f"m{i}"), F.count_if(live & holds(r.condition, rules.scope)).alias(f"p{i}")]
+        aggs += [F.count_if(live).alias(f"e{i}"), F.count_if(live & F.array_contains("shadow_matches", r.id)).alias(f"m{i}"), F.count_if(live & F.col(f"_holds_{i}")).alias(f"p{i}")]
     if not shadows:
         return log.sparkSession.createDataFrame([], "rule_id string, evaluated bigint, matched bigint, predicted bigint, agrees boolean")
     each = [F.struct(F.lit(r.id).alias("rule_id"), F.col(f"e{i}").alias("evaluated"), F.col(f"m{i}").alias("matched"), F.col(f"p{i}").alias("predicted"), (F.col(f"m{i}") == F.col(f"p{i}")).alias("agrees")) for i, r in shadows]

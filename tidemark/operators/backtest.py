@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.words import figure
 from tidemark.operators.ruleset import RuleSet, decide
-from tidemark.plans.compiling import holds
+from tidemark.plans.compiling import with_conditions
 from tidemark.plans.language import Rule, attributes
 from tidemark.shipping import ship
 
@@ -91,7 +91,7 @@ def changes(action: str) -> Column:
 def proposed_on(decided: DataFrame, rules: RuleSet, rule: Rule, options: Options) -> DataFrame:
     """The period's rows with matched and changed for a rule taken as live."""
     df = windowed(decided, options).withColumns(decision_masks(rules))
-    df = df.withColumn("matched", F.col("counted") & holds(rule.condition, rules.scope))
+    df = with_conditions(df, {"_hit": rule.condition}, rules.scope).withColumn("matched", F.col("counted") & F.col("_hit")).drop("_hit")
     return df.withColumn("changed", F.col("matched") & changes(rule.action))
 
 
@@ -272,7 +272,8 @@ def label_delay(decided: DataFrame, rules: RuleSet, rule: Rule, as_of: int, wind
     """
     if window <= 0 or maturity <= 0:
         raise ValueError("window and maturity must be positive")
-    df = decided.withColumns(decision_masks(rules)).withColumn("_hit", holds(rule.condition, rules.scope) & changes(rule.action)).withColumn("_milli", thousandths())
+    df = with_conditions(decided.withColumns(decision_masks(rules)), {"_hit": rule.condition}, rules.scope)
+    df = df.withColumn("_hit", F.col("_hit") & changes(rule.action)).withColumn("_milli", thousandths())
     fraud, seen = F.col("fraud") == FRAUD, F.coalesce(F.col("label_time") <= as_of, F.lit(False))
     views = {"naive": (as_of - window, as_of, True), "naive_truth": (as_of - window, as_of, False), "matured": (as_of - maturity - window, as_of - maturity, True), "matured_truth": (as_of - maturity - window, as_of - maturity, False)}
     aggs = []

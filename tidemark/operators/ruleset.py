@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.checking import Scope, load_rules
-from tidemark.plans.compiling import holds
+from tidemark.plans.compiling import with_conditions
 from tidemark.plans.language import ACTIONS, Problem, Rule
 
 NO_RULE = -1
@@ -38,11 +38,6 @@ class RuleSet:
         return [(i, r) for i, r in enumerate(self.rules) if r.shadow]
 
 
-def match_columns(rules: RuleSet) -> dict[str, Column]:
-    """m_<i> for each rule: whether its condition is true."""
-    return {f"m_{i}": holds(r.condition, rules.scope) for i, r in enumerate(rules.rules)}
-
-
 def decide(df: DataFrame, rules: RuleSet) -> DataFrame:
     """df with m_<i>, rule_index (NO_RULE if none), action, rule_id and shadow_matches.
 
@@ -50,7 +45,7 @@ def decide(df: DataFrame, rules: RuleSet) -> DataFrame:
     first in source order; a payment without a match is allowed. Shadow rules
     decide nothing.
     """
-    df = df.withColumns(match_columns(rules))
+    df = with_conditions(df, {f"m_{i}": r.condition for i, r in enumerate(rules.rules)}, rules.scope)
     first = F.coalesce(*[F.when(F.col(f"m_{i}"), F.lit(i)) for i, _ in rules.live()], F.lit(NO_RULE))
     df = df.withColumn("rule_index", first)
     # looked up in literals by place, so that code doesn't grow with the rules

@@ -8,23 +8,33 @@ in one pass over the rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
-from tidemark.plans.checking import Scope, values_of
-from tidemark.plans.language import Attr, Call, Lit, Node, Op
+from tidemark.plans.checking import ListTable, Scope, values_of
+from tidemark.plans.language import Attr, Call, ListName, Lit, Node, Op
 
 _COMPARE = {"=": Column.__eq__, "!=": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 _ARITHMETIC = {"+": Column.__add__, "-": Column.__sub__, "*": Column.__mul__}
 
 
-def column(node: Node, scope: Scope | None = None, of=F.col) -> Column:
-    """The value of a checked tree; missing and unknown are null. of: how an attribute becomes a column."""
+#: Lists of more values than this are looked up by a join, and those of at most SENT values are sent to all executors for it.
+LISTED, SENT = 1_000, 1_000_000
+
+
+def column(node: Node, scope: Scope | None = None, of=F.col, marks: Mapping[Node, str] | None = None) -> Column:
+    """The value of a checked tree; missing and unknown are null. of: how an attribute becomes a column.
+
+    marks: columns that hold the value of some memberships, as with_conditions makes them.
+    """
     scope = scope or Scope()
-    sub = lambda x: column(x, scope, of)
+    sub = lambda x: column(x, scope, of, marks)
     match node:
+        case Op("in", _) if marks and node in marks:
+            return F.col(marks[node])
         case Attr(name):
             return of(name)
         case Lit(v):
@@ -54,6 +64,54 @@ def column(node: Node, scope: Scope | None = None, of=F.col) -> Column:
     raise TypeError(node)
 
 
+def _memberships(node: Node) -> list[Op]:
+    """All lookups in lists within a tree."""
+    found, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Op) and x.op == "in":
+            found.append(x)
+            todo.append(x.args[0])
+        elif isinstance(x, (Op, Call)):
+            todo.extend(x.args)
+    return found
+
+
+def with_conditions(df: DataFrame, conditions: Mapping[str, Node], scope: Scope | None = None) -> DataFrame:
+    """df with a column for each condition: whether it is true; unknown counts as not.
+
+    A long list is joined to the rows, once however often it is asked for the
+    same value: sent to all executors if its values, which are counted, are few
+    enough, else dealt out by value with the rows, where Spark splits what is
+    frequent. A missing value is in no list and not out of it either.
+    """
+    scope, marks = scope or Scope(), {}
+    asked = dict.fromkeys(x for node in conditions.values() for x in _memberships(node))
+    for n, x in enumerate(asked):
+        held = _list_table(df, x.args[1], scope)
+        if held is None:
+            continue
+        mark, key, there = f"_in_{n}", f"_key_{n}", f"_there_{n}"
+        values = held.values.select(F.col("value").alias(f"_value_{n}"), F.lit(True).alias(there))
+        values = F.broadcast(values) if held.count() <= SENT else values
+        df = df.withColumn(key, column(x.args[0], scope, marks=marks)).join(values, F.col(key) == F.col(f"_value_{n}"), "left")
+        df = df.withColumn(mark, F.when(F.col(key).isNotNull(), F.coalesce(there, F.lit(False)))).drop(key, there, f"_value_{n}")
+        marks[x] = mark
+    made = {name: F.coalesce(column(node, scope, marks=marks), F.lit(False)) for name, node in conditions.items()}
+    return df.withColumns(made).drop(*marks.values())
+
+
+def _list_table(df: DataFrame, items: Node, scope: Scope) -> ListTable | None:
+    """The list as a table if it is one or is long, else None."""
+    if isinstance(items, ListName) and items.name in scope.tables:
+        return scope.tables[items.name]
+    held = values_of(items, scope)
+    if len(held) <= LISTED:
+        return None
+    kind = "string" if isinstance(held[0], str) else "double"
+    return ListTable(df.sparkSession.createDataFrame([(v,) for v in held], f"value {kind}"), "value")
+
+
 def _flat(node: Op) -> list[Node]:
     """Operands of nested equal operators, so that a long chain is no deep tree."""
     out: list[Node] = []

@@ -12,8 +12,10 @@ from tidemark.operators import audit, calendar, compare, labels, metrics, rulese
 from tidemark.operators import backtest as bt
 from tidemark.operators import model as md
 from tidemark.plans import oracle, samples
+from tidemark.plans.checking import ListTable, Scope, load_rules
 from tidemark.plans.compiling import column as rule_column
 from tidemark.plans.compiling import sql as rule_sql
+from tidemark.plans.compiling import with_conditions
 from tidemark.plans.language import parse
 from tidemark.sources import payments as pay
 from tidemark.sources import records, synthetic
@@ -241,6 +243,27 @@ def _(spark, sf_dir):
     return payments(spark, sf_dir).select("id", *[rule_column(c, samples.SCOPE).alias(n) for n, c in _expressions().items()])
 
 
+_LONG = {
+    "trusted": "allow if :purchaser_email_domain: in @domains", "strange": "block if :purchaser_email_domain: not in @domains and :amount: > 1", "priced": "review if :amount: * 2 in @amounts or lower(:device_info:) in @domains",
+}
+_DOMAINS_SQL = f"SELECT l_orderkey || '-' || l_linenumber || '.com' AS value FROM lineitem UNION ALL SELECT purchaser_email_domain FROM ({_P1}) WHERE id % 7 = 0"
+_AMOUNTS_SQL = f"SELECT o_totalprice::DOUBLE AS value FROM orders UNION ALL SELECT amount * 2 FROM ({_P1}) WHERE id % 5 = 0"
+
+
+@query("long_lists", f"""WITH p AS ({_P1}), d AS (SELECT DISTINCT value FROM ({_DOMAINS_SQL}) WHERE value IS NOT NULL AND value <> ''), a AS (SELECT DISTINCT value FROM ({_AMOUNTS_SQL}) WHERE value IS NOT NULL)
+SELECT id, coalesce(purchaser_email_domain IN (SELECT value FROM d), false) AS trusted, coalesce(purchaser_email_domain NOT IN (SELECT value FROM d) AND amount > 1, false) AS strange,
+ coalesce(amount * 2 IN (SELECT value FROM a) OR lower(device_info) IN (SELECT value FROM d), false) AS priced FROM p""")
+def _(spark, sf_dir):
+    """Rules over a list with a text for each order line and one with a number for each order: values in them, not in them, and missing."""
+    df = payments(spark, sf_dir)
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    domains = read("lineitem").select(F.concat_ws("", F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit(".com")).alias("value")).unionByName(df.filter("id % 7 = 0").select(F.col("purchaser_email_domain").alias("value")))
+    amounts = read("orders").select(F.col("o_totalprice").cast("double").alias("value")).unionByName(df.filter("id % 5 = 0").select((F.col("amount") * 2).alias("value")))
+    scope = Scope(tables={"domains": ListTable(domains, "value"), "amounts": ListTable(amounts, "value")})
+    rules = {name: load_rules(text, scope)[0][0].condition for name, text in _LONG.items()}
+    return with_conditions(df, rules, scope).select("id", *rules)
+
+
 # -- rule sets ---------------------------------------------------------------------
 
 
