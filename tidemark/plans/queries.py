@@ -597,7 +597,17 @@ def _(spark, sf_dir):
     return errors.withColumns({c: F.round(c, 8) for c in ("mean_abs", "mean_rel")})
 
 
-@query("sketch_distinct_cards")
+_NUMBER = "('0x' || substr(md5('{}|' || (round(card1 * 1000)::BIGINT)::VARCHAR), 1, 8))::BIGINT"
+_M = 1 << sketches.LG_K
+
+
+@query("sketch_distinct_cards", f"""WITH p AS (SELECT device_info AS key, floor(dt / 3600.0)::BIGINT AS hour, card1 FROM ({_P1}) WHERE device_info IS NOT NULL),
+r AS (SELECT key, hour, {_NUMBER.format('r')} % {_M} AS register, max(CASE WHEN {_NUMBER.format('h')} = 0 THEN 33 ELSE 33 - length(bin({_NUMBER.format('h')})) END) AS rank FROM p WHERE card1 IS NOT NULL GROUP BY 1, 2, 3),
+a AS (SELECT DISTINCT key, hour FROM p),
+g AS (SELECT a.key, a.hour, register, max(rank) AS rank FROM a JOIN r ON a.key = r.key AND r.hour BETWEEN a.hour - {sketches.DAY_HOURS} AND a.hour - 1 GROUP BY 1, 2, 3),
+e AS (SELECT key, hour, count(*) AS n, sum(pow(2.0::DOUBLE, -rank)) AS s FROM g GROUP BY 1, 2),
+c AS (SELECT key, hour, n, {0.7213 / (1 + 1.079 / _M) * _M * _M!r}::DOUBLE / (s + ({_M} - n)) AS raw FROM e)
+SELECT key, hour, coalesce(CASE WHEN raw <= {2.5 * _M} AND n < {_M} THEN round({_M} * ln({_M}::DOUBLE / ({_M} - n)::DOUBLE)) ELSE round(raw) END, 0)::BIGINT AS cards FROM a LEFT JOIN c USING (key, hour)""")
 def _(spark, sf_dir):
     return sketches.distinct_by_hour(payments(spark, sf_dir), "device")
 
