@@ -17,20 +17,17 @@ NO_SYMBOL = "[^#*$%&|<>]+"
 WORD = r"[^ \t\n\x0b\f\r]"
 #: Lines made of these marks and words are menus.
 SEPARATORS = ("|", ">", "»", "·", "•", "/", "::")
+#: What pages say in every language of the corpus, in small letters (fixed values).
 BOILERPLATE = (
-    "all rights reserved",
-    "accept cookies",
-    "cookie policy",
-    "enable javascript",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "sign up",
-    "log in",
-    "subscribe to",
-    "click here",
-    "lorem ipsum",
-)
+    # English
+    "all rights reserved", "accept cookies", "cookie policy", "enable javascript", "privacy policy", "terms of use", "terms of service", "sign up", "log in", "subscribe to", "click here", "lorem ipsum",
+    # German
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie-richtlinie", "javascript aktivieren", "hinweise zum datenschutz", "allgemeine nutzungsbedingungen", "jetzt registrieren", "hier klicken", "newsletter abonnieren",
+    # French
+    "tous droits réservés", "accepter les cookies", "politique de cookies", "activer javascript", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "se connecter", "cliquez ici", "abonnez-vous à",
+    # Spanish
+    "todos los derechos reservados", "aceptar las cookies", "política de cookies", "activar javascript", "política de privacidad", "condiciones de uso", "aviso legal", "iniciar sesión", "haga clic aquí", "suscríbete a",
+)
 TERMINAL = r"""[.!?:;,…。！？]["'”’»)\]]*[ \t\f\r\x0b]*$"""
 PUNCTUATION = r"[^\p{L}\p{N}\p{M} \t\n\x0b\f\r]"
 #: A line with at least this many words may end without a stop.

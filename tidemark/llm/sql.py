@@ -95,7 +95,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM rea
 
 def op6() -> str:
     q = quality
-    says = lambda x: " OR ".join(f"contains({_LOWER.format(x)}, '{p}')" for p in q.BOILERPLATE)
+    says = lambda x: " OR ".join(f"contains({_LOWER.format(x)}, '{p.replace(chr(39), chr(39) * 2)}')" for p in q.BOILERPLATE)
     marks = q.PUNCTUATION
     words = lambda x: _WORDS.format(x)
     menu = f"len(list_filter({words('x')}, lambda y: list_contains({_list(q.SEPARATORS)}, y)))"
