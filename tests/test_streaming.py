@@ -280,3 +280,33 @@ def test_arrival_order_is_not_event_order(spark, tmp_path):
     q = st.velocity_parts(df, "3650 days", ordered=False, shards=2).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     finish(q)
     assert spark.read.json(out).filter("late").count() > 0
+
+
+def test_answers_are_kept_for_a_while(spark, tmp_path):
+    """Replays, conflicts, age and capacity, over batches, against a plain store."""
+    rng = random.Random(2)
+    batches = [[{"key": f"k{rng.randint(0, 9)}", "at": b * 50 + rng.randint(0, 49), "body": rng.choice("xy"), "answer": f"{b}-{i}"} for i in range(25)] for b in range(3)]
+    batches[1].append({"key": None, "at": 60, "body": "x", "answer": "none"})
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    df = spark.readStream.schema("key string, at bigint, body string, answer string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    finish(st.start(st.answered(df, ttl=40, capacity=4, shards=1), out, str(tmp_path / "check")))
+    held, want = {}, []
+    for rows in batches:
+        digest = lambda r: hashlib.sha256(r["body"].encode()).hexdigest()
+        for r in sorted(rows, key=lambda r: (r["at"], r["key"] or f"\0{r['at']}\0{digest(r)}", digest(r))):
+            name = r["key"] or f"\0{r['at']}\0{digest(r)}"
+            held = {k: v for k, v in held.items() if r["at"] - v["at"] < 40}
+            if name in held:
+                same = held[name]["body"] == r["body"]
+                want.append((r["key"], r["at"], "replayed" if same else "conflict", held[name]["answer"] if same else None))
+                continue
+            held[name] = r
+            while len(held) > 4:
+                del held[next(iter(held))]
+            want.append((r["key"], r["at"], "first", r["answer"]))
+    got = spark.read.schema("key string, at bigint, status string, answer string").json(out).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and {w[2] for w in want} == {"first", "replayed", "conflict"}

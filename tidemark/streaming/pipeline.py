@@ -26,7 +26,7 @@ from tidemark.catalog import ENTITIES, IDLE_TTL, SHARED, WINDOWS
 from tidemark.functions.values import milli
 from tidemark.operators.velocity import keys
 from tidemark.shipping import ship
-from tidemark.streaming.keyed import _OFFSET, BASE, HEARTBEAT, PART, PER_KEY, JoinProcessor, VelocityProcessor
+from tidemark.streaming.keyed import _OFFSET, ANSWER, BASE, HEARTBEAT, PART, PER_KEY, AnswerProcessor, JoinProcessor, VelocityProcessor
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long rows wait for earlier ones. Sources may lag each other by this much.
@@ -99,6 +99,25 @@ def once(events: DataFrame, key: str, ts: str = "ts", within: str = "4 days") ->
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
+#: How long a request's answer is kept, and of how many keys a shard keeps them.
+ANSWER_TTL, ANSWER_CAPACITY = 86_400, 1 << 20
+
+
+def answered(requests: DataFrame, ttl: int = ANSWER_TTL, capacity: int = ANSWER_CAPACITY, shards: int = SHARDS) -> DataFrame:
+    """(key, at, status, answer) of a stream of requests (key, body, at in seconds, answer): whether each is its key's first, the same again, or another one.
+
+    The same again gets the first one's answer. Requests without key are told apart by time and body.
+    Forgetting a key, by age or as one too many, only lets a later request count as a first.
+    """
+    ship(requests.sparkSession)
+    loose = F.concat(F.lit("\0"), F.coalesce(F.col("at").cast("string"), F.lit("")), F.lit("\0"), F.sha2(F.coalesce("body", F.lit("")), 256))
+    named = F.coalesce(F.nullif("key", F.lit("")), loose)
+    df = requests.select(named.alias("key"), F.coalesce("at", F.lit(0)).cast("bigint").alias("at"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"), F.col("answer").cast("string").alias("answer"))
+    df = df.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    out = df.groupBy("shard").transformWithStateInPandas(AnswerProcessor(ttl, capacity), ANSWER, "Append", "None")
+    return out.withColumn("key", F.when(~F.startswith("key", F.lit("\0")), F.col("key")))
+
+
 def key_conflicts(requests: DataFrame, key: str = "idempotency_key", body: str = "body") -> DataFrame:
     """(key, requests, bodies) of keys that came with more than one body."""
     digest = F.sha2(F.col(body), 256)
