@@ -580,11 +580,11 @@ def _(spark, sf_dir):
     return spark.read.schema("id bigint").json(f"{folder}/out")
 
 
-_REQUESTS = f"""SELECT id, dt AS at, 'a' AS body, 'first' AS status, 'a' AS said FROM ({q._P1}) UNION ALL SELECT id, dt + 60, 'a', 'replayed', 'a' FROM ({q._P1}) WHERE id % 3 = 0
+_REQUESTS = f"""SELECT id, dt AS "at", 'a' AS body, 'first' AS status, 'a' AS said FROM ({q._P1}) UNION ALL SELECT id, dt + 60, 'a', 'replayed', 'a' FROM ({q._P1}) WHERE id % 3 = 0
  UNION ALL SELECT id, dt + 120, 'b', 'conflict', NULL FROM ({q._P1}) WHERE id % 5 = 0 UNION ALL SELECT id, dt + 86410, 'c', 'first', 'c' FROM ({q._P1}) WHERE id % 7 = 0 UNION ALL SELECT id, dt + 86500, 'c', 'replayed', 'c' FROM ({q._P1}) WHERE id % 14 = 0"""
 
 
-@query("stored_answers", f"SELECT 'txn_' || id || ':1' AS key, at, status, said || '-' || id AS answer FROM ({_REQUESTS})")
+@query("stored_answers", f"SELECT 'txn_' || id || ':1' AS key, \"at\", status, said || '-' || id AS answer FROM ({_REQUESTS})")
 def _(spark, sf_dir):
     """Requests of payments, some of which come again: soon and alike, soon with another body, and a day later, when the first is forgotten."""
     folder, df = scratch_dir(spark), q.payments(spark, sf_dir).select("id", "dt")

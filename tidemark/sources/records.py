@@ -174,7 +174,7 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=False, lineSep="\n")
     empty = F.trim("value") == ""
     bad = ~empty & ~_is_decision(F.col("value"))
-    parses = F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{"))
+    parses = F.try_parse_json("value").isNotNull()
     placed = lines.select("value", bad.alias("bad"), (bad & ~parses).alias("broken"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("whole"), (F.octet_length("value") + 1).alias("size"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("place"))
     cut = F.sum("size") == F.max("whole") + 1
     files = placed.groupBy("file").agg((F.max_by("broken", "place") & cut).alias("torn"), F.count_if("bad").alias("n"), F.min(F.when(F.col("bad"), F.struct("place", "value"))).alias("first"))
