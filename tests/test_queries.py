@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = ["velocity_exact", "velocity_ties", "velocity_bucketed", "rule_expressions", "decide", "rule_stats", "backtest_block", "overlaps_block", "samples_allow", "sweep_given_current", "label_delay",
           "model_score", "ranking_metrics", "dollar_budget", "reliability_by_mass", "encoded", "dispute_upsert", "label_overlay", "decoded_payments", "decision_set", "audit_report",
           "csv_payments", "saved_table", "export_by_split", "encoded_by_table", "decision_log_scan", "audit_versions", "signed_deliveries", "backtest_label_time", "rule_problems", "rule_words", "rule_canonical", "rule_warnings", "rule_carets", "rule_versions", "arrived_within", "rule_suggestions", "catalog", "model_parts", "model_reasons",
-          "routed_keys", "stream_decisions", "stream_once", "stream_labels", "decisions_in_order", "topic_records", "synthetic_table", "rules_over_edges", "velocity_hot_key", "velocity_hot_week", "velocity_late", "stream_late", "stream_from_history", "stream_state", "features_as_of_hot_keys", "medians", "latency_windows"]
+          "routed_keys", "stream_decisions", "stream_once", "stream_labels", "decisions_in_order", "topic_records", "synthetic_table", "rules_over_edges", "velocity_hot_key", "velocity_hot_week", "velocity_late", "stream_late", "stored_answers", "long_lists", "sketch_distinct_cards", "features_as_of_hot_keys", "medians", "latency_windows"]
 
 
 def normal(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
