@@ -192,14 +192,18 @@ def encode(docs: DataFrame, path: str | None = None, carry: bool = False) -> Dat
     ids holds little-endian unsigned 32-bit integers, so that a long text is one
     binary value. A null text counts as empty and has no ids; a null doc_id
     stays null; repeated rows repeat; no rows, none. Other columns are ignored,
-    or with carry kept, unless they have one of these names.
+    or with carry kept, unless they have one of these names. Bytes of a text that
+    aren't UTF-8 are read as U+FFFD and encoded as that.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return map_text(docs, _encode, ["doc_id", "text"], ENCODED, make=lambda: load(path), carry=carry)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded with decoded, the bytes of its ids; null ids decode to null, an unknown id is an error."""
+    """encoded with decoded, the bytes of its ids; null ids decode to null, an unknown id is an error.
+
+    Other columns stay, repeated rows repeat; no rows, none.
+    """
     return map_text(encoded, _decode, ENCODED.names, DECODED, text="ids", make=lambda: load(path), carry=True)
 
 
@@ -209,7 +213,11 @@ def _both(bpe: ByteBpe, doc_ids: list, texts: list) -> dict[str, list]:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, carry: bool = False) -> DataFrame:
-    """decode(encode(docs)) by one tokenizer in one process per task."""
+    """decode(encode(docs)) by one tokenizer in one process per task.
+
+    A null text decodes to no bytes, one with bytes that aren't UTF-8 to U+FFFD in
+    their place; rows and columns are treated as by encode.
+    """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return map_text(docs, _both, ["doc_id", "text"], DECODED, make=lambda: load(path), carry=carry)
 

@@ -290,7 +290,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     are, n all words; score is floor(1000 a n / (l r)), of the worst cut.
     Phrases that always are within a phrase of one word more don't count.
     A null language is `und`, a null text empty; rows that are there twice
-    count twice; a table without frequent phrases gives no rows.
+    count twice; other columns are ignored; a table without frequent phrases
+    gives no rows. Bytes that aren't UTF-8 are read as U+FFFD.
     """
     folder = scratch_dir(docs.sparkSession)
     frequent, totals = frequent_phrases(docs, folder, text, lang, least, longest, buckets)

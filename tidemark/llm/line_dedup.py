@@ -144,6 +144,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     is there twice is twice in the result. Rows without doc_id have no place in
     the order: they don't count as documents and keep all lines. A null text is one empty line.
     All other columns stay, whatever their names; only n_lines, n_dropped and kept_text give way.
+    Bytes that aren't UTF-8 stay in texts that lose no line, and may be U+FFFD in kept_text of others.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     folder = scratch_dir(docs.sparkSession)

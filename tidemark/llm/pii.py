@@ -536,7 +536,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     base holds what the patterns find, spans those and the tagger's, sorted by
     start. A null text counts as empty and has none; a null doc_id stays null;
-    repeated rows repeat; other columns are ignored; no rows, none.
+    repeated rows repeat; other columns are ignored; no rows, none. Bytes that
+    aren't UTF-8 are read as U+FFFD, one code point for each part that isn't.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     weights = tagger.p
@@ -565,7 +566,8 @@ def redact_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets, and n_chars, if there is one, to match.
 
     Null texts stay null. Columns and rows stay as they are otherwise, whatever
-    the columns' names, repeated rows and those without doc_id included.
+    the columns' names, repeated rows and those without doc_id included. In text,
+    bytes that aren't UTF-8 become U+FFFD.
     """
     weights = tagger.p
     done = map_text(docs, _redact, ["text"], _TEXT, make=lambda: Tagger(weights), carry=True)

@@ -56,7 +56,8 @@ def count_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     """(word, n): runs of letters A-Z, a-z and À-ÿ with A-Z in small letters, after slips, that are long and frequent enough.
 
     A null text has none; a null doc_id counts as an empty one; rows that are
-    there twice count twice. slip=None: words as they are.
+    there twice count twice; other columns are ignored; no rows, no words. Bytes
+    that aren't UTF-8 are no letters. slip=None: words as they are.
     """
 
     def counted(ids: list, texts: list) -> dict[str, list]:

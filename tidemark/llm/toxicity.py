@@ -218,7 +218,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Only the text makes the score. Null and empty texts score 0; a null doc_id
     stays null and is not held out; repeated rows repeat; other columns are
-    ignored; no rows, none.
+    ignored; no rows, none. Bytes that aren't UTF-8 are read as U+FFFD.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = map_text(docs, _score, ["doc_id", "text"], _SCORED, make=_maker(lexicon))
@@ -229,7 +229,8 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of docs whose text the lexicon does not call toxic, with all their columns and no others.
 
     Rows with null or empty texts stay, and so do rows without doc_id and
-    repeated ones. Columns stay as they are, whatever their names.
+    repeated ones. Columns stay as they are, whatever their names; so do bytes of
+    text that aren't UTF-8, which are scored as U+FFFD.
     """
     names = dict(zip(_SCORED.names, unused(docs.columns, *(f"_{n}" for n in _SCORED.names)), strict=True))
     own = StructType([StructField(names[f.name], f.dataType) for f in _SCORED])
