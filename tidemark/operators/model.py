@@ -295,14 +295,6 @@ class Calibrator:
         out = np.where(raw <= x[0], y[0], np.where(raw >= x[-1], y[-1], out))
         return np.where(np.isnan(raw), np.nan, out)
 
-    def column(self, raw: Column) -> Column:
-        """The same as built-in expressions; a step is found by counting those below."""
-        out = F.when(raw <= self.x[0], F.lit(self.y[0])).when(raw >= self.x[-1], F.lit(self.y[-1]))
-        for j in range(len(self.x) - 1):
-            slope = (self.y[j + 1] - self.y[j]) / (self.x[j + 1] - self.x[j])
-            out = out.when(raw < self.x[j + 1], F.lit(slope) * (raw - self.x[j]) + self.y[j])
-        return out
-
 
 def risk_score(p: Column) -> Column:
     """A probability in whole percent, 0 to 99; missing is 0."""
