@@ -12,6 +12,7 @@ import duckdb
 import pytest
 
 from tidemark.llm import collocation, entry, line_dedup, spelling
+from tidemark.session import session_like
 
 DATA = Path("/root/testdata/sf0.001")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -93,6 +94,33 @@ def test_runs_are_levelled(spark, tmp_path):
     assert not any(spark.catalog.tableExists(x) for x in names)
 
 
+@pytest.mark.parametrize(("bucket_rows", "files"), [(None, 1), (150, 2), (1, 4)])
+def test_runs_have_files_by_rows(spark, tmp_path, monkeypatch, bucket_rows, files):
+    if bucket_rows:
+        monkeypatch.setattr(line_dedup, "BUCKET_ROWS", bucket_rows)
+    pairs = [(b"%d" % (d % m), d, 0, m) for d in range(50) for m in (3, 7, 11, 13, 17, 50)]
+    lines = spark.createDataFrame(pairs, "key binary, doc_id bigint, row bigint, place int")
+    holders = defaultdict(set)
+    for k, d, *_ in pairs:
+        holders[k].add(d)
+    got = line_dedup.repeated_lines(lines, 5, 3, str(tmp_path)).collect()
+    assert {(bytes(r.key), r.n, r.owner) for r in got} == {(k, len(x), max(x)) for k, x in holders.items() if len(x) >= 5}
+    runs = [len(list(x.glob("*.parquet"))) for x in tmp_path.glob("tidemark_run_*")]
+    assert len(runs) == 3 and max(runs) == files
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_a_session_of_its_own_keeps_settings(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        own = session_like(spark, {"spark.sql.shuffle.partitions": 3})
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    names = ("spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.shuffle.partitions")
+    assert [own.conf.get(x) for x in names] == ["false", "UTC", "3"]
+    assert [spark.conf.get(x) for x in names] == ["true", "UTC", "4"]
+
+
 # -- words -------------------------------------------------------------------------
 
 

@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACES, hot_join, lower_ascii, scratch_dir, stored, table, unused
+from tidemark.session import session_like
 
 #: A key shorter than this many code points is never dropped, nor is one found in fewer documents.
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Batches that a table is cut into by doc_id, and runs of a level that are compacted into one.
 BATCHES, FANOUT = 8, 4
+#: A run's buckets are so many that all batches put no more than about this many rows in one, but never more than a shuffle's partitions.
+BUCKET_ROWS = 250_000
 
 
 class LineRuns:
@@ -125,13 +128,17 @@ def repeated_lines(lines: DataFrame, least_docs: int, batches: int, folder: str)
     pairs = lines.select("key", "doc_id").distinct().withColumn("batch", batch)
     path = f"{folder}/pairs"
     pairs.write.partitionBy("batch").parquet(path)
-    pairs = spark.read.schema(pairs.schema).parquet(path)
-    runs = LineRuns(spark, folder)
+    # keys are few beside the texts that a session's partitions are meant for: a file for each of those would be tiny, and each file costs
+    buckets = -(-spark.read.schema(pairs.schema).parquet(path).count() // BUCKET_ROWS)
+    parts = "spark.sql.shuffle.partitions"
+    own = session_like(spark, {parts: max(1, min(buckets, int(spark.conf.get(parts))))})
+    pairs = own.read.schema(pairs.schema).parquet(path)
+    runs = LineRuns(own, folder)
     for b in range(len(edges) + 1):
         runs.add(pairs.filter(F.col("batch") == b).drop("batch"))
     found = stored(runs.totals().filter(F.col("n") >= least_docs), folder, "repeated")
     runs.close()
-    return found
+    return spark.read.schema(found.schema).parquet(f"{folder}/repeated")
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
