@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.scratch import scratch_dir, stored
+
 #: Ranges of scores whose sums are taken apart.
 RANGES = 64
 
@@ -32,6 +34,11 @@ def _cuts(of: Column | str) -> Column:
     return F.array_distinct(F.percentile_approx(of, [k / RANGES for k in range(1, RANGES)], 10 * RANGES))
 
 
+def _once(cuts: DataFrame) -> DataFrame:
+    """cuts, worked out once: they depend on the order in which tasks come, and all that is parted by them must be parted alike."""
+    return stored(cuts, scratch_dir(cuts.sparkSession), "cuts")
+
+
 def _range(value: Column, cuts: Column) -> Column:
     """The range that value lies in: odd where it is one of the cuts, which a value with very many rows is."""
     return F.aggregate(cuts, F.lit(0), lambda a, c: a + F.when(value > c, 2).when(value == c, 1).otherwise(0))
@@ -39,7 +46,7 @@ def _range(value: Column, cuts: Column) -> Column:
 
 def cumulative(groups: DataFrame, columns: tuple[str, ...] = ("p", "n", "pm", "nm")) -> DataFrame:
     """groups with c_<column>: sums from the highest score down to each, and t_<column>, the totals."""
-    whole = groups.agg(_cuts("s").alias("_cuts"), *[F.sum(c).alias(f"t_{c}") for c in columns])
+    whole = _once(groups.agg(_cuts("s").alias("_cuts"), *[F.sum(c).alias(f"t_{c}") for c in columns]))
     # one row, the result of an aggregate without keys
     df = groups.join(F.broadcast(whole)).withColumn("_r", _range(F.col("s"), F.col("_cuts")))
     parts = df.groupBy("_r").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
@@ -57,7 +64,7 @@ def percentiles(values: DataFrame, by: str, value: str, q: Sequence[float]) -> D
     approximate cuts part evenly, so that no task holds all values of a group.
     """
     counts = values.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    whole = counts.groupBy(by).agg(_cuts("v").alias("_cuts"), F.sum("n").alias("_t"))
+    whole = _once(counts.groupBy(by).agg(_cuts("v").alias("_cuts"), F.sum("n").alias("_t")))
     df = counts.join(whole, by).withColumn("_r", _range(F.col("v"), F.col("_cuts")))
     parts = df.groupBy(by, "_r").agg(F.sum("n").alias("_m"))
     below = W.partitionBy(by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
@@ -131,8 +138,8 @@ def reliability_by_mass(df: DataFrame, p: str = "p", label: str = "fraud", bins:
     exact and no task ranks all rows.
     """
     df = df.filter(F.col(label).isin(0, 1) & F.col(p).isNotNull()).select(F.col(p).alias("p_"), F.col(label).cast("double").alias("y_"), F.col(order).alias("o_"))
-    df = df.join(F.broadcast(df.agg(_cuts("p_").alias("_cuts")))).withColumn("_r", _range(F.col("p_"), F.col("_cuts"))).drop("_cuts")
-    ties = df.filter("_r % 2 = 1").groupBy("_r").agg(_cuts("o_").alias("_cuts"))
+    df = df.join(F.broadcast(_once(df.agg(_cuts("p_").alias("_cuts"))))).withColumn("_r", _range(F.col("p_"), F.col("_cuts"))).drop("_cuts")
+    ties = _once(df.filter("_r % 2 = 1").groupBy("_r").agg(_cuts("o_").alias("_cuts")))
     df = df.join(F.broadcast(ties), "_r", "left").withColumn("_q", F.coalesce(_range(F.col("o_"), F.col("_cuts")), F.lit(0))).drop("_cuts")
     sizes = df.groupBy("_r", "_q").agg(F.count("*").alias("_n"))
     below, all_ = W.orderBy("_r", "_q").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_r", "_q").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
