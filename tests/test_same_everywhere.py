@@ -41,3 +41,22 @@ def test_cuts_are_worked_out_once(spark):
     done = [metrics.percentiles(df, "g", "score", (0.5,)), metrics.medians(df, ["score"]), metrics.cumulative(metrics.tie_groups(df)), metrics.reliability_by_mass(df, "score")]
     for d in done:
         assert "percentile_approx" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_means_of_gaps_do_not_depend_on_the_order(spark):
+    rng = random.Random(5)
+    gaps = [rng.choice([rng.random() * 1e-3, rng.random() * 1e7, 0.1, 3.0]) for _ in range(5_000)]
+    want = float(sum(Fraction(math.floor(g)) + Fraction(math.floor((g - math.floor(g)) * compare.PARTS + 0.5), compare.PARTS) for g in gaps) / len(gaps))
+    got = set()
+    for _ in range(3):
+        rng.shuffle(gaps)
+        got.add(spark.createDataFrame([(g,) for g in gaps], "g double").repartition(3).agg(compare.exact_mean(F.col("g"))).first()[0])
+    assert len(got) == 1 and got.pop() == pytest.approx(want, rel=1e-14)
+    odd = spark.createDataFrame([(1.5,), (None,), (2.0**60,), (float("inf"),)], "g double")
+    assert odd.agg(compare.exact_mean(F.col("g"))).first()[0] == float("inf") and odd.filter("g < 9").agg(compare.exact_mean(F.col("g"))).first()[0] == 1.5 and odd.filter("g IS NULL").agg(compare.exact_mean(F.col("g"))).first()[0] is None
+
+
+def test_errors_are_by_exact_means(spark):
+    a = spark.createDataFrame([(i, 0.1 * i) for i in range(9)], "id int, x double")
+    plan = compare.feature_errors(a, a, ["x"])._jdf.queryExecution().analyzed().toString()
+    assert "avg(" not in plan
