@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.catalog import FIELDS
-from tidemark.plans import checking
+from tidemark.plans import checking, texts
 from tidemark.plans.checking import distance, nearest
 
 NAMES = [f.name for f in FIELDS]
@@ -53,3 +55,11 @@ def test_few_distances_are_worked_out(monkeypatch):
     for _ in range(50):
         assert nearest("amout", NAMES) == "amount"
     assert len(asked) < 5
+
+
+def test_texts_of_one_file_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(texts, "TASK", 10)
+    spark.range(95).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = texts.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert df.rdd.getNumPartitions() == 10 and df.count() == 95 and df.agg(F.sum("id")).first()[0] == 95 * 47
+    assert texts.spread(df.filter("id < 0")).count() == 0

@@ -12,9 +12,16 @@ from tidemark.plans.checking import lint, load_rules
 from tidemark.plans.language import RuleError, parse, show, spell
 from tidemark.shipping import ship
 
+#: Texts that a task goes through: some seconds of Python.
+TASK = 5_000
 DIAGNOSIS = "severity string, line int, place int, width int, marks string, message string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to tasks by its rows: many texts are few bytes, which a file's reader leaves in one task."""
+    return df.repartition(-(-df.count() // TASK) or 1)
+
+
 def each(df: DataFrame, function: Callable[[str], object], kind: str, column: str = "text") -> Column:
     """function of each text that isn't null, as a column of that kind."""
     ship(df.sparkSession)
